@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_rules, token_file, warc, weak_label
+from . import chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules, token_file, toxicity, warc, weak_label
 from .common import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,8 +45,19 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op3_pack, op4_weak_label, op5_quality_rules, op6_chat_format, op7_token_file, op8_warc)}
+    import corpus_pipeline
+
+    own = {"pipeline": corpus_pipeline.run}
+    return own | {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_pack, op4_weak_label, op5_quality_rules, op6_chat_format, op7_token_file, op8_warc, op9_toxicity, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict:
