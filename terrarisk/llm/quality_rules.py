@@ -70,7 +70,8 @@ def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Counts [raw, target] by bucket over all documents; the result has a fixed size."""
     trusted = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    # always by a shuffle: the labels grow with the corpus, so there is no size at which broadcasting them is the plan
+    marked = docs.select("doc_id", "text").hint("merge").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
