@@ -109,7 +109,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
                     out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", name(f"{page} {row} {k}")), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), *last, ("WARC-X-Row", row)], part))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    mark_revisits(pages, min_dedup).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
+    mark_revisits(pages, min_dedup).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path, compression="gzip")
 
 
 _RECORD = "page_id long, url string, record_type string, refers_to long, digest string, payload_length long, origin string, row long, segment int, total long, complete boolean, block binary"
