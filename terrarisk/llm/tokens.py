@@ -8,9 +8,10 @@ of encoded pieces. A text in which white space follows white space is encoded wh
 from __future__ import annotations
 
 import os
+from array import array
 
-from .common import WordCache
-
+#: The most encoded pieces that a worker keeps (about 200 bytes each).
+CACHE_PIECES = 1_200_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -21,19 +22,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache = WordCache(self.direct)
-
-    def direct(self, text: str) -> bytes:
-        import numpy as np
+        self.cache: dict[str, bytes] = {"": b""}
 
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def direct(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or not text.isprintable() and _odd(text):
-            return self.direct(text)
-        self.cache.trim()
-        return b"".join(map(self.cache.__getitem__, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _odd(text):
+            return self.direct([text])[0]
+        pieces = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+        try:
+            return b"".join(map(self.cache.__getitem__, pieces))
+        except KeyError:
+            if len(self.cache) > CACHE_PIECES:
+                self.cache = {"": b""}
+            new = [p for p in dict.fromkeys(pieces) if p not in self.cache]
+            self.cache.update(zip(new, self.direct(new)))
+        return b"".join(map(self.cache.__getitem__, pieces))
 
 
 def _odd(text: str) -> bool:
