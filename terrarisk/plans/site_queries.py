@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrarisk.functions import geometry as G
 from terrarisk.functions import hazard as H
 from terrarisk.functions import text as T
+from terrarisk.operators import lines as L
 from terrarisk.operators import spatial as S
 
 from .fixtures import ctes, fixture
@@ -454,3 +455,24 @@ def j20(spark, sf_dir):
     s = fixture(spark, sf_dir, "near_point_sites")
     near = S.point_distances(s, fixture(spark, sf_dir, "contamination_points"), "feature_id", 5.0).groupBy("site_id").agg(F.min("distance_km").alias("d"))
     return s.select("site_id").join(near, "site_id", "left").filter("d is null or d > 1").select("site_id", r6("d").alias("nearest_km"))
+
+
+@query("g9_simplify", ctes("line_vertices") + ", f AS (SELECT line_id, max(CASE n WHEN 1 THEN x END) AS ax, max(CASE n WHEN 1 THEN y END) AS ay, max(CASE n WHEN 2 THEN x END) AS mx, max(CASE n WHEN 2 THEN y END) AS my, max(CASE n WHEN 3 THEN x END) AS bx, max(CASE n WHEN 3 THEN y END) AS by_ FROM line_vertices GROUP BY line_id) SELECT line_id, CAST(CASE WHEN abs((bx - ax) * (my - ay) - (by_ - ay) * (mx - ax)) / sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) > CASE WHEN line_id % 2 = 0 THEN 0.03 ELSE 0.06 END THEN 3 ELSE 2 END AS BIGINT) AS points FROM f")
+def g9(spark, sf_dir):
+    """The tolerance is a column."""
+    got = L.simplify(S.lines(fixture(spark, sf_dir, "line_vertices")), "line_id", F.when(c("line_id") % 2 == 0, 0.03).otherwise(0.06))
+    return got.select("line_id", F.size(c("parts")[0]["rings"][0]).cast("long").alias("points"))
+
+
+BOX = (-122.0, 34.0, -118.0, 38.0)
+
+
+@query("g11_clip_lines", ctes("line_vertices") + ", s AS (SELECT a.line_id, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM line_vertices a JOIN line_vertices b ON a.line_id = b.line_id AND b.n = a.n + 1), t AS (SELECT *, greatest(0, least((-122 - ax) / dx, (-118 - ax) / dx), least((34 - ay) / dy, (38 - ay) / dy)) AS t0, least(1, greatest((-122 - ax) / dx, (-118 - ax) / dx), greatest((34 - ay) / dy, (38 - ay) / dy)) AS t1 FROM s) SELECT line_id, round(sum(sqrt(dx * dx + dy * dy) * (t1 - t0)), 6) AS degrees FROM t WHERE t0 < t1 GROUP BY line_id")
+def g11(spark, sf_dir):
+    got = L.clip_segments(S.lines(fixture(spark, sf_dir, "line_vertices")), "line_id", *BOX)
+    return got.groupBy("line_id").agg(r6(F.sum(F.sqrt((c("bx") - c("ax")) ** 2 + (c("by") - c("ay")) ** 2))).alias("degrees"))
+
+
+@query("g12_sample_along_line", ctes("line_vertices") + f", s AS (SELECT a.line_id, a.n, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, {hav('a.y', 'a.x', 'b.y', 'b.x')} AS len FROM line_vertices a JOIN line_vertices b ON a.line_id = b.line_id AND b.n = a.n + 1), u AS (SELECT *, sum(len) OVER (PARTITION BY line_id ORDER BY n) - len AS start FROM s), p AS (SELECT *, unnest(range(CAST(ceil(start / 2) AS BIGINT), CAST(ceil((start + len) / 2) AS BIGINT))) AS k FROM u) SELECT line_id, k, round(ax + (k * 2 - start) / len * (bx - ax), 6) AS x, round(ay + (k * 2 - start) / len * (by_ - ay), 6) AS y FROM p")
+def g12(spark, sf_dir):
+    return L.sample_along(S.lines(fixture(spark, sf_dir, "line_vertices")), "line_id", 2.0).select("line_id", "k", r6("x").alias("x"), r6("y").alias("y"))
