@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +37,12 @@ def _thin(points: np.ndarray, tolerance: float) -> np.ndarray:
 def simplify(layer: DataFrame, key: str, tolerance: Column) -> DataFrame:
     """key, parts with thinned rings; a closed ring of under four points, and a line of under two, goes. Not topology-preserving."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    shape = pa.list_(pa.struct([("rings", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
             keys, out = [], []
-            for k, parts, tol in zip(f[key], f["parts"], f["tolerance"]):
+            for k, parts, tol in zip(f.column(key).to_pylist(), f.column("parts").to_pylist(), f.column("tolerance").to_pylist()):
                 kept = []
                 for part in parts:
                     rings = []
@@ -57,10 +59,10 @@ def simplify(layer: DataFrame, key: str, tolerance: Column) -> DataFrame:
                 if kept:
                     keys.append(k)
                     out.append(kept)
-            yield pd.DataFrame({key: keys, "parts": out})
+            yield pa.RecordBatch.from_arrays([pa.array(keys, f.schema.field(key).type), pa.array(out, shape)], names=[key, "parts"])
 
     kind = layer.schema[key].dataType.simpleString()
-    return layer.select(key, "parts", tolerance.alias("tolerance")).mapInPandas(run, f"{key} {kind}, parts {G.GEOMETRY}")
+    return layer.select(key, "parts", tolerance.alias("tolerance")).mapInArrow(run, f"{key} {kind}, parts {G.GEOMETRY}")
 
 
 def clip_segments(layer: DataFrame, key: str, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,19 +64,19 @@ def read_raster_tiles(spark: SparkSession, path: str, rows: int, cols: int, dtyp
     """Binary tiles (file name = tile_key), row-major from the south; buffers of another size go, missing values are NULL."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("tile_key"), "content")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
             keys, data = [], []
-            for key, content in zip(f["tile_key"], f["content"]):
-                raw = np.frombuffer(content, dtype)
-                if raw.size == rows * cols:
+            for key, content in zip(f.column("tile_key").to_pylist(), f.column("content").to_pylist()):
+                if len(content) == rows * cols * np.dtype(dtype).itemsize:
+                    raw = np.frombuffer(content, dtype)
                     v = raw / scale + offset
                     gone = ~np.isfinite(v) | ((raw == nodata) if nodata is not None else False)
                     keys.append(key)
                     data.append([None if g else float(x) for x, g in zip(v, gone)])
-            yield pd.DataFrame({"tile_key": keys, "data": data})
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(data, pa.list_(pa.float64()))], names=["tile_key", "data"])
 
-    return files.mapInPandas(run, "tile_key string, data array<double>")
+    return files.mapInArrow(run, "tile_key string, data array<double>")
 
 
 def discover_inputs(spark: SparkSession, path: str, layers: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
