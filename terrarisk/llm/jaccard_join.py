@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,36 +39,50 @@ CHUNK = 1 << 16
 MAX_LEVEL = 6
 SIGNATURE = 1024
 CELL = 256
+BLOCK_WORDS = 200_000
+#: Bits of the filter that keeps documents which no pair asks for out of a shuffle.
+FILTER = 1 << 24
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
-def _word_hash(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word)
-
-
-_words = WordCache(_word_hash)
-
-
-def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    _words.trim()
-    h = mixed(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(width, len(h)), np.uint64)
-    for k in range(min(width, len(h))):
-        out = mixed(out * _M[k % 4] + h[k : k + n])
-    return np.unique(out)
+_words = WordCache(xxhash.xxh64_intdigest)
+
+
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; texts are hashed together up to BLOCK_WORDS words."""
+    at = 0
+    while at < len(texts):
+        block, n = [], 0
+        while at < len(texts) and (not block or n < BLOCK_WORDS):
+            block.append(texts[at].translate(LOWER).split())
+            n += len(block[-1])
+            at += 1
+        _words.trim()
+        h = mixed(np.fromiter((x for words in block for x in map(_words.__getitem__, words)), np.uint64, n))
+        long = np.full(n, width, np.uint64)
+        for k in range(width):
+            m = max(0, n - k)
+            long[:m] = mixed(long[:m] * _M[k % 4] + h[k : k + m])
+        start = 0
+        for words in block:
+            size = len(words)
+            if size >= width:
+                s = np.sort(long[start : start + size - width + 1])
+                new = np.ones(len(s), bool)
+                np.not_equal(s[1:], s[:-1], out=new[1:])
+                yield s[new]
+            elif size:
+                one = np.full(1, size, np.uint64)
+                for k in range(size):
+                    one = mixed(one * _M[k % 4] + h[start + k : start + k + 1])
+                yield one
+            else:
+                yield np.zeros(0, np.uint64)
+            start += size
 
 
 def key_of(s: np.ndarray) -> int:
     """The class of a set: a 64-bit hash of the sorted set."""
-    import xxhash
-
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
 
 
@@ -84,8 +99,7 @@ def read_sets(docs: DataFrame, width: int, path: str) -> np.ndarray:
         names = ["doc_id", "n", "key", "sig", "chunk", "counts"]
         for batch in batches:
             n, keys, sigs, new = [], [], [], []
-            for text in column_bytes(batch, "text"):
-                s = shingles(text, width)
+            for s in shingle_sets(column_bytes(batch, "text"), width):
                 n.append(len(s))
                 keys.append(key_of(s) if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
@@ -125,7 +139,7 @@ def prefix(s: np.ndarray, classes: np.ndarray, percent: int, max_level: int) ->
     c = classes[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
     n = len(s)
     first = n - -(-percent * n // 100) + 1
-    order = np.lexsort((s, c))[: min(n, first + max_level - 1)]
+    order = np.argsort(c.astype(np.uint64) << np.uint64(58) | s >> np.uint64(6))[: min(n, first + max_level - 1)]
     found = np.cumsum(2.0 ** c[order] - 1)
     levels = np.arange(1, len(order) - first + 2)
     cost = found[first - 1 :] * (1 + (4 + n / 8) / levels) + 2 * levels
@@ -141,8 +155,7 @@ def shared_prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: i
         seen: set[int] = set()
         for batch in batches:
             rows = []
-            for text in column_bytes(batch, "text"):
-                s = shingles(text, width)
+            for s in shingle_sets(column_bytes(batch, "text"), width):
                 if not len(s) or (key := key_of(s)) in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -207,8 +220,47 @@ def may_link(a: str, b: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {a}pos <= {n} - {alpha} + {level} and {b}pos <= {m} - {alpha} + {level}"
 
 
-def verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what the pairs (a, b) over the threshold connect: a spanning forest in each cell."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of each id, in an array of fixed size."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(FILTER, bool)
+        for batch in batches:
+            out[_place(batch)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(out).tobytes(), 1)])], names=["bits"])
+
+    out = np.zeros(FILTER // 8, np.uint8)
+    for (part,) in ids.select("rep").coalesce(16).mapInArrow(bits, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(part), np.uint8)
+    return out
+
+
+def _place(batch: pa.RecordBatch) -> np.ndarray:
+    ids = batch.column("rep").fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
+    return (mixed(ids) & np.uint64(FILTER - 1)).astype(np.int64)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """key, shingles of the wanted classes (key, rep), from the text of their representatives."""
+    spread = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))  # FILTER / 8 bytes
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _place(batch)
+            yield batch.filter(pa.array((spread.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, s.tobytes()) for k, s in zip(batch.column("key").to_pylist(), shingle_sets(column_bytes(batch, "text"), width)) if len(s) and key_of(s) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "shingles"])
+
+    few = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(some, "rep long, text string")
+    met = few.alias("d").join(wanted.hint("merge").alias("k"), F.col("d.rep").eqNullSafe(F.col("k.rep"))).select("key", "text")
+    return written(met.mapInArrow(sets, "key long, shingles binary"), "shingles")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold. The signatures' bound comes first; only sets still in question are read."""
     sig = classes.select("key", "n", "sig")
     both = pairs.join(sig.toDF("a", "n_a", "sig_a"), "a").join(sig.toDF("b", "n_b", "sig_b"), "b")
 
@@ -239,7 +291,8 @@ def verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
                 out.append(k)
         return pa.table({"a": pa.array([centre] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
-    return written(rows.join(sets, "key").groupBy("centre", "cell").applyInArrow(compare, "a long, b long"), "links")
+    wanted = rows.select("key").distinct().join(classes.select("key", "rep"), "key")
+    return written(rows.join(sets_of(docs, wanted, width), "key").groupBy("centre", "cell").applyInArrow(compare, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_level: int = MAX_LEVEL) -> DataFrame:
@@ -250,18 +303,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     classes = written(members.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     shared = written(shared_prefixes(docs, rarity(sketch), width, percent, max_level), "shared")
 
-    keys = shared.select("key").distinct().join(classes.select("key", "rep"), "key")
-    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").alias("d").join(keys.hint("merge").alias("k"), F.col("d.rep").eqNullSafe(F.col("k.rep"))).select("key", "text")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, s.tobytes()) for k, s in zip(batch.column("key").to_pylist(), (shingles(t, width) for t in column_bytes(batch, "text"))) if len(s) and key_of(s) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "shingles"])
-
-    sets = written(wanted.mapInArrow(sets_of, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
-
     star = shared.filter(f"key <> p_key and {may_link('', 'p_', percent)}").select(F.col("key").alias("a"), F.col("p_key").alias("b")).distinct()
-    links = verify(star, classes, sets, percent)
+    links = verify(star, classes, docs, width, percent)
     part = components(links)
 
     own = shared.select("token", "key", "n", "pos", "level").join(part.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -271,7 +314,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "level", "root", "largest")])
     met = a.join(b, "token").filter(f"a_root <> b_root and (b_root = b_largest or a_key < b_key) and {may_link('a_', 'b_', percent)}")
     pairs = met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), F.least("a_level", "b_level").alias("level")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("level").alias("level")).filter("c >= level").select("a", "b")
-    rest = verify(pairs, classes, sets, percent)
+    rest = verify(pairs, classes, docs, width, percent)
 
     final = components(links.unionByName(rest))
     named = classes.select("key", "rep").join(final.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
