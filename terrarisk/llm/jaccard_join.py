@@ -7,9 +7,9 @@ Each set picks its l by the estimated cost of its candidates (longer lists scann
 pair must share l = min(l_a, l_b) shingles of these prefixes at positions that still allow the overlap.
 
 Candidates come in two rounds, so that a group of near copies isn't expanded into all its pairs: first every set with
-the smallest set of each of its prefix shingles (a star, linear), verified and joined into components; then, for
+one set of each of its prefix shingles (a star, linear; another set for each shingle), verified and joined into components; then, for
 shingles whose sets still lie in several components, the sets outside the largest of them with the sets of other
-components. Pairs inside one component need no link. A bound from 1024-bit parity signatures drops most pairs that
+components. Pairs inside one component need no link. A bound from 512-bit parity signatures drops most pairs that
 can't reach the threshold; the rest are compared on their whole sets, in cells of one set and at most `CELL` others.
 
 Defined results: null texts and texts without words have no shingles, are alone and keep their own doc_id; fewer than
@@ -37,7 +37,7 @@ PERCENT = 85
 SKETCH = 1 << 21
 CHUNK = 1 << 16
 MAX_LEVEL = 6
-SIGNATURE = 1024
+SIGNATURE = 512
 CELL = 256
 BLOCK_WORDS = 200_000
 #: Bits of the filter that keeps documents which no pair asks for out of a shuffle.
@@ -87,7 +87,7 @@ def key_of(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> bytes:
-    bits = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=SIGNATURE) & 1
+    bits = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=SIGNATURE) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
@@ -148,7 +148,7 @@ def prefix(s: np.ndarray, classes: np.ndarray, percent: int, max_level: int) ->
 
 
 def shared_prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int, max_level: int) -> DataFrame:
-    """Prefix shingles of at least two classes: token, key, n, pos, level, and the same of the token's smallest key."""
+    """Prefix shingles of at least two classes: token, key, n, pos, level, and the same of the token's pivot."""
     spread = docs.sparkSession.sparkContext.broadcast(classes)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def shared_prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: i
     own = ["token", "key", "n", "pos", "level"]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by token and key; a token with one class goes, and repeated rows too."""
+        """Rows come sorted by token; a token with one class goes, and repeated rows too."""
         held: pa.Table | None = None
         head: list[int] | None = None  # the first row of the token at hand
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -208,7 +208,8 @@ def shared_prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: i
             else:
                 head, held = None, t.slice(last, 1)
 
-    ordered = tokens.repartition("token").sortWithinPartitions("token", "key")
+    # each token puts its classes in an order of its own, so that a group of near copies meets many different pivots
+    ordered = tokens.repartition("token").sortWithinPartitions("token", F.xxhash64("token", "key"), "key")
     return ordered.mapInArrow(runs, "token long, key long, n int, pos int, level int, p_key long, p_n int, p_pos int, p_level int")
 
 
@@ -262,7 +263,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold. The signatures' bound comes first; only sets still in question are read."""
     sig = classes.select("key", "n", "sig")
-    both = pairs.join(sig.toDF("a", "n_a", "sig_a"), "a").join(sig.toDF("b", "n_b", "sig_b"), "b")
+    # both sides of these joins grow with the corpus, so they are shuffled at every size
+    both = pairs.hint("merge").join(sig.toDF("a", "n_a", "sig_a"), "a").hint("merge").join(sig.toDF("b", "n_b", "sig_b"), "b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +277,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
     near = written(both.mapInArrow(bound, "a long, b long"), "near")
     # the end with more pairs is the centre of its cells
     degree = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("d"))
-    ranked = near.join(degree.toDF("a", "d_a"), "a").join(degree.toDF("b", "d_b"), "b")
+    ranked = near.hint("merge").join(degree.toDF("a", "d_a"), "a").hint("merge").join(degree.toDF("b", "d_b"), "b")
     first = F.col("d_a") >= F.col("d_b")
     stars = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("key"), F.greatest("d_a", "d_b").alias("d"))
     stars = stars.withColumn("cell", F.pmod(F.xxhash64("key"), F.ceil(F.col("d") / CELL)))
@@ -292,7 +294,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
         return pa.table({"a": pa.array([centre] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
     wanted = rows.select("key").distinct().join(classes.select("key", "rep"), "key")
-    return written(rows.join(sets_of(docs, wanted, width), "key").groupBy("centre", "cell").applyInArrow(compare, "a long, b long"), "links")
+    return written(rows.hint("merge").join(sets_of(docs, wanted, width), "key").groupBy("centre", "cell").applyInArrow(compare, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_level: int = MAX_LEVEL) -> DataFrame:
@@ -307,16 +309,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     links = verify(star, classes, docs, width, percent)
     part = components(links)
 
-    own = shared.select("token", "key", "n", "pos", "level").join(part.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    own = shared.select("token", "key", "n", "pos", "level").hint("merge").join(part.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sized = own.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count("*").alias("roots"))
-    open_rows = written(own.join(sized.filter("roots > 1").select("token", "largest"), "token"), "open")
+    open_rows = written(own.hint("merge").join(sized.filter("roots > 1").select("token", "largest"), "token"), "open")
     a = open_rows.filter("root <> largest").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "level", "root")])
     b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "level", "root", "largest")])
     met = a.join(b, "token").filter(f"a_root <> b_root and (b_root = b_largest or a_key < b_key) and {may_link('a_', 'b_', percent)}")
     pairs = met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), F.least("a_level", "b_level").alias("level")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("level").alias("level")).filter("c >= level").select("a", "b")
     rest = verify(pairs, classes, docs, width, percent)
 
-    final = components(links.unionByName(rest))
+    final = part if rest.isEmpty() else components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
     named = classes.select("key", "rep").join(final.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_key = named.join(names, "root").select("key", "component_id")
