@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from terrarisk.llm import decontaminate, jaccard_join, packing, quality_rules, weak_label
 from terrarisk.llm.common import table, written
 
+#: Near copies share four fifths of their shingles of five words; the defaults of jaccard_components are op10's contract.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
@@ -24,7 +27,7 @@ def keep_classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = jaccard_join.jaccard_components(docs).filter("component_id = doc_id").select("doc_id").distinct()
+    first = jaccard_join.jaccard_components(docs, NEAR_WIDTH, NEAR_PERCENT).filter("component_id = doc_id").select("doc_id").distinct()
     # joined by a shuffle at every size, which also brings rows with one doc_id together
     kept = docs.hint("merge").join(first, "doc_id").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
