@@ -1,9 +1,13 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-Word unigrams and bigrams of every text are hashed into a fixed number of buckets. Two multinomials are counted over
-all documents: the raw corpus, and the trusted target (documents that a label calls good). A document's score is the
-mean over its n-grams of log p_target - log p_raw, so that it doesn't grow with length; a document below the threshold
-is rejected. Base rules (too few words, too much repetition) come first.
+Word unigrams and bigrams of every text are hashed into buckets, whose number follows the n-grams of the corpus. Two
+multinomials are counted over all documents: the raw corpus, and the trusted target (documents that a label calls
+good). A document's score is the mean over its n-grams of log p_target - log p_raw, so that it doesn't grow with length;
+a document below the threshold is rejected. Base rules (too few words, too much repetition) come first.
+
+The counts never come together in one place. The n-grams of blocks of texts are dealt out by chunks of the buckets; the
+task of a chunk counts it and returns what it adds to each document's score, as integers, whose sum has no order. A
+document is known by a 64-bit hash of its id and text, so copies with one id share a score.
 
 Defined results: null and empty texts have no words and fail the base rules; a document without n-grams has score 0;
 repeated rows are judged one by one and alike; empty tables give empty results; without trusted labels the two
@@ -20,9 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WordCache, column_bytes, map_batches, mixed, with_columns
+from .common import WHITE, WordCache, column_bytes, map_batches, mixed, with_columns, written
+from .jaccard_join import _place, id_filter
 
+#: The least number of buckets, and the n-grams for which there is one.
 BUCKETS = 1 << 14
+GRAMS_A_BUCKET = 16
+#: Buckets of a chunk (as a power of two, 24 at most), and distinct n-grams of a block of texts.
+CHUNK_BITS = 19
+BLOCK = 1_000_000
+#: Parts of a score are whole numbers of this fraction.
+UNIT = 1 << 32
 THRESHOLD = -0.11
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -68,7 +80,7 @@ def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts [raw, target] by bucket over all documents; the result has a fixed size."""
+    """Counts [raw, target] by bucket over all documents, in one array: for a given, small number of buckets."""
     trusted = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     # always by a shuffle: the labels grow with the corpus, so there is no size at which broadcasting them is the plan
     marked = docs.select("doc_id", "text").hint("merge").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
@@ -103,23 +115,144 @@ def llr(h: np.ndarray, counts: np.ndarray) -> float:
     return float((k * np.log(target / raw)).sum() / len(h))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def n_grams(docs: DataFrame) -> int:
+    """Unigrams and bigrams of all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(max(0, 2 * len(text.split()) - 1) for batch in batches for text in column_bytes(batch, "text"))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return docs.select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def bucket_count(grams: int) -> int:
+    """The power of two that gives each bucket at most GRAMS_A_BUCKET n-grams."""
+    return max(BUCKETS, 1 << (-(-grams // GRAMS_A_BUCKET) - 1).bit_length()) if grams else BUCKETS
+
+
+GRAM_ROWS = "chunk int, keys binary, lengths binary, sizes binary, low binary, high binary, times binary"
+
+
+def gram_rows(docs: DataFrame, buckets: int, chunk_bits: int, scored: bool) -> DataFrame:
+    """GRAM_ROWS: a row per block of texts and chunk. If scored, with the texts' keys, lengths and n-grams in the chunk."""
+    names = [c.split()[0] for c in GRAM_ROWS.split(", ")]
+    packed = lambda x, kind: zlib.compress(x.astype(kind).tobytes(), 1)
+
+    def rows(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        grams, times = np.concatenate([u for _, u, _ in held]), np.concatenate([k for _, _, k in held])
+        keys, lengths = np.array([key for key, _, _ in held], np.int64), np.array([k.sum() for _, _, k in held])
+        doc = np.repeat(np.arange(len(held)), [len(u) for _, u, _ in held])
+        if not scored:
+            grams, at = np.unique(grams, return_inverse=True)
+            times, doc = np.bincount(at, times).astype(np.int64), np.zeros(len(grams), np.int64)
+        chunk = grams >> chunk_bits
+        order = np.argsort(chunk, kind="stable")
+        grams, times, doc, chunk = grams[order] & ((1 << chunk_bits) - 1), times[order], doc[order], chunk[order]
+        ends = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)]
+        out = []
+        for a, b in zip(ends, ends[1:]):
+            d, n = np.unique(doc[a:b], return_counts=True)
+            own = (keys[d].tobytes(), packed(lengths[d], np.uint32), packed(n, np.uint32)) if scored else (None, None, None)
+            out.append((int(chunk[a]), *own, (grams[a:b] & 0xFFFF).astype(np.uint16).tobytes(), packed(grams[a:b] >> 16, np.uint8), packed(times[a:b], np.uint32)))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), column_bytes(batch, "text")):
+                if words := text.split():
+                    held.append((key, *np.unique(ngram_buckets(words, buckets), return_counts=True)))
+                    size += len(held[-1][1])
+                    if size >= BLOCK:
+                        yield rows(held)
+                        held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return docs.select("key", "text").mapInArrow(run, GRAM_ROWS)
+
+
+def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that a label calls good; a filter of fixed size keeps most others out of the shuffle."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("rep")).distinct()
+    spread = docs.sparkSession.sparkContext.broadcast(id_filter(good))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _place(batch)
+            yield batch.filter(pa.array((spread.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    few = docs.select(F.col("doc_id").cast("long").alias("rep"), "key", "text").mapInArrow(some, "rep long, key long, text string")
+    return few.hint("merge").join(good, "rep").select("key", "text")
+
+
+def scores(docs: DataFrame, labels: DataFrame, grams: int, buckets: int, chunk_bits: int = CHUNK_BITS) -> DataFrame | None:
+    """key, llr of the documents (key, doc_id, text) that have n-grams; None without trusted text."""
+    target = written(gram_rows(trusted_rows(docs, labels), buckets, chunk_bits, False), "target")
+    unpacked = lambda x, kind: np.frombuffer(zlib.decompress(x), kind).astype(np.int64)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(int(unpacked(x, np.uint32).sum()) for batch in batches for x in batch.column("times").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    trusted = target.select("times").mapInArrow(total, "n long").agg(F.sum("n")).first()[0]
+    if not trusted:
+        return None
+
+    def add(part: pa.Table) -> pa.Table:
+        raw, good, width = np.zeros(1 << chunk_bits, np.int64), np.zeros(1 << chunk_bits, np.int64), part.num_rows
+        column = {c: part.column(c) for c in part.column_names}
+
+        def read(i: int) -> tuple[np.ndarray, np.ndarray]:
+            at = np.frombuffer(column["low"][i].as_py(), np.uint16).astype(np.int64) | unpacked(column["high"][i].as_py(), np.uint8) << 16
+            return at, unpacked(column["times"][i].as_py(), np.uint32)
+
+        own = [i for i in range(width) if column["keys"][i].is_valid]
+        for i in range(width):
+            np.add.at(raw if column["keys"][i].is_valid else good, *read(i))
+        keys, sums, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in own:
+            at, k = read(i)
+            n, length = unpacked(column["sizes"][i].as_py(), np.uint32), unpacked(column["lengths"][i].as_py(), np.uint32)
+            p = (np.maximum(raw[at] - k, 0) + 0.5) / (np.maximum(grams - np.repeat(length, n), 0) + 0.5 * buckets)
+            q = (good[at] + buckets * p) / (trusted + buckets)
+            first = np.cumsum(n) - n
+            keys.append(np.frombuffer(column["keys"][i].as_py(), np.int64))
+            sums.append(np.rint(np.add.reduceat(k * np.log(q / p), first) * UNIT).astype(np.int64))
+            counts.append(np.add.reduceat(k, first))
+        return pa.table({"key": np.concatenate(keys), "part": np.concatenate(sums), "n": np.concatenate(counts)})
+
+    rows = gram_rows(docs, buckets, chunk_bits, True).unionByName(target)
+    parts = rows.groupBy("chunk").applyInArrow(add, "key long, part long, n long")
+    # rows with one key bring their parts and n-grams alike, so their mean is that of one
+    return parts.groupBy("key").agg((F.sum("part") / F.lit(float(UNIT)) / F.sum("n")).alias("llr"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept."""
-    counts = fit(docs, labels, buckets)
+    grams = n_grams(docs)
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = scores(keyed.select(F.col("_key").alias("key"), "doc_id", "text"), labels, grams, buckets or bucket_count(grams), chunk_bits)
+    if found is None:
+        ready = docs.withColumn("_llr", F.lit(0.0))
+    else:
+        # by a shuffle at every size: the scores grow with the corpus
+        ready = keyed.hint("merge").join(found.toDF("_key", "_llr"), "_key", "left").select(*docs.columns, F.coalesce("_llr", F.lit(0.0)).alias("_llr"))
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, base, score = [], [], []
+        score = batch.column("_llr").to_numpy(zero_copy_only=False)
+        batch = batch.select([c for c in batch.schema.names if c != "_llr"])
+        n, base = [], []
         for text in column_bytes(batch, "text"):
             words = text.split()
             n.append(len(words))
             base.append(base_counts(text, words))
-            score.append(llr(ngram_buckets(words, buckets), counts))
         n_words, rest = np.array(n, np.int64), np.array(base, np.int64).reshape(-1, 4)
         failed = (n_words < MIN_WORDS) | (100 * rest[:, 3] > MAX_REPEAT_PERCENT * n_words)
         names = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        return with_columns(batch, {"n_words": pa.array(n_words)} | {c: pa.array(rest[:, i]) for i, c in enumerate(names)} | {"llr": pa.array(score, pa.float64()), "base_failed": pa.array(failed), "kept": pa.array(~failed & (np.array(score) >= threshold))})
+        return with_columns(batch, {"n_words": pa.array(n_words)} | {c: pa.array(rest[:, i]) for i, c in enumerate(names)} | {"llr": pa.array(score, pa.float64()), "base_failed": pa.array(failed), "kept": pa.array(~failed & (score >= threshold))})
 
     new = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, base_failed boolean, kept boolean"
     names = {x.split()[0] for x in new.split(", ")}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in names), new])
-    return map_batches(docs, judge, schema)
+    return map_batches(ready, judge, schema)
