@@ -97,12 +97,12 @@ def histogram(df: DataFrame, v: Column, edges: list[float]) -> DataFrame:
     return df.filter(v.isNotNull()).groupBy(bucket.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def even_subsample(df: DataFrame, frame: str, order: str, n: int = 8) -> DataFrame:
-    """At most n rows per frame, evenly over its order."""
+def even_subsample(df: DataFrame, frame: str, order: str, n: int = 8, min_years: float = 1.0) -> DataFrame:
+    """At most n rows per frame, evenly over its dates; all rows of a frame that spans under min_years."""
     w = Window.partitionBy(frame)
-    k = df.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("m", F.count("*").over(w))
+    k = df.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("m", F.count("*").over(w)).withColumn("years", F.datediff(F.max(order).over(w), F.min(order).over(w)) / 365.25)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.floor(j * (F.col("m") - 1) / (n - 1)))
-    return k.filter((F.col("m") <= n) | F.array_contains(wanted, F.col("i").cast("long"))).drop("i", "m")
+    return k.filter((F.col("m") <= n) | (F.col("years") < min_years) | F.array_contains(wanted, F.col("i").cast("long"))).drop("i", "m", "years")
 
 
 def prefix_search(addresses: DataFrame, queries: DataFrame, limit: int = 6, key_length: int = 2) -> DataFrame:

@@ -110,3 +110,13 @@ def test_response_surface_interpolates(spark):
     surface = spark.createDataFrame(rows, "i_x int, i_y int, p double")
     sites = spark.createDataFrame([(1, 0.5, 5.0), (2, 9.0, 10.0), (3, -1.0, 0.0)], "site_id long, x double, y double")
     assert {r.site_id: round(r.p, 6) for r in M.interp_trilinear(sites, surface, grids).collect()} == {1: 6.0, 2: 14.0, 3: 0.0}
+
+
+def test_even_subsample(spark):
+    days = spark.range(1, 31).select(F.lit("short").alias("f"), F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).alias("d"))
+    years = spark.range(30).select(F.lit("long").alias("f"), F.date_add(F.lit("2020-01-01"), (F.col("id") * 40).cast("int")).alias("d"))
+    few = spark.range(8).select(F.lit("few").alias("f"), F.date_add(F.lit("2020-01-01"), (F.col("id") * 90).cast("int")).alias("d"))
+    both = days.unionByName(years).unionByName(few)
+    count = lambda **how: {r.f: r["count"] for r in A.even_subsample(both, "f", "d", **how).groupBy("f").count().collect()}
+    assert count() == {"short": 30, "long": 8, "few": 8}
+    assert count(min_years=0.0) == {"short": 8, "long": 8, "few": 8}
