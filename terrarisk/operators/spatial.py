@@ -133,11 +133,26 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, value: s
 
 
 def self_nearest(points: DataFrame, key: str, cell: float, metres_per_degree: float = 111000.0) -> DataFrame:
-    """Distance to the nearest other point within a 3 by 3 block, in degrees scaled by the cosine of the latitude."""
-    other = in_cells(points.select(key, "lat", "lon"), cell).withColumnsRenamed({key: "o_key", "lat": "o_lat", "lon": "o_lon"})
-    own = around(points.select(F.col(key).alias("site_id"), "lat", "lon"), cell)
-    d = F.sqrt((F.col("lat") - F.col("o_lat")) ** 2 + (F.col("lon") - F.col("o_lon")) ** 2) * metres_per_degree * F.cos(F.radians("lat"))
-    return own.join(other, ["ci", "cj"]).filter("site_id <> o_key").groupBy("site_id").agg(F.min(d).alias("distance_m")).withColumnRenamed("site_id", key)
+    """Distance to the nearest other point, in degrees scaled by the cosine of the latitude; none for a point alone.
+
+    As in nearest_centroid, a distance in the 3 by 3 block is certain if it is no more than the cell; other points go on
+    with cells 16 times as wide, the last of which span everything.
+    """
+    found, left = None, points.select(F.col(key).alias("site_id"), "lat", "lon")
+    everything = points.select(F.col(key).alias("o_key"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    d2 = (F.col("lat") - F.col("o_lat")) ** 2 + (F.col("lon") - F.col("o_lon")) ** 2
+    while True:
+        other = everything.withColumn("ci", G.tile_index(F.col("o_lat"), cell)).withColumn("cj", G.tile_index(F.col("o_lon"), cell))
+        met = around(left, cell).join(other, ["ci", "cj"]).filter("site_id <> o_key")
+        sure = met.groupBy("site_id", "lat").agg(F.sqrt(F.min(d2)).alias("degrees"))
+        if cell < 360:
+            sure = sure.filter(F.col("degrees") <= cell)
+        metres = sure.select(F.col("site_id").alias(key), (F.col("degrees") * metres_per_degree * F.cos(F.radians("lat"))).alias("distance_m"))
+        found = metres if found is None else found.unionByName(metres)
+        if cell >= 360:
+            return found
+        left = left.join(sure.select("site_id"), "site_id", "left_anti")
+        cell *= 16
 
 
 def nearest_per_name(pairs: DataFrame, name: str, seq: str) -> DataFrame:

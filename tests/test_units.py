@@ -1,5 +1,6 @@
 """Hand-computed values and edge cases."""
 
+import math
 import struct
 
 import pytest
@@ -120,3 +121,14 @@ def test_even_subsample(spark):
     count = lambda **how: {r.f: r["count"] for r in A.even_subsample(both, "f", "d", **how).groupBy("f").count().collect()}
     assert count() == {"short": 30, "long": 8, "few": 8}
     assert count(min_years=0.0) == {"short": 8, "long": 8, "few": 8}
+
+
+def test_self_nearest(spark):
+    """Points alone in their block, and one whose nearest lies beyond the cell of a farther one."""
+    points = [(1, 34.0, -118.0), (2, 34.0, -118.01), (3, 41.0, -124.0), (4, -33.0, 151.0), (5, 36.99, -120.01), (6, 35.01, -121.99), (7, 36.99, -117.99), (8, 34.0, -118.0)]
+    want = {a: min(((y - v) ** 2 + (x - u) ** 2) ** 0.5 for b, v, u in points if b != a) * 111000 * math.cos(math.radians(y)) for a, y, x in points}
+    df = spark.createDataFrame(points, "k long, lat double, lon double")
+    for cell in (0.005, 2.0):
+        got = {r.k: r.distance_m for r in S.self_nearest(df, "k", cell).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * max(1, want[k]) for k in got)
+    assert S.self_nearest(df.limit(1), "k", 2.0).count() == 0
