@@ -9,14 +9,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters, which bytes.split() and bytes.strip() use.
 WHITE = b" \t\n\x0b\x0c\r"
 #: Maps A-Z to a-z and leaves every other byte.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: The most words that a worker keeps in one of its caches.
-CACHE_WORDS = 400_000
+#: The most words in a generation of a worker's cache, and the longest that it keeps.
+CACHE_WORDS = 100_000
+LONG_KEY = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share.
 
-    The folder is ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary folder and a
-    cluster the warehouse, which is shared as well.
+    The folder is ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary folder; a cluster has
+    none that is surely shared, and is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + os.path.abspath(base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -42,10 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: later steps don't compute it again."""
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As written, with the path, for remove()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def met_in_buckets(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, buckets: int = 1 << 20) -> DataFrame:
+    """The rows of df whose key falls into a bucket of a wanted key: all that match, and few others.
+
+    What is broadcast is a table of at most `buckets` numbers, whatever the tables' sizes; the join that follows this
+    filter then shuffles few rows.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(buckets)).cast("int")
+    there = wanted.select(place(wanted_key).alias("_bucket")).distinct()
+    return df.withColumn("_bucket", place(key)).join(F.broadcast(there), "_bucket", "leftsemi").drop("_bucket")
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -87,16 +104,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordCache(dict):
-    """word -> value, computed once by a worker; emptied between texts when it is full."""
+class Cache(dict):
+    """key -> make(key), computed once by a worker while it is kept.
+
+    A worker keeps the caches of one operator at a time: the first use of another operator's empties them. A full cache
+    becomes the older of two generations; what is still used moves to the new one. Long keys aren't kept, so the bytes
+    are bounded by `size`.
+    """
+
+    _of = ""
+    _in_use: list[Cache] = []
 
-    def __init__(self, make: Callable):
-        self.make = make
+    def __init__(self, make: Callable, of: str, size: int = CACHE_WORDS):
+        self.make, self.of, self.size, self.older = make, of, size, {}
 
-    def __missing__(self, word):
-        value = self[word] = self.make(word)
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG_KEY:
+            self[key] = value
         return value
 
-    def trim(self) -> None:
-        if len(self) > CACHE_WORDS:
+    def empty(self) -> None:
+        self.clear()
+        self.older = {}
+
+    def ready(self) -> None:
+        """To be called before each text or block of texts."""
+        if Cache._of != self.of:
+            for c in Cache._in_use:
+                c.empty()
+            Cache._of, Cache._in_use = self.of, []
+        if not any(c is self for c in Cache._in_use):
+            Cache._in_use.append(self)
+        if len(self) > self.size:
+            self.older = dict(self)
             self.clear()

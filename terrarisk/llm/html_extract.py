@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WordCache, map_batches, with_columns
+from .common import Cache, map_batches, with_columns
 
 PATH_DIM, WORD_DIM, EXTRA = 96, 16, 6
 HIDDEN = 20
@@ -52,7 +52,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-_node = WordCache(lambda k: _names(*k))
+_node = Cache(lambda k: _names(*k), __name__)
 
 
 def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float]]:
@@ -78,7 +78,7 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float]]:
             if stack[k][0] in stop:
                 return
 
-    _node.trim()
+    _node.ready()
     in_link = 0
     while m := _TAG.search(page, at):
         if m.start() > at:
@@ -138,12 +138,12 @@ def path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
     return np.clip(out, -2, 2)
 
 
-_word = WordCache(lambda w: zlib.crc32(w.encode()) % WORD_DIM)
+_word = Cache(lambda w: zlib.crc32(w.encode()) % WORD_DIM, __name__)
 
 
 def block_vectors(found: list) -> np.ndarray:
     out = np.zeros((len(found), PATH_DIM + WORD_DIM + EXTRA), np.float32)
-    _word.trim()
+    _word.ready()
     for i, (path, text, linked) in enumerate(found):
         words = text.split()
         out[i, :PATH_DIM] = path_vector(path)

@@ -6,19 +6,24 @@ Two sets that overlap in alpha shingles share at least l of the first n - alpha
 Each set picks its l by the estimated cost of its candidates (longer lists scanned against fewer sets verified), and a
 pair must share l = min(l_a, l_b) shingles of these prefixes at positions that still allow the overlap.
 
-Candidates come in two rounds, so that a group of near copies isn't expanded into all its pairs: first every set with
-one set of each of its prefix shingles (a star, linear; another set for each shingle), verified and joined into components; then, for
-shingles whose sets still lie in several components, the sets outside the largest of them with the sets of other
-components. Pairs inside one component need no link. A bound from 512-bit parity signatures drops most pairs that
-can't reach the threshold; the rest are compared on their whole sets, in cells of one set and at most `CELL` others.
+Pairs inside one component need no link, so candidates come in rounds, and components are joined between them. A star
+round takes every set with one set, the pivot, of each of its prefix shingles (another pivot for each shingle and
+round), which is linear in the prefixes. Star rounds go on while they join components and the shingles that still span
+several would make more than `FANOUT` pairs a set. What is left then is taken whole: for each such shingle the sets
+outside the largest component with the sets of other components, kept if they share as many shingles as their level
+asks. A bound from parity signatures drops most pairs that can't reach the threshold; of the others each set's nearest
+is compared first, on the whole sets, and then those that still lie in two components. Sets meet in cells of one set
+and at most `CELL` others.
 
 Defined results: null texts and texts without words have no shingles, are alone and keep their own doc_id; fewer than
-four words are one shingle; repeated rows are members of one class; null doc_ids never name a component unless no
-other member has an id; an empty table gives an empty result.
+four words are one shingle; repeated rows are members of one class; rows with one doc_id and different texts are judged
+one by one; null doc_ids are rows like others, but never name a component unless no other member has an id; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordCache, column_bytes, mixed, shared_dir, written
+from .common import LOWER, Cache, column_bytes, met_in_buckets, mixed, remove, shared_dir, stored
 from .components import components
 
 WIDTH = 4
@@ -37,15 +42,20 @@ PERCENT = 85
 SKETCH = 1 << 21
 CHUNK = 1 << 16
 MAX_LEVEL = 6
-SIGNATURE = 512
+#: Bits of a signature: half the set's size as a power of two, within these.
+SIGNATURES = 128, 16384
 CELL = 256
+#: Pairs a set at which open shingles are taken whole, and the most star rounds before that.
+FANOUT = 2
+ROUNDS = 8
 BLOCK_WORDS = 200_000
-#: Bits of the filter that keeps documents which no pair asks for out of a shuffle.
-FILTER = 1 << 24
+#: Classes that a task remembers (in two generations) so as to read copies once; what it forgets is merged after the shuffle.
+SEEN = 100_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
-_words = WordCache(xxhash.xxh64_intdigest)
+_log = logging.getLogger(__name__)
+_words = Cache(xxhash.xxh64_intdigest, __name__)
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -57,7 +67,7 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]
             block.append(texts[at].translate(LOWER).split())
             n += len(block[-1])
             at += 1
-        _words.trim()
+        _words.ready()
         h = mixed(np.fromiter((x for words in block for x in map(_words.__getitem__, words)), np.uint64, n))
         long = np.full(n, width, np.uint64)
         for k in range(width):
@@ -81,38 +91,75 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]
             start += size
 
 
-def key_of(s: np.ndarray) -> int:
-    """The class of a set: a 64-bit hash of the sorted set."""
-    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+def key_of(s: np.ndarray, collided: frozenset[int] = frozenset()) -> int:
+    """The class of a set: a 64-bit hash of the sorted set; another one where different sets have the same."""
+    key = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+    return check_of(s) if key in collided else key
+
+
+def check_of(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63)
 
 
 def signature(s: np.ndarray) -> bytes:
-    bits = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=SIGNATURE) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parities of the shingles by their highest bits; a longer one folds to a shorter one by exclusive or of its halves."""
+    bits = min(max(SIGNATURES[0], 1 << (len(s) // 2 - 1).bit_length()), SIGNATURES[1])
+    place = (s & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Places at which signatures differ, each pair at the length of its shorter one."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b)]).reshape(-1, 2)
+    for size in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == size).all(1))
+        sides = [np.frombuffer(b"".join(side[i] for i in at), np.uint64).reshape(len(at), -1) for side in (a, b)]
+        least = min(x.shape[1] for x in sides)
+        x, y = (np.bitwise_xor.reduce(x.reshape(len(at), -1, least), 1) for x in sides)
+        out[at] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
+class Seen:
+    """Whether a key came before, as far as two generations of keys remember."""
+
+    def __init__(self) -> None:
+        self.now: set[int] = set()
+        self.older: set[int] = set()
+
+    def __call__(self, key: int) -> bool:
+        known = key in self.now or key in self.older
+        if len(self.now) >= SEEN:
+            self.now, self.older = set(), self.now
+        self.now.add(key)
+        return known
 
 
 def read_sets(docs: DataFrame, width: int, path: str) -> np.ndarray:
-    """Writes (doc_id, n, key, sig) of every row to path/sets, and returns the sketch (of fixed size)."""
+    """Writes (doc_id, ident, twin, n, key, other, sig) of every row to path/sets, and returns the sketch (of fixed size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, seen = np.zeros(SKETCH, np.uint32), set()
-        names = ["doc_id", "n", "key", "sig", "chunk", "counts"]
+        sketch, seen = np.zeros(SKETCH, np.uint32), Seen()
+        kinds = {"doc_id": pa.int64(), "ident": pa.int64(), "twin": pa.int64(), "n": pa.int64(), "key": pa.int64(), "other": pa.int64(), "sig": pa.binary(), "chunk": pa.int32(), "counts": pa.binary()}
+
+        def row(columns: dict, size: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], names=list(kinds))
+
         for batch in batches:
-            n, keys, sigs, new = [], [], [], []
+            n, keys, others, sigs, new = [], [], [], [], []
             for s in shingle_sets(column_bytes(batch, "text"), width):
                 n.append(len(s))
                 keys.append(key_of(s) if len(s) else None)
+                others.append(check_of(s) if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
-                if len(s) and keys[-1] not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(keys[-1])
+                if len(s) and not seen(keys[-1]):
                     new.append(s)
             if new:
                 sketch += np.bincount((np.concatenate(new) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
-        parts = [(k, zlib.compress(sketch[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1)) for k in range(SKETCH // CHUNK)] if seen else []
-        m = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names)
+            yield row({"doc_id": batch.column("doc_id"), "ident": batch.column("ident"), "twin": batch.column("twin"), "n": n, "key": keys, "other": others, "sig": sigs}, len(n))
+        parts = [(k, zlib.compress(sketch[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1)) for k in range(SKETCH // CHUNK)] if seen.now else []
+        yield row({"chunk": [k for k, _ in parts], "counts": [c for _, c in parts]}, len(parts))
 
     def total(part: pa.Table) -> pa.Table:
         out = np.zeros(CHUNK, np.uint64)
@@ -120,7 +167,7 @@ def read_sets(docs: DataFrame, width: int, path: str) -> np.ndarray:
             out += np.frombuffer(zlib.decompress(c), np.uint32)
         return pa.table({"chunk": [part.column("chunk")[0].as_py()], "counts": [zlib.compress(out.astype(np.float32).tobytes(), 1)]}, schema=pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
 
-    docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, sig binary, chunk int, counts binary").write.parquet(f"{path}/sets")
+    docs.mapInArrow(run, "doc_id long, ident long, twin long, n long, key long, other long, sig binary, chunk int, counts binary").write.parquet(f"{path}/sets")
     rows = docs.sparkSession.read.parquet(f"{path}/sets").filter("chunk is not null").groupBy("chunk").applyInArrow(total, "chunk int, counts binary").collect()  # of fixed size
     sketch = np.zeros(SKETCH, np.float32)
     for chunk, counts in rows:
@@ -147,19 +194,17 @@ def prefix(s: np.ndarray, classes: np.ndarray, percent: int, max_level: int) ->
     return s[order[: first + level - 1]], level
 
 
-def shared_prefixes(docs: DataFrame, classes: np.ndarray, width: int, percent: int, max_level: int) -> DataFrame:
+def shared_prefixes(docs: DataFrame, classes: np.ndarray, collided: frozenset[int], width: int, percent: int, max_level: int) -> DataFrame:
     """Prefix shingles of at least two classes: token, key, n, pos, level, and the same of the token's pivot."""
     spread = docs.sparkSession.sparkContext.broadcast(classes)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
             rows = []
             for s in shingle_sets(column_bytes(batch, "text"), width):
-                if not len(s) or (key := key_of(s)) in seen:
+                if not len(s) or seen(key := key_of(s, collided)):
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(key)
                 got, level = prefix(s, spread.value, percent, max_level)
                 rows.append((got, key, len(s), level))
             if rows:
@@ -221,71 +266,61 @@ def may_link(a: str, b: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {a}pos <= {n} - {alpha} + {level} and {b}pos <= {m} - {alpha} + {level}"
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for the hash of each id, in an array of fixed size."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(FILTER, bool)
-        for batch in batches:
-            out[_place(batch)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(out).tobytes(), 1)])], names=["bits"])
-
-    out = np.zeros(FILTER // 8, np.uint8)
-    for (part,) in ids.select("rep").coalesce(16).mapInArrow(bits, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(part), np.uint8)
-    return out
-
-
-def _place(batch: pa.RecordBatch) -> np.ndarray:
-    ids = batch.column("rep").fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
-    return (mixed(ids) & np.uint64(FILTER - 1)).astype(np.int64)
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """key, shingles of the wanted classes (key, rep), from the text of their representatives."""
-    spread = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))  # FILTER / 8 bytes
+def verify(pairs: DataFrame, classes: DataFrame, part: DataFrame | None, docs: DataFrame, width: int, percent: int, collided: frozenset[int]) -> DataFrame | None:
+    """Compares pairs (a, b) and joins those over the threshold to the components (node, root); returns them.
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _place(batch)
-            yield batch.filter(pa.array((spread.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, s.tobytes()) for k, s in zip(batch.column("key").to_pylist(), shingle_sets(column_bytes(batch, "text"), width)) if len(s) and key_of(s) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "shingles"])
-
-    few = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(some, "rep long, text string")
-    met = few.alias("d").join(wanted.hint("merge").alias("k"), F.col("d.rep").eqNullSafe(F.col("k.rep"))).select("key", "text")
-    return written(met.mapInArrow(sets, "key long, shingles binary"), "shingles")
-
-
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold. The signatures' bound comes first; only sets still in question are read."""
+    The signatures' bound comes first. Each set's nearest candidate is compared before the rest, most of which then lie
+    in one component and need no comparison.
+    """
     sig = classes.select("key", "n", "sig")
     # both sides of these joins grow with the corpus, so they are shuffled at every size
     both = pairs.hint("merge").join(sig.toDF("a", "n_a", "sig_a"), "a").hint("merge").join(sig.toDF("b", "n_b", "sig_b"), "b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+            apart = distances(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist())
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            overlap = (total - np.bitwise_count(x ^ y).sum(1)) // 2
-            at = pa.array(np.flatnonzero(100 * overlap >= percent * (total - overlap)))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
-
-    near = written(both.mapInArrow(bound, "a long, b long"), "near")
+            overlap = (total - apart) // 2
+            at = np.flatnonzero(100 * overlap >= percent * (total - overlap))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at)), pa.array(apart[at] / total[at], pa.float64())], names=["a", "b", "d"])
+
+    near, near_path = stored(both.mapInArrow(bound, "a long, b long, d double"), "near")
+    order = F.struct("d", F.xxhash64("a", "b"))
+    nearest = near.select(F.explode(F.array("a", "b")).alias("key"), "a", "b", order.alias("o")).groupBy("key").agg(F.min_by(F.struct("a", "b"), "o").alias("p"))
+    part = _joined(part, compare(nearest.select("p.*").distinct(), classes, docs, width, percent, collided))
+    rest = near.select("a", "b")
+    if part is not None:
+        apart = rest.hint("merge").join(part.toDF("a", "ra"), "a", "left").hint("merge").join(part.toDF("b", "rb"), "b", "left")
+        rest = apart.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+    part = _joined(part, compare(rest, classes, docs, width, percent, collided))
+    remove(docs.sparkSession, near_path)
+    return part
+
+
+def _joined(part: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    if links.isEmpty():
+        return part
+    return components(links if part is None else part.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
+def compare(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, collided: frozenset[int]) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold; sets are made anew from the texts of their representatives."""
     # the end with more pairs is the centre of its cells
     degree = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("d"))
     ranked = near.hint("merge").join(degree.toDF("a", "d_a"), "a").hint("merge").join(degree.toDF("b", "d_b"), "b")
     first = F.col("d_a") >= F.col("d_b")
     stars = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("key"), F.greatest("d_a", "d_b").alias("d"))
     stars = stars.withColumn("cell", F.pmod(F.xxhash64("key"), F.ceil(F.col("d") / CELL)))
-    rows = stars.select("centre", "cell", "key").unionByName(stars.select("centre", "cell", F.col("centre").alias("key")).distinct())
+    rows, path = stored(stars.select("centre", "cell", "key").unionByName(stars.select("centre", "cell", F.col("centre").alias("key")).distinct()), "cells")
 
-    def compare(part: pa.Table) -> pa.Table:
+    wanted = rows.select("key").distinct().hint("merge").join(classes.select("key", "ident"), "key")
+    # rows without an id and with one text are taken once
+    few = met_in_buckets(docs.select("ident", "twin", "text"), F.col("ident"), wanted, F.col("ident")).dropDuplicates(["ident", "twin"])
+    texts = few.hint("merge").join(wanted, "ident").select("key", "text")
+
+    def meet(part: pa.Table) -> pa.Table:
         centre = part.column("centre")[0].as_py()
-        own = {k: np.frombuffer(s, np.uint64) for k, s in zip(part.column("key").to_pylist(), part.column("shingles").to_pylist())}
+        own = {k: s for k, s in zip(part.column("key").to_pylist(), shingle_sets(column_bytes(part, "text"), width)) if len(s) and key_of(s, collided) == k}
         c, out = own.pop(centre), []
         for k, s in own.items():
             common = len(np.intersect1d(c, s, assume_unique=True))
@@ -293,34 +328,99 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
                 out.append(k)
         return pa.table({"a": pa.array([centre] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
-    wanted = rows.select("key").distinct().join(classes.select("key", "rep"), "key")
-    return written(rows.hint("merge").join(sets_of(docs, wanted, width), "key").groupBy("centre", "cell").applyInArrow(compare, "a long, b long"), "links")
+    links, _ = stored(rows.hint("merge").join(texts, "key").groupBy("centre", "cell").applyInArrow(meet, "a long, b long"), "links")
+    remove(docs.sparkSession, path)
+    return links
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_level: int = MAX_LEVEL) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id."""
+def _rooted(shared: DataFrame, part: DataFrame | None) -> DataFrame:
+    own = shared.select("token", "key", "n", "pos", "level")
+    if part is None:
+        return own.withColumn("root", F.col("key"))
+    return own.hint("merge").join(part.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, ident, twin, text: two hashes that know a row by its id and text."""
+    doc = F.col("doc_id").cast("long")
+    return docs.select(doc.alias("doc_id"), F.xxhash64(doc, "text").alias("ident"), F.xxhash64("text", F.lit(1)).alias("twin"), "text")
+
+
+def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_level: int = MAX_LEVEL) -> DataFrame:
+    """A row per row of docs: doc_id, ident, twin, n_shingles, root (of its component; null without words), component_id."""
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+    docs = marked(docs)
     sketch = read_sets(docs, width, path)
-    members = spark.read.parquet(f"{path}/sets").filter("chunk is null").select("doc_id", "n", "key", "sig")
-    classes = written(members.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    shared = written(shared_prefixes(docs, rarity(sketch), width, percent, max_level), "shared")
-
-    star = shared.filter(f"key <> p_key and {may_link('', 'p_', percent)}").select(F.col("key").alias("a"), F.col("p_key").alias("b")).distinct()
-    links = verify(star, classes, docs, width, percent)
-    part = components(links)
-
-    own = shared.select("token", "key", "n", "pos", "level").hint("merge").join(part.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    sized = own.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count("*").alias("roots"))
-    open_rows = written(own.hint("merge").join(sized.filter("roots > 1").select("token", "largest"), "token"), "open")
-    a = open_rows.filter("root <> largest").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "level", "root")])
-    b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "level", "root", "largest")])
-    met = a.join(b, "token").filter(f"a_root <> b_root and (b_root = b_largest or a_key < b_key) and {may_link('a_', 'b_', percent)}")
-    pairs = met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), F.least("a_level", "b_level").alias("level")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("level").alias("level")).filter("c >= level").select("a", "b")
-    rest = verify(pairs, classes, docs, width, percent)
-
-    final = part if rest.isEmpty() else components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
-    named = classes.select("key", "rep").join(final.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_key = named.join(names, "root").select("key", "component_id")
-    return members.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    members = spark.read.parquet(f"{path}/sets").filter("chunk is null").select("doc_id", "ident", "twin", "n", "key", "other", "sig")
+    rows = members.filter("key is not null")
+
+    def classed(rows: DataFrame) -> tuple[DataFrame, str]:
+        return stored(rows.groupBy("key").agg(F.min("ident").alias("ident"), F.min("doc_id").alias("first_id"), F.min("other").alias("lo"), F.max("other").alias("hi"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+
+    classes, classes_path = classed(rows)
+    # different sets with one 64-bit hash: a handful in ten thousand million sets
+    collided = frozenset(r.key for r in classes.filter("lo <> hi").select("key").collect())
+    if collided:
+        again = F.when(F.col("key").isin(list(collided)), F.col("other")).otherwise(F.col("key"))
+        members, rows = members.withColumn("key", again), rows.withColumn("key", again)
+        classes, classes_path = classed(rows)
+    shared, shared_path = stored(shared_prefixes(docs, rarity(sketch), collided, width, percent, max_level), "shared")
+
+    star = shared.filter(f"key <> p_key and {may_link('', 'p_', percent)}").select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct()
+    part = verify(star, classes, None, docs, width, percent, collided)
+    before = None
+    for number in range(1, ROUNDS + 1):
+        # a row per shingle that spans several components, with the pivot of the round; aggregated before it is shuffled
+        pivot = F.min_by(F.struct("key", "n", "pos", "level", "root"), F.xxhash64("token", "key", F.lit(number)))
+        sized = _rooted(shared, part).groupBy("token", "root").agg(F.count("*").alias("m"), pivot.alias("p"))
+        tokens = sized.groupBy("token").agg(F.sum("m").alias("all"), F.max_by("root", F.struct("m", "root")).alias("largest"), F.max("m").alias("most"), F.count("*").alias("roots"), F.min_by("p", F.xxhash64(F.lit(number), "p.key", "token")).alias("p")).filter("roots > 1")
+        tokens, tokens_path = stored(tokens, "tokens")
+        left = tokens.agg(F.sum(F.expr("(all - most) * all")).alias("pairs"), F.sum("all").alias("sets")).first()
+        _log.info("round %d: %s sets of open shingles, %s pairs if taken whole", number, left.sets, left.pairs)
+        if not left.sets:
+            break
+        open_rows, open_path = stored(_rooted(shared, part).hint("merge").join(tokens, "token"), "open")
+        # few pairs, or a round that has joined little: the rest is taken whole
+        whole = left.pairs <= FANOUT * left.sets or number == ROUNDS or (before is not None and left.pairs > 0.8 * before)
+        if whole:
+            a = open_rows.filter("root <> largest").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "level", "root")])
+            b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "level", "root", "largest")])
+            met = a.hint("merge").join(b, "token").filter(f"a_root <> b_root and (b_root = b_largest or a_key < b_key) and {may_link('a_', 'b_', percent)}")
+            pairs = met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), F.least("a_level", "b_level").alias("level")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("level").alias("level")).filter("c >= level").select("a", "b")
+        else:
+            met = open_rows.select("key", "n", "pos", "level", "root", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("key", "n", "pos", "level", "root")])
+            pairs = met.filter(f"root <> p_root and {may_link('', 'p_', percent)}").select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct()
+        part = verify(pairs, classes, part, docs, width, percent, collided)
+        before = left.pairs
+        for p in (tokens_path, open_path):
+            remove(spark, p)
+        if whole:
+            break
+    remove(spark, shared_path)
+
+    named = classes.select("key", "first_id")
+    named = named.withColumn("root", F.col("key")) if part is None else named.hint("merge").join(part.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_key = named.hint("merge").join(names, "root").select("key", "root", "component_id")
+    # copies are many rows of one key, so the classes are the side that a split of that key repeats
+    return members.hint("merge").join(by_key, "key", "left").select("doc_id", "ident", "twin", F.col("n").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
 
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_level: int = MAX_LEVEL) -> DataFrame:
+    """A row per row of docs: doc_id, n_shingles, component_id."""
+    return grouped(docs, width, percent, max_level).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Of each component one row of docs, whole; rows without words are no one's copies and all stay.
+
+    The row with the smallest doc_id stays (null ones come last), among rows with one doc_id and linked texts any one.
+    """
+    found = grouped(docs, width, percent).filter("root is not null")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "ident", "twin")).alias("r")).select(F.col("r.ident").alias("_ident"), F.col("r.twin").alias("_twin"))
+    doc = F.col("doc_id").cast("long")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(has_words).withColumns({"_ident": F.xxhash64(doc, "text"), "_twin": F.xxhash64("text", F.lit(1))})
+    # equal rows are merged in each task before the shuffle, which is needed at every size
+    kept = keyed.dropDuplicates(["_ident", "_twin"]).hint("merge").join(first, ["_ident", "_twin"])
+    return kept.select(docs.columns).unionByName(docs.filter(~has_words))

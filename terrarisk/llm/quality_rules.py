@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WordCache, column_bytes, map_batches, mixed, with_columns, written
+from .common import WHITE, Cache, column_bytes, map_batches, mixed, with_columns, written
 from .jaccard_join import _place, id_filter
 
 #: The least number of buckets, and the n-grams for which there is one.
@@ -40,12 +40,12 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
-_hashes = WordCache(zlib.crc32)
+_hashes = Cache(zlib.crc32, __name__)
 
 
 def ngram_buckets(words: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of the unigrams, then of the bigrams."""
-    _hashes.trim()
+    _hashes.ready()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     grams = np.concatenate([h + np.uint64(1), (h[:-1] << np.uint64(32)) ^ (h[1:] + np.uint64(2))])
     return (mixed(grams) & np.uint64(buckets - 1)).astype(np.int64)

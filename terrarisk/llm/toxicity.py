@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordCache, column_bytes, map_batches, with_columns
+from .common import LOWER, Cache, column_bytes, map_batches, with_columns
 
 FOLDS = 5
 MAX_DOCS = 2500
@@ -81,7 +81,7 @@ def train_dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes
     return base, base + _train(TOXIC_BYTES, [s for s in samples if len(s) > 8], k=20, d=6, f=16)
 
 
-class Savings(WordCache):
+class Savings(Cache):
     """window -> bytes that the toxic dictionary saves."""
 
     def __init__(self, model: Model):
@@ -110,7 +110,7 @@ class Savings(WordCache):
 
 def features(text: bytes, savings: Savings) -> np.ndarray:
     """Largest savings, and windows at each threshold as logarithms."""
-    savings.trim()
+    savings.ready()
     w = windows(text)
     d = np.sort(np.fromiter(map(savings.__getitem__, w), np.int64, len(w)))[::-1] if w else np.zeros(1, np.int64)
     at = np.searchsorted(-d, [-t for t in THRESHOLDS], "right")

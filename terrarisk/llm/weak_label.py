@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, column_bytes, map_batches, with_columns, written
+from .common import Cache, column_bytes, map_batches, with_columns, written
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "capitals", "repeats", "lines", "word_length", "sentences", "short_words", "bare_marks")
@@ -100,12 +100,12 @@ def _shape(word: bytes) -> bytes:
     return re.sub(rb"(.)\1+", rb"\1\1", re.sub(rb"[0-9]", b"9", re.sub(rb"[A-Z]", b"X", re.sub(rb"[a-z\x80-\xff]", b"x", word))))[:12]
 
 
-_features = WordCache(lambda w: (zlib.crc32(w) % BUCKETS, zlib.crc32(b"shape " + _shape(w)) % BUCKETS))
+_features = Cache(lambda w: (zlib.crc32(w) % BUCKETS, zlib.crc32(b"shape " + _shape(w)) % BUCKETS), __name__)
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words, word shapes, shape pairs and repeats, as (buckets, weights); the weights have length 1."""
-    _features.trim()
+    _features.ready()
     pairs = np.array(list(map(_features.__getitem__, words)), np.int64).reshape(-1, 2)
     two = (pairs[:-1, 1] * 31 + pairs[1:, 1] * 17 + 7) % BUCKETS
     same = np.flatnonzero(pairs[:-1, 0] == pairs[1:, 0]) * 0 + 5
