@@ -54,15 +54,15 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def met_in_buckets(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, buckets: int = 1 << 20) -> DataFrame:
-    """The rows of df whose key falls into a bucket of a wanted key: all that match, and few others.
+def met_in_buckets(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, buckets: int = 1 << 20, how: str = "leftsemi") -> DataFrame:
+    """The rows of df whose key falls into a bucket of a wanted key: all that match, and few others ("leftanti": the rest).
 
     What is broadcast is a table of at most `buckets` numbers, whatever the tables' sizes; the join that follows this
     filter then shuffles few rows.
     """
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(buckets)).cast("int")
     there = wanted.select(place(wanted_key).alias("_bucket")).distinct()
-    return df.withColumn("_bucket", place(key)).join(F.broadcast(there), "_bucket", "leftsemi").drop("_bucket")
+    return df.withColumn("_bucket", place(key)).join(F.broadcast(there), "_bucket", how).drop("_bucket")
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -8,7 +8,8 @@ pair must share l = min(l_a, l_b) shingles of these prefixes at positions that s
 
 Pairs inside one component need no link, so candidates come in rounds, and components are joined between them. A star
 round takes every set with one set, the pivot, of each of its prefix shingles (another pivot for each shingle and
-round), which is linear in the prefixes. Star rounds go on while they join components and the shingles that still span
+round), which is linear in the prefixes. Shingles that no other prefix has lower what a pair can share, so that edited
+copies too far from all others meet none of them. Star rounds go on while they join components and the shingles that still span
 several would make more than `FANOUT` pairs a set. What is left then is taken whole: for each such shingle the sets
 outside the largest component with the sets of other components, kept if they share as many shingles as their level
 asks. A bound from parity signatures drops most pairs that can't reach the threshold; of the others each set's nearest
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Cache, column_bytes, met_in_buckets, mixed, remove, shared_dir, stored
@@ -186,7 +187,7 @@ def prefix(s: np.ndarray, classes: np.ndarray, percent: int, max_level: int) ->
     c = classes[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
     n = len(s)
     first = n - -(-percent * n // 100) + 1
-    order = np.argsort(c.astype(np.uint64) << np.uint64(58) | s >> np.uint64(6))[: min(n, first + max_level - 1)]
+    order = np.argsort(c, kind="stable")[: min(n, first + max_level - 1)]  # s is sorted: ties go by the hash
     found = np.cumsum(2.0 ** c[order] - 1)
     levels = np.arange(1, len(order) - first + 2)
     cost = found[first - 1 :] * (1 + (4 + n / 8) / levels) + 2 * levels
@@ -195,7 +196,12 @@ def prefix(s: np.ndarray, classes: np.ndarray, percent: int, max_level: int) ->
 
 
 def shared_prefixes(docs: DataFrame, classes: np.ndarray, collided: frozenset[int], width: int, percent: int, max_level: int) -> DataFrame:
-    """Prefix shingles of at least two classes: token, key, n, pos, level, and the same of the token's pivot."""
+    """Prefix shingles of at least two classes: token, key, n, pos, rank, level.
+
+    pos is the shingle's place in the prefix, rank its place among those that another prefix has as well. A shingle that
+    no other prefix has, before one that two sets share, isn't in both: both prefixes would hold it. So rank counts what
+    two sets can share up to there.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(classes)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,53 +223,50 @@ def shared_prefixes(docs: DataFrame, classes: np.ndarray, collided: frozenset[in
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by token; a token with one class goes, and repeated rows too."""
-        held: pa.Table | None = None
-        head: list[int] | None = None  # the first row of the token at hand
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        held: list[np.ndarray] | None = None  # the first row of a token that has one class so far
+        open_token: tuple[int, int] | None = None  # a token that was found to have two, and its last key
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            token, key = t.column("token").to_numpy(), t.column("key").to_numpy()
-            # the last token may go on in the next batch: its first row is kept back if that is all there is of it
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-            start = np.ones(len(token), bool)
+            arrays = [batch.column(c).to_numpy() for c in own]
+            if held is not None:
+                arrays = [np.concatenate([h, x]) for h, x in zip(held, arrays)]
+            token, key = arrays[:2]
+            new, start = np.ones(len(token), bool), np.ones(len(token), bool)
             start[1:] = token[1:] != token[:-1]
+            new[1:] = start[1:] | (key[1:] != key[:-1])
             lead = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
-            last = lead[-1]
             many = np.zeros(len(token), bool)
             many[lead[new & ~start]] = True
+            if open_token is not None and token[0] == open_token[0]:
+                many[0], new[0] = True, key[0] != open_token[1]
             keep = many[lead] & new
-            if head is not None and token[0] == head[0]:  # the token began in an earlier batch and has two classes
-                same = lead == 0
-                keep[same] = new[same]
-                keep[0] = held is None and key[0] != head[5]
-            arrays = [t.column(c).to_numpy() for c in own]
             at = np.flatnonzero(keep)
-            pivot = [a[lead[at]] for a in arrays[1:]]
-            if head is not None and token[0] == head[0]:
-                for p, v in zip(pivot, head[1:5]):
-                    p[lead[at] == 0] = v
             if len(at):
-                yield pa.RecordBatch.from_arrays([*(pa.array(a[at], k) for a, k in zip(arrays, kinds)), *(pa.array(p, k) for p, k in zip(pivot, kinds[1:]))], names=[*own, "p_key", "p_n", "p_pos", "p_level"])
-            if head is not None and last == 0 and token[0] == head[0]:
-                head, held = [*head[:5], int(key[-1])], None
-            elif keep[last]:
-                head, held = [*(int(a[last]) for a in arrays), int(key[-1])], None
+                yield pa.RecordBatch.from_arrays([pa.array(x[at], k) for x, k in zip(arrays, kinds)], names=own)
+            last = lead[-1]
+            if many[last]:
+                held, open_token = None, (int(token[-1]), int(key[-1]))
             else:
-                head, held = None, t.slice(last, 1)
+                held, open_token = [x[last : last + 1] for x in arrays], None
 
-    # each token puts its classes in an order of its own, so that a group of near copies meets many different pivots
-    ordered = tokens.repartition("token").sortWithinPartitions("token", F.xxhash64("token", "key"), "key")
-    return ordered.mapInArrow(runs, "token long, key long, n int, pos int, level int, p_key long, p_n int, p_pos int, p_level int")
+    ordered = tokens.repartition("token").sortWithinPartitions("token", "key")
+    met = ordered.mapInArrow(runs, "token long, key long, n int, pos int, level int")
+    # a set has no more rows here than its prefix has shingles
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("pos")))
+    return ranked.filter(f"100 * (rank + n - pos) >= {percent} * n")
 
 
 def may_link(a: str, b: str, percent: int) -> str:
-    """SQL: rows a and b of one token can belong to a pair over the threshold, at the pair's level."""
+    """SQL: rows a and b of one token can belong to a pair over the threshold, at the pair's level.
+
+    The pair must share alpha shingles: of those up to the token no more than the smaller rank, of the rest no more
+    than either has. One of the first `level` that it shares lies where each side has alpha - level to come.
+    """
     n, m = f"{a}n", f"{b}n"
     alpha = f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
     level = f"least({a}level, {b}level)"
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {a}pos <= {n} - {alpha} + {level} and {b}pos <= {m} - {alpha} + {level}"
+    most = f"least({a}rank, {b}rank) + least({n} - {a}pos, {m} - {b}pos)"
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {a}pos <= {n} - {alpha} + {level} and {b}pos <= {m} - {alpha} + {level} and {most} >= {alpha}"
 
 
 def verify(pairs: DataFrame, classes: DataFrame, part: DataFrame | None, docs: DataFrame, width: int, percent: int, collided: frozenset[int]) -> DataFrame | None:
@@ -334,7 +337,7 @@ def compare(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
 
 
 def _rooted(shared: DataFrame, part: DataFrame | None) -> DataFrame:
-    own = shared.select("token", "key", "n", "pos", "level")
+    own = shared.select("token", "key", "n", "pos", "rank", "level")
     if part is None:
         return own.withColumn("root", F.col("key"))
     return own.hint("merge").join(part.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -366,12 +369,10 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_lev
         classes, classes_path = classed(rows)
     shared, shared_path = stored(shared_prefixes(docs, rarity(sketch), collided, width, percent, max_level), "shared")
 
-    star = shared.filter(f"key <> p_key and {may_link('', 'p_', percent)}").select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct()
-    part = verify(star, classes, None, docs, width, percent, collided)
-    before = None
+    part, before = None, None
     for number in range(1, ROUNDS + 1):
         # a row per shingle that spans several components, with the pivot of the round; aggregated before it is shuffled
-        pivot = F.min_by(F.struct("key", "n", "pos", "level", "root"), F.xxhash64("token", "key", F.lit(number)))
+        pivot = F.min_by(F.struct("key", "n", "pos", "rank", "level", "root"), F.xxhash64("token", "key", F.lit(number)))
         sized = _rooted(shared, part).groupBy("token", "root").agg(F.count("*").alias("m"), pivot.alias("p"))
         tokens = sized.groupBy("token").agg(F.sum("m").alias("all"), F.max_by("root", F.struct("m", "root")).alias("largest"), F.max("m").alias("most"), F.count("*").alias("roots"), F.min_by("p", F.xxhash64(F.lit(number), "p.key", "token")).alias("p")).filter("roots > 1")
         tokens, tokens_path = stored(tokens, "tokens")
@@ -381,14 +382,14 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_lev
             break
         open_rows, open_path = stored(_rooted(shared, part).hint("merge").join(tokens, "token"), "open")
         # few pairs, or a round that has joined little: the rest is taken whole
-        whole = left.pairs <= FANOUT * left.sets or number == ROUNDS or (before is not None and left.pairs > 0.8 * before)
+        whole = (number > 1 and left.pairs <= FANOUT * left.sets) or number == ROUNDS or (before is not None and left.pairs > 0.8 * before)
         if whole:
-            a = open_rows.filter("root <> largest").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "level", "root")])
-            b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "level", "root", "largest")])
+            a = open_rows.filter("root <> largest").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "rank", "level", "root")])
+            b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "rank", "level", "root", "largest")])
             met = a.hint("merge").join(b, "token").filter(f"a_root <> b_root and (b_root = b_largest or a_key < b_key) and {may_link('a_', 'b_', percent)}")
             pairs = met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), F.least("a_level", "b_level").alias("level")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("level").alias("level")).filter("c >= level").select("a", "b")
         else:
-            met = open_rows.select("key", "n", "pos", "level", "root", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("key", "n", "pos", "level", "root")])
+            met = open_rows.select("key", "n", "pos", "rank", "level", "root", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("key", "n", "pos", "rank", "level", "root")])
             pairs = met.filter(f"root <> p_root and {may_link('', 'p_', percent)}").select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct()
         part = verify(pairs, classes, part, docs, width, percent, collided)
         before = left.pairs
