@@ -5,9 +5,13 @@ multinomials are counted over all documents: the raw corpus, and the trusted tar
 good). A document's score is the mean over its n-grams of log p_target - log p_raw, so that it doesn't grow with length;
 a document below the threshold is rejected. Base rules (too few words, too much repetition) come first.
 
-The counts never come together in one place. The n-grams of blocks of texts are dealt out by chunks of the buckets; the
-task of a chunk counts it and returns what it adds to each document's score, as integers, whose sum has no order. A
-document is known by a 64-bit hash of its id and text, so copies with one id share a score.
+The n-grams of blocks of texts, each counted once a block, are dealt out by chunks of the buckets and summed. Counts are
+kept in 16 bits: exact below 2^15, in steps of 1/1024 of a doubling above. While they take at most `TABLE_BYTES`, they
+are broadcast and documents are scored where they lie. Beyond that they never come together: the n-grams of each
+document are dealt out by chunk as well, the task of a chunk returns what it adds to each document's score as integers,
+whose sum has no order, and a document is known by a 64-bit hash of its id and text. Both ways give the same scores.
+
+A document's own n-grams are left out of the raw corpus, and out of the target if it is trusted.
 
 Defined results: null and empty texts have no words and fail the base rules; a document without n-grams has score 0;
 repeated rows are judged one by one and alike; empty tables give empty results; without trusted labels the two
@@ -17,19 +21,20 @@ multinomials are equal, every score is 0 and only the base rules decide.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Cache, column_bytes, map_batches, mixed, with_columns, written
-from .jaccard_join import _place, id_filter
+from .common import WHITE, Cache, column_bytes, met_in_buckets, mixed, stored
 
 #: The least number of buckets, and the n-grams for which there is one.
 BUCKETS = 1 << 14
-GRAMS_A_BUCKET = 16
+GRAMS_A_BUCKET = 32
+#: The most bytes of counts that are broadcast.
+TABLE_BYTES = 64_000_000
 #: Buckets of a chunk (as a power of two, 24 at most), and distinct n-grams of a block of texts.
 CHUNK_BITS = 19
 BLOCK = 1_000_000
@@ -38,6 +43,8 @@ UNIT = 1 << 32
 THRESHOLD = -0.11
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Counts below this are exact; above it, a doubling has STEPS codes.
+EXACT, STEPS = 1 << 15, 1 << 10
 SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _hashes = Cache(zlib.crc32, __name__)
@@ -45,10 +52,9 @@ _hashes = Cache(zlib.crc32, __name__)
 
 def ngram_buckets(words: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of the unigrams, then of the bigrams."""
-    _hashes.ready()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     grams = np.concatenate([h + np.uint64(1), (h[:-1] << np.uint64(32)) ^ (h[1:] + np.uint64(2))])
-    return (mixed(grams) & np.uint64(buckets - 1)).astype(np.int64)
+    return (mixed(grams) % np.uint64(buckets)).astype(np.int64)
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -79,40 +85,37 @@ def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     return len(text.translate(None, WHITE + _CONTINUATION)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts [raw, target] by bucket over all documents, in one array: for a given, small number of buckets."""
-    trusted = labels.filter("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    # always by a shuffle: the labels grow with the corpus, so there is no size at which broadcasting them is the plan
-    marked = docs.select("doc_id", "text").hint("merge").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits."""
+    over = EXACT + np.rint(STEPS * np.log2(np.maximum(counts, EXACT) / EXACT))
+    return np.where(counts < EXACT, counts, np.minimum(over, 65535)).astype(np.uint16)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, buckets), np.int64)
-        for batch in batches:
-            for text, good in zip(column_bytes(batch, "text"), batch.column("trusted").to_pylist()):
-                if words := text.split():
-                    h = ngram_buckets(words, buckets)
-                    np.add.at(total[0], h, 1)
-                    if good:
-                        np.add.at(total[1], h, 1)
-        at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "raw", "target"])
-
-    counted = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
-    out = np.zeros((2, buckets), np.int64)
-    for bucket, raw, target in counted.collect():  # at most `buckets` rows
-        out[:, bucket] = raw, target
-    return out
-
-
-def llr(h: np.ndarray, counts: np.ndarray) -> float:
-    """Mean log ratio of a document's n-grams; its own counts are left out of the raw corpus."""
-    if not len(h) or not counts[1].any():
-        return 0.0
-    size = counts.shape[1]
-    u, k = np.unique(h, return_counts=True)
-    raw = (np.maximum(counts[0, u] - k, 0) + 0.5) / (max(counts[0].sum() - len(h), 0) + 0.5 * size)
-    target = (counts[1, u] + size * raw) / (counts[1].sum() + size)
-    return float((k * np.log(target / raw)).sum() / len(h))
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    codes = codes.astype(float)
+    return np.where(codes < EXACT, codes, EXACT * 2.0 ** (np.maximum(codes - EXACT, 0) / STEPS))
+
+
+class Totals:
+    """Buckets, and all n-grams of the corpus and of the target."""
+
+    def __init__(self, buckets: int, raw: int, target: int):
+        self.buckets, self.raw, self.target = buckets, raw, target
+
+    def parts(self, raw: np.ndarray, target: np.ndarray, k: np.ndarray, length: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+        """What buckets add to a document's summed log ratio, as whole numbers of UNIT: their coded counts, the
+        document's own count k, and its length and trust."""
+        p = (np.maximum(decoded(raw) - k, 0) + 0.5) / (np.maximum(self.raw - length, 0) + 0.5 * self.buckets)
+        own = np.where(trusted, 1, 0)
+        q = (np.maximum(decoded(target) - own * k, 0) + self.buckets * p) / (np.maximum(self.target - own * length, 0) + self.buckets)
+        return np.rint(k * np.log(q / p) * UNIT).astype(np.int64)
+
+    def score(self, h: np.ndarray, raw: np.ndarray, target: np.ndarray, trusted: bool) -> float:
+        """Mean log ratio of a document's n-grams h, by the coded counts of all buckets."""
+        if not len(h):
+            return 0.0
+        u, k = np.unique(h, return_counts=True)
+        return float(self.parts(raw[u], target[u], k, np.int64(len(h)), np.bool_(trusted)).sum() / UNIT / len(h))
 
 
 def n_grams(docs: DataFrame) -> int:
@@ -126,23 +129,33 @@ def n_grams(docs: DataFrame) -> int:
 
 
 def bucket_count(grams: int) -> int:
-    """The power of two that gives each bucket at most GRAMS_A_BUCKET n-grams."""
-    return max(BUCKETS, 1 << (-(-grams // GRAMS_A_BUCKET) - 1).bit_length()) if grams else BUCKETS
+    """As many as give each bucket GRAMS_A_BUCKET n-grams."""
+    return max(BUCKETS, -(-grams // GRAMS_A_BUCKET))
 
 
-GRAM_ROWS = "chunk int, keys binary, lengths binary, sizes binary, low binary, high binary, times binary"
+#: Kinds of rows: n-grams of the corpus, of the target, and of the corpus with the documents that have them.
+RAW, TARGET, SCORED = 0, 1, 2
+GRAM_ROWS = "chunk int, kind int, keys binary, lengths binary, sizes binary, trusted binary, low binary, high binary, times binary"
 
 
-def gram_rows(docs: DataFrame, buckets: int, chunk_bits: int, scored: bool) -> DataFrame:
-    """GRAM_ROWS: a row per block of texts and chunk. If scored, with the texts' keys, lengths and n-grams in the chunk."""
+def _packed(x: np.ndarray, kind: type) -> bytes:
+    return zlib.compress(x.astype(kind).tobytes(), 1)
+
+
+def _unpacked(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), kind).astype(np.int64)
+
+
+def gram_rows(docs: DataFrame, buckets: int, chunk_bits: int, kind: int) -> DataFrame:
+    """GRAM_ROWS of docs (key, trusted, text): a row per block of texts and chunk; SCORED ones with the texts' keys,
+    lengths, trust and number of n-grams in the chunk."""
     names = [c.split()[0] for c in GRAM_ROWS.split(", ")]
-    packed = lambda x, kind: zlib.compress(x.astype(kind).tobytes(), 1)
 
-    def rows(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        grams, times = np.concatenate([u for _, u, _ in held]), np.concatenate([k for _, _, k in held])
-        keys, lengths = np.array([key for key, _, _ in held], np.int64), np.array([k.sum() for _, _, k in held])
-        doc = np.repeat(np.arange(len(held)), [len(u) for _, u, _ in held])
-        if not scored:
+    def rows(held: list[tuple[int, bool, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        grams, times = np.concatenate([r[2] for r in held]), np.concatenate([r[3] for r in held])
+        keys, trusted, lengths = np.array([r[0] or 0 for r in held], np.int64), np.array([r[1] for r in held]), np.array([r[3].sum() for r in held])
+        doc = np.repeat(np.arange(len(held)), [len(r[2]) for r in held])
+        if kind != SCORED:
             grams, at = np.unique(grams, return_inverse=True)
             times, doc = np.bincount(at, times).astype(np.int64), np.zeros(len(grams), np.int64)
         chunk = grams >> chunk_bits
@@ -152,107 +165,136 @@ def gram_rows(docs: DataFrame, buckets: int, chunk_bits: int, scored: bool) -> D
         out = []
         for a, b in zip(ends, ends[1:]):
             d, n = np.unique(doc[a:b], return_counts=True)
-            own = (keys[d].tobytes(), packed(lengths[d], np.uint32), packed(n, np.uint32)) if scored else (None, None, None)
-            out.append((int(chunk[a]), *own, (grams[a:b] & 0xFFFF).astype(np.uint16).tobytes(), packed(grams[a:b] >> 16, np.uint8), packed(times[a:b], np.uint32)))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out))], names=names)
+            own = (keys[d].tobytes(), _packed(lengths[d], np.uint32), _packed(n, np.uint32), _packed(trusted[d], np.uint8)) if kind == SCORED else (None,) * 4
+            out.append((int(chunk[a]), kind, *own, (grams[a:b] & 0xFFFF).astype(np.uint16).tobytes(), _packed(grams[a:b] >> 16, np.uint8), _packed(times[a:b], np.uint32)))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 2 else pa.binary()) for k, c in enumerate(zip(*out))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), column_bytes(batch, "text")):
+            _hashes.ready()
+            for key, good, text in zip(batch.column("key").to_pylist(), batch.column("trusted").to_pylist(), column_bytes(batch, "text")):
                 if words := text.split():
-                    held.append((key, *np.unique(ngram_buckets(words, buckets), return_counts=True)))
-                    size += len(held[-1][1])
+                    held.append((key, good, *np.unique(ngram_buckets(words, buckets), return_counts=True)))
+                    size += len(held[-1][2])
                     if size >= BLOCK:
                         yield rows(held)
                         held, size = [], 0
         if held:
             yield rows(held)
 
-    return docs.select("key", "text").mapInArrow(run, GRAM_ROWS)
-
+    return docs.select("key", "trusted", "text").mapInArrow(run, GRAM_ROWS)
 
-def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that a label calls good; a filter of fixed size keeps most others out of the shuffle."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("rep")).distinct()
-    spread = docs.sparkSession.sparkContext.broadcast(id_filter(good))
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _place(batch)
-            yield batch.filter(pa.array((spread.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+def with_trust(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _trusted (whether a label calls the document good), and the trusted ones alone.
 
-    few = docs.select(F.col("doc_id").cast("long").alias("rep"), "key", "text").mapInArrow(some, "rep long, key long, text string")
-    return few.hint("merge").join(good, "rep").select("key", "text")
+    Only documents in a bucket of a trusted id are shuffled to be joined with the labels.
+    """
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    some = met_in_buckets(docs, F.col("doc_id").cast("long"), good, F.col("_id").cast("long"))
+    others = met_in_buckets(docs, F.col("doc_id").cast("long"), good, F.col("_id").cast("long"), how="leftanti")
+    # by a shuffle at every size: the labels grow with the corpus
+    joined = some.hint("merge").join(good.withColumn("_trusted", F.lit(True)), F.col("doc_id") == F.col("_id"), "left").select(*docs.columns, F.coalesce("_trusted", F.lit(False)).alias("_trusted"))
+    return joined.unionByName(others.withColumn("_trusted", F.lit(False))), joined.filter("_trusted")
 
 
-def scores(docs: DataFrame, labels: DataFrame, grams: int, buckets: int, chunk_bits: int = CHUNK_BITS) -> DataFrame | None:
-    """key, llr of the documents (key, doc_id, text) that have n-grams; None without trusted text."""
-    target = written(gram_rows(trusted_rows(docs, labels), buckets, chunk_bits, False), "target")
-    unpacked = lambda x, kind: np.frombuffer(zlib.decompress(x), kind).astype(np.int64)
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    at = np.frombuffer(row["low"], np.uint16).astype(np.int64) | _unpacked(row["high"], np.uint8) << 16
+    return at, _unpacked(row["times"], np.uint32)
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(unpacked(x, np.uint32).sum()) for batch in batches for x in batch.column("times").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    trusted = target.select("times").mapInArrow(total, "n long").agg(F.sum("n")).first()[0]
-    if not trusted:
-        return None
+def _counted(part: pa.Table, chunk_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coded counts of a chunk's buckets: raw, target."""
+    raw, good = np.zeros(1 << chunk_bits, np.int64), np.zeros(1 << chunk_bits, np.int64)
+    for i in range(part.num_rows):
+        row = {c: part.column(c)[i].as_py() for c in ("kind", "low", "high", "times")}
+        np.add.at(good if row["kind"] == TARGET else raw, *_read(row))
+    return coded(raw), coded(good)
 
-    def add(part: pa.Table) -> pa.Table:
-        raw, good, width = np.zeros(1 << chunk_bits, np.int64), np.zeros(1 << chunk_bits, np.int64), part.num_rows
-        column = {c: part.column(c) for c in part.column_names}
 
-        def read(i: int) -> tuple[np.ndarray, np.ndarray]:
-            at = np.frombuffer(column["low"][i].as_py(), np.uint16).astype(np.int64) | unpacked(column["high"][i].as_py(), np.uint8) << 16
-            return at, unpacked(column["times"][i].as_py(), np.uint32)
-
-        own = [i for i in range(width) if column["keys"][i].is_valid]
-        for i in range(width):
-            np.add.at(raw if column["keys"][i].is_valid else good, *read(i))
-        keys, sums, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in own:
-            at, k = read(i)
-            n, length = unpacked(column["sizes"][i].as_py(), np.uint32), unpacked(column["lengths"][i].as_py(), np.uint32)
-            p = (np.maximum(raw[at] - k, 0) + 0.5) / (np.maximum(grams - np.repeat(length, n), 0) + 0.5 * buckets)
-            q = (good[at] + buckets * p) / (trusted + buckets)
-            first = np.cumsum(n) - n
-            keys.append(np.frombuffer(column["keys"][i].as_py(), np.int64))
-            sums.append(np.rint(np.add.reduceat(k * np.log(q / p), first) * UNIT).astype(np.int64))
-            counts.append(np.add.reduceat(k, first))
-        return pa.table({"key": np.concatenate(keys), "part": np.concatenate(sums), "n": np.concatenate(counts)})
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, chunk_bits: int = CHUNK_BITS, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept."""
+    spark = docs.sparkSession
+    grams = n_grams(docs)
+    buckets = buckets or bucket_count(grams)
+    key = F.xxhash64("doc_id", "text")
+    marked, trusted = with_trust(docs, labels)
+    keyed = lambda df: df.select(key.alias("key"), F.col("_trusted").alias("trusted"), "text")
+    target, _ = stored(gram_rows(keyed(trusted), buckets, chunk_bits, TARGET), "target")
 
-    rows = gram_rows(docs, buckets, chunk_bits, True).unionByName(target)
-    parts = rows.groupBy("chunk").applyInArrow(add, "key long, part long, n long")
-    # rows with one key bring their parts and n-grams alike, so their mean is that of one
-    return parts.groupBy("key").agg((F.sum("part") / F.lit(float(UNIT)) / F.sum("n")).alias("llr"))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(int(_unpacked(x, np.uint32).sum()) for batch in batches for x in batch.column("times").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
+    totals = Totals(buckets, grams, target.select("times").mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0)
+    new = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, base_failed boolean, kept boolean"
+    names = {x.split()[0] for x in new.split(", ")}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in names), new])
+    small = 4 * buckets <= table_bytes
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept."""
-    grams = n_grams(docs)
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = scores(keyed.select(F.col("_key").alias("key"), "doc_id", "text"), labels, grams, buckets or bucket_count(grams), chunk_bits)
-    if found is None:
-        ready = docs.withColumn("_llr", F.lit(0.0))
-    else:
-        # by a shuffle at every size: the scores grow with the corpus
-        ready = keyed.hint("merge").join(found.toDF("_key", "_llr"), "_key", "left").select(*docs.columns, F.coalesce("_llr", F.lit(0.0)).alias("_llr"))
-
-    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = batch.column("_llr").to_numpy(zero_copy_only=False)
-        batch = batch.select([c for c in batch.schema.names if c != "_llr"])
-        n, base = [], []
-        for text in column_bytes(batch, "text"):
+    def judge(batch: pa.RecordBatch, score: Callable) -> pa.RecordBatch:
+        n, base, llr = [], [], []
+        for i, text in enumerate(column_bytes(batch, "text")):
             words = text.split()
             n.append(len(words))
             base.append(base_counts(text, words))
-        n_words, rest = np.array(n, np.int64), np.array(base, np.int64).reshape(-1, 4)
+            llr.append(score(i, words))
+        n_words, rest, scores = np.array(n, np.int64), np.array(base, np.int64).reshape(-1, 4), np.array(llr, float)
         failed = (n_words < MIN_WORDS) | (100 * rest[:, 3] > MAX_REPEAT_PERCENT * n_words)
-        names = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        return with_columns(batch, {"n_words": pa.array(n_words)} | {c: pa.array(rest[:, i]) for i, c in enumerate(names)} | {"llr": pa.array(score, pa.float64()), "base_failed": pa.array(failed), "kept": pa.array(~failed & (score >= threshold))})
+        columns = {"n_words": n_words} | {c: rest[:, i] for i, c in enumerate(("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))} | {"llr": scores, "base_failed": failed, "kept": ~failed & (scores >= threshold)}
+        batch = batch.select([c for c in batch.schema.names if c not in ("_trusted", "_llr", *columns)])
+        return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns.values())], names=[*batch.schema.names, *columns])
+
+    if not totals.target or small:
+        codes = np.zeros((2, buckets), np.uint16)
+        if totals.target:
+            def add(part: pa.Table) -> pa.Table:
+                raw, good = _counted(part, chunk_bits)
+                return pa.table({"chunk": part.column("chunk")[:1], "raw": [zlib.compress(raw.tobytes(), 1)], "good": [zlib.compress(good.tobytes(), 1)]}, schema=pa.schema([("chunk", pa.int32()), ("raw", pa.binary()), ("good", pa.binary())]))
+
+            rows = gram_rows(docs.select(F.lit(0).cast("long").alias("key"), F.lit(False).alias("trusted"), "text"), buckets, chunk_bits, RAW).unionByName(target)
+            for chunk, *both in rows.groupBy("chunk").applyInArrow(add, "chunk int, raw binary, good binary").toLocalIterator():  # at most table_bytes
+                at = slice(chunk << chunk_bits, min(buckets, chunk + 1 << chunk_bits))
+                for k in (0, 1):
+                    codes[k, at] = np.frombuffer(zlib.decompress(both[k]), np.uint16)[: at.stop - at.start]
+        spread = spark.sparkContext.broadcast(codes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            raw, good = spread.value
+            for batch in batches:
+                if batch.num_rows:
+                    _hashes.ready()
+                    own = batch.column("_trusted").to_pylist()
+                    yield judge(batch, lambda i, words: totals.score(ngram_buckets(words, buckets), raw, good, own[i]) if totals.target else 0.0)
+
+        return marked.mapInArrow(run, schema)
+
+    def scored(part: pa.Table) -> pa.Table:
+        raw, good = _counted(part, chunk_bits)
+        keys, sums, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(part.num_rows):
+            row = {c: part.column(c)[i].as_py() for c in part.column_names}
+            if row["kind"] == SCORED:
+                at, k = _read(row)
+                n = _unpacked(row["sizes"], np.uint32)
+                each = totals.parts(raw[at], good[at], k, np.repeat(_unpacked(row["lengths"], np.uint32), n), np.repeat(_unpacked(row["trusted"], np.uint8), n) > 0)
+                first = np.cumsum(n) - n
+                keys.append(np.frombuffer(row["keys"], np.int64))
+                sums.append(np.add.reduceat(each, first))
+                counts.append(np.add.reduceat(k, first))
+        return pa.table({"key": np.concatenate(keys), "part": np.concatenate(sums), "n": np.concatenate(counts)})
 
-    new = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, base_failed boolean, kept boolean"
-    names = {x.split()[0] for x in new.split(", ")}
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in names), new])
-    return map_batches(ready, judge, schema)
+    rows = gram_rows(keyed(marked), buckets, chunk_bits, SCORED).unionByName(target)
+    parts = rows.groupBy("chunk").applyInArrow(scored, "key long, part long, n long")
+    # rows with one key bring their parts and n-grams alike, so their mean is that of one
+    found = parts.groupBy("key").agg((F.sum("part") / F.lit(float(UNIT)) / F.sum("n")).alias("_llr")).withColumnRenamed("key", "_key")
+    ready = docs.withColumn("_key", key).hint("merge").join(found, "_key", "left").select(*docs.columns, F.coalesce("_llr", F.lit(0.0)).alias("_llr"))
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                llr = batch.column("_llr").to_pylist()
+                yield judge(batch, lambda i, words: llr[i])
+
+    return ready.mapInArrow(given, schema)

@@ -46,26 +46,41 @@ def test_quality_rules_base(spark, docs, texts, sf_dir):
     assert not any(r.kept and r.base_failed for r in got)
 
 
-def test_quality_rules_score(spark, docs, texts, sf_dir):
+def plain_scores(texts, good, buckets):
+    """The mean log ratio by plain counts, a document's own left out of both multinomials."""
+    raw, target = Counter(), Counter()
+    grams = {}
+    for doc, text in texts:
+        grams[doc] = Counter(quality_rules.ngram_buckets(text.encode().split(), buckets).tolist()) if text.split() else Counter()
+        raw.update(grams[doc])
+        if doc in good:
+            target.update(grams[doc])
+    n, t, out = raw.total(), target.total(), {}
+    for doc, own in grams.items():
+        length, total, trusted = own.total(), 0.0, doc in good
+        for b, k in own.items():
+            p = (raw[b] - k + 0.5) / (n - length + 0.5 * buckets)
+            q = (target[b] - k * trusted + buckets * p) / (t - length * trusted + buckets)
+            total += k * math.log(q / p)
+        out[doc] = total / length if length else 0.0
+    return out
+
+
+@pytest.mark.parametrize("table_bytes", [quality_rules.TABLE_BYTES, 0])
+def test_quality_rules_score(spark, docs, texts, sf_dir, table_bytes):
+    """Both ways, with the counts broadcast and with the n-grams dealt out, against plain counts."""
     labels = table(spark, sf_dir, "labels")
-    counts = quality_rules.fit(docs, labels)
     good = {r.doc_id for r in labels.filter("quality = 1").collect()}
-    want = np.zeros_like(counts)
-    for doc, text in texts:
-        for b in quality_rules.ngram_buckets(text.encode().split()):
-            want[0, b] += 1
-            want[1, b] += doc in good
-    assert (counts == want).all()
-    assert quality_rules.llr(np.zeros(0, int), counts) == 0
+    want = plain_scores(texts, good, 20_000)
+    got = quality_rules.quality_rules(docs, labels, buckets=20_000, chunk_bits=9, table_bytes=table_bytes).collect()
+    assert len(got) == len(texts)
+    assert all(abs(r.llr - want[r.doc_id]) < 1e-6 for r in got)
 
 
-def test_quality_rules_in_chunks(spark, docs, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    counts = quality_rules.fit(docs, labels, 1 << 15)
-    got = quality_rules.quality_rules(docs, labels, buckets=1 << 15, chunk_bits=9).collect()
-    assert len(got) == docs.count()
-    for r in got:
-        assert abs(r.llr - quality_rules.llr(quality_rules.ngram_buckets((r.text or "").encode().split(), 1 << 15), counts)) < 1e-8
+def test_quality_rules_codes():
+    n = np.array([0, 1, 2, 32767, 32768, 32769, 10**6, 10**12])
+    back = quality_rules.decoded(quality_rules.coded(n))
+    assert (back[:5] == n[:5]).all() and (abs(back / np.maximum(n, 1) - 1)[5:] < 1e-3).all()
 
 
 def test_quality_rules_on_a_larger_corpus(spark):
@@ -73,7 +88,7 @@ def test_quality_rules_on_a_larger_corpus(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     grams = quality_rules.n_grams(docs)
     assert quality_rules.bucket_count(grams) >= grams / quality_rules.GRAMS_A_BUCKET > 1 << 14
-    assert quality_rules.bucket_count(8 * grams) == 8 * quality_rules.bucket_count(grams)
+    assert quality_rules.bucket_count(64 * grams) >= 63 * quality_rules.bucket_count(grams)
     rows = quality_rules.quality_rules(docs.select("doc_id", "text"), labels).filter("n_words >= 50").join(labels, "doc_id").select("llr", "quality").collect()
     low = lambda q: np.mean([r.llr < quality_rules.THRESHOLD for r in rows if r.quality == q])
     print(grams, quality_rules.bucket_count(grams), low(0), low(1), np.median([r.llr for r in rows if r.quality == 1]))
