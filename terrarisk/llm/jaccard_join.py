@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Cache, column_bytes, met_in_buckets, mixed, remove, shared_dir, stored
+from .common import LOWER, Cache, column_bytes, marked, marks, met_in_buckets, mixed, remove, shared_dir, stored
 from .components import components
 
 WIDTH = 4
@@ -270,33 +270,42 @@ def may_link(a: str, b: str, percent: int) -> str:
 
 
 def verify(pairs: DataFrame, classes: DataFrame, part: DataFrame | None, docs: DataFrame, width: int, percent: int, collided: frozenset[int]) -> DataFrame | None:
-    """Compares pairs (a, b) and joins those over the threshold to the components (node, root); returns them.
+    """Compares pairs (key, centre) and joins those over the threshold to the components (node, root); returns them.
 
     The signatures' bound comes first. Each set's nearest candidate is compared before the rest, most of which then lie
     in one component and need no comparison.
     """
-    sig = classes.select("key", "n", "sig")
+    spark = docs.sparkSession
+    sig = classes.select("key", F.struct("ident", "n", "sig").alias("s"))
     # both sides of these joins grow with the corpus, so they are shuffled at every size
-    both = pairs.hint("merge").join(sig.toDF("a", "n_a", "sig_a"), "a").hint("merge").join(sig.toDF("b", "n_b", "sig_b"), "b")
+    both = pairs.hint("merge").join(sig.toDF("key", "a"), "key").hint("merge").join(sig.toDF("centre", "b"), "centre")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            apart = distances(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist())
-            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            apart = distances(batch.column("a_sig").to_pylist(), batch.column("b_sig").to_pylist())
+            total = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
             overlap = (total - apart) // 2
             at = np.flatnonzero(100 * overlap >= percent * (total - overlap))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at)), pa.array(apart[at] / total[at], pa.float64())], names=["a", "b", "d"])
+            names = ["key", "centre", "key_ident", "centre_ident"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in names), pa.array(apart[at] / total[at], pa.float64())], names=[*names, "d"])
 
-    near, near_path = stored(both.mapInArrow(bound, "a long, b long, d double"), "near")
-    order = F.struct("d", F.xxhash64("a", "b"))
-    nearest = near.select(F.explode(F.array("a", "b")).alias("key"), "a", "b", order.alias("o")).groupBy("key").agg(F.min_by(F.struct("a", "b"), "o").alias("p"))
-    part = _joined(part, compare(nearest.select("p.*").distinct(), classes, docs, width, percent, collided))
-    rest = near.select("a", "b")
+    flat = both.select("key", "centre", F.col("a.ident").alias("key_ident"), F.col("b.ident").alias("centre_ident"), *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("n", "sig")])
+    near, near_path = stored(flat.mapInArrow(bound, "key long, centre long, key_ident long, centre_ident long, d double"), "near")
+    if near.isEmpty():
+        return part
+    order = F.struct("d", F.xxhash64("key", "centre"))
+    ends = F.struct("key", "centre", "key_ident", "centre_ident")
+    nearest = near.select(F.explode(F.array("key", "centre")).alias("end"), ends.alias("p"), order.alias("o")).groupBy("end").agg(F.min_by("p", "o").alias("p"))
+    part = _joined(part, compare(nearest.select("p.*").distinct(), docs, width, percent, collided))
+    rest = near.drop("d")
     if part is not None:
-        apart = rest.hint("merge").join(part.toDF("a", "ra"), "a", "left").hint("merge").join(part.toDF("b", "rb"), "b", "left")
-        rest = apart.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    part = _joined(part, compare(rest, classes, docs, width, percent, collided))
-    remove(docs.sparkSession, near_path)
+        apart = rest.hint("merge").join(part.toDF("key", "ra"), "key", "left").hint("merge").join(part.toDF("centre", "rb"), "centre", "left")
+        rest = apart.filter("coalesce(ra, key) <> coalesce(rb, centre)").drop("ra", "rb")
+    rest, rest_path = stored(rest, "rest")
+    if not rest.isEmpty():
+        part = _joined(part, compare(rest, docs, width, percent, collided))
+    for path in (near_path, rest_path):
+        remove(spark, path)
     return part
 
 
@@ -306,18 +315,17 @@ def _joined(part: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return components(links if part is None else part.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
-def compare(near: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, collided: frozenset[int]) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold; sets are made anew from the texts of their representatives."""
-    # the end with more pairs is the centre of its cells
-    degree = near.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("d"))
-    ranked = near.hint("merge").join(degree.toDF("a", "d_a"), "a").hint("merge").join(degree.toDF("b", "d_b"), "b")
-    first = F.col("d_a") >= F.col("d_b")
-    stars = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("key"), F.greatest("d_a", "d_b").alias("d"))
-    stars = stars.withColumn("cell", F.pmod(F.xxhash64("key"), F.ceil(F.col("d") / CELL)))
-    rows, path = stored(stars.select("centre", "cell", "key").unionByName(stars.select("centre", "cell", F.col("centre").alias("key")).distinct()), "cells")
+def compare(near: DataFrame, docs: DataFrame, width: int, percent: int, collided: frozenset[int]) -> DataFrame:
+    """The pairs (a, b) of near (key, centre, their idents) whose sets reach the threshold; sets are made anew from the
+    texts of their representatives. A centre meets its keys in cells of about CELL."""
+    degree = near.groupBy("centre").agg(F.count("*").alias("d"))
+    cell = F.pmod(F.xxhash64("key"), F.ceil(F.col("d") / CELL)).alias("cell")
+    stars, path = stored(near.hint("merge").join(degree, "centre").select("centre", cell, "key", "key_ident", "centre_ident"), "cells")
+    rows = stars.select("centre", "cell", "key").unionByName(stars.select("centre", "cell", F.col("centre").alias("key")).distinct())
 
-    wanted = rows.select("key").distinct().hint("merge").join(classes.select("key", "ident"), "key")
-    # rows without an id and with one text are taken once
+    ends = F.explode(F.array(*[F.struct(F.col(f"{c}_ident").alias("ident"), F.col(c).alias("key")) for c in ("key", "centre")]))
+    wanted = stars.select(ends.alias("e")).groupBy("e.ident").agg(F.first("e.key").alias("key"))
+    # rows of one id and text are taken once
     few = met_in_buckets(docs.select("ident", "twin", "text"), F.col("ident"), wanted, F.col("ident")).dropDuplicates(["ident", "twin"])
     texts = few.hint("merge").join(wanted, "ident").select("key", "text")
 
@@ -343,12 +351,6 @@ def _rooted(shared: DataFrame, part: DataFrame | None) -> DataFrame:
     return own.hint("merge").join(part.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, ident, twin, text: two hashes that know a row by its id and text."""
-    doc = F.col("doc_id").cast("long")
-    return docs.select(doc.alias("doc_id"), F.xxhash64(doc, "text").alias("ident"), F.xxhash64("text", F.lit(1)).alias("twin"), "text")
-
-
 def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_level: int = MAX_LEVEL) -> DataFrame:
     """A row per row of docs: doc_id, ident, twin, n_shingles, root (of its component; null without words), component_id."""
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -369,35 +371,37 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_lev
         classes, classes_path = classed(rows)
     shared, shared_path = stored(shared_prefixes(docs, rarity(sketch), collided, width, percent, max_level), "shared")
 
-    part, before = None, None
+    part, before, rows, rows_path = None, None, shared, shared_path
     for number in range(1, ROUNDS + 1):
-        # a row per shingle that spans several components, with the pivot of the round; aggregated before it is shuffled
+        # the rows of shingles that span several components, with the pivot of the round; dealt by shingle once for all of it
+        own = _rooted(rows, part).repartition("token")
         pivot = F.min_by(F.struct("key", "n", "pos", "rank", "level", "root"), F.xxhash64("token", "key", F.lit(number)))
-        sized = _rooted(shared, part).groupBy("token", "root").agg(F.count("*").alias("m"), pivot.alias("p"))
+        sized = own.groupBy("token", "root").agg(F.count("*").alias("m"), pivot.alias("p"))
         tokens = sized.groupBy("token").agg(F.sum("m").alias("all"), F.max_by("root", F.struct("m", "root")).alias("largest"), F.max("m").alias("most"), F.count("*").alias("roots"), F.min_by("p", F.xxhash64(F.lit(number), "p.key", "token")).alias("p")).filter("roots > 1")
-        tokens, tokens_path = stored(tokens, "tokens")
-        left = tokens.agg(F.sum(F.expr("(all - most) * all")).alias("pairs"), F.sum("all").alias("sets")).first()
+        open_rows, open_path = stored(own.hint("merge").join(tokens, "token"), "open")
+        remove(spark, rows_path)  # shingles of one component stay so: the next round goes on from the open ones
+        rows, rows_path = open_rows, open_path
+        left = open_rows.agg(F.sum(F.col("all") - F.col("most")).alias("pairs"), F.count("*").alias("sets")).first()
         _log.info("round %d: %s sets of open shingles, %s pairs if taken whole", number, left.sets, left.pairs)
         if not left.sets:
             break
-        open_rows, open_path = stored(_rooted(shared, part).hint("merge").join(tokens, "token"), "open")
         # few pairs, or a round that has joined little: the rest is taken whole
         whole = (number > 1 and left.pairs <= FANOUT * left.sets) or number == ROUNDS or (before is not None and left.pairs > 0.8 * before)
         if whole:
             a = open_rows.filter("root <> largest").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "rank", "level", "root")])
             b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "rank", "level", "root", "largest")])
             met = a.hint("merge").join(b, "token").filter(f"a_root <> b_root and (b_root = b_largest or a_key < b_key) and {may_link('a_', 'b_', percent)}")
-            pairs = met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), F.least("a_level", "b_level").alias("level")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("level").alias("level")).filter("c >= level").select("a", "b")
+            ends = [F.least("a_key", "b_key").alias("lo"), F.greatest("a_key", "b_key").alias("hi")]
+            counted = met.groupBy(*ends).agg(F.count("*").alias("c"), F.first(F.least("a_level", "b_level")).alias("level"), F.min("a_key").alias("centre")).filter("c >= level")
+            pairs = counted.select(F.when(F.col("centre") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("key"), "centre")
         else:
             met = open_rows.select("key", "n", "pos", "rank", "level", "root", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("key", "n", "pos", "rank", "level", "root")])
-            pairs = met.filter(f"root <> p_root and {may_link('', 'p_', percent)}").select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct()
+            pairs = met.filter(f"root <> p_root and {may_link('', 'p_', percent)}").select("key", F.col("p_key").alias("centre")).distinct()
         part = verify(pairs, classes, part, docs, width, percent, collided)
         before = left.pairs
-        for p in (tokens_path, open_path):
-            remove(spark, p)
         if whole:
             break
-    remove(spark, shared_path)
+    remove(spark, rows_path)
 
     named = classes.select("key", "first_id")
     named = named.withColumn("root", F.col("key")) if part is None else named.hint("merge").join(part.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -419,9 +423,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """
     found = grouped(docs, width, percent).filter("root is not null")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "ident", "twin")).alias("r")).select(F.col("r.ident").alias("_ident"), F.col("r.twin").alias("_twin"))
-    doc = F.col("doc_id").cast("long")
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.filter(has_words).withColumns({"_ident": F.xxhash64(doc, "text"), "_twin": F.xxhash64("text", F.lit(1))})
+    keyed = docs.filter(has_words).withColumns({f"_{k}": v for k, v in marks().items()})
     # equal rows are merged in each task before the shuffle, which is needed at every size
     kept = keyed.dropDuplicates(["_ident", "_twin"]).hint("merge").join(first, ["_ident", "_twin"])
     return kept.select(docs.columns).unionByName(docs.filter(~has_words))
