@@ -2,14 +2,15 @@
 
 Every turn is encoded by itself: the role and the text are separate segments, and the reserved ids of the turn marks,
 which no text can produce, are spliced between them. The loss mask of a turn is the prefix sum of +1 at the first and
--1 after the last token of an assistant text; a turn's place in its conversation is the prefix sum of the turns'
-lengths. Control strings in a text ("<|", also with backslashes between) get one more backslash, which reading removes.
+-1 after the last token of an assistant text. Control strings in a text ("<|", also with backslashes between) get one more backslash, which reading removes.
 
 Turns are formatted where they lie. Only the digests of a whole conversation need its turns in order: they pass through
 one task as a stream, sorted by Spark, so that memory doesn't follow a conversation's length.
 
-Defined results: null texts and roles are empty; turns with equal numbers are ordered by role and text, null turns come
-first; a null conv_id is a conversation of its own; an empty table gives an empty result.
+Defined results: null texts and roles are empty; turns with equal numbers are ordered by role and then by text, null
+turns, roles and texts come first; a conv_id of any type that is read back from its string will do, and null is a
+conversation of its own; other columns are ignored; repeated rows are turns of their own; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def token_bytes(tokenizer) -> list[bytes]:
 
 
 def format_turns(conversations: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """conv_id, turn, role, first (the turn's first token in its conversation), ids, mask."""
+    """conv_id, turn, role, text (which orders ties), ids, mask."""
     tokenizer_path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +79,15 @@ def format_turns(conversations: DataFrame, tokenizer_path: str | None = None) ->
                     step[places[4]] -= 1
                 ids.append(np.concatenate(segments).astype(np.int32))
                 masks.append(np.cumsum(step[:-1]).astype(np.int8))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), pa.array([hashlib.md5((t or "").encode()).hexdigest() for t in batch.column("text").to_pylist()]), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))], names=["conv_id", "turn", "role", "tie", "ids", "mask"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "text")), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))], names=["conv_id", "turn", "role", "text", "ids", "mask"])
 
     kinds = {f.name: f.dataType.simpleString() for f in conversations.schema}
-    turns = conversations.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, tie string, ids array<int>, mask array<tinyint>")
-    before = Window.partitionBy("conv_id").orderBy("turn", "role", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    return conversations.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids array<int>, mask array<tinyint>")
+
+
+def placed(turns: DataFrame) -> DataFrame:
+    """Formatted turns with first, a turn's first token in its conversation: the prefix sum of the turns' lengths."""
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn("first", F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)))
 
 
@@ -122,10 +127,11 @@ def read_conversations(turns: DataFrame, tokenizer_path: str | None = None) -> D
         if now is not None:
             yield pa.RecordBatch.from_pylist([row(now)], schema=out)
 
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    out = pa.schema([("conv_id", arrow), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    ordered = turns.select("conv_id", "first", "turn", "ids", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "first", "turn")
-    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    out = pa.schema([("conv_id", pa.string()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    name = F.col("conv_id").cast("string").alias("conv_id")
+    ordered = turns.select(name, "turn", "role", "text", "ids", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = ordered.select("conv_id", "ids", "mask").mapInArrow(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def chat_format(conversations: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

@@ -54,6 +54,16 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def marks(doc_id: str = "doc_id") -> dict[str, Column]:
+    """Two hashes that know a row by its id and text; null and repeated ids make no difference."""
+    return {"ident": F.xxhash64(F.col(doc_id).cast("long"), "text"), "twin": F.xxhash64("text", F.lit(1))}
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, ident, twin, text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[v.alias(k) for k, v in marks().items()], "text")
+
+
 def met_in_buckets(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, buckets: int = 1 << 20, how: str = "leftsemi") -> DataFrame:
     """The rows of df whose key falls into a bucket of a wanted key: all that match, and few others ("leftanti": the rest).
 
@@ -71,6 +81,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df whose keys (hashes) aren't in gone. Only rows in a bucket of such a key are shuffled."""
+    first = keys[0]
+    maybe = met_in_buckets(df, F.col(first), gone, F.col(first))
+    return met_in_buckets(df, F.col(first), gone, F.col(first), how="leftanti").unionByName(maybe.hint("merge").join(gone, keys, "left_anti"))
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null gives b""."""
     column = batch.column(name)

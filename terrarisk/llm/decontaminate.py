@@ -2,13 +2,18 @@
 
 `build_index` stores, for segments of the training documents, a postings list (sorted word positions) for each term
 that the test items use, and the documents' places in each segment. Every document lies in one segment, so a segment
-answers phrase queries alone. `search` takes the test windows to the segments: the list of a window's rarest term,
+answers phrase queries alone. `search` takes the test windows to the segments that hold their rarest term: its list,
 shifted by the term's offset, is intersected with the shifted lists of the next rarest terms until none is left or all
 are met (exact phrase), or each position must have every term within `slop` of its place (proximity).
 
+Test items go through the driver in rounds of at most `ROUND_BYTES`, each with an index of its own terms, so that a
+benchmark of any size is searched whole; what the rounds find of a document is merged.
+
 Words: A-Z lowered, runs of other bytes than ASCII non-alphanumerics. Defined results: null and empty texts have no
-words and are never hit; items without words have no windows; repeated windows count once for an item; items with equal
-texts are all reported; empty tables give empty results (no items: no hits).
+words and are never hit; items without words have no windows; rows of one item_id are one item; items with equal texts
+are all reported; items without an item_id count as one item, which the hash leaves out; repeated rows are judged one
+by one; null doc_ids are rows like others; other columns are ignored; empty tables give empty results (no items: no
+hits).
 """
 
 from __future__ import annotations
@@ -21,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, remove, shared_dir
+from .common import column_bytes, marked, remove, shared_dir
 
 WINDOW = 10
-#: Terms of the test items above which they are searched in several rounds.
-MAX_TERMS = 2_000_000
+#: Bytes (about) of the terms and windows that one round takes to every task.
+ROUND_BYTES = 32_000_000
 #: Words of a segment of the index; a longer document is a segment by itself.
 SEGMENT_WORDS = 1_500_000
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -42,8 +47,8 @@ def item_windows(text: bytes, width: int = WINDOW) -> list[tuple[bytes, ...]]:
 
 
 def build_index(docs: DataFrame, terms: dict[bytes, int], path: str) -> None:
-    """Writes the index of docs (doc_id, text) to path: a row per segment and term (postings), and one per
-    segment with term -1 (ids, null marks, first positions and word counts of its documents)."""
+    """Writes the index of docs (doc_id, ident, twin, text) to path: a row per segment and term (postings), and one per
+    segment with term -1 (ids, null marks, idents, twins, first positions and word counts of its documents)."""
     known = terms.get
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,11 +63,11 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], path: str) -> None:
             cut = np.flatnonzero(np.diff(term, prepend=-1))
             lists = [x.astype("<u4").tobytes() for x in np.split(pos, cut[1:])] if len(term) else []
             name = f"{TaskContext.get().partitionId()}-{serial}"
-            head = np.array([[i or 0 for i in ids], [i is None for i in ids], starts, sizes]).astype("<i8").tobytes()
+            head = np.array([[r[0] or 0 for r in ids], [r[0] is None for r in ids], [r[1] for r in ids], [r[2] for r in ids], starts, sizes], np.int64).astype("<i8").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([name] * (len(lists) + 1)), pa.array([-1, *term[cut].tolist()], pa.int32()), pa.array([head, *lists], pa.binary())], names=["segment", "term", "postings"])
 
         for batch in batches:
-            for row, text in zip(batch.column("doc_id").to_pylist(), column_bytes(batch, "text")):
+            for *row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ident", "twin")), column_bytes(batch, "text")):
                 words = words_of(text)
                 if ids and at + len(words) > SEGMENT_WORDS:
                     yield close()
@@ -79,7 +84,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], path: str) -> None:
         if ids:
             yield close()
 
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(segment, "segment string, term int, postings binary").write.parquet(path)
+    docs.select("doc_id", "ident", "twin", "text").mapInArrow(segment, "segment string, term int, postings binary").write.parquet(path)
 
 
 def phrase_starts(lists: list[tuple[int, np.ndarray]], slop: int = 0) -> np.ndarray:
@@ -95,67 +100,106 @@ def phrase_starts(lists: list[tuple[int, np.ndarray]], slop: int = 0) -> np.ndar
     return start
 
 
-def search(index: DataFrame, windows: list[tuple[tuple[int, ...], list[int]]], frequency: dict[int, int], item_ids: list[str], slop: int = 0) -> DataFrame:
-    """A row per document of the index: doc_id, n_words, n_hit and the items found.
+FOUND = "doc_id long, ident long, twin long, n_words long, spans array<long>, items array<string>"
+
+
+def search(index: DataFrame, windows: list[tuple[tuple[int, ...], list[int]]], frequency: dict[int, int], item_ids: list[str | None], slop: int = 0) -> DataFrame:
+    """A row per document of the index, as FOUND: spans are begin and end of each run of hit words, one after the other.
 
     windows: term ids of a window, and the numbers of the items that have it. frequency: of each term over all segments.
     """
-    plans = []
+    plans: dict[int, list] = {}
     for terms, items in windows:
         order = sorted(range(len(terms)), key=lambda k: (frequency.get(terms[k], 0), k))
         if all(frequency.get(t, 0) for t in terms):
-            plans.append(([(terms[k], k) for k in order], len(terms), items))
+            plans.setdefault(terms[order[0]], []).append(([(terms[k], k) for k in order], len(terms), items))
 
     def look(part: pa.Table) -> pa.Table:
         lists: dict[int, np.ndarray] = {}
         for term, data in zip(part.column("term").to_pylist(), part.column("postings").to_pylist()):
-            lists[term] = np.frombuffer(data, "<u4").astype(np.int64) if term >= 0 else np.frombuffer(data, "<i8").reshape(4, -1)
-        ids, absent, starts, sizes = lists[-1]
+            lists[term] = np.frombuffer(data, "<u4").astype(np.int64) if term >= 0 else np.frombuffer(data, "<i8").reshape(6, -1)
+        ids, absent, ident, twin, starts, sizes = lists[-1]
         marks = np.zeros(int(starts[-1] + sizes[-1]) + 2, np.int32)
-        pairs = []
-        for steps, size, items in plans:
-            if any(t not in lists for t, _ in steps):
-                continue
-            at = phrase_starts([(k, lists[t]) for t, k in steps], slop)
-            at = at[at >= 0]
-            if len(at):
-                np.add.at(marks, at, 1)
-                np.add.at(marks, np.minimum(at + size, len(marks) - 1), -1)
-                d = np.unique(np.searchsorted(starts, at, "right") - 1)
-                pairs += [(int(x), i) for x in d for i in items]
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
-        n_hit = hit[np.minimum(starts + sizes, len(hit) - 1)] - hit[starts]
         found: dict[int, set[int]] = {}
-        for d, i in pairs:
-            found.setdefault(d, set()).add(i)
-        names = [sorted(item_ids[i] for i in found.get(d, ())) for d in range(len(ids))]
-        return pa.table([pa.array(ids, mask=absent > 0), pa.array(sizes), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
+        for rarest in plans.keys() & lists.keys():
+            for steps, size, items in plans[rarest]:
+                if any(t not in lists for t, _ in steps):
+                    continue
+                at = phrase_starts([(k, lists[t]) for t, k in steps], slop)
+                at = at[at >= 0]
+                if len(at):
+                    np.add.at(marks, at, 1)
+                    np.add.at(marks, np.minimum(at + size, len(marks) - 1), -1)
+                    for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
+                        found.setdefault(d, set()).update(items)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(marks) > 0, [False]])))
+        spans: dict[int, list[int]] = {}
+        for a, b in edge.reshape(-1, 2).tolist():
+            d = int(np.searchsorted(starts, a, "right") - 1)
+            last = int(starts[d] + sizes[d])
+            if a < last:  # with slop, a run may reach beyond its document
+                spans.setdefault(d, []).extend((a - int(starts[d]), min(b, last) - int(starts[d])))
+        names = [[item_ids[i] for i in found.get(d, ())] for d in range(len(ids))]
+        return pa.table([pa.array(ids, mask=absent > 0), pa.array(ident), pa.array(twin), pa.array(sizes), pa.array([spans.get(d, []) for d in range(len(ids))], pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=[c.split()[0] for c in FOUND.split(", ")])
+
+    return index.groupBy("segment").applyInArrow(look, FOUND)
+
+
+def _rounds(benchmark: DataFrame, width: int, most: int) -> Iterator[tuple[dict, dict, list]]:
+    """Terms, windows and item_ids of the items, in parts of about `most` bytes; at least one part."""
+    terms, windows, numbers, size = {}, {}, {}, 0
+    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id").toLocalIterator():
+        if size > most:
+            yield terms, windows, list(numbers)
+            terms, windows, numbers, size = {}, {}, {}, 0
+        number = numbers.setdefault(item, len(numbers))
+        for w in item_windows((text or "").encode(), width):
+            size += 100 + 40 * len(w) + sum(len(x) + 60 for x in w if x not in terms)
+            windows.setdefault(tuple(terms.setdefault(x, len(terms)) for x in w), set()).add(number)
+    yield terms, windows, list(numbers)
 
-    return index.groupBy("segment").applyInArrow(look, "doc_id long, n_words long, n_hit long, items array<string>")
 
+def covered(spans: list[int]) -> list[int]:
+    """Spans of several rounds as disjoint ones, in order."""
+    out: list[int] = []
+    for a, b in sorted(zip(spans[::2], spans[1::2])):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0) -> DataFrame:
-    """A row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated.
 
-    The benchmark (the query set) is read to the driver, which checks its number of terms; the corpus isn't.
-    """
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """A row per row of docs: doc_id, ident, twin (see common.marks), n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
-    path = shared_dir(spark)
-    terms: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], list[int]] = {}
-    item_ids: list[str] = []
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id").toLocalIterator():
-        item_ids.append(item or "")
-        for w in item_windows((text or "").encode(), width):
-            found.setdefault(tuple(terms.setdefault(x, len(terms)) for x in w), []).append(len(item_ids) - 1)
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"the items have {len(terms)} terms, more than {MAX_TERMS}: search them in parts")
-    build_index(docs, terms, f"{path}/index")
-    index = spark.read.parquet(f"{path}/index")
-    sizes = index.filter("term >= 0").groupBy("term").agg(F.sum(F.length("postings") / 4).cast("long"))
-    frequency = {r[0]: r[1] for r in sizes.collect()}  # at most a row for each term of the items
-    hits = search(index, list(found.items()), frequency, item_ids, slop)
-    hits.write.parquet(f"{path}/hits")
-    remove(spark, f"{path}/index")
-    hits = spark.read.parquet(f"{path}/hits")
-    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    path, found = shared_dir(spark), None
+    docs = marked(docs)
+    for number, (terms, windows, item_ids) in enumerate(_rounds(benchmark, width, round_bytes)):
+        build_index(docs, terms, f"{path}/index{number}")
+        index = spark.read.parquet(f"{path}/index{number}")
+        sizes = index.filter("term >= 0").groupBy("term").agg(F.sum(F.length("postings") / 4).cast("long"))
+        frequency = {r[0]: r[1] for r in sizes.collect()}  # at most a row for each term of the round
+        search(index, list(windows.items()), frequency, item_ids, slop).write.parquet(f"{path}/hits{number}")
+        remove(spark, f"{path}/index{number}")
+        hits = spark.read.parquet(f"{path}/hits{number}")
+        if found is None:
+            found = hits
+        else:  # equal rows have equal hits, so one of them stands for all
+            more = hits.filter("size(items) > 0").dropDuplicates(["ident", "twin"]).select("ident", "twin", F.col("spans").alias("s"), F.col("items").alias("i"))
+            none = F.array()
+            found = found.hint("merge").join(more, ["ident", "twin"], "left").select("doc_id", "ident", "twin", "n_words", F.concat("spans", F.coalesce("s", none.cast("array<bigint>"))).alias("spans"), F.concat("items", F.coalesce("i", none.cast("array<string>"))).alias("items"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [sum(s[1::2]) - sum(s[::2]) for s in map(covered, batch.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "ident", "twin", "n_words")), pa.array(n, pa.int64()), batch.column("items")], names=["doc_id", "ident", "twin", "n_words", "n_hit", "items"])
+
+    counted = found.mapInArrow(count, "doc_id long, ident long, twin long, n_words long, n_hit long, items array<string>")
+    items = F.array_sort(F.array_distinct("items"))
+    return counted.select("doc_id", "ident", "twin", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """A row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    return find(docs, benchmark, width, slop, round_bytes).drop("ident", "twin")

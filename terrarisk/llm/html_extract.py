@@ -10,7 +10,7 @@ the workers as a closure (some hundred KB, of fixed size).
 
 Defined results: null or empty html gives an empty text; a page without main blocks gives an empty text; text outside
 any tag is a block; unclosed and stray tags are tolerated; repeated rows get equal results; no block is cut or left out
-for its length.
+for its length; a column of the pages that is called text or n_chars is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ EPOCHS = 14
 #: Blocks that pass through the network at once; longer pages go alone.
 BATCH_BLOCKS = 20_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_BEGIN = re.compile(r"<(?:(!--)|[!?]|(/?)([A-Za-z][^\s/>]*))")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|type|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -52,56 +53,100 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-_node = Cache(lambda k: _names(*k), __name__)
+class Place:
+    """A place in the tag tree: the sum of its ancestors' hashed names, its own included, and its own as a leaf."""
 
+    __slots__ = ("path", "leaf")
 
-def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float]]:
-    """(tag path, text, share of its characters in links) of every block that isn't blank, in page order."""
+    def __init__(self, path: np.ndarray, leaf: np.ndarray):
+        self.path, self.leaf = path, leaf
+
+    def vector(self) -> np.ndarray:
+        return np.clip(self.path + self.leaf, -2, 2)
+
+
+def _hashed(keys: list[str]) -> np.ndarray:
+    out = np.zeros(PATH_DIM, np.float32)
+    for key in keys:
+        h = zlib.crc32(key.encode())
+        out[h % PATH_DIM] += 1.0 if h >> 20 & 1 else -1.0
+    return out
+
+
+def _own(key: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    names = _names(*key)
+    return _hashed([f"any {x}" for x in names]), _hashed([f"leaf {x}" for x in names])
+
+
+_node = Cache(_own, __name__, 5000)
+_ROOT = Place(np.zeros(PATH_DIM, np.float32), np.zeros(PATH_DIM, np.float32))
+
+
+def blocks(page: str) -> list[tuple[Place, str, float]]:
+    """(place, text, share of its characters in links) of every block that isn't blank, in page order.
+
+    The time is linear in the page: open tags are known by their places, and after one tag with an unclosed quote, tags
+    end at the next ">" whatever is quoted. A "<" without a ">" after it is text.
+    """
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Place]] = []
+    where: dict[str, list[int]] = {}  # the places of each open tag in the stack
     parts: list[str] = []
-    linked, at = 0, 0
+    linked, at, begin, loose, in_link = 0, 0, 0, False, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((tuple(n for t, n in stack if t not in _INLINE), text, min(1.0, linked / len(text))))
+            out.append((stack[-1][1] if stack else _ROOT, text, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            where[stack.pop()[0]].pop()
+
+    def last(tags: set[str]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
+
     def close(tags: set[str], stop: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
+        k = last(tags)
+        if k >= 0 and k > last(stop - tags):
+            cut(k)
 
     _node.ready()
-    in_link = 0
-    while m := _TAG.search(page, at):
+    while m := _BEGIN.search(page, begin):
+        tag = m[3].lower() if m[3] else None
+        given = ""
+        if m[1]:
+            k = page.find("-->", m.end())
+            end = k + 3 if k >= 0 else len(page)
+        else:
+            rest = None if loose or not tag else _REST.match(page, m.end())
+            loose = loose or (rest is None and tag is not None)
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            if not end:
+                break
+            given = page[m.end() : end - 1]
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
             if in_link:
                 linked += len(piece)
-        at = m.end()
-        tag = m[2].lower() if m[2] else None
+        at = begin = end
         if tag is None:
             continue
-        if m[1]:
+        if m[2]:
             if tag not in _INLINE:
                 flush()
             if tag == "a":
                 in_link = 0
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if where.get(tag):
+                cut(where[tag][-1])
             continue
-        if tag in _RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in _RAW and not given.endswith("/"):
+            over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = begin = over.end() if over else len(page)
             if tag not in _INLINE:
                 flush()
             continue
@@ -114,7 +159,14 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float]]:
             if tag in _SAME:
                 close(_SAME[tag], {"ul", "ol", "table", "select", "dl"})
         if tag not in _VOID:
-            stack.append((tag, _node[(tag, m[3])]))
+            above = stack[-1][1] if stack else _ROOT
+            if tag in _INLINE:
+                place = above
+            else:
+                path, leaf = _node[(tag, given)] if len(given) < 200 else _own((tag, given))
+                place = Place(above.path + path, leaf)
+            where.setdefault(tag, []).append(len(stack))
+            stack.append((tag, place))
             if tag == "a":
                 in_link = 1
     parts.append(page[at:])
@@ -122,31 +174,15 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float]]:
     return out
 
 
-def _hashed(name: str) -> tuple[int, float]:
-    h = zlib.crc32(name.encode())
-    return h % PATH_DIM, 1.0 if h >> 20 & 1 else -1.0
-
-
-@lru_cache(20_000)
-def path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    out = np.zeros(PATH_DIM, np.float32)
-    for depth, names in enumerate(reversed(path)):
-        for name in names:
-            for key in (f"any {name}", f"leaf {name}") if depth == 0 else (f"any {name}",):
-                i, sign = _hashed(key)
-                out[i] += sign
-    return np.clip(out, -2, 2)
-
-
 _word = Cache(lambda w: zlib.crc32(w.encode()) % WORD_DIM, __name__)
 
 
 def block_vectors(found: list) -> np.ndarray:
     out = np.zeros((len(found), PATH_DIM + WORD_DIM + EXTRA), np.float32)
     _word.ready()
-    for i, (path, text, linked) in enumerate(found):
+    for i, (place, text, linked) in enumerate(found):
         words = text.split()
-        out[i, :PATH_DIM] = path_vector(path)
+        out[i, :PATH_DIM] = place.vector()
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(np.fromiter(map(_word.__getitem__, words), np.int64, len(words)), minlength=WORD_DIM) / len(words)
         ends = text.count(".") + text.count("!") + text.count("?") + text.count(",")
         out[i, PATH_DIM + WORD_DIM :] = (np.log1p(len(words)) / 4, min(2.0, len(text) / 400), linked, min(1.0, ends / len(words)), text[-1] in ".!?\"'”", i / max(1, len(found) - 1))

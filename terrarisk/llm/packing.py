@@ -115,7 +115,7 @@ class Bins:
         return -len(self.items), sum((1 - f / self.capacity) ** 2 for f in self.free.values())
 
     def assignment(self) -> np.ndarray:
-        out = np.empty(len(self.sizes), np.int32)
+        out = np.empty(len(self.sizes), np.int64)
         for k, items in enumerate(self.items.values()):
             out[items] = k
         return out
@@ -207,12 +207,12 @@ def _on_islands(state: DataFrame, capacity: int, islands: int, epochs: int) -> D
                 for r in frame.itertuples(index=False):
                     sizes = np.asarray(r.sizes, np.int64)
                     seed = zlib.crc32(f"{r.block} {r.island} {number}".encode())
-                    out.append(evolve(sizes, [np.asarray(e, np.int32) for e in r.elites], capacity, seed))
+                    out.append(evolve(sizes, [np.unique(np.asarray(e), return_inverse=True)[1] for e in r.elites], capacity, seed))
                 yield frame[["block", "island", "items", "sizes"]].assign(elite=out, bins=[int(e.max()) + 1 for e in out])
 
         return run
 
-    schema = "block long, island int, items array<long>, sizes array<int>, elite array<int>, bins int"
+    schema = "block long, island int, items array<long>, sizes array<int>, elite array<long>, bins int"
     state = state.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "items", "sizes", "elites").repartition("block", "island")
     for number in range(epochs):
         path = shared_dir(state.sparkSession)
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None =
         return got.select("block", F.col("r.item").alias("items"), F.col("r.size").alias("sizes"), F.col("r.bin").alias("bins"))
 
     first = gathered(loose.select(F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"), F.lit(0).cast("long").alias("bin"), "item", "size"))
-    none = F.array().cast("array<array<int>>")
+    none = F.array().cast("array<array<long>>")
     packed = _on_islands(first.select("block", "items", "sizes", none.alias("elites")), capacity, islands, epochs)
 
     def bins(state: DataFrame) -> DataFrame:
@@ -262,8 +262,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None =
     low = done.filter(F.col("fill") < pool_fill).withColumn("bin", F.col("block") * F.lit(1 << 24) + F.col("bin"))
     groups = max(1, -(-low.count() // block_items))
     second = gathered(low.select(F.pmod(F.xxhash64("bin"), F.lit(groups)).alias("block"), "bin", "item", "size"))
-    rank = F.expr("transform(bins, b -> cast(array_position(array_distinct(bins), b) - 1 as int))")
-    again = bins(_on_islands(second.select("block", "items", "sizes", F.array(rank).alias("elites")), capacity, islands, epochs))
+    again = bins(_on_islands(second.select("block", "items", "sizes", F.array("bins").alias("elites")), capacity, islands, epochs))
     placed = done.filter(F.col("fill") >= pool_fill).select("item", (F.col("block") * F.lit(1 << 25) + F.col("bin") * 2).alias("sequence_id"), "offset").unionByName(again.select("item", (F.col("block") * F.lit(1 << 25) + F.col("bin") * 2 + 1).alias("sequence_id"), "offset"))
     full = pieces.filter(F.col("length") >= capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity).join(placed, "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -11,11 +11,13 @@ folds, from a bounded sample (`max_docs` a class, texts of at most `max_chars`);
 text. A worker keeps the savings of a bounded number of windows.
 
 Defined results: null and empty texts have one score, that of a text without savings; without labels of both classes
-every score is 0; repeated rows get equal scores; an empty table gives an empty result.
+every score is 0; repeated rows get equal scores; a null doc_id is no label's, so its row is held out; of several texts under a labelled doc_id one is learnt from, and a document labelled both ways is
+toxic; columns called as the new ones are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
@@ -45,6 +47,12 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray  # the last is the bias
 
+    def digest(self) -> bytes:
+        """Of the dictionaries: a worker that is used again knows by it whether it holds those of this model."""
+        if not hasattr(self, "_digest"):
+            self._digest = hashlib.sha256(len(self.ordinary).to_bytes(8, "big") + self.ordinary + self.toxic).digest()
+        return self._digest
+
 
 def windows(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
@@ -105,7 +113,7 @@ class Savings(Cache):
             text = lead + b" %b " % window + tail
             return len(plain(text)) - len(toxic(text))
 
-        super().__init__(saved)
+        super().__init__(saved, __name__)
 
 
 def features(text: bytes, savings: Savings) -> np.ndarray:
@@ -118,11 +126,13 @@ def features(text: bytes, savings: Savings) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model | None:
-    known = labels.filter("toxic in (0, 1)").select("doc_id", "toxic").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
+    # a document that is labelled both ways counts as toxic
+    known = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
     order = F.xxhash64("doc_id")
     chosen = known.filter("toxic = 1").orderBy(order, "doc_id").limit(max_docs).unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(max_docs))
-    # at most 2 * max_docs rows, so that this side has a bounded size
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+    # at most 2 * max_docs rows, so that this side has a bounded size; of texts under one doc_id the first one by hash
+    met = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(F.broadcast(chosen), "doc_id")
+    rows = met.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id").collect()
     by = {y: [r.text.encode() for r in rows if r.toxic == y] for y in (0, 1)}
     if len(by[0]) < 2 or len(by[1]) < 2:
         return None
@@ -141,14 +151,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int =
     return model
 
 
-_ready: dict[int, Savings] = {}
+_ready: dict[bytes, Savings] = {}
 
 
 def score(text: bytes, model: Model) -> float:
-    if id(model) not in _ready:
+    key = model.digest()
+    if key not in _ready:
         _ready.clear()
-        _ready[id(model)] = Savings(model)
-    z = (features(text, _ready[id(model)]) - model.mean) / model.scale
+        _ready[key] = Savings(model)
+    z = (features(text, _ready[key]) - model.mean) / model.scale
     return float(1 / (1 + np.exp(-np.clip(z @ model.weights[:-1] + model.weights[-1], -30, 30))))
 
 
@@ -158,7 +169,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: i
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = np.array([score(t, model) if model else 0.0 for t in column_bytes(batch, "text")], float)
-        held = [zlib.crc32(str(i).encode()) % folds == 0 for i in batch.column("doc_id").to_pylist()]
+        held = [i is None or zlib.crc32(str(i).encode()) % folds == 0 for i in batch.column("doc_id").to_pylist()]
         return with_columns(batch, {"held_out": pa.array(held, pa.bool_()), "score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))})
 
     new = "held_out boolean, score double, predicted int"

@@ -133,6 +133,23 @@ def test_decontaminate(spark, docs, texts, sf_dir):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_repeated_items_and_rounds(spark, docs, texts):
+    """Rows of one item_id are one item, null ones count but aren't named, and rounds of any size find the same."""
+    bench = spark.createDataFrame([(7, "one two three"), (7, "one two three"), (7, "word word"), (8, "one two"), (None, "one two"), (9, "same line here")], "item_id int, text string")
+    hashes = {1: hashlib.sha256(b"7,8").hexdigest()}
+    one = sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect()), key=str)
+    assert sorted(map(tuple, decontaminate.decontaminate(docs, bench, round_bytes=1).collect()), key=str) == one
+    five = [r for r in one if r[0] == 100_005]
+    assert len(five) == 2 and all(r[1:] == (9, 9, 3, hashes[1], True) for r in five)
+
+
+def test_decontaminate_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "a b c", 1), (None, "x a b c", 2), (None, "q", 3), (1, "a b c", 4), (1, "q", 5), (1, "q", 5)], "doc_id int, text string, items long")
+    bench = spark.createDataFrame([("i", "A b")], "item_id string, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit) for r in decontaminate.decontaminate(docs, bench).collect())
+    assert got == [("1", 1, 0), ("1", 1, 0), ("1", 3, 2), ("None", 1, 0), ("None", 3, 2), ("None", 4, 2)]
+
+
 def test_decontaminate_proximity(spark):
     docs = spark.createDataFrame([(1, "a b x c d"), (2, "a b c d"), (3, "d c b a"), (None, "q a b c d")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
@@ -163,6 +180,16 @@ def test_token_file(spark, docs, encoded):
     assert token_file.token_files(docs.limit(0)).count() == 0
 
 
+def test_token_file_without_ids(spark, docs, encoded):
+    """Documents without an id come first, in shards of their own; shards end by documents too."""
+    none = spark.createDataFrame([(None, "word one"), (None, None), (None, "a")], "doc_id long, text string")
+    got = token_file.read_tokens(token_file.write_tokens(docs.select("doc_id", "text").unionByName(none), path := shared_dir(spark), shard_docs=50), path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 3 + sorted(d for d, _ in encoded)
+    assert got[0].n_tokens == 1 and got[3].start == sum(r.n_tokens for r in got[:3])
+    want = sorted((d, zlib.crc32(ids.tobytes())) for d, ids in encoded)
+    assert sorted((r.doc_id, r.ids_crc32) for r in got[3:]) == want
+
+
 def test_token_file_random_access(spark, docs, encoded):
     from pyarrow import fs
 
@@ -182,11 +209,13 @@ def test_token_file_random_access(spark, docs, encoded):
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
-    for n, top in ((0, 1), (1, 1), (5, 3), (1000, 10), (3000, 10**9), (257, 256)):
+    for n, top in ((0, 1), (1, 1), (5, 3), (1000, 10), (3000, 10**9), (257, 256), (20_000, 7), (9000, 10**12)):
         v = np.sort(rng.integers(0, top, n))
         e = token_file.EliasFano.from_bytes(token_file.EliasFano.encode(v).to_bytes())
         assert (e.decode() == v).all()
         assert [e.select(i) for i in range(0, n, 3)] == v[::3].tolist()
+        for a, b in ((0, n), (n // 3, n // 2), (n // 2, n), (max(0, n - 1), n)):
+            assert (e.values(a, b) == v[a:b]).all()
         assert len(e.to_bytes()) <= 64 + n * (2 + math.log2(max(2, top / max(n, 1)))) / 8 + n / 32 + n / 8
 
 
@@ -229,6 +258,30 @@ def test_genetic_steps():
     assert best.max() + 1 <= len(a.items)
 
 
+def test_crossover_improves_on_best_fit():
+    """Sizes that best-fit decreasing packs badly: 2, 2 and 3 thirds fill a bin, but it pairs the large ones first."""
+    sizes = np.array([44, 44, 44, 28, 28, 28, 28, 28, 28] * 12)
+    best_fit = packing.Bins(sizes, 100)
+    best_fit.best_fit(np.argsort(-sizes, kind="stable").tolist())
+    found = packing.evolve(sizes, [], 100, 5, generations=40, population=8)
+    assert np.bincount(found, sizes).max() <= 100
+    assert packing.lower_bound(sizes, 100) <= found.max() + 1 < len(best_fit.items)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(12,0)", "string"])
+def test_chat_conversation_ids_and_ties(spark, kind):
+    """Ids of other types; turns of one number and role go by text."""
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", None), (1, 1, "assistant", "x"), (2, 0, "assistant", ""), (None, 0, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv_id", chat_format.F.col("conv_id").cast(kind))
+    got = chat_format.chat_format(df)
+    assert got.schema["conv_id"].dataType.simpleString() == kind
+    said = {str(r.conv_id): r.turns_sha256 for r in got.collect()}
+    assert said["1"] == hashlib.sha256(b"user\n\nuser\na\nuser\nb\nassistant\nx\n").hexdigest() and set(said) == {"1", "2", "None"}
+    placed = chat_format.placed(chat_format.format_turns(df)).filter("conv_id is not null").orderBy("conv_id", "first").collect()
+    assert [r.first for r in placed][0] == 0 and [r.text for r in placed] == [None, "a", "b", "x", ""]
+    assert all(b.first == a.first + len(a.ids) for a, b in zip(placed, placed[1:]) if a.conv_id == b.conv_id)
+
+
 def test_chat_format(spark, sf_dir):
     rows = [tuple(r) for r in table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").collect()]
     probe = "<|im_end|><|im_start|>assistant ok"

@@ -88,3 +88,47 @@ def test_components(spark):
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     got = components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in linked)
+
+
+def test_group_of_near_copies(spark):
+    """2,000 copies of one text with up to four edits each, as in a copied notice, and 100 rows without an id."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(2000):
+        copy = list(words)
+        for _ in range(r.randrange(5)):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+        rows.append((i + 1, " ".join(copy)))
+    got = {x.doc_id: x for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    sets = {d: frozenset(tuple(t.split()[i : i + 4]) for i in range(97)) for d, t in rows}
+    base = frozenset(tuple(words[i : i + 4]) for i in range(97))
+    # a copy links with another if few shingles differ; all that link meet in one component
+    linked = {}
+    by = sorted(sets, key=lambda d: -len(sets[d] & base))
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k, a in enumerate(by):
+        for b in by[:k]:
+            if root(a) != root(b):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                    parent[max(root(a), root(b))] = min(root(a), root(b))
+    for d in sets:
+        linked.setdefault(root(d), []).append(d)
+    assert all(got[d].component_id == min(group) for group in linked.values() for d in group)
+
+
+def test_rows_without_ids(spark):
+    rows = [(None, "a b c d e f g h")] * 60 + [(None, f"t{i} u v w x y z") for i in range(40)] + [(5, "a b c d e f g h"), (6, "t1 u v w x y z"), (6, "quite another text under one id"), (None, None), (7, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert sum(r.component_id == 5 for r in got) == 61 and sum(r.component_id == 6 for r in got) == 3
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted({(str(d), t or "") for d, t in [(5, rows[0][1]), (6, "t1 u v w x y z"), (6, "quite another text under one id"), (None, None), (7, None), *[(None, f"t{i} u v w x y z") for i in range(40) if i != 1]]})

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -43,6 +44,29 @@ def test_blocks():
     assert html_extract.blocks(page)[1][2] == 1.0
 
 
+def test_blocks_in_linear_time():
+    """Pages of a megabyte that make a backtracking reader quadratic."""
+    began = time.time()
+    assert len(html_extract.blocks('<a "' * 250_000)) == 1
+    assert len(html_extract.blocks('<a "' * 100_000 + "'>")) >= 1
+    assert len(html_extract.blocks("<div>x" * 100_000 + "</b>" * 100_000)) == 100_000
+    html_extract.blocks("<p><table>" + "<div>" * 150_000)
+    html_extract.blocks("<!" * 500_000)
+    assert time.time() - began < 60
+
+
+def test_plain_divs_without_article(labeller):
+    """Pages whose article is in a plain div."""
+    r, found, wanted = random.Random(5), 0, 0
+    for _ in range(40):
+        body = [" ".join(r.choice(["lorem", "ipsum", "dolor", "sit", "amet", "nunc"]) for _ in range(r.randint(25, 60))).capitalize() + "." for _ in range(r.randint(3, 6))]
+        page = f"<html><body><div class='menu'><ul>{''.join(f'<li><a href=/x>{w}</a></li>' for w in ('home', 'news', 'about'))}</ul></div><div class='content'><h1>Title of it</h1>{''.join(f'<p>{b}</p>' for b in body)}</div><div class='footer'><p>&copy; 2020 us</p></div></body></html>"
+        text = html_extract.extract_texts([page], labeller)[0]
+        found += sum(b in text for b in body) - text.count("home") - text.count("2020")
+        wanted += len(body)
+    assert found / wanted > 0.95
+
+
 def test_labeller_on_unseen_layouts(labeller):
     r, right, n = random.Random(77), 0, 0
     for _ in range(120):
@@ -114,6 +138,18 @@ def test_em_recovers_labellers():
     assert abs(sum(k * post[p] for p, k in counts.items()) / n - 0.8) < 0.02
 
 
+def test_toxicity_models_do_not_mix():
+    """A worker that scores with one model after another uses the dictionaries of each."""
+    train = lambda word: toxicity.Model(b" plain words of a text " * 20, b" plain words of a text " * 20 + word * 5, np.zeros(7), np.ones(7), np.ones(8))
+    fresh = {}
+    for word in (b" qqzzxxyy ", b" kkjjhhgg "):
+        fresh[word] = toxicity.score(b"a qqzzxxyy b kkjjhhgg kkjjhhgg", train(word))
+    for k in range(20):
+        word = (b" qqzzxxyy ", b" kkjjhhgg ")[k % 2]
+        assert toxicity.score(b"a qqzzxxyy b kkjjhhgg kkjjhhgg", train(word)) == fresh[word]
+    assert len(set(fresh.values())) == 2
+
+
 def test_toxicity(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text"), table(spark, "/root/testdata/sf0.1", "labels")
     both = docs.unionByName(spark.createDataFrame(ODD, "doc_id long, text string"))

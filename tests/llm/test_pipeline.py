@@ -1,9 +1,6 @@
 """The pipeline's stages against plain versions on the small table."""
 
-from collections import defaultdict
-
 from test_exact import brute_decontaminate
-from test_jaccard import brute
 
 import corpus_pipeline
 from terrarisk.llm import quality_rules, weak_label
@@ -24,10 +21,7 @@ def test_stages(spark, sf_dir):
     rules = quality_rules.quality_rules(seen[0][0], table(spark, sf_dir, "labels"))
     assert ids(seen[0][1]) == ids(rules.filter("kept"))
     assert ids(seen[1][1]) == ids(weak_label.weak_label_classifier(seen[1][0]).filter("kept"))
-    groups = defaultdict(set)
-    for doc, _, component in brute([(r.doc_id, r.text) for r in seen[2][0].collect()]):
-        groups[component].add(doc)
-    assert ids(seen[2][1]) == sorted(groups)
+    assert ids(seen[2][1]) == brute_near([(r.doc_id, r.text) for r in seen[2][0].collect()])
     rows = [(r.doc_id, r.text) for r in seen[3][0].collect()]
     items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
     assert ids(seen[3][1]) == sorted(d for d, _, hit, *_ in brute_decontaminate(rows, items) if not hit)
@@ -72,3 +66,20 @@ def test_near_duplicates_at_five_words(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_rows_are_judged_one_by_one(spark, sf_dir):
+    """Null ids, two texts under one id, and columns called as the operators' own."""
+    good = [r.text for r in table(spark, sf_dir, "documents").collect() if r.text and len(r.text.split()) > 120][:6]
+    item = table(spark, sf_dir, "benchmark").filter("length(text) > 80").first().text
+    rows = [(None, good[0], "x"), (None, good[1], "y"), (1, good[2], "z"), (1, good[3], "z"), (1, good[3], "z"), (None, good[4] + " " + item, "c"), (2, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("hit_id", quality_rules.F.lit(3)).withColumn("kept", quality_rules.F.lit("own"))
+    near = corpus_pipeline.one_of_each_group(spark, docs, sf_dir)
+    assert near.columns == docs.columns
+    assert sorted(r.text or "" for r in near.collect()) == sorted({r[1] or "" for r in rows})
+    clean = corpus_pipeline.without_benchmark(spark, near, sf_dir).collect()
+    assert sorted(r.text or "" for r in clean) == sorted({r[1] or "" for r in rows if r[2] != "c"})
+    for stage in (corpus_pipeline.keep_quality, corpus_pipeline.keep_classified):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.schema["score"].dataType.simpleString() == "string"
+        assert {r.kept for r in out.collect()} <= {"own"}
