@@ -59,6 +59,17 @@ def point_line_km(parts: Column, lat: Column, lon: Column) -> Column:
     return F.array_min(F.transform(all_edges(parts), lambda e: point_segment_km(lat, lon, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
 
 
+def is_polygon(parts: Column) -> Column:
+    """Whether a part's first ring is closed."""
+    return F.exists(parts, lambda p: (F.size(p["rings"][0]) > 3) & (F.element_at(p["rings"][0], 1) == F.element_at(p["rings"][0], -1)))
+
+
+def geometry_km(parts: Column, lat: Column, lon: Column) -> Column:
+    """Distance to points (rings of one point) and lines; polygons are infinitely far, so that no search finds them."""
+    point = F.transform(F.filter(parts, lambda p: F.size(p["rings"][0]) == 1), lambda p: haversine_km(lat, lon, p["rings"][0][0]["y"], p["rings"][0][0]["x"]))
+    return F.when(is_polygon(parts), F.lit(float("inf"))).otherwise(F.least(F.array_min(point), point_line_km(parts, lat, lon)))
+
+
 def bbox(parts: Column) -> Column:
     points = F.flatten(F.flatten(F.transform(parts, lambda p: p["rings"])))
     x, y = F.transform(points, lambda q: q["x"]), F.transform(points, lambda q: q["y"])

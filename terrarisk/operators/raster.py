@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +14,24 @@ TILE_DEGREES = 0.1
 
 
 def to_array(pixels: DataFrame, rows: int, cols: int, missing: float | None = None) -> DataFrame:
-    """tile_id, data: a dense row-major array per tile, NULL (or missing) where no pixel is."""
-    got = pixels.groupBy("tile_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("row") * cols + F.col("col")).cast("int").alias("k"), "value"))).alias("m"))
-    value = lambda k: F.coalesce(F.try_element_at("m", k), F.lit(missing).cast("double"))
-    return got.select("tile_id", F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), value).alias("data"))
+    """tile_id, data: a dense row-major array per tile, NULL (or missing) where no pixel is. A tile is one task's work."""
+
+    def scatter(part: pa.Table) -> pa.Table:
+        at = part.column("row").to_numpy().astype(np.int64) * cols + part.column("col").to_numpy().astype(np.int64)
+        value = part.column("value").cast(pa.float64())
+        there = value.is_valid().to_numpy()
+        data, empty = np.full(rows * cols, 0.0 if missing is None else missing), np.ones(rows * cols, bool)
+        data[at[there]], empty[at[there]] = value.drop_null().to_numpy(), False
+        flat = pa.array(data, mask=empty) if missing is None else pa.array(data)
+        return pa.table({"tile_id": part.column("tile_id")[:1], "data": pa.ListArray.from_arrays(pa.array([0, rows * cols], pa.int32()), flat)})
+
+    kind = pixels.schema["tile_id"].dataType.simpleString()
+    return pixels.select("tile_id", "row", "col", "value").groupBy("tile_id").applyInArrow(scatter, f"tile_id {kind}, data array<double>")
+
+
+def dense(pixels: DataFrame, rows: int, cols: int, missing: float = 0.0) -> DataFrame:
+    """Pixels of whole tiles, with `missing` where none was."""
+    return explode_pixels(to_array(pixels, rows, cols, missing), cols)
 
 
 def explode_pixels(tiles: DataFrame, cols: int) -> DataFrame:
@@ -75,6 +90,32 @@ def window_max(sites: DataFrame, pixels: DataFrame, rows: int, cols: int, radius
     return n.join(pixels, ["tile_id", "row", "col"]).groupBy("site_id").agg(F.max("value").alias("value"))
 
 
+def max_slope_nearby(sites: DataFrame, pixels: DataFrame, rows: int, cols: int, radius: int | None = None) -> DataFrame:
+    """site_id, elevation, slope and the largest slope within radius pixels (4, or a 50th of the rows if that is less);
+    pixels at a tile's border are skipped.
+
+    The site's elevation stands for missing neighbours, and its latitude gives the width of a pixel. A site meets its
+    tile's array once, instead of a row for each of the (2 radius + 3) squared pixels.
+    """
+    radius = min(4, rows // 50) if radius is None else radius
+    at = nearest_pixel(sites, rows, cols).select("site_id", "tile_id", "lat", "row", "col")
+    met = at.join(to_array(pixels, rows, cols), "tile_id")
+    y, x = TILE_DEGREES / rows * 111000, F.lit(TILE_DEGREES / cols * 111000) * F.cos(F.radians("lat"))
+    inside = lambda r, k: (r >= 0) & (r < rows) & (k >= 0) & (k < cols)
+    height = lambda r, k: F.when(inside(r, k), F.coalesce(F.get("data", (r * cols + k).cast("int")), F.col("elevation"))).otherwise(F.col("elevation"))
+
+    def slope(r: Column, k: Column) -> Column:
+        dx, dy = (height(r, k + 1) - height(r, k - 1)) / (2 * x), (height(r + 1, k) - height(r - 1, k)) / (2 * y)
+        return F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
+
+    met = met.withColumn("elevation", F.get("data", (F.col("row") * cols + F.col("col")).cast("int"))).filter("elevation is not null")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i or j] or [F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))])
+    inner = F.filter(steps, lambda d: (F.col("row") + d["i"] >= 1) & (F.col("row") + d["i"] < rows - 1) & (F.col("col") + d["j"] >= 1) & (F.col("col") + d["j"] < cols - 1))
+    own = slope(F.col("row"), F.col("col"))
+    around = F.array_max(F.transform(inner, lambda d: slope(F.col("row") + d["i"], F.col("col") + d["j"])))
+    return met.select("site_id", "elevation", own.alias("slope"), F.greatest(own, around).alias("max_slope"))
+
+
 def sample_distance_weighted(sites: DataFrame, pixels: DataFrame, rows: int, cols: int, radius: int, mu: float = 6.63, sigma: float = 0.51, metres: float = 30.0) -> DataFrame:
     """The pixel's value, or where it is zero a mean of non-zero pixels by a lognormal weight of their distance."""
     at = nearest_pixel(sites, rows, cols).select("site_id", "tile_id", "row", "col")
@@ -165,3 +206,65 @@ def decode(raw: Column, scale: float, offset: float = 0.0, nodata: int = 65535)
 
 def unpack_flags(raw: Column, feet: tuple[int, ...] = (1, 2, 3, 4, 6, 10)) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(str(f)) for f in feet]), F.array(*[F.getbit(raw, F.lit(k)) == 1 for k in range(len(feet))]))
+
+
+def promote_low(pixels: DataFrame, classes: DataFrame, least: int = 2) -> DataFrame:
+    """Pixels under the lower quartile of the tile's positive values, and in a class of `least` or more (tile_id, row,
+    col, class), take their median."""
+    q = pixels.filter("value > 0").groupBy("tile_id").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5))).alias("q"))
+    met = pixels.join(q, "tile_id", "left").join(classes.select("tile_id", "row", "col", "class"), ["tile_id", "row", "col"], "left")
+    low = (F.col("value") < F.col("q")[0]) & (F.col("class") >= least)
+    return met.select("tile_id", "row", "col", F.when(low, F.col("q")[1]).otherwise(F.col("value")).alias("value"))
+
+
+def fire_arrival_30yr(pixels: DataFrame, factors: DataFrame, classes: DataFrame, rows: int, cols: int, radius: int = 167, least: float = 0.001) -> DataFrame:
+    """tile_id, row, col, p30: the chance that fire arrives in 30 years.
+
+    Annual burn probabilities (pixels, in units of 1e-5, missing ones zero) times the tile's calibration factor
+    (tile_id, value); low pixels of high hazard classes are promoted, zeros filled with a focal mean; tiles whose
+    largest p30 is under `least` go. The quartiles are taken before the factor, which changes no order.
+    """
+    promoted = promote_low(dense(pixels, rows, cols), classes)
+    annual = promoted.join(factors.select("tile_id", F.col("value").alias("factor")), "tile_id").withColumn("value", F.col("value") / 1e5 * F.col("factor"))
+    full = explode_pixels(focal_mean_fill(to_array(annual, rows, cols, 0.0), rows, cols, min(radius, rows // 2)), cols)
+    p = 1 - F.pow(1 - F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0)), F.lit(30.0))
+    arrival = full.select("tile_id", "row", "col", p.alias("p30"))
+    kept = arrival.groupBy("tile_id").agg(F.max("p30").alias("m")).filter(F.col("m") >= least).select("tile_id")
+    return arrival.join(kept, "tile_id", "leftsemi")
+
+
+def fire_exposure(arrival: DataFrame, flame: DataFrame, distance: DataFrame, share: DataFrame, rows: int, cols: int, distance_shape: tuple[int, int], radius: int = 7) -> DataFrame:
+    """arrival with the damage model's inputs: flame_ft (zeros take the largest near them), distance_m (resampled from
+    its own grid; zero where there is none) and the tile's fair_share (tile_id, value)."""
+    near = explode_pixels(focal_max_fill(to_array(flame, rows, cols, 0.0), rows, cols, min(radius, rows // 10)), cols).withColumnRenamed("value", "flame_ft")
+    far = resample_nearest(distance, *distance_shape, rows, cols).withColumnRenamed("value", "distance_m")
+    at = ["tile_id", "row", "col"]
+    met = arrival.join(near, at, "left").join(far, at, "left").join(share.select("tile_id", F.col("value").alias("fair_share")), "tile_id", "left")
+    return met.select(*at, "p30", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("flame_ft", "distance_m", "fair_share")])
+
+
+def fire_risk_tiles(exposure: DataFrame, p_destroyed: Column, scale: float = 10000.0) -> DataFrame:
+    """tile_id, row, col, raw: p30 times the chance of destruction, in 16 bits; tiles that are all zero go.
+
+    The product is rounded to 9 places before it is cut, so that the last bits of either factor decide no step.
+    """
+    raw = exposure.withColumn("raw", encode(F.round(F.col("p30") * p_destroyed, 9), scale)).select("tile_id", "row", "col", "raw")
+    return raw.join(raw.filter("raw > 0").select("tile_id").distinct(), "tile_id", "leftsemi")
+
+
+def mean_modeled(pixels: DataFrame, cell: float, scale: float = 1e5) -> DataFrame:
+    """ci, cj, modeled: the mean of all pixels (lat, lon, value), zeros too, in each coarse cell."""
+    at = [F.floor(F.col(c) / F.lit(cell)).alias(n) for c, n in (("lat", "ci"), ("lon", "cj"))]
+    return pixels.groupBy(*at).agg((F.avg("value") / scale).alias("modeled"))
+
+
+def calibration_factors(observed: DataFrame, modeled: DataFrame, low: float = 0.5, high: float = 20.0) -> DataFrame:
+    """ci, cj, factor: observed over modeled frequency where the model has any, clipped; nothing observed counts as 0."""
+    met = modeled.filter("modeled > 0").join(observed.select("ci", "cj", "obs"), ["ci", "cj"], "left")
+    return met.select("ci", "cj", F.least(F.greatest(F.coalesce("obs", F.lit(0.0)) / F.col("modeled"), F.lit(low)), F.lit(high)).alias("factor"))
+
+
+def fill_with_median(factors: DataFrame, cells: DataFrame) -> DataFrame:
+    """All cells (ci, cj) with value: their factor, else the median of the factors."""
+    median = factors.agg(F.median("factor").alias("med"))  # one row
+    return cells.join(factors, ["ci", "cj"], "left").join(F.broadcast(median)).select(*cells.columns, F.coalesce("factor", "med").alias("value"))

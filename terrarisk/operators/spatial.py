@@ -85,23 +85,38 @@ def segments(layer: DataFrame, key: str) -> DataFrame:
     return layer.select(key, F.explode(G.all_edges(F.col("parts"))).alias("e")).select(key, *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
 
 
+def grown(layer: DataFrame, south: Column, north: Column, west: Column, east: Column, max_km: float, fine: int) -> tuple[DataFrame, float]:
+    """layer with its box (_south, _north, _west, _east) grown by max_km and a row for each cell (ci, cj) that this box
+    touches, and the cells' size: max_km over `fine`, so that a city isn't one cell."""
+    lat = max_km / KM_PER_DEGREE * 1.02
+    lon, cell = lat / math.cos(math.radians(MAX_LAT)), max(lat / fine, 0.002)
+    boxed = layer.withColumns({"_south": south - lat, "_north": north + lat, "_west": west - lon, "_east": east + lon})
+    cells = lambda lo, hi: F.explode(F.sequence(G.tile_index(F.col(lo), cell), G.tile_index(F.col(hi), cell)))
+    return boxed.withColumn("ci", cells("_south", "_north")).withColumn("cj", cells("_west", "_east")), cell
+
+
+#: A site lies in the grown box of what it met; comparisons only, before any trigonometry.
+IN_BOX = "lat >= _south and lat <= _north and lon >= _west and lon <= _east"
+
+
 def line_distances(sites: DataFrame, layer: DataFrame, key: str, max_km: float) -> DataFrame:
-    """site_id, key, distance_km for lines within max_km; long lines are met edge by edge."""
-    cell = ring_cell(max_km)
-    edge = segments(layer, key)
-    for out, a, b in (("ci", "ay", "by"), ("cj", "ax", "bx")):
-        edge = edge.withColumn(out, F.explode(F.sequence(G.tile_index(F.least(a, b), cell), G.tile_index(F.greatest(a, b), cell))))
+    """site_id, key, distance_km for lines within max_km.
+
+    The layer's edges, grown by max_km, are copied to the cells that they touch; a site lies in one cell and is moved
+    once. Cells with many sites are split by Spark's handling of skewed joins, for no grouping follows on the cells.
+    """
+    edge, cell = grown(segments(layer, key), F.least("ay", "by"), F.greatest("ay", "by"), F.least("ax", "bx"), F.greatest("ax", "bx"), max_km, 2)
     d = G.point_segment_km(*[F.col(c) for c in ("lat", "lon", "ax", "ay", "bx", "by")])
-    met = around(sites.select("site_id", "lat", "lon"), cell).join(edge, ["ci", "cj"])
-    return met.groupBy("site_id", key).agg(F.min(d).alias("distance_km")).filter(F.col("distance_km") <= max_km)
+    met = in_cells(sites.select("site_id", "lat", "lon"), cell).join(edge, ["ci", "cj"]).filter(IN_BOX)
+    return met.select("site_id", key, d.alias("d")).filter(F.col("d") <= max_km).groupBy("site_id", key).agg(F.min("d").alias("distance_km"))
 
 
 def point_distances(sites: DataFrame, points: DataFrame, key: str, max_km: float) -> DataFrame:
-    """site_id, key, distance_km for points (key, lat, lon) within max_km."""
-    cell = ring_cell(max_km)
-    p = in_cells(points.select(key, "lat", "lon"), cell).withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"})
+    """site_id, key, distance_km for points (key, lat, lon) within max_km; a site is moved once, as in line_distances."""
+    p = points.select(key, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    p, cell = grown(p, F.col("p_lat"), F.col("p_lat"), F.col("p_lon"), F.col("p_lon"), max_km, 1)
     d = G.haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    return around(sites.select("site_id", "lat", "lon"), cell).join(p, ["ci", "cj"]).select("site_id", key, d.alias("distance_km")).filter(F.col("distance_km") <= max_km)
+    return in_cells(sites.select("site_id", "lat", "lon"), cell).join(p, ["ci", "cj"]).filter(IN_BOX).select("site_id", key, d.alias("distance_km")).filter(F.col("distance_km") <= max_km)
 
 
 def nearest_of(distances: DataFrame, key: str, k: int = 1) -> DataFrame:
@@ -114,14 +129,15 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, value: s
     """For each point the value of the centroid that is nearest in degrees; ties to the smaller value.
 
     Candidates are cut by growing cells: a centroid in the 3 by 3 block of a cell is certain once it is nearer than the
-    cell is wide; the others go on with cells four times as wide, the last of which spans everything.
+    cell is wide; the others go on with cells 16 times as wide, the last of which spans everything. The centroids are
+    copied to the cells around theirs, a point lies in one.
     """
     found, left, cell = None, points.select(key, "lat", "lon"), 0.25
-    c = centroids.select(F.col(value), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    c = centroids.select(value, "lat", "lon")
     d2 = (F.col("lat") - F.col("c_lat")) ** 2 + (F.col("lon") - F.col("c_lon")) ** 2
     while True:
-        grid = c.withColumn("ci", G.tile_index(F.col("c_lat"), cell)).withColumn("cj", G.tile_index(F.col("c_lon"), cell))
-        best = around(left.withColumnRenamed(key, "site_id"), cell).withColumnRenamed("site_id", key).join(grid, ["ci", "cj"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col(value))).alias("b"))
+        grid = around(c, cell).withColumnsRenamed({"lat": "c_lat", "lon": "c_lon"})
+        best = in_cells(left, cell).join(grid, ["ci", "cj"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col(value))).alias("b"))
         sure = best.select(key, f"b.{value}", F.sqrt("b.d2").alias("degrees"))
         if cell < 64:
             sure = sure.filter(F.col("degrees") <= cell)
@@ -166,6 +182,22 @@ def zonal_pairs(polys: DataFrame, pixels: DataFrame, key: str = "poly_id", cell:
     return zone_pairs(pixels, polys, cell)
 
 
+def grid_lookup(places: DataFrame, grid: DataFrame, cell: float) -> DataFrame:
+    """places (lat, lon) with the value of the coarse cell (ci, cj) of a full grid that holds them; places beyond the
+    grid take its border."""
+    size = grid.agg(*[f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("ci", "cj")])  # one row
+    clamp = lambda v, c: F.least(F.greatest(v, F.col(f"lo_{c}")), F.col(f"hi_{c}"))
+    at = in_cells(places, cell).join(F.broadcast(size)).withColumns({c: clamp(F.col(c), c) for c in ("ci", "cj")})
+    return at.join(grid.select("ci", "cj", "value"), ["ci", "cj"]).select(*places.columns, "value")
+
+
+def tract_resolve(sites: DataFrame, tracts: DataFrame, geoid: str, cached: str) -> DataFrame:
+    """sites with geoid: of the tract polygon (poly_id, seq, parts) that holds them, where an empty one gives NULL; only
+    sites in no polygon keep the tract that was stored for them."""
+    hit = zone_lookup(sites, tracts.withColumn("_geoid", F.struct(geoid)), ["_geoid"])
+    return hit.withColumn(geoid, F.when(F.col("_geoid").isNotNull(), F.nullif(F.col(f"_geoid.{geoid}"), F.lit(""))).otherwise(F.col(cached))).drop("_geoid")
+
+
 def lookup_default(sites: DataFrame, values: DataFrame, key: str, value: str, default: Column) -> DataFrame:
     return sites.join(values.select(key, value), key, "left").withColumn(value, F.coalesce(value, default))
 

@@ -105,12 +105,19 @@ def even_subsample(df: DataFrame, frame: str, order: str, n: int = 8, min_years:
     return k.filter((F.col("m") <= n) | (F.col("years") < min_years) | F.array_contains(wanted, F.col("i").cast("long"))).drop("i", "m", "years")
 
 
-def prefix_search(addresses: DataFrame, queries: DataFrame, limit: int = 6, key_length: int = 2) -> DataFrame:
-    """Per query its first addresses that start with it, without case; queries under two characters find nothing."""
-    a = addresses.withColumn("low", F.lower("address")).withColumn("k", F.substring("low", 1, key_length))
-    q = queries.filter(F.length("q") >= key_length).withColumn("ql", F.lower("q")).withColumn("k", F.substring("ql", 1, key_length))
-    w = Window.partitionBy("q").orderBy("low", "address_id")
-    return a.join(q, "k").filter(F.col("low").startswith(F.col("ql"))).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("q", "rank", "address_id", "address")
+def prefix_search(addresses: DataFrame, queries: DataFrame, limit: int = 6, key_lengths: tuple[int, ...] = (2, 3, 4, 5), salts: int = 64) -> DataFrame:
+    """Per query its first addresses that start with it, without case; queries under two characters find nothing.
+
+    A query joins on its first characters, as many of key_lengths as it has; an address has a row for each of them. The
+    first `limit` of each of `salts` parts of a query's matches are found before they meet.
+    """
+    low, ql = F.lower("address"), F.lower("q")
+    cut = lambda v: F.transform(F.filter(F.array(*[F.lit(n) for n in key_lengths]), lambda n: F.length(v) >= n), lambda n: F.substring(v, F.lit(1), n))
+    q = queries.select("q").distinct().withColumn("ql", ql).filter(F.length("ql") >= min(key_lengths)).withColumn("k", F.element_at(cut(F.col("ql")), -1))
+    a = addresses.withColumn("low", low).withColumn("k", F.explode(cut(F.col("low"))))
+    met = a.join(q, "k").filter(F.col("low").startswith(F.col("ql"))).withColumn("salt", F.pmod(F.xxhash64("address_id"), F.lit(salts)))
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("low", "address_id"))).filter(F.col("rank") <= limit)
+    return first(first(met, "q", "salt"), "q").select("q", "rank", "address_id", "address")
 
 
 # Short forms in addresses.
@@ -138,3 +145,51 @@ def upsert_latest(cache: DataFrame, new: DataFrame, key: str, order: list[str])
     """The latest row per key of both."""
     w = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])
     return cache.unionByName(new).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+# The box of the state that is served.
+SERVED = {"south": 32.5, "north": 42.0, "west": -124.5, "east": -114.0}
+
+
+def geocode_resolve(requests: DataFrame, cache: DataFrame, index: DataFrame) -> DataFrame:
+    """requests (request_id, key, lat, lon) with source, lat, lon and outside.
+
+    A request's own coordinates come first, then the cache's for its key, then the index's; else it is unresolved. What
+    lies outside the served box is marked. cache and index have one row per key.
+    """
+    side = lambda df, n: df.select("key", F.struct("lat", "lon").alias(n))
+    met = requests.join(side(cache, "_cache"), "key", "left").join(side(index, "_index"), "key", "left")
+    given = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    source = F.when(given, "given").when(F.col("_cache").isNotNull(), "cache").when(F.col("_index").isNotNull(), "index").otherwise("unresolved")
+    place = F.when(given, F.struct("lat", "lon")).otherwise(F.coalesce("_cache", "_index"))
+    outside = ~in_bounds(place["lat"], place["lon"])
+    return met.select("request_id", source.alias("source"), place["lat"].alias("lat"), place["lon"].alias("lon"), outside.alias("outside"))
+
+
+def validate_table(df: DataFrame, bad: dict[str, Column], rows: tuple[int, int] | None = None) -> DataFrame:
+    """rule, n_bad: rows at which each rule's condition holds, and row_count: 1 if their number is out of bounds."""
+    counts = [F.count_if(F.coalesce(condition, F.lit(False))).alias(rule) for rule, condition in bad.items()]
+    if rows:
+        counts.append((~F.count("*").between(*rows)).cast("long").alias("row_count"))
+    return df.agg(*counts).unpivot([], [*bad, *(["row_count"] if rows else [])], "rule", "n_bad")
+
+
+def in_bounds(lat: Column, lon: Column) -> Column:
+    """The served box, its borders included."""
+    return lat.between(SERVED["south"], SERVED["north"]) & lon.between(SERVED["west"], SERVED["east"])
+
+
+def row_filter(rules: dict[str, tuple]) -> Column:
+    """Column -> (kind, value ...): matches (regex), between (low, high), least (value), among (values), none_of (values;
+    NULL stays). Parts that Parquet understands are pushed down to it."""
+    kinds = {
+        "matches": lambda c, pattern: F.regexp_like(c, F.lit(pattern)),
+        "between": lambda c, low, high: c.between(low, high),
+        "least": lambda c, value: c >= value,
+        "among": lambda c, values: c.isin(list(values)),
+        "none_of": lambda c, values: c.isNull() | ~c.isin(list(values)),
+    }
+    out = F.lit(True)
+    for name, (kind, *values) in rules.items():
+        out = out & kinds[kind](F.col(name), *values)
+    return out

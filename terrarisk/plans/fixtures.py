@@ -88,6 +88,11 @@ SELECT o_orderkey AS fire_id, year(o_orderdate) AS fire_year,
        CAST(-124000 + (o_orderkey * 611) % 9000 AS DOUBLE) / 1000 AS xmin, CAST(33000 + (o_orderkey * 433) % 8000 AS DOUBLE) / 1000 AS ymin,
        CAST(20 + o_orderkey % 60 AS DOUBLE) / 1000 AS size_deg
 FROM {orders}
+""",
+    "modeled_pixels": """
+SELECT p_partkey AS pixel_id, CAST(33000 + (p_partkey * 433) % 8000 AS DOUBLE) / 1000 AS lat, CAST(-124000 + (p_partkey * 611) % 9000 AS DOUBLE) / 1000 AS lon,
+       CAST((p_partkey * 31) % 97 * 10 AS DOUBLE) AS value
+FROM {part}
 """,
     "structures": """
 SELECT l_orderkey * 10 + l_linenumber AS structure_id,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import struct
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from terrarisk.functions import text as T
@@ -20,6 +24,10 @@ from .table_queries import ADDRESSES
 c = F.col
 
 
+def r6(x):
+    return F.round(x, 6)
+
+
 @query("s2_read_address_lines", ctes("addresses") + "SELECT count(*) AS n, count(*) FILTER (line_no % 7 = 0) AS skipped, round(sum(CASE WHEN line_no % 7 = 0 THEN 0 ELSE lat END), 4) AS lat FROM addresses")
 def s2(spark, sf_dir):
     """Some rows lose a coordinate, and every tenth line is followed by a blank one."""
@@ -135,19 +143,72 @@ def st5(spark, sf_dir):
 
 @query("s1_read_features", ctes("zone_vertices", "zone_attrs") + "SELECT fld_zone, count(DISTINCT poly_id) AS n, round(sum(x), 4) AS sx FROM zone_vertices JOIN zone_attrs USING (poly_id) GROUP BY fld_zone")
 def s1(spark, sf_dir):
-    """A collection per class, written and read back as features with rings."""
+    """Collections of a bounded number of features, a file each, written and read back as features with rings."""
     path = scratch_dir(spark)
-    one = X.features_json(zones(spark, sf_dir).withColumn("tag", c("fld_zone")), ["fld_zone", "poly_id"]).withColumn("g", F.get_json_object("value", "$.properties.fld_zone"))
+    z = zones(spark, sf_dir)
+    one = X.features_json(z, ["fld_zone", "poly_id"]).withColumn("g", F.get_json_object("value", "$.properties.poly_id").cast("long") % F.lit(max(8, z.count() // 500)))
     files = one.groupBy("g").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-    files.repartition(8, "g").select("value").write.option("lineSep", "\n").text(path)
-    whole = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    lines = spark.read.schema(whole).json(path).select(F.posexplode("features").alias("seq", "f"))
-    parts = X.parts_of(c("f.geometry.type"), c("f.geometry.coordinates"))
-    points = F.flatten(F.flatten(F.transform(parts, lambda p: p["rings"])))
-    got = lines.select(c("f.properties")["fld_zone"].alias("fld_zone"), F.aggregate(points, F.lit(0.0), lambda a, q: a + q["x"]).alias("sx"))
+    files.select("value", "g").write.partitionBy("g").option("lineSep", "\n").text(path)
+    points = F.flatten(F.flatten(F.transform("parts", lambda p: p["rings"])))
+    got = X.read_features(spark, f"{path}/*/*.txt", "zones").select(c("props")["fld_zone"].alias("fld_zone"), F.aggregate(points, F.lit(0.0), lambda a, q: a + q["x"]).alias("sx"))
     return got.groupBy("fld_zone").agg(F.count("*").alias("n"), F.round(F.sum("sx"), 4).alias("sx"))
 
 
+TILE_BYTES = "WITH t AS (SELECT s_suppkey AS k, s_suppkey % 3 AS kind FROM supplier)"
+
+
+@query("s5_read_raster_tiles", TILE_BYTES + " SELECT concat('t', CAST(k AS VARCHAR)) AS tile_key, 2 AS rows, 2 AS cols, round(32.0::DOUBLE + k * 0.1::DOUBLE, 6) AS south, CAST(3 * (k % 200) + 6 AS DOUBLE) AS total, CAST(1 AS BIGINT) AS missing FROM t WHERE kind <> 2")
+def s5(spark, sf_dir):
+    """Tiles in pairs with a sidecar (kind 0), with a header (kind 1), and short ones that give no tile (kind 2)."""
+    path = scratch_dir(spark)
+    t = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(c("s_suppkey").alias("k")).repartition(4, "k")
+
+    def write(batches):
+        from pyarrow import fs
+
+        files, folder = fs.FileSystem.from_uri(path)
+        for name in ("pairs", "headed"):
+            files.create_dir(f"{folder}/{name}", recursive=True)
+        for batch in batches:
+            for k in batch.column("k").to_pylist():
+                v, south = [k % 200, k % 200 + 1, 65535, k % 200 + 5], 32.0 + k * 0.1
+                if k % 3 == 1:
+                    made = {f"headed/t{k}.bin": struct.pack("<2I2d4f", 2, 2, south, -118.0, *v[:2], -9999.0, v[3])}
+                else:
+                    made = {f"pairs/t{k}.bin": struct.pack("<4H", *v)[: 8 if k % 3 == 0 else 6], f"pairs/t{k}.json": json.dumps({"rows": 2, "cols": 2, "bounds": {"south": south, "west": -118.0}, "nodata": 65535}).encode()}
+                for name, data in made.items():
+                    with files.open_output_stream(f"{folder}/{name}") as out:
+                        out.write(data)
+            yield pa.RecordBatch.from_arrays([batch.column("k")], names=["k"])
+
+    t.mapInArrow(write, "k long").write.format("noop").mode("overwrite").save()
+    got = X.read_tile_pairs(spark, f"{path}/pairs").unionByName(X.read_headed_tiles(spark, f"{path}/headed"))
+    total = F.aggregate("data", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return got.select("tile_key", "rows", "cols", r6("south").alias("south"), total.alias("total"), F.size(F.filter("data", lambda x: x.isNull())).cast("long").alias("missing"))
+
+
+@query("s8_discover_inputs", "SELECT concat('f', CAST(n_nationkey AS VARCHAR), CASE n_nationkey % 3 WHEN 0 THEN '_sra.json' WHEN 1 THEN '_lra_sra.json' ELSE '_other.json' END) AS file, CASE WHEN n_nationkey % 3 = 0 THEN 'sra' WHEN n_nationkey % 3 = 1 THEN 'lra' END AS layer FROM nation")
+def s8(spark, sf_dir):
+    path = scratch_dir(spark)
+    k = c("n_nationkey")
+    name = F.concat(F.lit("f"), k.cast("string"), F.when(k % 3 == 0, "_sra.json").when(k % 3 == 1, "_lra_sra.json").otherwise("_other.json"))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(name.alias("name"))
+
+    def write(batches):
+        from pyarrow import fs
+
+        files, folder = fs.FileSystem.from_uri(path)
+        files.create_dir(folder, recursive=True)
+        for batch in batches:
+            for x in batch.column("name").to_pylist():
+                with files.open_output_stream(f"{folder}/{x}") as out:
+                    out.write(b"{}")
+            yield batch
+
+    n.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    return X.discover_inputs(spark, path, {"sra": (["sra"], ["lra"]), "lra": (["lra"], [])})
+
+
 @query("s7_read_kv_json", ctes("zip_units") + "SELECT zip AS key, housing_units AS value FROM zip_units")
 def s7(spark, sf_dir):
     path = scratch_dir(spark)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrarisk.functions import hazard as H
 from terrarisk.operators import raster as R
 from terrarisk.operators import spatial as S
+from terrarisk.operators import stats as A
 
 from .fixtures import ctes, fixture
 from .registry import query
@@ -45,6 +46,24 @@ def r3(spark, sf_dir):
     return R.slope_deg(sites(spark, sf_dir), pixels(spark, sf_dir), N, N).select("site_id", "elevation", r6("slope").alias("slope"))
 
 
+SLOPES = AT + """, o AS (SELECT site_id, spot.tile_id, lat, CAST(r AS BIGINT) AS r, CAST(k AS BIGINT) AS k, p.value AS v0 FROM spot JOIN raster_pixels p ON p.tile_id = spot.tile_id AND prow = CAST(r AS BIGINT) AND pcol = CAST(k AS BIGINT)),
+n AS (SELECT site_id, tile_id, lat, v0, i = 0 AND j = 0 AS own, r + i AS r, k + j AS k FROM o, range(-4, 5) x(i), range(-4, 5) y(j) WHERE (i = 0 AND j = 0) OR (r + i BETWEEN 1 AND 38 AND k + j BETWEEN 1 AND 38)),
+g AS (SELECT n.site_id, v0, own, degrees(atan(sqrt(pow((coalesce(e.value, v0) - coalesce(w.value, v0)) / (2 * 277.5::DOUBLE * cos(radians(lat))), 2) + pow((coalesce(u.value, v0) - coalesce(d.value, v0)) / 555::DOUBLE, 2)))) AS s
+FROM n LEFT JOIN raster_pixels e ON e.tile_id = n.tile_id AND e.prow = n.r AND e.pcol = n.k + 1 LEFT JOIN raster_pixels w ON w.tile_id = n.tile_id AND w.prow = n.r AND w.pcol = n.k - 1 LEFT JOIN raster_pixels u ON u.tile_id = n.tile_id AND u.prow = n.r + 1 AND u.pcol = n.k LEFT JOIN raster_pixels d ON d.tile_id = n.tile_id AND d.prow = n.r - 1 AND d.pcol = n.k)
+SELECT site_id, any_value(v0) AS elevation, round(max(s) FILTER (own), 6) AS slope, round(max(s), 6) AS max_slope FROM g GROUP BY site_id"""
+
+
+@query("r4_max_slope_nearby", SLOPES)
+def r4b(spark, sf_dir):
+    return R.max_slope_nearby(sites(spark, sf_dir), pixels(spark, sf_dir), N, N, 4).select("site_id", "elevation", r6("slope").alias("slope"), r6("max_slope").alias("max_slope"))
+
+
+@query("j8_raster_join", AT + "SELECT site_id, CAST(r AS BIGINT) AS row, CAST(k AS BIGINT) AS col, value FROM spot JOIN raster_pixels p ON p.tile_id = spot.tile_id AND prow = r AND pcol = k")
+def j8(spark, sf_dir):
+    """A site and its nearest pixel."""
+    return R.nearest_pixel(sites(spark, sf_dir), N, N).join(pixels(spark, sf_dir), ["tile_id", "row", "col"]).select("site_id", "row", "col", "value")
+
+
 @query("r4_max_nearby", AT + "SELECT site_id, max(value) AS value FROM spot JOIN raster_pixels p ON p.tile_id = spot.tile_id AND abs(prow - r) <= 4 AND abs(pcol - k) <= 4 GROUP BY site_id")
 def r4(spark, sf_dir):
     return R.window_max(sites(spark, sf_dir), pixels(spark, sf_dir), N, N, 4)
@@ -132,9 +151,7 @@ def a9(spark, sf_dir):
 @query("r12_promote_low", CENTRES + ", q AS (SELECT tile_id, quantile_cont(value, 0.25) AS p25, median(value) AS p50 FROM raster_pixels WHERE value > 0 GROUP BY tile_id), k AS (SELECT tile_id, prow, pcol, max(class_code) AS cls FROM hit GROUP BY 1, 2, 3) SELECT px.tile_id, px.prow AS row, px.pcol AS col, round(CASE WHEN value < p25 AND cls >= 2 THEN p50 ELSE value END, 6) AS value FROM px JOIN q USING (tile_id) LEFT JOIN k ON k.tile_id = px.tile_id AND k.prow = px.prow AND k.pcol = px.pcol")
 def r12(spark, sf_dir):
     """Pixels under the tile's lower quartile in a high class take the tile's median."""
-    q = a9(spark, sf_dir)
-    p = pixels(spark, sf_dir).join(q, "tile_id").join(r9(spark, sf_dir), ["tile_id", "row", "col"], "left")
-    return p.select("tile_id", "row", "col", r6(F.when((c("value") < c("p25")) & (c("class") >= 2), c("p50")).otherwise(c("value"))).alias("value"))
+    return R.promote_low(pixels(spark, sf_dir), r9(spark, sf_dir)).select("tile_id", "row", "col", r6("value").alias("value"))
 
 
 @query("a6_mean_modeled", ctes("raster_pixels") + " SELECT tile_id, CAST(prow // 8 AS BIGINT) AS i, CAST(pcol // 8 AS BIGINT) AS j, round(sum(value) / 64, 6) AS mean FROM raster_pixels GROUP BY 1, 2, 3")
@@ -161,13 +178,12 @@ def a5(spark, sf_dir):
     return observed(spark, sf_dir).select("ci", "cj", F.round("obs", 9).alias("obs"))
 
 
-FACTORS = FREQ + ", model AS (SELECT ci, cj, 0.001 + 0.0001::DOUBLE * ((ci * 7 + cj * 13) % 11 + 11) AS m FROM freq WHERE (ci + cj) % 3 <> 0), factors AS (SELECT ci, cj, least(greatest(obs / m, 0.5), 20) AS factor FROM freq JOIN model USING (ci, cj)), box AS (SELECT min(ci) AS i0, max(ci) AS i1, min(cj) AS j0, max(cj) AS j1 FROM freq), full_grid AS (SELECT ci - i0 AS i, cj - j0 AS j, coalesce(factor, (SELECT median(factor) FROM factors)) AS f, i1 - i0 + 1 AS ni, j1 - j0 + 1 AS nj FROM (SELECT * FROM box, LATERAL (SELECT unnest(range(i0, i1 + 1)) AS ci), LATERAL (SELECT unnest(range(j0, j1 + 1)) AS cj)) cells LEFT JOIN factors USING (ci, cj))"
+FACTORS = FREQ.replace("WITH perimeters", ctes("modeled_pixels") + ", perimeters") + ", model AS (SELECT CAST(floor(lat / 0.5::DOUBLE) AS BIGINT) AS ci, CAST(floor(lon / 0.5::DOUBLE) AS BIGINT) AS cj, avg(value) / 1e5 AS m FROM modeled_pixels GROUP BY 1, 2), factors AS (SELECT ci, cj, least(greatest(coalesce(obs, 0) / m, 0.5::DOUBLE), 20::DOUBLE) AS factor FROM model LEFT JOIN freq USING (ci, cj) WHERE m > 0), box AS (SELECT min(ci) AS i0, max(ci) AS i1, min(cj) AS j0, max(cj) AS j1 FROM freq), full_grid AS (SELECT ci, cj, ci - i0 AS i, cj - j0 AS j, coalesce(factor, (SELECT median(factor) FROM factors)) AS f, i1 - i0 + 1 AS ni, j1 - j0 + 1 AS nj FROM (SELECT * FROM box, LATERAL (SELECT unnest(range(i0, i1 + 1)) AS ci), LATERAL (SELECT unnest(range(j0, j1 + 1)) AS cj)) cells LEFT JOIN factors USING (ci, cj))"
 
 
 def factors(spark, sf_dir):
-    model = 0.001 + 0.0001 * ((c("ci") * 7 + c("cj") * 13) % 11 + 11)
-    ratio = F.least(F.greatest(c("obs") / model, F.lit(0.5)), F.lit(20.0))
-    return observed(spark, sf_dir).filter("(ci + cj) % 3 <> 0").select("ci", "cj", ratio.alias("factor"))
+    """Observed frequency over the modeled one, by half-degree cell."""
+    return R.calibration_factors(observed(spark, sf_dir), R.mean_modeled(fixture(spark, sf_dir, "modeled_pixels"), 0.5))
 
 
 @query("a7_calibration_factors", FACTORS.split(", box AS")[0] + " SELECT ci, cj, round(factor, 6) AS factor FROM factors")
@@ -175,13 +191,17 @@ def a7(spark, sf_dir):
     return factors(spark, sf_dir).select("ci", "cj", r6("factor").alias("factor"))
 
 
+@query("a6_mean_of_cells", FACTORS.split(", factors AS")[0] + " SELECT ci, cj, round(m, 9) AS modeled FROM model")
+def a6b(spark, sf_dir):
+    return R.mean_modeled(fixture(spark, sf_dir, "modeled_pixels"), 0.5).select("ci", "cj", F.round("modeled", 9).alias("modeled"))
+
+
 def filled(spark, sf_dir):
     """The whole grid from its south-west corner; cells without a factor take the median."""
-    f = factors(spark, sf_dir)
     o = observed(spark, sf_dir).agg(F.min("ci").alias("i0"), F.max("ci").alias("i1"), F.min("cj").alias("j0"), F.max("cj").alias("j1"))
     cells = o.withColumn("ci", F.explode(F.sequence("i0", "i1"))).withColumn("cj", F.explode(F.sequence("j0", "j1")))
-    median = f.agg(F.median("factor").alias("med"))
-    return cells.join(f, ["ci", "cj"], "left").join(F.broadcast(median)).select((c("ci") - c("i0")).alias("i"), (c("cj") - c("j0")).alias("j"), F.coalesce("factor", "med").alias("value"), (c("i1") - c("i0") + 1).alias("ni"), (c("j1") - c("j0") + 1).alias("nj"))
+    full = R.fill_with_median(factors(spark, sf_dir), cells)
+    return full.select("ci", "cj", (c("ci") - c("i0")).alias("i"), (c("cj") - c("j0")).alias("j"), "value", (c("i1") - c("i0") + 1).alias("ni"), (c("j1") - c("j0") + 1).alias("nj"))
 
 
 @query("a8_fill_with_median", FACTORS + " SELECT i, j, round(f, 6) AS factor FROM full_grid")
@@ -205,18 +225,68 @@ def j18(spark, sf_dir):
     return t.join(g.select("i", "j", "value"), ["i", "j"]).select("tile", r6("value").alias("factor"))
 
 
-@query("r13_fire_arrival_30yr", GRID + ", m AS (SELECT tile_id, r, k, v / 1e5 * (1 + tile_id) AS p FROM grid), f AS (SELECT g.tile_id, g.r, g.k, CASE WHEN any_value(g.p) = 0 THEN sum(CASE WHEN pow(n.r - g.r, 2) + pow(n.k - g.k, 2) <= 9 THEN n.p ELSE 0 END) / 29 ELSE any_value(g.p) END AS p FROM m g JOIN m n ON n.tile_id = g.tile_id AND abs(n.r - g.r) <= 3 AND abs(n.k - g.k) <= 3 GROUP BY 1, 2, 3) SELECT tile_id, r AS row, k AS col, round(1 - pow(1 - least(greatest(p, 0), 1), 30), 6) AS p30 FROM f")
+HAZARD = CENTRES.replace("px AS (SELECT", "centre AS (SELECT").replace("JOIN px ON", "JOIN centre px ON").replace("WITH raster_pixels", FACTORS + ", raster_pixels")
+FIRE = HAZARD + """,
+grid AS (SELECT t AS tile_id, r, k, coalesce(value, 0) AS v FROM (SELECT DISTINCT tile_id AS t FROM raster_pixels), range(40) b(r), range(40) c(k) LEFT JOIN raster_pixels p ON p.tile_id = t AND prow = r AND pcol = k),
+q AS (SELECT tile_id, quantile_cont(value, 0.25) AS p25, median(value) AS p50 FROM raster_pixels WHERE value > 0 GROUP BY tile_id),
+cls AS (SELECT tile_id, prow AS r, pcol AS k, max(class_code) AS cls FROM hit GROUP BY 1, 2, 3),
+ext AS (SELECT min(ci) AS i0, max(ci) AS i1, min(cj) AS j0, max(cj) AS j1 FROM full_grid),
+cal AS (SELECT tile_id, f FROM (SELECT DISTINCT tile_id, least(greatest(CAST(floor((34.05::DOUBLE + tile_id * 0.1::DOUBLE) / 0.5::DOUBLE) AS BIGINT), i0), i1) AS ci, least(greatest(CAST(floor(-118.45::DOUBLE / 0.5::DOUBLE) AS BIGINT), j0), j1) AS cj FROM raster_pixels, ext) JOIN full_grid USING (ci, cj)),
+m AS (SELECT g.tile_id, g.r, g.k, CASE WHEN g.v < p25 AND cls >= 2 THEN p50 ELSE g.v END / 1e5 * f AS p FROM grid g JOIN cal USING (tile_id) LEFT JOIN q USING (tile_id) LEFT JOIN cls ON cls.tile_id = g.tile_id AND cls.r = g.r AND cls.k = g.k),
+disc AS (SELECT count(*) AS n FROM range(-20, 21) a(x), range(-20, 21) b(y) WHERE x * x + y * y <= 400),
+filled AS (SELECT g.tile_id, g.r, g.k, CASE WHEN any_value(g.p) = 0 THEN sum(CASE WHEN pow(n.r - g.r, 2) + pow(n.k - g.k, 2) <= 400 THEN n.p ELSE 0 END) / (SELECT n FROM disc) ELSE any_value(g.p) END AS p FROM m g JOIN m n ON n.tile_id = g.tile_id AND abs(n.r - g.r) <= 20 AND abs(n.k - g.k) <= 20 GROUP BY 1, 2, 3),
+arrival AS (SELECT tile_id, r, k, 1 - pow(1 - least(greatest(p, 0::DOUBLE), 1::DOUBLE), 30) AS p30 FROM filled QUALIFY max(1 - pow(1 - least(greatest(p, 0::DOUBLE), 1::DOUBLE), 30)) OVER (PARTITION BY tile_id) >= 0.001)"""
+
+
+def arrival(spark, sf_dir):
+    tiles = sites(spark, sf_dir).select("tile_id").distinct().select("tile_id", (34.05 + c("tile_id") * F.lit(0.1)).alias("lat"), F.lit(-118.45).alias("lon"))
+    return R.fire_arrival_30yr(pixels(spark, sf_dir), S.grid_lookup(tiles, filled(spark, sf_dir).select("ci", "cj", "value"), 0.5), r9(spark, sf_dir), N, N)
+
+
+@query("r13_fire_arrival_30yr", FIRE + " SELECT tile_id, r AS row, k AS col, round(p30, 6) AS p30 FROM arrival")
 def r13(spark, sf_dir):
-    """Calibrated probabilities, zeros filled by a focal mean, over 30 years."""
-    p = R.explode_pixels(R.to_array(pixels(spark, sf_dir), N, N, 0.0), N).withColumn("value", c("value") / 1e5 * (1 + c("tile_id")))
-    full = R.explode_pixels(R.focal_mean_fill(R.to_array(p, N, N, 0.0), N, N, 3), N)
-    return full.select("tile_id", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), r6(H.p_horizon(F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0)))).alias("p30"))
+    """Calibrated, promoted and filled burn probabilities over 30 years."""
+    return arrival(spark, sf_dir).select("tile_id", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), r6("p30").alias("p30"))
+
+
+EXPOSED = FIRE.replace("WITH modeled_pixels", ctes("zip_units") + ", modeled_pixels") + """,
+flame AS (SELECT tile_id, r, k, CAST(CAST(v AS BIGINT) % 5 AS DOUBLE) AS v FROM grid),
+cfl AS (SELECT g.tile_id, g.r, g.k, CASE WHEN any_value(g.v) = 0 THEN max(n.v) ELSE any_value(g.v) END AS flame_ft FROM flame g JOIN flame n ON n.tile_id = g.tile_id AND abs(n.r - g.r) <= 4 AND abs(n.k - g.k) <= 4 GROUP BY 1, 2, 3),
+ssd AS (SELECT tile_id, r, k, value AS distance_m FROM raster_pixels, range(40) a(r), range(40) b(k) WHERE prow % 2 = 0 AND pcol % 2 = 0 AND prow // 2 = CAST(floor((r + 0.5) * 20 / 40) AS BIGINT) AND pcol // 2 = CAST(floor((k + 0.5) * 20 / 40) AS BIGINT)),
+share AS (SELECT tile_id, CASE WHEN housing_units > 0 THEN least(greatest(coalesce(pif_2025, 0)::DOUBLE / housing_units, 0), 1) ELSE 0 END AS fair_share FROM (SELECT t.tile_id, z.*, row_number() OVER (PARTITION BY t.tile_id ORDER BY pow(34.05::DOUBLE + t.tile_id * 0.1::DOUBLE - z.lat, 2) + pow(-118.45::DOUBLE - z.lon, 2), z.zip) AS rn FROM (SELECT DISTINCT tile_id FROM raster_pixels) t, zip_units z) WHERE rn = 1),
+exposure AS (SELECT a.tile_id, a.r, a.k, p30, coalesce(flame_ft, 0) AS flame_ft, coalesce(distance_m, 0) AS distance_m, coalesce(fair_share, 0) AS fair_share FROM arrival a LEFT JOIN cfl ON cfl.tile_id = a.tile_id AND cfl.r = a.r AND cfl.k = a.k LEFT JOIN ssd ON ssd.tile_id = a.tile_id AND ssd.r = a.r AND ssd.k = a.k LEFT JOIN share ON share.tile_id = a.tile_id)"""
+
+
+def exposure(spark, sf_dir):
+    """Arrival with flame length, distance between structures and the share of the nearest zip's insured of last resort."""
+    p = pixels(spark, sf_dir)
+    flame = p.withColumn("value", (c("value").cast("long") % 5).cast("double"))
+    distance = p.filter("row % 2 = 0 and col % 2 = 0").withColumns({"row": F.expr("row div 2"), "col": F.expr("col div 2")})
+    tiles = p.select("tile_id").distinct().select("tile_id", (34.05 + c("tile_id") * F.lit(0.1)).alias("lat"), F.lit(-118.45).alias("lon"))
+    units = fixture(spark, sf_dir, "zip_units")
+    share = S.nearest_centroid(tiles, units, "tile_id", "zip").join(units, "zip").select("tile_id", A.fair_share(c("pif_2025"), c("housing_units")).alias("value"))
+    return R.fire_exposure(arrival(spark, sf_dir), flame, distance, share, N, N, (20, 20))
 
 
-@query("r14_fire_risk_tiles", GRID + ", m AS (SELECT tile_id, r, k, v / 1e5 * (1 + tile_id) AS p FROM grid), f AS (SELECT g.tile_id, g.r, g.k, CASE WHEN any_value(g.p) = 0 THEN sum(CASE WHEN pow(n.r - g.r, 2) + pow(n.k - g.k, 2) <= 9 THEN n.p ELSE 0 END) / 29 ELSE any_value(g.p) END AS p FROM m g JOIN m n ON n.tile_id = g.tile_id AND abs(n.r - g.r) <= 3 AND abs(n.k - g.k) <= 3 GROUP BY 1, 2, 3), z AS (SELECT tile_id, r, k, round(1 - pow(1 - least(greatest(p, 0), 1), 30), 6) * (0.2 + 0.6 * (r + k) / 78) AS risk FROM f) SELECT tile_id, CAST(sum(trunc(least(greatest(risk * 10000, 0), 65534))) AS BIGINT) AS total, CAST(max(trunc(least(greatest(risk * 10000, 0), 65534))) AS BIGINT) AS mx FROM z GROUP BY tile_id HAVING max(risk) >= 0.001")
+@query("r14_fire_exposure", EXPOSED + " SELECT tile_id, r AS row, k AS col, round(p30, 6) AS p30, flame_ft, distance_m, round(fair_share, 6) AS fair_share FROM exposure")
+def r14b(spark, sf_dir):
+    e = exposure(spark, sf_dir)
+    return e.select("tile_id", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), r6("p30").alias("p30"), "flame_ft", "distance_m", r6("fair_share").alias("fair_share"))
+
+
+@query("r14_fire_risk_tiles", EXPOSED + ", z AS (SELECT tile_id, CAST(trunc(least(greatest(round(p30 / (1 + exp(-(0.3::DOUBLE * flame_ft - 0.01::DOUBLE * distance_m + fair_share))), 9) * 10000, 0), 65534)) AS BIGINT) AS raw FROM exposure) SELECT tile_id, CAST(sum(raw) AS BIGINT) AS total, max(raw) AS mx FROM z GROUP BY tile_id HAVING max(raw) > 0")
 def r14(spark, sf_dir):
-    """Arrival by the probability of destruction, encoded; tiles under a tenth of a percent go."""
-    destroyed = 0.2 + 0.6 * (c("row") + c("col")) / 78
-    z = r13(spark, sf_dir).withColumn("risk", c("p30") * destroyed)
-    raw = R.encode(c("risk"), 10000)
-    return z.groupBy("tile_id").agg(F.sum(raw).cast("long").alias("total"), F.max(raw).cast("long").alias("mx"), F.max("risk").alias("m")).filter("m >= 0.001").drop("m")
+    """Arrival by a logistic chance of destruction, encoded; SQL can state this one."""
+    destroyed = 1 / (1 + F.exp(-(0.3 * c("flame_ft") - 0.01 * c("distance_m") + c("fair_share"))))
+    raw = R.fire_risk_tiles(exposure(spark, sf_dir), destroyed)
+    return raw.groupBy("tile_id").agg(F.sum("raw").cast("long").alias("total"), F.max("raw").cast("long").alias("mx"))
+
+
+@query("r14_fire_risk_by_model")
+def r14c(spark, sf_dir):
+    """The same with the damage model, which is trained on the structures (20 trees here)."""
+    from terrarisk.operators import model as M
+
+    known = M.prepare_labels(fixture(spark, sf_dir, "structures"), True).withColumns({f: c(f).cast("double") for f in M.FEATURES})
+    e = M.scored(M.train_damage_model(known, trees=20), exposure(spark, sf_dir))
+    return R.fire_risk_tiles(e, c("p")).select("tile_id", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), c("raw").cast("long").alias("raw"))

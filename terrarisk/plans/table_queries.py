@@ -85,7 +85,13 @@ def n9(spark, sf_dir):
 
 @query("n10_row_filters", ctes("addresses") + "SELECT line_no FROM addresses WHERE lat BETWEEN 32.5 AND 42.0 AND lon BETWEEN -124.5 AND -114.0")
 def n10(spark, sf_dir):
-    return fixture(spark, sf_dir, "addresses").filter(c("lat").between(32.5, 42.0) & c("lon").between(-124.5, -114.0)).select("line_no")
+    return fixture(spark, sf_dir, "addresses").filter(A.in_bounds(c("lat"), c("lon"))).select("line_no")
+
+
+@query("n10_filter_rules", ctes("line_attrs") + "SELECT line_id FROM line_attrs WHERE regexp_matches(raw_type, '(?i)^(right|normal)') AND try_cast(ahead_aadt AS INT) >= 5000 AND seq BETWEEN 10 AND 5000 AND slip_rate_text <> 'Greater than 5 mm/yr'")
+def n10b(spark, sf_dir):
+    rules = {"raw_type": ("matches", "(?i)^(right|normal)"), "aadt": ("least", 5000), "seq": ("between", 10, 5000), "slip_rate_text": ("none_of", ["Greater than 5 mm/yr"])}
+    return fixture(spark, sf_dir, "line_attrs").withColumn("aadt", c("ahead_aadt").try_cast("int")).filter(A.row_filter(rules)).select("line_id")
 
 
 @query("n11_union_sources", ctes("contamination_points", "airport_points") + "SELECT origin, count(*) AS n, count(raw_status) AS with_status FROM (SELECT 'sites' AS origin, raw_status FROM contamination_points UNION ALL SELECT 'airports', NULL FROM airport_points) GROUP BY origin")
@@ -135,8 +141,7 @@ def n17(spark, sf_dir):
 
 @query("n18_validate_table", ctes("tract_rates") + "SELECT rule, n_bad FROM (SELECT count(*) FILTER (length(tractfips) <> 11) AS geoid_length, count(*) FILTER (lnds_afreq IS NULL) AS null_rate, CASE WHEN count(*) BETWEEN 8000 AND 10000 THEN 0 ELSE 1 END AS row_count FROM tract_rates) UNPIVOT (n_bad FOR rule IN (geoid_length, null_rate, row_count))")
 def n18(spark, sf_dir):
-    one = fixture(spark, sf_dir, "tract_rates").agg(F.count_if(F.length("tractfips") != 11).alias("geoid_length"), F.count_if(c("lnds_afreq").isNull()).alias("null_rate"), F.when(F.count("*").between(8000, 10000), 0).otherwise(1).cast("long").alias("row_count"))
-    return one.unpivot([], ["geoid_length", "null_rate", "row_count"], "rule", "n_bad")
+    return A.validate_table(fixture(spark, sf_dir, "tract_rates"), {"geoid_length": F.length("tractfips") != 11, "null_rate": c("lnds_afreq").isNull()}, (8000, 10000))
 
 
 @query("a2_weighted_lep", ctes("soil_horizons") + "SELECT cokey, round(sum(lep_r * (hzdepb_r - hzdept_r)) / nullif(sum(hzdepb_r - hzdept_r), 0), 6) AS lep FROM soil_horizons GROUP BY cokey")
@@ -235,7 +240,7 @@ def w4(spark, sf_dir):
     return A.dedupe_addresses(A.normalize_address(fixture(spark, sf_dir, "addresses"))).select("line_no")
 
 
-@query("w5_even_subsample", ctes("displacement") + ", d AS (SELECT DISTINCT frame_id, acq_date FROM displacement), k AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY acq_date) - 1 AS i, count(*) OVER (PARTITION BY frame_id) AS m FROM d) SELECT frame_id, CAST(acq_date AS VARCHAR) AS acq_date FROM k WHERE m <= 8 OR i IN (SELECT floor(j * (m - 1) / 7.0) FROM range(8) r(j))")
+@query("w5_even_subsample", ctes("displacement") + ", d AS (SELECT DISTINCT frame_id, acq_date FROM displacement), k AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY acq_date) - 1 AS i, count(*) OVER (PARTITION BY frame_id) AS m, min(acq_date) OVER (PARTITION BY frame_id) AS lo, max(acq_date) OVER (PARTITION BY frame_id) AS hi FROM d) SELECT frame_id, CAST(acq_date AS VARCHAR) AS acq_date FROM k WHERE m <= 8 OR date_diff('day', lo, hi) / 365.25 < 1 OR i IN (SELECT floor(j * (m - 1) / 7.0) FROM range(8) r(j))")
 def w5(spark, sf_dir):
     return A.even_subsample(fixture(spark, sf_dir, "displacement").select("frame_id", "acq_date").distinct(), "frame_id", "acq_date").select("frame_id", c("acq_date").cast("string").alias("acq_date"))
 
@@ -274,12 +279,14 @@ def t2(spark, sf_dir):
     return a.select("line_no", (A.fuzzy_prefix_match(F.concat(n, F.lit(" oa ave")), c("address")) | A.fuzzy_prefix_match(F.concat(n, F.lit(" miss blvd")), c("address"))).alias("hit"))
 
 
-@query("t3_geocode_resolve", ctes("geocode_events") + ", cache AS (SELECT trim(regexp_replace(lower(address), '\\s+', ' ', 'g')) AS key, arg_max(lat, event_id) AS c_lat FROM geocode_events WHERE event_id % 2 = 0 GROUP BY 1) SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'given' WHEN c_lat IS NOT NULL THEN 'cache' ELSE 'unresolved' END AS source, round(CASE WHEN event_id % 5 = 0 THEN lat ELSE c_lat END, 6) AS lat FROM geocode_events LEFT JOIN cache ON trim(regexp_replace(lower(address), '\\s+', ' ', 'g')) = key")
+@query("t3_geocode_resolve", ctes("geocode_events", "addresses") + ", e AS (SELECT *, trim(regexp_replace(lower(address), '\\s+', ' ', 'g')) AS key FROM geocode_events), cache AS (SELECT key, arg_max(lat, event_id) AS lat, arg_max(lon, event_id) AS lon FROM e WHERE event_id % 7 = 0 GROUP BY key), idx AS (SELECT concat(number, ' main st') AS key, arg_max(lat, line_no) AS lat, arg_max(lon, line_no) AS lon FROM addresses GROUP BY 1), r AS (SELECT e.event_id, CASE WHEN e.event_id % 5 = 0 THEN 'given' WHEN c.key IS NOT NULL THEN 'cache' WHEN i.key IS NOT NULL THEN 'index' ELSE 'unresolved' END AS source, CASE WHEN e.event_id % 5 = 0 THEN e.lat WHEN c.key IS NOT NULL THEN c.lat ELSE i.lat END AS lat, CASE WHEN e.event_id % 5 = 0 THEN e.lon WHEN c.key IS NOT NULL THEN c.lon ELSE i.lon END AS lon FROM e LEFT JOIN cache c USING (key) LEFT JOIN idx i USING (key)) SELECT event_id AS request_id, source, round(lat, 6) AS lat, round(lon, 6) AS lon, NOT (lat BETWEEN 32.5 AND 42.0 AND lon BETWEEN -124.5 AND -114.0) AS outside FROM r")
 def t3(spark, sf_dir):
     e = fixture(spark, sf_dir, "geocode_events").withColumn("key", T.normalize_key(c("address")))
-    cache = e.filter("event_id % 2 = 0").groupBy("key").agg(F.max_by("lat", "event_id").alias("c_lat"))
     given = c("event_id") % 5 == 0
-    return e.join(cache, "key", "left").select("event_id", F.when(given, "given").when(c("c_lat").isNotNull(), "cache").otherwise("unresolved").alias("source"), r6(F.when(given, c("lat")).otherwise(c("c_lat"))).alias("lat"))
+    requests = e.select(c("event_id").alias("request_id"), "key", F.when(given, c("lat")).alias("lat"), F.when(given, c("lon")).alias("lon"))
+    cache = e.filter("event_id % 7 = 0").groupBy("key").agg(F.max_by("lat", "event_id").alias("lat"), F.max_by("lon", "event_id").alias("lon"))
+    index = fixture(spark, sf_dir, "addresses").groupBy(F.concat("number", F.lit(" main st")).alias("key")).agg(F.max_by("lat", "line_no").alias("lat"), F.max_by("lon", "line_no").alias("lon"))
+    return A.geocode_resolve(requests, cache, index).select("request_id", "source", r6("lat").alias("lat"), r6("lon").alias("lon"), "outside")
 
 
 @query("s12_upsert_geocodes", ctes("geocode_events") + "SELECT key, event_id FROM (SELECT *, trim(regexp_replace(lower(address), '\\s+', ' ', 'g')) AS key, row_number() OVER (PARTITION BY trim(regexp_replace(lower(address), '\\s+', ' ', 'g')) ORDER BY created_at DESC, event_id DESC) AS rn FROM geocode_events) WHERE rn = 1")

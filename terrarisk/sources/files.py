@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,60 @@ def read_raster_tiles(spark: SparkSession, path: str, rows: int, cols: int, dtyp
     return files.mapInArrow(run, "tile_key string, data array<double>")
 
 
+_TILE = "tile_key string, rows int, cols int, south double, west double, data array<double>"
+
+
+def _tile_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=[c.split()[0] for c in _TILE.split(", ")])
+
+
+def _values(raw: np.ndarray, nodata: float | None) -> pa.Array:
+    v = raw.astype(float)
+    return pa.array(v, mask=~np.isfinite(v) | (v == nodata if nodata is not None else False)).to_pylist()
+
+
+def read_tile_pairs(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
+    """Pairs name.bin and name.json (rows, cols, bounds, nodata): tile_key, rows, cols, south, west, data.
+
+    A file without its pair and a buffer that is too short give no tile; values are as stored, missing ones NULL.
+    """
+    name = F.regexp_extract("path", r"([^/]+)\.(bin|json)$", 1)
+    binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(name.alias("tile_key"), "content")
+    about = "rows int, cols int, nodata double, bounds struct<south:double,west:double>"
+    sidecar = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(name.alias("tile_key"), F.from_json(F.col("content").cast("string"), about).alias("s")).select("tile_key", "s.rows", "s.cols", "s.nodata", "s.bounds.south", "s.bounds.west")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            rows = []
+            for r in f.to_pylist():
+                raw = np.frombuffer(r["content"], dtype, len(r["content"]) // np.dtype(dtype).itemsize)
+                n = (r["rows"] or 0) * (r["cols"] or 0)
+                if 0 < n <= len(raw):
+                    rows.append((r["tile_key"], r["rows"], r["cols"], r["south"], r["west"], _values(raw[:n], r["nodata"])))
+            yield _tile_rows(rows)
+
+    return binary.join(sidecar, "tile_key").mapInArrow(run, _TILE)
+
+
+def read_headed_tiles(spark: SparkSession, path: str, nodata: float = -9999.0) -> DataFrame:
+    """Tiles that describe themselves: two unsigned 32-bit integers (rows, cols), two doubles (south, west), then floats
+    of 32 bits; as read_tile_pairs. Files that are too short give no tile."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("tile_key"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            out = []
+            for r in f.to_pylist():
+                if len(r["content"]) >= 24:
+                    rows, cols, south, west = struct.unpack_from("<2I2d", r["content"])
+                    if rows * cols and len(r["content"]) >= 24 + 4 * rows * cols:
+                        out.append((r["tile_key"], rows, cols, south, west, _values(np.frombuffer(r["content"], "<f4", rows * cols, 24), nodata)))
+            yield _tile_rows(out)
+
+    return files.mapInArrow(run, _TILE)
+
+
 def discover_inputs(spark: SparkSession, path: str, layers: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
     """file, layer: the first layer of whose words the name has one, and none of those it excludes."""
     name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))

@@ -13,7 +13,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """Below spark.checkpoint.dir, which driver and executors share; a local session without it gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + os.path.abspath(base)
     return f"{base.rstrip('/')}/own-{uuid.uuid4().hex}"

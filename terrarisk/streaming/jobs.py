@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrarisk.functions import text as T
@@ -16,22 +16,34 @@ def run_available(stream: DataFrame, name_path: str, each) -> None:
     q.awaitTermination()
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions v0, v1, ... that were written to their end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")) or []
+    return sorted(int(str(f.getPath().getParent().getName())[1:]) for f in done)
+
+
 def geocode_cache(events: DataFrame, path: str) -> DataFrame:
-    """Upserts a stream of geocodes: each batch writes a new version of the cache, so that a replayed batch is idempotent."""
+    """Upserts a stream of geocodes: batch n writes version n of the cache from the last one before it.
+
+    Versions are found in storage, so a restart goes on from what is there, a replayed batch writes its version again
+    from the same one, and a run without new files returns the last version.
+    """
     spark = events.sparkSession
-    versions: list[str] = []
 
     def each(batch: DataFrame, number: int) -> None:
         new = batch.withColumn("key", T.normalize_key(F.col("address")))
-        if versions and versions[-1] != f"{path}/v{number}":
-            new = A.upsert_latest(spark.read.parquet(versions[-1]), new, "key", ["created_at", "event_id"])
-        else:
-            new = A.upsert_latest(new.limit(0), new, "key", ["created_at", "event_id"])
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
-        versions.append(f"{path}/v{number}")
+        before = [v for v in _versions(spark, path) if v < number]
+        old = spark.read.parquet(f"{path}/v{before[-1]}") if before else new.limit(0)
+        A.upsert_latest(old, new, "key", ["created_at", "event_id"]).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     run_available(events, path, each)
-    return spark.read.parquet(versions[-1])
+    found = _versions(spark, path)
+    if not found:
+        empty = spark.createDataFrame([], events.schema)
+        return empty.withColumn("key", T.normalize_key(F.col("address")))
+    return spark.read.parquet(f"{path}/v{found[-1]}")
 
 
 def velocity_windows(stack: DataFrame, window: str, late: str) -> DataFrame:
