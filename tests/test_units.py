@@ -105,6 +105,76 @@ def test_focal_and_sql(spark):
     assert [round(x, 4) for x in r] == [0.1133, 0.006, 1.0, 111.1949]
 
 
+def test_large_tile_is_scattered_in_time(spark):
+    """A tile of 400 by 400, the size of real ones."""
+    import time
+
+    n = 400
+    pixels = spark.range(n * n).filter("id % 3 <> 0").select(F.lit(7).alias("tile_id"), F.expr(f"id div {n}").alias("row"), (F.col("id") % n).alias("col"), F.when(F.col("id") % 5 != 0, F.col("id").cast("double")).alias("value"))
+    began = time.time()
+    data = R.to_array(pixels, n, n).first().data
+    zeros = R.to_array(pixels, n, n, 0.0).first().data
+    assert time.time() - began < 20
+    assert data == [float(i) if i % 3 and i % 5 else None for i in range(n * n)] and zeros == [x or 0.0 for x in data]
+
+
+def test_geocode_cache_restarts(spark, tmp_path):
+    """Five rows, then nothing new, then one new row: the cache keeps all; a replayed batch changes nothing."""
+    from terrarisk.streaming import jobs
+
+    schema = "event_id long, address string, created_at long"
+    path = f"file://{tmp_path}"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    run = lambda: {r.key: r.event_id for r in jobs.geocode_cache(spark.readStream.schema(schema).parquet(f"{path}/in"), path).collect()}
+    put([(i, f"{i} Main St", i) for i in range(5)])
+    first = run()
+    assert len(first) == 5 and run() == first
+    put([(9, "0 main  st", 9)])
+    assert run() == first | {"0 main st": 9}
+    assert run() == first | {"0 main st": 9}
+
+
+def test_tables_by_hand(spark):
+    """A few fixed values written out, so that a wrong constant doesn't pass on both sides."""
+    lit = F.lit
+    n10 = lambda n: H.landslide_annual(lit(3), lit(n), lit(0.0))
+    r = one(spark, n10(0), n10(29), n10(80), n10(81), H.lookup(lit("VHIGH").alias("x"), {"VHIGH": "Very High"}), T.classify_status(lit("Completed - Case Closed")), G.albers(lit(-120.0), lit(34.0))["x"], G.albers(lit(-120.0), lit(37.0))["y"])
+    assert list(r)[:4] == [0.00000049, 0.00002588, 0.00072447, 0.00276627] and r[4] == "Very High"
+    assert abs(r[6]) < 1e-6 and abs(r[7] - -112982) < 500
+    assert H.FLOOD_RATES["AE"] == 0.004 and T.HAZARD_CLASSES["vhigh"] == "Very High"
+
+
+def test_geometry_kinds(spark):
+    """Points, lines and polygons: a polygon is never near."""
+    rows = [(1, [([[(0.0, 0.0)]],)]), (2, [([[(0.0, 0.0), (1.0, 0.0)]],)]), (3, square(0.0, 0.0, 1.0))]
+    got = {r.k: r.d for r in spark.createDataFrame(rows, f"k long, parts {G.GEOMETRY}").select("k", G.geometry_km(F.col("parts"), F.lit(1.0), F.lit(0.0)).alias("d")).collect()}
+    assert round(got[1], 3) == round(got[2], 3) == 111.195 and got[3] == float("inf")
+
+
+def test_scores_are_those_of_the_trees(spark):
+    """Batch inference against the sum of the trees, and folds against their counts."""
+    rows = [(i, float(i % 2 or i % 7 == 0), float(i % 10), float(i % 4), 0.1 * (i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "structure_id long, label double, distance_m double, flame_ft double, fair_share double")
+    model = M.train_damage_model(df, trees=4)
+    trees = model.stages[-1]
+    from pyspark.ml.linalg import Vectors
+
+    for r in M.scored(model, df).limit(25).collect():
+        v = Vectors.dense([r.distance_m, r.flame_ft, r.fair_share])
+        margin = sum(w * t.predict(v) for w, t in zip(trees.treeWeights, trees.trees))
+        assert abs(r.p - 1 / (1 + math.exp(-2 * margin))) < 1e-9
+    folds = {(r.label, r.fold): r["count"] for r in M.with_folds(df).groupBy("label", "fold").count().collect()}
+    for label in (0.0, 1.0):
+        sizes = [folds[label, k] for k in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+    assert sorted(map(tuple, M.with_folds(df.repartition(3)).select("structure_id", "fold").collect())) == sorted(map(tuple, M.with_folds(df).select("structure_id", "fold").collect()))
+    rows = M.kfold_auc(df, k=2, trees=2)
+    parts = M.with_folds(df, 2)
+    s = M.scored(M.train_damage_model(parts.filter("fold <> 0"), trees=2), parts.filter("fold = 0")).select("p", "label").collect()
+    pairs = [(a.p > b.p) + 0.5 * (a.p == b.p) for a in s if a.label for b in s if not b.label]
+    assert abs(rows[0]["auc"] - sum(pairs) / len(pairs)) < 1e-6
+
+
 def test_response_surface_interpolates(spark):
     grids = {"x": [0, 1, 2], "y": [0, 10]}
     rows = [(i, j, 2.0 * x + y) for i, x in enumerate(grids["x"]) for j, y in enumerate(grids["y"])]
