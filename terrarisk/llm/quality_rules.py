@@ -5,10 +5,10 @@ multinomials are counted over all documents: the raw corpus, and the trusted tar
 good). A document's score is the mean over its n-grams of log p_target - log p_raw, so that it doesn't grow with length;
 a document below the threshold is rejected. Base rules (too few words, too much repetition) come first.
 
-The n-grams of blocks of texts, each counted once a block, are dealt out by chunks of the buckets and summed. Counts are
-kept in 16 bits: exact below 2^15, in steps of 1/1024 of a doubling above. While they take at most `TABLE_BYTES`, they
-are broadcast and documents are scored where they lie. Beyond that they never come together: the n-grams of each
-document are dealt out by chunk as well, the task of a chunk returns what it adds to each document's score as integers,
+Tasks count their texts, and chunks of their counts are summed. Sums are kept in 16 bits: exact below 2^15, in steps of
+1/1024 of a doubling above. While they take at most `TABLE_BYTES`, they are broadcast and documents are scored where
+they lie. Beyond that neither a task's counts nor the sums come together: the n-grams of blocks of texts are dealt out
+by chunk, those of each document as well, the task of a chunk returns what it adds to each document's score as integers,
 whose sum has no order, and a document is known by a 64-bit hash of its id and text. Both ways give the same scores.
 
 A document's own n-grams are left out of the raw corpus, and out of the target if it is trusted.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Cache, column_bytes, met_in_buckets, mixed, stored
+from .common import WHITE, Cache, column_bytes, met_in_buckets, mixed
 
 #: The least number of buckets, and the n-grams for which there is one.
 BUCKETS = 1 << 14
@@ -133,7 +133,7 @@ def bucket_count(grams: int) -> int:
     return max(BUCKETS, -(-grams // GRAMS_A_BUCKET))
 
 
-#: Kinds of rows: n-grams of the corpus, of the target, and of the corpus with the documents that have them.
+#: Kinds of rows: counts of the corpus, of the target, and n-grams of the corpus with the documents that have them.
 RAW, TARGET, SCORED = 0, 1, 2
 GRAM_ROWS = "chunk int, kind int, keys binary, lengths binary, sizes binary, trusted binary, low binary, high binary, times binary"
 
@@ -186,6 +186,25 @@ def gram_rows(docs: DataFrame, buckets: int, chunk_bits: int, kind: int) -> Data
     return docs.select("key", "trusted", "text").mapInArrow(run, GRAM_ROWS)
 
 
+def dense_rows(docs: DataFrame, buckets: int, chunk_bits: int, kind: int) -> DataFrame:
+    """Rows (chunk, kind, counts) of docs (text): each task's counts of all buckets, as the four planes of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, np.uint32)
+        for batch in batches:
+            _hashes.ready()
+            for text in column_bytes(batch, "text"):
+                if words := text.split():
+                    u, k = np.unique(ngram_buckets(words, buckets), return_counts=True)
+                    counts[u] += k.astype(np.uint32)
+        for chunk in range(-(-buckets >> chunk_bits) if counts.any() else 0):
+            own = counts[chunk << chunk_bits : (chunk + 1) << chunk_bits]
+            data = zlib.compress(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "kind", "counts"])
+
+    return docs.select("text").mapInArrow(run, "chunk int, kind int, counts binary")
+
+
 def with_trust(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs with _trusted (whether a label calls the document good), and the trusted ones alone.
 
@@ -213,6 +232,17 @@ def _counted(part: pa.Table, chunk_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return coded(raw), coded(good)
 
 
+def _summed(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Coded counts of a chunk's buckets from dense rows: raw, target."""
+    total: dict[int, np.ndarray] = {}
+    for kind, data in zip(part.column("kind").to_pylist(), part.column("counts")):
+        planes = np.frombuffer(zlib.decompress(data.as_py()), np.uint8).reshape(4, -1)
+        own = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+        total[kind] = total[kind] + own if kind in total else own.astype(np.int64)
+    size = len(next(iter(total.values())))
+    return coded(total.get(RAW, np.zeros(size, np.int64))), coded(total.get(TARGET, np.zeros(size, np.int64)))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, chunk_bits: int = CHUNK_BITS, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept."""
     spark = docs.sparkSession
@@ -221,17 +251,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     key = F.xxhash64("doc_id", "text")
     marked, trusted = with_trust(docs, labels)
     keyed = lambda df: df.select(key.alias("key"), F.col("_trusted").alias("trusted"), "text")
-    target, _ = stored(gram_rows(keyed(trusted), buckets, chunk_bits, TARGET), "target")
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(_unpacked(x, np.uint32).sum()) for batch in batches for x in batch.column("times").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    totals = Totals(buckets, grams, target.select("times").mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0)
+    small = 4 * buckets <= table_bytes
+    totals = Totals(buckets, grams, n_grams(trusted))
     new = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, base_failed boolean, kept boolean"
     names = {x.split()[0] for x in new.split(", ")}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in names), new])
-    small = 4 * buckets <= table_bytes
 
     def judge(batch: pa.RecordBatch, score: Callable) -> pa.RecordBatch:
         n, base, llr = [], [], []
@@ -247,17 +271,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns.values())], names=[*batch.schema.names, *columns])
 
     if not totals.target or small:
-        codes = np.zeros((2, buckets), np.uint16)
+        codes = np.zeros((2, buckets if totals.target else 0), np.uint16)
         if totals.target:
             def add(part: pa.Table) -> pa.Table:
-                raw, good = _counted(part, chunk_bits)
+                raw, good = _summed(part)
                 return pa.table({"chunk": part.column("chunk")[:1], "raw": [zlib.compress(raw.tobytes(), 1)], "good": [zlib.compress(good.tobytes(), 1)]}, schema=pa.schema([("chunk", pa.int32()), ("raw", pa.binary()), ("good", pa.binary())]))
 
-            rows = gram_rows(docs.select(F.lit(0).cast("long").alias("key"), F.lit(False).alias("trusted"), "text"), buckets, chunk_bits, RAW).unionByName(target)
+            rows = dense_rows(docs, buckets, chunk_bits, RAW).unionByName(dense_rows(trusted, buckets, chunk_bits, TARGET))
             for chunk, *both in rows.groupBy("chunk").applyInArrow(add, "chunk int, raw binary, good binary").toLocalIterator():  # at most table_bytes
                 at = slice(chunk << chunk_bits, min(buckets, chunk + 1 << chunk_bits))
                 for k in (0, 1):
-                    codes[k, at] = np.frombuffer(zlib.decompress(both[k]), np.uint16)[: at.stop - at.start]
+                    codes[k, at] = np.frombuffer(zlib.decompress(both[k]), np.uint16)
         spread = spark.sparkContext.broadcast(codes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +309,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
                 counts.append(np.add.reduceat(k, first))
         return pa.table({"key": np.concatenate(keys), "part": np.concatenate(sums), "n": np.concatenate(counts)})
 
-    rows = gram_rows(keyed(marked), buckets, chunk_bits, SCORED).unionByName(target)
+    rows = gram_rows(keyed(marked), buckets, chunk_bits, SCORED).unionByName(gram_rows(keyed(trusted), buckets, chunk_bits, TARGET))
     parts = rows.groupBy("chunk").applyInArrow(scored, "key long, part long, n long")
     # rows with one key bring their parts and n-grams alike, so their mean is that of one
     found = parts.groupBy("key").agg((F.sum("part") / F.lit(float(UNIT)) / F.sum("n")).alias("_llr")).withColumnRenamed("key", "_key")
