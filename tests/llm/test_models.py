@@ -48,7 +48,7 @@ def test_blocks_in_linear_time():
     """Pages of a megabyte that make a backtracking reader quadratic."""
     began = time.time()
     assert len(html_extract.blocks('<a "' * 250_000)) == 1
-    assert len(html_extract.blocks('<a "' * 100_000 + "'>")) >= 1
+    assert html_extract.blocks('<a "' * 100_000 + "'>") == []  # one tag, whose quotes don't close
     assert len(html_extract.blocks("<div>x" * 100_000 + "</b>" * 100_000)) == 100_000
     html_extract.blocks("<p><table>" + "<div>" * 150_000)
     html_extract.blocks("<!" * 500_000)
