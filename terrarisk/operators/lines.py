@@ -90,3 +90,26 @@ def sample_along(layer: DataFrame, key: str, step_km: float) -> DataFrame:
     e = e.withColumn("k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     t = (F.col("k") * step_km - F.col("start")) / F.col("len")
     return e.select(key, "k", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
+
+
+def geometry_quality(layer: DataFrame, key: str) -> DataFrame:
+    """One row of counts: empty (no part or no point), rings, unclosed, short (under four points), flat (no area) and
+    touching (a point twice besides the ends)."""
+    r = layer.select(key, F.explode_outer("parts").alias("p")).select(key, F.posexplode_outer("p.rings").alias("ring", "r"))
+    n, same = F.size("r"), F.element_at("r", 1) == F.element_at("r", -1)
+    inner = F.slice("r", 1, F.greatest(n - 1, F.lit(0)))
+    some = F.col("r").isNotNull() & (n > 0)
+    return r.agg(
+        F.count_if(~some | F.col("r").isNull()).alias("empty"), F.count_if(some).alias("rings"), F.count_if(some & ~same).alias("unclosed"), F.count_if(some & (n < 4)).alias("short"),
+        F.count_if(some & (n >= 4) & same & (F.abs(G.ring_area(F.col("r"))) < 1e-12)).alias("flat"), F.count_if(some & (F.size(F.array_distinct(inner)) < F.size(inner))).alias("touching"),
+        F.count_distinct(F.when(F.col("ring") > 0, F.col(key))).alias("with_holes"),
+    )
+
+
+def usable(layer: DataFrame) -> DataFrame:
+    """layer with open rings closed, rings without four points or area left out, and features without a first ring gone."""
+    close = lambda r: F.when((F.size(r) > 0) & (F.element_at(r, 1) != F.element_at(r, -1)), F.concat(r, F.slice(r, 1, 1))).otherwise(r)
+    good = lambda r: (F.size(r) >= 4) & (F.abs(G.ring_area(r)) >= 1e-12)
+    closed = F.transform("parts", lambda p: F.transform(p["rings"], close))
+    parts = F.transform(F.filter(closed, lambda rings: (F.size(rings) > 0) & good(rings[0])), lambda rings: F.struct(F.filter(rings, good).alias("rings")))
+    return layer.withColumn("parts", parts).filter(F.size("parts") > 0)

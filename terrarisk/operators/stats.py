@@ -79,12 +79,12 @@ def dominant_row(df: DataFrame, key: str, share: str, seq: str, columns: list[st
     return df.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(F.col(share), -F.col(seq))).alias("r")).select(key, "r.*")
 
 
-def displacement_trend(stack: DataFrame, keys: list[str], t: str, v: str) -> DataFrame:
-    """Least-squares slope, intercept and residual per pixel; at least four values over a year."""
+def displacement_trend(stack: DataFrame, keys: list[str], t: str, v: str, least: int = 4, min_span: float = 1.0) -> DataFrame:
+    """Least-squares slope, intercept and residual per pixel; at least `least` values over min_span (a year)."""
     x, y = F.when(F.col(v).isNotNull(), F.col(t)), F.col(v)
     g = stack.groupBy(*keys).agg(F.count(v).alias("n"), (F.max(x) - F.min(x)).alias("span"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
     residual = F.sqrt(F.greatest((F.col("syy") - F.col("slope") * F.col("sxy")) / F.col("n"), F.lit(0.0)))
-    return g.filter("n >= 4 AND span >= 1").select(*keys, "n", (F.col("slope") * 1000).alias("velocity_mm_yr"), "intercept", (residual * 1000).alias("residual_mm"))
+    return g.filter((F.col("n") >= least) & (F.col("span") >= min_span)).select(*keys, "n", (F.col("slope") * 1000).alias("velocity_mm_yr"), "intercept", (residual * 1000).alias("residual_mm"))
 
 
 def fair_share(policies: Column, units: Column) -> Column:
@@ -193,3 +193,81 @@ def row_filter(rules: dict[str, tuple]) -> Column:
     for name, (kind, *values) in rules.items():
         out = out & kinds[kind](F.col(name), *values)
     return out
+
+
+def apply_corrections(df: DataFrame, column: str, corrections: DataFrame) -> DataFrame:
+    """df with `column` replaced where corrections (raw, corrected) has it as written; before any spelling out."""
+    fixes = corrections.select(F.col("raw").alias(column), F.col("corrected").alias("_corrected"))
+    return df.join(fixes, column, "left").withColumn(column, F.coalesce("_corrected", column)).select(df.columns)
+
+
+def median_per_cell(points: DataFrame, value: str, cells_per_degree: int = 10, most: int = 65535) -> DataFrame:
+    """i, j, v: the median of points (lat, lon) in each cell, cut to a whole number that fits 16 bits."""
+    at = [F.floor(F.col(c) * cells_per_degree).alias(n) for c, n in (("lat", "i"), ("lon", "j"))]
+    return points.groupBy(*at).agg(F.least(F.median(value).cast("long"), F.lit(most)).alias("v"))
+
+
+def merge_max(frames: DataFrame, key: str, frame: str, value: str, columns: list[str]) -> DataFrame:
+    """For each key the columns of the frame with the largest value, of the first frame on ties; NULL values go."""
+    best = F.max_by(F.struct(*columns), F.struct(value, -F.col(frame)))
+    return frames.filter(F.col(value).isNotNull()).groupBy(key).agg(best.alias("r")).select(key, "r.*")
+
+
+def tract_rate(tracts: DataFrame, state: str = "CA") -> DataFrame:
+    """tractfips, rate: frequency times loss rate of a state's tracts; tracts without a frequency go."""
+    return tracts.filter((F.col("stateabbrv") == state) & F.col("lnds_afreq").isNotNull()).select("tractfips", (F.col("lnds_afreq") * F.col("lnds_hlrb")).alias("rate"))
+
+
+def landslide_rate_by_n10(points: DataFrame, classes: int = 82) -> DataFrame:
+    """n10, n, share: points (n10, lat, lon) of the served box by susceptibility class, all classes; the last holds what lies above."""
+    known = points.filter(F.col("n10").isNotNull() & in_bounds(F.col("lat"), F.col("lon")))
+    k = known.groupBy(F.least(F.greatest(F.col("n10").cast("long"), F.lit(0)), F.lit(classes - 1)).alias("n10")).agg(F.count("*").alias("n"))
+    total = k.agg(F.sum("n").alias("total"))  # one row
+    n = F.coalesce("n", F.lit(0))
+    return points.sparkSession.range(classes).withColumnRenamed("id", "n10").join(k, "n10", "left").join(F.broadcast(total)).select("n10", n.alias("n"), (n.cast("double") / F.col("total")).alias("share"))
+
+
+def n10_histogram(values: DataFrame, width: int = 5) -> DataFrame:
+    """bin, n: classes 0 to width - 1 are the first bin."""
+    return values.filter("n10 is not null").groupBy(F.ceil((F.col("n10") + 1) / width).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def profile(df: DataFrame, value: str) -> DataFrame:
+    """One row on a numeric column: n, nulls, lo, hi, mean, med, std and p90."""
+    v = F.col(value)
+    return df.agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("nulls"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.median(v).alias("med"), F.stddev_samp(v).alias("std"), F.percentile(v, F.lit(0.9)).alias("p90"))
+
+
+def value_counts(df: DataFrame, dims: dict[str, str], top: int | None = None) -> DataFrame:
+    """dim, value, n for each column of dims (name -> column), in one pass; the `top` most frequent of each if given."""
+    columns = list(dict.fromkeys(dims.values()))
+    g = df.groupingSets([[F.col(c)] for c in columns], *columns).agg(F.count("*").alias("n"), *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(columns)])
+    names = {c: n for n, c in dims.items()}
+    dim, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, c in enumerate(columns):
+        dim, value = F.when(F.col(f"_g{i}") == 0, names[c]).otherwise(dim), F.when(F.col(f"_g{i}") == 0, F.col(c).cast("string")).otherwise(value)
+    out = g.select(dim.alias("dim"), F.coalesce(value, F.lit("none")).alias("value"), "n")
+    if top is None:
+        return out
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy("dim").orderBy(F.col("n").desc(), "value"))).filter(F.col("_r") <= top).drop("_r")
+
+
+def census_policy_join(units: DataFrame, policies: DataFrame) -> DataFrame:
+    """zip, housing_units and pif, 0 for zips without policies."""
+    return units.select("zip", "housing_units").join(policies.select("zip", "pif"), "zip", "left").select("zip", "housing_units", F.coalesce("pif", F.lit(0)).cast("long").alias("pif"))
+
+
+def top_n_zips(policies: DataFrame, n: int = 10) -> DataFrame:
+    """The n zips with the most policies, ties by zip."""
+    return policies.filter("pif is not null").orderBy(F.col("pif").desc(), "zip").limit(n).select("zip", F.col("pif").cast("long").alias("pif"))
+
+
+def policy_trend(wide: DataFrame, years: list[int]) -> DataFrame:
+    """zip, year, pif and the change from the year before, from a column pif_<year> for each year."""
+    long = wide.select("zip", *[F.col(f"pif_{y}").cast("long").alias(str(y)) for y in years]).unpivot("zip", [str(y) for y in years], "year", "pif").withColumn("year", F.col("year").cast("long"))
+    return long.withColumn("change", F.col("pif") - F.lag("pif").over(Window.partitionBy("zip").orderBy("year")))
+
+
+def frame_order(frames: DataFrame, west: str = "lon", n: int = 2) -> DataFrame:
+    """frame_id and its western end, the n most western frames in order."""
+    return frames.groupBy("frame_id").agg(F.min(west).alias("west")).orderBy("west", "frame_id").limit(n)

@@ -431,10 +431,9 @@ def g5(spark, sf_dir):
     return s.join(z, c("poly_id") == 1 + c("site_id") % 10).select("site_id", r6(G.point_line_km(c("parts"), c("lat"), c("lon"))).alias("km"))
 
 
-@query("g10_geometry_quality", ctes("zone_vertices") + ", r AS (SELECT poly_id, ring, count(*) AS points, arg_min(x, n) = arg_max(x, n) AND arg_min(y, n) = arg_max(y, n) AS closed FROM zone_vertices GROUP BY 1, 2) SELECT count(*) AS rings, count(*) FILTER (NOT closed) AS unclosed, count(*) FILTER (points < 4) AS short, count(DISTINCT poly_id) FILTER (ring > 0) AS with_holes FROM r")
+@query("g10_geometry_quality", ctes("zone_vertices") + ", r AS (SELECT poly_id, ring, count(*) AS points, count(DISTINCT (x, y)) AS places, arg_min(x, n) = arg_max(x, n) AND arg_min(y, n) = arg_max(y, n) AS closed FROM zone_vertices GROUP BY 1, 2), area AS (SELECT a.poly_id, a.ring, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area FROM zone_vertices a JOIN zone_vertices b ON a.poly_id = b.poly_id AND a.ring = b.ring AND b.n = a.n + 1 GROUP BY 1, 2) SELECT CAST(0 AS BIGINT) AS empty, count(*) AS rings, count(*) FILTER (NOT closed) AS unclosed, count(*) FILTER (points < 4) AS short, count(*) FILTER (area < 1e-12) AS flat, count(*) FILTER (places < points - 1) AS touching, count(DISTINCT poly_id) FILTER (ring > 0) AS with_holes FROM r JOIN area USING (poly_id, ring)")
 def g10(spark, sf_dir):
-    r = S.polygons(fixture(spark, sf_dir, "zone_vertices")).select("poly_id", F.posexplode(c("parts")[0]["rings"]).alias("ring", "p"))
-    return r.agg(F.count("*").alias("rings"), F.count_if(F.element_at("p", 1) != F.element_at("p", -1)).alias("unclosed"), F.count_if(F.size("p") < 4).alias("short"), F.count_distinct(F.when(c("ring") > 0, c("poly_id"))).alias("with_holes"))
+    return L.geometry_quality(S.polygons(fixture(spark, sf_dir, "zone_vertices")), "poly_id")
 
 
 @query("g13_downwind_sector", ctes("airport_points") + ", k AS (SELECT feature_id, lat, lon, (wind_from + 180) % 360 - 45 + unnest(range(33)) * 90.0 / 32 AS b FROM airport_points) SELECT feature_id, round(min(lon + 2000 * sin(radians(b)) / (111320.0 * cos(radians(lat)))), 6) AS rim_xmin, round(max(lat + 2000 * cos(radians(b)) / 111320.0), 6) AS rim_ymax, CAST(35 AS BIGINT) AS points FROM k GROUP BY feature_id")

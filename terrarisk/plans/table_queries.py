@@ -118,8 +118,8 @@ def n13(spark, sf_dir):
 
 @query("n14_apply_corrections", ctes("addresses") + "SELECT line_no, CASE street WHEN 'elm st' THEN 'elmwood st' ELSE street END AS street FROM addresses")
 def n14(spark, sf_dir):
-    fixes = spark.range(1).select(F.lit("elm st").alias("street"), F.lit("elmwood st").alias("corrected"))
-    return fixture(spark, sf_dir, "addresses").join(fixes, "street", "left").select("line_no", F.coalesce("corrected", "street").alias("street"))
+    fixes = spark.range(1).select(F.lit("elm st").alias("raw"), F.lit("elmwood st").alias("corrected"))
+    return A.apply_corrections(fixture(spark, sf_dir, "addresses"), "street", fixes).select("line_no", "street")
 
 
 @query("n15_normalize_key", ctes("geocode_events") + "SELECT event_id, trim(regexp_replace(lower(address), '\\s+', ' ', 'g')) AS key FROM geocode_events")
@@ -162,15 +162,14 @@ def j13(spark, sf_dir):
 
 @query("a4_median_per_cell", ctes("structures") + "SELECT CAST(floor(lat * 10) AS BIGINT) AS i, CAST(floor(lon * 10) AS BIGINT) AS j, least(CAST(trunc(median(distance_m)) AS BIGINT), 65535) AS v FROM structures GROUP BY 1, 2")
 def a4(spark, sf_dir):
-    return fixture(spark, sf_dir, "structures").groupBy(F.floor(c("lat") * 10).alias("i"), F.floor(c("lon") * 10).alias("j")).agg(F.least(F.median("distance_m").cast("long"), F.lit(65535)).alias("v"))
+    return A.median_per_cell(fixture(spark, sf_dir, "structures"), "distance_m")
 
 
 @query("a10_displacement_trend", ctes("displacement") + ", t AS (SELECT frame_id, pixel_id, date_diff('day', DATE '2000-01-01', acq_date) / 365.25::DOUBLE AS yr, displacement_m AS v FROM displacement) SELECT frame_id, pixel_id, count(v) AS n, round(regr_slope(v, yr) * 1000, 3) AS velocity_mm_yr FROM t WHERE v IS NOT NULL GROUP BY 1, 2 HAVING count(v) >= 4 AND max(yr) - min(yr) >= 0.05")
 def a10(spark, sf_dir):
     """The test stream spans weeks, so the span's limit is lower here than the operator's year."""
-    d = fixture(spark, sf_dir, "displacement").withColumn("yr", F.date_diff("acq_date", F.lit("2000-01-01").cast("date")) / F.lit(365.25)).filter("displacement_m is not null")
-    g = d.groupBy("frame_id", "pixel_id").agg(F.count("*").alias("n"), (F.max("yr") - F.min("yr")).alias("span"), F.regr_slope("displacement_m", "yr").alias("s"))
-    return g.filter("n >= 4 AND span >= 0.05").select("frame_id", "pixel_id", "n", F.round(c("s") * 1000, 3).alias("velocity_mm_yr"))
+    d = fixture(spark, sf_dir, "displacement").withColumn("yr", F.date_diff("acq_date", F.lit("2000-01-01").cast("date")) / F.lit(365.25))
+    return A.displacement_trend(d, ["frame_id", "pixel_id"], "yr", "displacement_m", min_span=0.05).select("frame_id", "pixel_id", "n", F.round("velocity_mm_yr", 3).alias("velocity_mm_yr"))
 
 
 @query("a10_trend_by_day", ctes("displacement") + ", t AS (SELECT frame_id, pixel_id, CAST(date_diff('day', DATE '2000-01-01', acq_date) AS DOUBLE) AS d, displacement_m AS v FROM displacement WHERE displacement_m IS NOT NULL) SELECT frame_id, pixel_id, count(*) AS n, round(regr_slope(v, d) * 1000, 3) AS velocity, round(1000 * sqrt(greatest((regr_syy(v, d) - regr_slope(v, d) * regr_sxy(v, d)) / count(*), 0)), 3) AS residual FROM t GROUP BY 1, 2 HAVING count(*) >= 4 AND max(d) - min(d) >= 1")
@@ -182,8 +181,8 @@ def a10b(spark, sf_dir):
 
 @query("a12_merge_max", ctes("displacement") + ", f AS (SELECT frame_id, pixel_id % 20 AS poly, max(abs(displacement_m)) AS mx, avg(abs(displacement_m)) AS mean FROM displacement GROUP BY 1, 2) SELECT poly, frame_id, round(mx, 6) AS mx, round(mean, 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY mx DESC, frame_id) AS rn FROM f WHERE mx IS NOT NULL) WHERE rn = 1")
 def a12(spark, sf_dir):
-    f = fixture(spark, sf_dir, "displacement").groupBy("frame_id", (c("pixel_id") % 20).alias("poly")).agg(F.max(F.abs("displacement_m")).alias("mx"), F.avg(F.abs("displacement_m")).alias("mean")).filter("mx is not null")
-    return f.groupBy("poly").agg(F.max_by(F.struct("frame_id", "mx", "mean"), F.struct("mx", -c("frame_id"))).alias("r")).select("poly", "r.frame_id", r6("r.mx").alias("mx"), r6("r.mean").alias("mean"))
+    f = fixture(spark, sf_dir, "displacement").groupBy("frame_id", (c("pixel_id") % 20).alias("poly")).agg(F.max(F.abs("displacement_m")).alias("mx"), F.avg(F.abs("displacement_m")).alias("mean"))
+    return A.merge_max(f, "poly", "frame_id", "mx", ["frame_id", "mx", "mean"]).select("poly", "frame_id", r6("mx").alias("mx"), r6("mean").alias("mean"))
 
 
 SHARE = "CASE WHEN housing_units > 0 THEN least(greatest(coalesce(pif_2025, 0) / housing_units, 0), 1) ELSE 0 END"
@@ -197,25 +196,23 @@ def a13(spark, sf_dir):
 @query("j21_census_policy_join", ctes("zip_units") + "SELECT u.zip, u.housing_units, CAST(coalesce(p.pif, 0) AS BIGINT) AS pif FROM zip_units u LEFT JOIN (SELECT zip, pif_2025 AS pif FROM zip_units WHERE zip > '90050') p USING (zip)")
 def j21(spark, sf_dir):
     u = fixture(spark, sf_dir, "zip_units")
-    return u.select("zip", "housing_units").join(u.filter("zip > '90050'").select("zip", c("pif_2025").alias("pif")), "zip", "left").select("zip", "housing_units", F.coalesce("pif", F.lit(0)).cast("long").alias("pif"))
+    return A.census_policy_join(u, u.filter("zip > '90050'").select("zip", c("pif_2025").alias("pif")))
 
 
 @query("a14_tract_rate", ctes("tract_rates") + "SELECT tractfips, round(lnds_afreq * lnds_hlrb, 9) AS rate FROM tract_rates WHERE stateabbrv = 'CA' AND lnds_afreq IS NOT NULL")
 def a14(spark, sf_dir):
-    return fixture(spark, sf_dir, "tract_rates").filter("stateabbrv = 'CA' AND lnds_afreq is not null").select("tractfips", F.round(c("lnds_afreq") * c("lnds_hlrb"), 9).alias("rate"))
+    return A.tract_rate(fixture(spark, sf_dir, "tract_rates")).select("tractfips", F.round("rate", 9).alias("rate"))
 
 
 @query("a15_landslide_rate_by_n10", ctes("landslide_points") + ", k AS (SELECT CAST(least(greatest(trunc(n10_90m), 0), 81) AS BIGINT) AS n10, count(*) AS n FROM landslide_points WHERE n10_90m IS NOT NULL AND lat_n BETWEEN 32.5 AND 42.0 AND lon_e BETWEEN -124.5 AND -114.0 GROUP BY 1) SELECT r.n10, coalesce(n, 0) AS n, round(coalesce(n, 0)::DOUBLE / (SELECT sum(n) FROM k), 6) AS share FROM range(82) r(n10) LEFT JOIN k USING (n10)")
 def a15(spark, sf_dir):
-    p = fixture(spark, sf_dir, "landslide_points").filter(c("n10_90m").isNotNull() & c("lat_n").between(32.5, 42.0) & c("lon_e").between(-124.5, -114.0))
-    k = p.groupBy(F.least(F.greatest(c("n10_90m").cast("long"), F.lit(0)), F.lit(81)).alias("n10")).agg(F.count("*").alias("n"))
-    total = k.agg(F.sum("n").alias("total"))
-    return spark.range(82).withColumnRenamed("id", "n10").join(k, "n10", "left").join(F.broadcast(total)).select("n10", F.coalesce("n", F.lit(0)).alias("n"), r6(F.coalesce("n", F.lit(0)).cast("double") / c("total")).alias("share"))
+    p = fixture(spark, sf_dir, "landslide_points").select(c("n10_90m").alias("n10"), c("lat_n").alias("lat"), c("lon_e").alias("lon"))
+    return A.landslide_rate_by_n10(p).select("n10", "n", r6("share").alias("share"))
 
 
 @query("a16_n10_histogram", ctes("landslide_points") + "SELECT CAST(ceil((n10_90m + 1) / 5) AS BIGINT) AS bin, count(*) AS n FROM landslide_points WHERE n10_90m IS NOT NULL GROUP BY 1")
 def a16(spark, sf_dir):
-    return fixture(spark, sf_dir, "landslide_points").filter("n10_90m is not null").groupBy(F.ceil((c("n10_90m") + 1) / 5).alias("bin")).agg(F.count("*").alias("n"))
+    return A.n10_histogram(fixture(spark, sf_dir, "landslide_points").select(c("n10_90m").alias("n10")))
 
 
 @query("a17_histogram", ctes("line_attrs") + "SELECT CAST((v >= 5000)::INT + (v >= 20000)::INT + (v >= 50000)::INT + (v >= 100000)::INT AS BIGINT) AS bin, count(*) AS n FROM (SELECT try_cast(ahead_aadt AS DOUBLE) AS v FROM line_attrs) WHERE v IS NOT NULL GROUP BY 1")
@@ -225,14 +222,15 @@ def a17(spark, sf_dir):
 
 @query("a18_profile", ctes("airport_points") + "SELECT count(*) AS n, count(*) - count(annual_piston_ops) AS nulls, count(DISTINCT airport_id) AS ids, round(min(erosion_rate_m_yr), 6) AS lo, round(max(erosion_rate_m_yr), 6) AS hi, round(avg(erosion_rate_m_yr), 6) AS mean, round(median(erosion_rate_m_yr), 6) AS med, round(stddev_samp(erosion_rate_m_yr), 6) AS std, count(*) FILTER (erosion_rate_m_yr < 0) AS eroding, round(quantile_cont(erosion_rate_m_yr, 0.9), 6) AS p90 FROM airport_points")
 def a18(spark, sf_dir):
-    v = c("erosion_rate_m_yr")
-    return fixture(spark, sf_dir, "airport_points").agg(F.count("*").alias("n"), F.count_if(c("annual_piston_ops").isNull()).alias("nulls"), F.count_distinct("airport_id").alias("ids"), r6(F.min(v)).alias("lo"), r6(F.max(v)).alias("hi"), r6(F.avg(v)).alias("mean"), r6(F.median(v)).alias("med"), r6(F.stddev_samp(v)).alias("std"), F.count_if(v < 0).alias("eroding"), r6(F.percentile(v, F.lit(0.9))).alias("p90"))
+    a = fixture(spark, sf_dir, "airport_points")
+    numbers = A.profile(a, "erosion_rate_m_yr").select("n", *[r6(x).alias(x) for x in ("lo", "hi", "mean", "med", "std", "p90")])
+    more = a.agg(F.count_if(c("annual_piston_ops").isNull()).alias("nulls"), F.count_distinct("airport_id").alias("ids"), F.count_if(c("erosion_rate_m_yr") < 0).alias("eroding"))
+    return numbers.join(F.broadcast(more))  # a row each
 
 
 @query("a19_value_counts", ctes("contamination_points") + "SELECT CASE WHEN grouping(source) = 0 THEN 'source' ELSE 'type' END AS dim, coalesce(source, raw_type, 'none') AS value, count(*) AS n FROM contamination_points GROUP BY GROUPING SETS ((source), (raw_type))")
 def a19(spark, sf_dir):
-    g = fixture(spark, sf_dir, "contamination_points").groupingSets([[c("source")], [c("raw_type")]], "source", "raw_type").agg(F.count("*").alias("n"), F.grouping("source").alias("g"))
-    return g.select(F.when(c("g") == 0, "source").otherwise("type").alias("dim"), F.coalesce("source", "raw_type", F.lit("none")).alias("value"), "n")
+    return A.value_counts(fixture(spark, sf_dir, "contamination_points"), {"source": "source", "type": "raw_type"})
 
 
 @query("w4_dedupe_addresses", ADDRESSES + " SELECT line_no FROM (SELECT line_no, row_number() OVER (PARTITION BY lower(address), lower(city) ORDER BY file_name, line_no) AS rn FROM clean) WHERE rn = 1")
@@ -247,22 +245,20 @@ def w5(spark, sf_dir):
 
 @query("w7_top_n_zips", ctes("zip_units") + "SELECT zip, CAST(pif_2025 AS BIGINT) AS pif FROM zip_units WHERE pif_2025 IS NOT NULL ORDER BY pif_2025 DESC, zip LIMIT 10")
 def w7(spark, sf_dir):
-    return fixture(spark, sf_dir, "zip_units").filter("pif_2025 is not null").orderBy(c("pif_2025").desc(), "zip").limit(10).select("zip", c("pif_2025").cast("long").alias("pif"))
+    return A.top_n_zips(fixture(spark, sf_dir, "zip_units").select("zip", c("pif_2025").alias("pif")))
 
 
 @query("w8_policy_trend", ctes("zip_units") + ", y AS (SELECT zip, 2025 - k AS year, CAST(coalesce(pif_2025, 0) * (10 - k) AS BIGINT) AS pif FROM zip_units, range(5) r(k)) SELECT zip, CAST(year AS BIGINT) AS year, pif, pif - lag(pif) OVER (PARTITION BY zip ORDER BY year) AS change FROM y")
 def w8(spark, sf_dir):
     u = fixture(spark, sf_dir, "zip_units")
-    wide = u.select("zip", *[(F.coalesce("pif_2025", F.lit(0)) * (10 - k)).cast("long").alias(str(2025 - k)) for k in range(5)])
-    long = wide.unpivot("zip", [str(2025 - k) for k in range(5)], "year", "pif").withColumn("year", c("year").cast("long"))
-    return long.withColumn("change", c("pif") - F.lag("pif").over(Window.partitionBy("zip").orderBy("year")))
+    wide = u.select("zip", *[(F.coalesce("pif_2025", F.lit(0)) * (10 - k)).alias(f"pif_{2025 - k}") for k in range(5)])
+    return A.policy_trend(wide, [2025 - k for k in range(5)])
 
 
 @query("w9_frame_order", ctes("displacement", "airport_points") + "SELECT d.frame_id, round(min(lon), 6) AS west FROM displacement d JOIN airport_points p ON p.feature_id = d.frame_id + 1 GROUP BY d.frame_id ORDER BY west LIMIT 2")
 def w9(spark, sf_dir):
     p = fixture(spark, sf_dir, "airport_points").select((c("feature_id") - 1).alias("frame_id"), "lon")
-    frames = fixture(spark, sf_dir, "displacement").select("frame_id").distinct()
-    return frames.join(p, "frame_id").groupBy("frame_id").agg(r6(F.min("lon")).alias("west")).orderBy("west").limit(2)
+    return A.frame_order(fixture(spark, sf_dir, "displacement").select("frame_id").distinct().join(p, "frame_id")).select("frame_id", r6("west").alias("west"))
 
 
 @query("t1_prefix_search", ADDRESSES + ", q AS (SELECT unnest(['10', '15', '2', '399 e', '100 OAK']) AS q) SELECT q, rank, line_no AS address_id FROM (SELECT q, line_no, row_number() OVER (PARTITION BY q ORDER BY lower(address), line_no) AS rank FROM clean JOIN q ON length(q) >= 2 AND starts_with(lower(address), lower(q))) WHERE rank <= 6")

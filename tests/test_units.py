@@ -151,6 +151,30 @@ def test_geometry_kinds(spark):
     assert round(got[1], 3) == round(got[2], 3) == 111.195 and got[3] == float("inf")
 
 
+def test_geometry_repair(spark):
+    """Open, short, flat, touching and empty rings are counted; what can be used is closed and kept."""
+    ring = lambda *p: ([[(float(x), float(y)) for x, y in p]],)
+    rows = [
+        (1, square(0.0, 0.0, 1.0)), (2, [ring((0, 0), (1, 0), (1, 1), (0, 1))]), (3, [ring((0, 0), (1, 1), (0, 0))]), (4, [ring((0, 0), (1, 1), (2, 2), (0, 0))]),
+        (5, [ring((0, 0), (2, 0), (1, 1), (2, 2), (1, 1), (0, 2), (0, 0))]), (6, []), (7, None), (8, square(0.0, 0.0, 9.0, (1.0, 1.0, 1.0))),
+    ]
+    df = spark.createDataFrame(rows, f"k long, parts {G.GEOMETRY}")
+    r = L.geometry_quality(df, "k").first().asDict()
+    assert r == {"empty": 2, "rings": 7, "unclosed": 1, "short": 1, "flat": 1, "touching": 1, "with_holes": 1}
+    kept = {x.k: len(x.parts[0].rings[0]) for x in L.usable(df).collect()}
+    assert kept == {1: 5, 2: 5, 5: 7, 8: 5}
+
+
+def test_counts_and_filters(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 5, "x"), ("a", 9, None)], "s string, n long, t string")
+    assert sorted(map(tuple, A.value_counts(df, {"s": "s", "t": "t"}, 1).collect())) == [("s", "a", 2), ("t", "x", 2)]
+    rules = {"s": ("matches", "^a"), "n": ("least", 2), "t": ("none_of", ["x"])}
+    assert [r.n for r in df.filter(A.row_filter(rules)).collect()] == [9]
+    assert {r.rule: r.n_bad for r in A.validate_table(df, {"t": F.col("t").isNull()}, (5, 9)).collect()} == {"t": 1, "row_count": 1}
+    fixed = A.apply_corrections(df, "s", spark.createDataFrame([("a", "z")], "raw string, corrected string"))
+    assert sorted(r.s for r in fixed.collect()) == ["b", "z", "z"] and fixed.columns == df.columns
+
+
 def test_scores_are_those_of_the_trees(spark):
     """Batch inference against the sum of the trees, and folds against their counts."""
     rows = [(i, float(i % 2 or i % 7 == 0), float(i % 10), float(i % 4), 0.1 * (i % 3)) for i in range(400)]
