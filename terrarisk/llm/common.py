@@ -19,6 +19,8 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The most words in a generation of a worker's cache, and the longest that it keeps.
 CACHE_WORDS = 100_000
 LONG_KEY = 64
+#: Rows of the Arrow batches that take texts to Python.
+TEXT_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +90,14 @@ def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return met_in_buckets(df, F.col(first), gone, F.col(first), how="leftanti").unionByName(maybe.hint("merge").join(gone, keys, "left_anti"))
 
 
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lowers the session's rows of an Arrow batch to `rows`: a batch of 10,000 long texts takes hundreds of MB of an
+    executor's memory outside its heap, for each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null gives b""."""
     column = batch.column(name)

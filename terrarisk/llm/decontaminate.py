@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, marked, remove, shared_dir
+from .common import column_bytes, marked, remove, shared_dir, text_batches
 
 WINDOW = 10
 #: Bytes (about) of the terms and windows that one round takes to every task.
@@ -174,6 +174,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int =
     """A row per row of docs: doc_id, ident, twin (see common.marks), n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
     path, found = shared_dir(spark), None
+    text_batches(spark)
     docs = marked(docs)
     for number, (terms, windows, item_ids) in enumerate(_rounds(benchmark, width, round_bytes)):
         build_index(docs, terms, f"{path}/index{number}")

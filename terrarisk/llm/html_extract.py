@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Cache, map_batches, with_columns
+from .common import Cache, map_batches, text_batches, with_columns
 
 PATH_DIM, WORD_DIM, EXTRA = 96, 16, 6
 HIDDEN = 20
@@ -445,6 +445,7 @@ def extract_texts(pages: list[str | None], model: Labeller) -> list[str]:
 
 def extract_main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """pages (with html) plus text and n_chars, without html."""
+    text_batches(pages.sparkSession)
     model = model or labeller()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Cache, column_bytes, marked, marks, met_in_buckets, mixed, remove, shared_dir, stored
+from .common import Cache, LOWER, column_bytes, marked, marks, met_in_buckets, mixed, remove, shared_dir, stored, text_batches
 from .components import components
 
 WIDTH = 4
@@ -354,6 +354,7 @@ def _rooted(shared: DataFrame, part: DataFrame | None) -> DataFrame:
 def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_level: int = MAX_LEVEL) -> DataFrame:
     """A row per row of docs: doc_id, ident, twin, n_shingles, root (of its component; null without words), component_id."""
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+    text_batches(spark)
     docs = marked(docs)
     sketch = read_sets(docs, width, path)
     members = spark.read.parquet(f"{path}/sets").filter("chunk is null").select("doc_id", "ident", "twin", "n", "key", "other", "sig")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, text_batches
 from .tokens import default_path, encoder
 
 CAPACITY = 2048
@@ -227,6 +227,7 @@ def _on_islands(state: DataFrame, capacity: int, islands: int, epochs: int) -> D
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, end_id: int = END_ID, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, pool_fill: float = POOL_FILL) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+    text_batches(spark)
     cut(docs, capacity, tokenizer_path, end_id).write.parquet(f"{path}/pieces")
     pieces = spark.read.parquet(f"{path}/pieces")
     loose = pieces.filter(F.col("length") < capacity).select("item", F.col("length").cast("int").alias("size"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Cache, column_bytes, met_in_buckets, mixed
+from .common import Cache, WHITE, column_bytes, met_in_buckets, mixed, text_batches
 
 #: The least number of buckets, and the n-grams for which there is one.
 BUCKETS = 1 << 14
@@ -246,6 +246,7 @@ def _summed(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, chunk_bits: int = CHUNK_BITS, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept."""
     spark = docs.sparkSession
+    text_batches(spark)
     grams = n_grams(docs)
     buckets = buckets or bucket_count(grams)
     key = F.xxhash64("doc_id", "text")

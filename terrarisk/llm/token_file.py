@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, text_batches
 from .tokens import default_path, encoder
 
 MAGIC = b"EFTK0001"
@@ -142,6 +142,7 @@ def _filesystem(path: str):
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Writes shard files below path; the manifest: shard, file, first_doc_id, n_docs, n_ids, start (ids before it)."""
     spark = docs.sparkSession
+    text_batches(spark)
     tokenizer_path = tokenizer_path or default_path()
     kinds = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Cache, column_bytes, map_batches, with_columns
+from .common import Cache, LOWER, column_bytes, map_batches, text_batches, with_columns
 
 FOLDS = 5
 MAX_DOCS = 2500
@@ -165,6 +165,7 @@ def score(text: bytes, model: Model) -> float:
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> DataFrame:
     """docs with held_out, score and predicted."""
+    text_batches(docs.sparkSession)
     model = fit(docs, labels, folds, max_docs, max_chars)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, column_bytes, map_batches, with_columns, written
+from .common import Cache, column_bytes, map_batches, text_batches, with_columns, written
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "capitals", "repeats", "lines", "word_length", "sentences", "short_words", "bare_marks")
@@ -132,6 +132,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], passes: int = 1
 
 def weak_label_classifier(docs: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """docs with vote_pattern, posterior, score and kept."""
+    text_batches(docs.sparkSession)
     share = max_train / max(docs.count(), 1)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
