@@ -6,7 +6,8 @@ on several islands. A chromosome is a list of bins. Crossover injects whole well
 other, removes the bins that now hold duplicates, and best-fits the displaced documents; mutation empties some of the
 least filled bins. After each epoch the islands of a block pass their elites on in a ring. The bins that stay under
 `pool_fill` are then pooled across blocks, dealt anew bin by bin and evolved once more with their present packing as
-an individual, so that pooling never adds a sequence. A block ends early when it meets a lower bound.
+an individual, so that pooling never adds a sequence. A block whose best-fit-decreasing packing (or the one it comes with)
+meets a lower bound is done and goes to no island; on the islands a block ends early when it meets the bound.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed as often as they occur; an empty
 table gives an empty result.
@@ -174,6 +175,9 @@ def evolve(sizes: np.ndarray, seeds: list[np.ndarray], capacity: int, seed: int,
     rng = np.random.default_rng(seed)
     bound = lower_bound(sizes, capacity)
     people = [Bins.of(sizes, capacity, s) for s in seeds]
+    for one in people:
+        if len(one.items) <= bound:
+            return one.assignment()
     while len(people) < population:
         one = Bins(sizes, capacity)
         noise = 1 + (0.0 if not people else 0.15) * rng.random(len(sizes))
@@ -197,6 +201,14 @@ def evolve(sizes: np.ndarray, seeds: list[np.ndarray], capacity: int, seed: int,
     return max(people, key=Bins.fitness).assignment()
 
 
+def first_fit(sizes: np.ndarray, seeds: list[np.ndarray], capacity: int) -> tuple[np.ndarray, bool]:
+    """The better of the given assignments and best-fit decreasing, and whether it meets the lower bound."""
+    one = Bins(sizes, capacity)
+    one.best_fit(np.argsort(-sizes, kind="stable").tolist())
+    best = min([*(Bins.of(sizes, capacity, s) for s in seeds), one], key=lambda b: len(b.items))
+    return best.assignment(), len(best.items) <= lower_bound(sizes, capacity)
+
+
 def _on_islands(state: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
     """state: block, items, sizes, elites (assignments to start from). Returns block, items, sizes, elite."""
 
@@ -212,16 +224,26 @@ def _on_islands(state: DataFrame, capacity: int, islands: int, epochs: int) -> D
 
         return run
 
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = [first_fit(np.asarray(r.sizes, np.int64), [np.unique(np.asarray(e), return_inverse=True)[1] for e in r.elites], capacity) for r in frame.itertuples(index=False)]
+            yield frame[["block", "items", "sizes"]].assign(elite=[e for e, _ in got], done=[d for _, d in got])
+
+    spark = state.sparkSession
+    path = shared_dir(spark)
+    state.repartition("block").mapInPandas(begin, "block long, items array<long>, sizes array<int>, elite array<long>, done boolean").write.parquet(path)
+    begun = spark.read.parquet(path)
     schema = "block long, island int, items array<long>, sizes array<int>, elite array<long>, bins int"
-    state = state.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "items", "sizes", "elites").repartition("block", "island")
+    state = begun.filter("not done").select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "items", "sizes", F.array("elite").alias("elites")).repartition("block", "island")
     for number in range(epochs):
-        path = shared_dir(state.sparkSession)
+        path = shared_dir(spark)
         state.mapInPandas(epoch(number), schema).write.parquet(path)
-        state = state.sparkSession.read.parquet(path)
+        state = spark.read.parquet(path)
         if number < epochs - 1:
             guests = state.select("block", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.col("elite").alias("guest"))
             state = state.join(guests, ["block", "island"]).select("block", "island", "items", "sizes", F.array("elite", "guest").alias("elites"))
-    return state.groupBy("block").agg(F.min_by(F.struct("items", "sizes", "elite"), F.struct("bins", "island")).alias("b")).select("block", "b.*")
+    best = state.groupBy("block").agg(F.min_by(F.struct("items", "sizes", "elite"), F.struct("bins", "island")).alias("b")).select("block", "b.*")
+    return begun.filter("done").select("block", "items", "sizes", "elite").unionByName(best)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, end_id: int = END_ID, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, pool_fill: float = POOL_FILL) -> DataFrame:
