@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 CACHE_WORDS = 100_000
 LONG_KEY = 64
 #: Rows of the Arrow batches that take texts to Python.
-TEXT_ROWS = 2000
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +132,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system, as far as its allocators allow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Cache(dict):
     """key -> make(key), computed once by a worker while it is kept.
 
@@ -163,6 +172,7 @@ class Cache(dict):
             for c in Cache._in_use:
                 c.empty()
             Cache._of, Cache._in_use = self.of, []
+            give_back()
         if not any(c is self for c in Cache._in_use):
             Cache._in_use.append(self)
         if len(self) > self.size:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, WHITE, column_bytes, met_in_buckets, mixed, text_batches
+from .common import Cache, WHITE, column_bytes, met_in_buckets, mixed, stored, text_batches
 
 #: The least number of buckets, and the n-grams for which there is one.
 BUCKETS = 1 << 14
@@ -215,6 +215,7 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame
     others = met_in_buckets(docs, F.col("doc_id").cast("long"), good, F.col("_id").cast("long"), how="leftanti")
     # by a shuffle at every size: the labels grow with the corpus
     joined = some.hint("merge").join(good.withColumn("_trusted", F.lit(True)), F.col("doc_id") == F.col("_id"), "left").select(*docs.columns, F.coalesce("_trusted", F.lit(False)).alias("_trusted"))
+    joined, _ = stored(joined, "joined")  # it is read three times; labels may cover a third of the documents
     return joined.unionByName(others.withColumn("_trusted", F.lit(False))), joined.filter("_trusted")
 
 
