@@ -18,7 +18,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 #: Maps A-Z to a-z and leaves every other byte.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: The most words in a generation of a worker's cache, and the longest that it keeps.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
 LONG_KEY = 64
 #: Rows of the Arrow batches that take texts to Python.
 TEXT_ROWS = 1000
@@ -162,17 +162,22 @@ class Cache(dict):
             self[key] = value
         return value
 
+    @classmethod
+    def only(cls, of: str) -> None:
+        """Empties the caches of other operators than `of`; called by operators without a cache as well."""
+        if Cache._of != of:
+            for c in Cache._in_use:
+                c.empty()
+            Cache._of, Cache._in_use = of, []
+            give_back()
+
     def empty(self) -> None:
         self.clear()
         self.older = {}
 
     def ready(self) -> None:
         """To be called before each text or block of texts."""
-        if Cache._of != self.of:
-            for c in Cache._in_use:
-                c.empty()
-            Cache._of, Cache._in_use = self.of, []
-            give_back()
+        Cache.only(self.of)
         if not any(c is self for c in Cache._in_use):
             Cache._in_use.append(self)
         if len(self) > self.size:

@@ -56,7 +56,6 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 
 _log = logging.getLogger(__name__)
-_words = Cache(xxhash.xxh64_intdigest, __name__)
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -68,8 +67,8 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]
             block.append(texts[at].translate(LOWER).split())
             n += len(block[-1])
             at += 1
-        _words.ready()
-        h = mixed(np.fromiter((x for words in block for x in map(_words.__getitem__, words)), np.uint64, n))
+        Cache.only(__name__)
+        h = mixed(np.fromiter((x for words in block for x in map(xxhash.xxh64_intdigest, words)), np.uint64, n))
         long = np.full(n, width, np.uint64)
         for k in range(width):
             m = max(0, n - k)

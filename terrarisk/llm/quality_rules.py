@@ -47,12 +47,11 @@ MAX_REPEAT_PERCENT = 50
 EXACT, STEPS = 1 << 15, 1 << 10
 SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
-_hashes = Cache(zlib.crc32, __name__)
 
 
 def ngram_buckets(words: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of the unigrams, then of the bigrams."""
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     grams = np.concatenate([h + np.uint64(1), (h[:-1] << np.uint64(32)) ^ (h[1:] + np.uint64(2))])
     return (mixed(grams) % np.uint64(buckets)).astype(np.int64)
 
@@ -172,7 +171,7 @@ def gram_rows(docs: DataFrame, buckets: int, chunk_bits: int, kind: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            _hashes.ready()
+            Cache.only(__name__)
             for key, good, text in zip(batch.column("key").to_pylist(), batch.column("trusted").to_pylist(), column_bytes(batch, "text")):
                 if words := text.split():
                     held.append((key, good, *np.unique(ngram_buckets(words, buckets), return_counts=True)))
@@ -192,7 +191,7 @@ def dense_rows(docs: DataFrame, buckets: int, chunk_bits: int, kind: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(buckets, np.uint32)
         for batch in batches:
-            _hashes.ready()
+            Cache.only(__name__)
             for text in column_bytes(batch, "text"):
                 if words := text.split():
                     u, k = np.unique(ngram_buckets(words, buckets), return_counts=True)
@@ -290,7 +289,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             raw, good = spread.value
             for batch in batches:
                 if batch.num_rows:
-                    _hashes.ready()
+                    Cache.only(__name__)
                     own = batch.column("_trusted").to_pylist()
                     yield judge(batch, lambda i, words: totals.score(ngram_buckets(words, buckets), raw, good, own[i]) if totals.target else 0.0)
 
