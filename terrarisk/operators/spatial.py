@@ -99,24 +99,43 @@ def grown(layer: DataFrame, south: Column, north: Column, west: Column, east: Co
 IN_BOX = "lat >= _south and lat <= _north and lon >= _west and lon <= _east"
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt by the columns to all shuffle partitions, where it may lie in few: the work of a join is in what meets."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def line_distances(sites: DataFrame, layer: DataFrame, key: str, max_km: float) -> DataFrame:
     """site_id, key, distance_km for lines within max_km.
 
     The layer's edges, grown by max_km, are copied to the cells that they touch; a site lies in one cell and is moved
     once. Cells with many sites are split by Spark's handling of skewed joins, for no grouping follows on the cells.
+    The distance is filtered above the aggregate: below it the filter would become a part of the join's condition, which
+    shares no subexpressions.
     """
-    edge, cell = grown(segments(layer, key), F.least("ay", "by"), F.greatest("ay", "by"), F.least("ax", "bx"), F.greatest("ax", "bx"), max_km, 2)
+    edges = spread(segments(layer, key), key, "ax", "ay")
+    edge, cell = grown(edges, F.least("ay", "by"), F.greatest("ay", "by"), F.least("ax", "bx"), F.greatest("ax", "bx"), max_km, 2)
     d = G.point_segment_km(*[F.col(c) for c in ("lat", "lon", "ax", "ay", "bx", "by")])
     met = in_cells(sites.select("site_id", "lat", "lon"), cell).join(edge, ["ci", "cj"]).filter(IN_BOX)
-    return met.select("site_id", key, d.alias("d")).filter(F.col("d") <= max_km).groupBy("site_id", key).agg(F.min("d").alias("distance_km"))
+    return met.select("site_id", key, d.alias("d")).groupBy("site_id", key).agg(F.min("d").alias("distance_km")).filter(F.col("distance_km") <= max_km)
+
+
+#: Squared chord between two places on the unit sphere, from their unit vectors: no trigonometry in a join's condition.
+CHORD2 = "(_ux - _vx) * (_ux - _vx) + (_uy - _vy) * (_uy - _vy) + (_uz - _vz) * (_uz - _vz)"
+
+
+def unit_vector(lat: str, lon: str, name: str) -> dict[str, Column]:
+    a, b = F.radians(lat), F.radians(lon)
+    return {f"_{name}x": F.cos(a) * F.cos(b), f"_{name}y": F.cos(a) * F.sin(b), f"_{name}z": F.sin(a)}
 
 
 def point_distances(sites: DataFrame, points: DataFrame, key: str, max_km: float) -> DataFrame:
     """site_id, key, distance_km for points (key, lat, lon) within max_km; a site is moved once, as in line_distances."""
-    p = points.select(key, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    p = spread(points.select(key, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "p_lat", "p_lon").withColumns(unit_vector("p_lat", "p_lon", "v"))
     p, cell = grown(p, F.col("p_lat"), F.col("p_lat"), F.col("p_lon"), F.col("p_lon"), max_km, 1)
     d = G.haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    return in_cells(sites.select("site_id", "lat", "lon"), cell).join(p, ["ci", "cj"]).filter(IN_BOX).select("site_id", key, d.alias("distance_km")).filter(F.col("distance_km") <= max_km)
+    near = F.expr(CHORD2) <= (2 * math.sin(max_km / (2 * G.EARTH_KM))) ** 2
+    s = in_cells(sites.select("site_id", "lat", "lon").withColumns(unit_vector("lat", "lon", "u")), cell)
+    return s.join(p, ["ci", "cj"]).filter(IN_BOX).filter(near).select("site_id", key, d.alias("distance_km"))
 
 
 def nearest_of(distances: DataFrame, key: str, k: int = 1) -> DataFrame:
