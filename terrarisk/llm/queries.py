@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules, token_file, toxicity, warc, weak_label
+from . import bond, chat_format, decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, token_file, toxicity, warc, weak_label, whitening
 from .common import table
 
 
@@ -53,11 +53,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bond.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     own = {"pipeline": corpus_pipeline.run}
-    return own | {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_pack, op4_weak_label, op5_quality_rules, op6_chat_format, op7_token_file, op8_warc, op9_toxicity, op10_jaccard_join)}
+    return own | {f.__name__: f for f in (op1_html_extract, op2_decontaminate, op3_pack, op4_weak_label, op5_quality_rules, op6_chat_format, op7_token_file, op8_warc, op9_toxicity, op10_jaccard_join, op11_hard_negatives, op12_language_id, op13_whitening)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,6 +105,17 @@ CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to, true AS com
 """
 
 
+_OP11 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score FROM e a JOIN e r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict:
     """The others depend on tokenizers, trained models or hashes that SQL hasn't; tests hold them against plain versions."""
-    return {"op2_decontaminate": _OP2, "op6_chat_format": _OP6, "op8_warc": _OP8}
+    return {"op2_decontaminate": _OP2, "op6_chat_format": _OP6, "op8_warc": _OP8, "op11_hard_negatives": _OP11}
