@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrarisk.functions import geometry as G
+from terrarisk.sources.scratch import scratch_dir
 
 #: Length of a degree of latitude, and the northern border that bounds how short a degree of longitude gets.
 KM_PER_DEGREE, MAX_LAT = 111.19, 42.0
@@ -69,17 +70,6 @@ def outside_all(sites: DataFrame, layer: DataFrame) -> DataFrame:
     return sites.join(zone_pairs(sites.select("site_id", "lat", "lon"), layer).select("site_id").distinct(), "site_id", "left_anti")
 
 
-def ring_cell(max_km: float) -> float:
-    """The size of cells of which a 3 by 3 block around a site reaches max_km in every direction."""
-    return max_km / (KM_PER_DEGREE * math.cos(math.radians(MAX_LAT))) * 1.02
-
-
-def around(sites: DataFrame, cell: float) -> DataFrame:
-    """sites once for each cell of the 3 by 3 block."""
-    d = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return in_cells(sites, cell).withColumn("d", F.explode(d)).withColumn("ci", F.col("ci") + F.col("d.i")).withColumn("cj", F.col("cj") + F.col("d.j")).drop("d")
-
-
 def segments(layer: DataFrame, key: str) -> DataFrame:
     """A row per edge: key, ax, ay, bx, by."""
     return layer.select(key, F.explode(G.all_edges(F.col("parts"))).alias("e")).select(key, *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
@@ -144,50 +134,125 @@ def nearest_of(distances: DataFrame, key: str, k: int = 1) -> DataFrame:
     return distances.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, value: str) -> DataFrame:
-    """For each point the value of the centroid that is nearest in degrees; ties to the smaller value.
+#: Levels of the pyramid of cell counts are four times as wide as the one below.
+PYRAMID = 4
+#: Cells of the lowest level in degrees: about 100 m for points; edges cover several cells, so theirs are wider.
+FINEST_POINTS, FINEST_EDGES = 0.001, 0.016
+
 
-    Candidates are cut by growing cells: a centroid in the 3 by 3 block of a cell is certain once it is nearer than the
-    cell is wide; the others go on with cells 16 times as wide, the last of which spans everything. The centroids are
-    copied to the cells around theirs, a point lies in one.
+def _search_levels(places: DataFrame, reps: DataFrame, k: int, finest: float, polar: float) -> tuple[DataFrame, float]:
+    """(ci, cj, l: for each lowest cell that holds a place, the lowest level at which the 3 by 3 block around it holds k
+    representatives; the last level, which spans everything, where none does and near the poles), and the lowest cells'
+    size: the widest whose fullest cell holds at most 8 k representatives.
+
+    Counts are summed cell by cell up the levels, so their table is of occupied cells, not of features.
     """
-    found, left, cell = None, points.select(key, "lat", "lon"), 0.25
-    c = centroids.select(value, "lat", "lon")
-    d2 = (F.col("lat") - F.col("c_lat")) ** 2 + (F.col("lon") - F.col("c_lon")) ** 2
-    while True:
-        grid = around(c, cell).withColumnsRenamed({"lat": "c_lat", "lon": "c_lon"})
-        best = in_cells(left, cell).join(grid, ["ci", "cj"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col(value))).alias("b"))
-        sure = best.select(key, f"b.{value}", F.sqrt("b.d2").alias("degrees"))
-        if cell < 64:
-            sure = sure.filter(F.col("degrees") <= cell)
-        found = sure if found is None else found.unionByName(sure)
-        if cell >= 64:
-            return found
-        left = left.join(sure, key, "left_anti")
-        cell *= 16
-
-
-def self_nearest(points: DataFrame, key: str, cell: float, metres_per_degree: float = 111000.0) -> DataFrame:
+    top = math.ceil(math.log(360 / finest, PYRAMID))
+    cells = lambda df, size: df.select(G.tile_index(F.col("lat"), size).alias("ci"), G.tile_index(F.col("lon"), size).alias("cj"))
+    raised = lambda df, up: df.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(up)))).withColumns({f"u{c}": F.expr(f"shiftright({c}, 2 * l)") for c in ("ci", "cj")})
+    counts = lambda size, up: raised(cells(reps, size).groupBy("ci", "cj").agg(F.count("*").alias("n")), up).groupBy("l", "uci", "ucj").agg(F.sum("n").alias("n"))
+    fullest = {r.l: r.n for r in counts(finest, top).groupBy("l").agg(F.max("n").alias("n")).collect()}  # a row a level
+    low = max((level for level, n in fullest.items() if n <= 8 * k and level < top), default=0)
+    size, top = finest * PYRAMID**low, top - low
+    d = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    block = counts(size, top).withColumn("d", F.explode(d)).groupBy("l", (F.col("uci") + F.col("d.i")).alias("uci"), (F.col("ucj") + F.col("d.j")).alias("ucj")).agg(F.sum("n").alias("n"))
+    held = cells(places, size).distinct()
+    enough = raised(held, top).join(block.filter(F.col("n") >= k), ["l", "uci", "ucj"]).groupBy("ci", "cj").agg(F.min("l").alias("l"))
+    reach = 2 * math.sqrt(2) * size * F.pow(F.lit(float(PYRAMID)), "l")
+    far = F.abs("ci") * size + size + reach > polar
+    return held.join(enough, ["ci", "cj"], "left").select("ci", "cj", F.when(F.col("l").isNull() | far, top).otherwise(F.col("l")).alias("l")), size
+
+
+def k_candidates(places: DataFrame, reps: DataFrame, edges: DataFrame, k: int, finest: float, in_degrees: bool = False) -> DataFrame:
+    """places (lat, lon and more) with the edges (ax, ay, bx, by and more) that can be among their k nearest features.
+
+    The k-th nearest feature is no farther than the farthest corner of the 3 by 3 block of cells that holds k of the
+    features' representatives (reps: lat, lon, one a feature): a bound for each place from counts alone. Places then
+    look into the few cells, four times as wide, that this bound reaches, and meet the edges there in one join. The
+    levels that any place needs (a dozen at most) are all that the driver sees. Longitudes aren't joined at 180 degrees.
+    """
+    spark = places.sparkSession
+    path = f"{scratch_dir(spark)}/levels"
+    found, finest = _search_levels(places, reps, k, finest, 1e9 if in_degrees else 88.0)
+    found.write.parquet(path)
+    levels = spark.read.parquet(path)
+    used = sorted(r.l for r in levels.select("l").distinct().collect())
+    if not used:
+        return places.limit(0).crossJoin(edges.limit(0))
+    width = finest * F.pow(F.lit(float(PYRAMID)), F.col("_l") + 1)
+    at = places.withColumns({"_ci": G.tile_index(F.col("lat"), finest), "_cj": G.tile_index(F.col("lon"), finest)})
+    at = at.join(levels.select(F.col("ci").alias("_ci"), F.col("cj").alias("_cj"), F.col("l").alias("_l")), ["_ci", "_cj"])
+    at = at.withColumn("_reach", 2 * math.sqrt(2) * finest * F.pow(F.lit(float(PYRAMID)), "_l") * (1 + 1e-9))
+    sine = F.sin(F.radians("_reach")) / F.cos(F.radians("lat"))
+    wide = F.col("_reach") if in_degrees else F.when((F.col("_reach") < 90) & (sine < 1), F.degrees(F.asin(sine)) * (1 + 1e-9)).otherwise(F.greatest(F.col("_reach"), F.lit(360.0)))
+    at = at.withColumns({"_wide": F.coalesce(wide, F.lit(360.0)), "_width": width})  # never null, so that no condition repeats it
+    index = lambda v: F.floor(v / F.col("_width"))
+    span = lambda low, high: F.explode(F.sequence(index(low), index(high)))
+    at = at.withColumn("_ci", span(F.col("lat") - F.col("_reach"), F.col("lat") + F.col("_reach"))).withColumn("_cj", span(F.col("lon") - F.col("_wide"), F.col("lon") + F.col("_wide"))).drop("_width")
+    e = edges.withColumn("_l", F.explode(F.array(*[F.lit(u) for u in used]))).withColumn("_width", width)
+    pieces = F.greatest(F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) / (4 * F.col("_width"))), F.lit(1))
+    e = e.withColumn("_n", pieces).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    along = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * (i / F.col("_n"))
+    ends = lambda f, a, b: f(along(a, b, F.col("_i") - 1), along(a, b, F.col("_i")))
+    e = e.withColumns({"_south": ends(F.least, "ay", "by"), "_north": ends(F.greatest, "ay", "by"), "_west": ends(F.least, "ax", "bx"), "_east": ends(F.greatest, "ax", "bx")})
+    e = e.withColumn("_ci", span(F.col("_south"), F.col("_north"))).withColumn("_cj", span(F.col("_west"), F.col("_east"))).drop("_width", "_n", "_i")
+    near = "_north >= lat - _reach and _south <= lat + _reach and _east >= lon - _wide and _west <= lon + _wide"
+    return at.join(e, ["_l", "_ci", "_cj"]).filter(near).drop("_l", "_ci", "_cj", "_reach", "_wide", "_south", "_north", "_west", "_east")
+
+
+def k_nearest_lines(sites: DataFrame, layer: DataFrame, key: str, k: int) -> DataFrame:
+    """site_id, key, distance_km, rank: the k nearest lines (or boundaries) of the layer for each site, however far they
+    are; all of them where the layer has fewer. Ties go to the smaller key. Features without an edge are never near."""
+    edges = segments(layer, key)
+    reps = edges.groupBy(key).agg(F.min_by(F.struct(F.col("ay").alias("lat"), F.col("ax").alias("lon")), F.struct("ay", "ax")).alias("r")).select("r.*")
+    met = k_candidates(sites.select("site_id", "lat", "lon"), reps, spread(edges, key, "ax", "ay"), k, FINEST_EDGES)
+    d = G.point_segment_km(*[F.col(c) for c in ("lat", "lon", "ax", "ay", "bx", "by")])
+    return nearest_of(met.select("site_id", key, d.alias("d")).groupBy("site_id", key).agg(F.min("d").alias("distance_km")), key, k)
+
+
+def first_at_place(points: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, p_lat, p_lon): of the points at one place the k with the smallest keys; no more can be among k nearest."""
+    p = points.select(key, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).filter("p_lat is not null and p_lon is not null")
+    order = Window.partitionBy("p_lat", "p_lon").orderBy(key)
+    return p.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def _as_edges(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points as representatives and as edges without length."""
+    edges = points.withColumns({"ax": F.col("p_lon"), "bx": F.col("p_lon"), "ay": F.col("p_lat"), "by": F.col("p_lat")})
+    return points.select(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")), edges
+
+
+def k_nearest_points(sites: DataFrame, points: DataFrame, key: str, k: int) -> DataFrame:
+    """As k_nearest_lines for points (key, lat, lon); any number of points may share a place."""
+    met = k_candidates(sites.select("site_id", "lat", "lon"), *_as_edges(first_at_place(points, key, k)), k, FINEST_POINTS)
+    d = G.haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
+    return nearest_of(met.select("site_id", key, d.alias("distance_km")), key, k)
+
+
+def _squared() -> Column:
+    return (F.col("lat") - F.col("p_lat")) ** 2 + (F.col("lon") - F.col("p_lon")) ** 2
+
+
+def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, value: str) -> DataFrame:
+    """For each point the value of the centroid that is nearest in degrees; ties to the smaller value."""
+    met = k_candidates(points.select(key, "lat", "lon"), *_as_edges(first_at_place(centroids, value, 1)), 1, FINEST_POINTS, in_degrees=True)
+    best = met.groupBy(key).agg(F.min(F.struct(_squared().alias("d2"), F.col(value))).alias("b"))
+    return best.select(key, f"b.{value}", F.sqrt("b.d2").alias("degrees"))
+
+
+def self_nearest(points: DataFrame, key: str, cell: float = FINEST_POINTS, metres_per_degree: float = 111000.0) -> DataFrame:
     """Distance to the nearest other point, in degrees scaled by the cosine of the latitude; none for a point alone.
 
-    As in nearest_centroid, a distance in the 3 by 3 block is certain if it is no more than the cell; other points go on
-    with cells 16 times as wide, the last of which span everything.
+    Places are compared, not points: where several points share one, their distance is 0, and they join no other.
     """
-    found, left = None, points.select(F.col(key).alias("site_id"), "lat", "lon")
-    everything = points.select(F.col(key).alias("o_key"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
-    d2 = (F.col("lat") - F.col("o_lat")) ** 2 + (F.col("lon") - F.col("o_lon")) ** 2
-    while True:
-        other = everything.withColumn("ci", G.tile_index(F.col("o_lat"), cell)).withColumn("cj", G.tile_index(F.col("o_lon"), cell))
-        met = around(left, cell).join(other, ["ci", "cj"]).filter("site_id <> o_key")
-        sure = met.groupBy("site_id", "lat").agg(F.sqrt(F.min(d2)).alias("degrees"))
-        if cell < 360:
-            sure = sure.filter(F.col("degrees") <= cell)
-        metres = sure.select(F.col("site_id").alias(key), (F.col("degrees") * metres_per_degree * F.cos(F.radians("lat"))).alias("distance_m"))
-        found = metres if found is None else found.unionByName(metres)
-        if cell >= 360:
-            return found
-        left = left.join(sure.select("site_id"), "site_id", "left_anti")
-        cell *= 16
+    place = points.filter("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    single = place.filter("n = 1").select("lat", "lon")
+    other = place.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    met = k_candidates(single, *_as_edges(other), 2, cell, in_degrees=True).filter("lat <> p_lat or lon <> p_lon")
+    far = met.groupBy("lat", "lon").agg(F.sqrt(F.min(_squared())).alias("degrees"))
+    found = place.filter("n > 1").select("lat", "lon", F.lit(0.0).alias("degrees")).unionByName(far)
+    return points.select(key, "lat", "lon").join(found, ["lat", "lon"]).select(key, (F.col("degrees") * metres_per_degree * F.cos(F.radians("lat"))).alias("distance_m"))
 
 
 def nearest_per_name(pairs: DataFrame, name: str, seq: str) -> DataFrame:

@@ -98,6 +98,20 @@ def j4(spark, sf_dir):
     return S.nearest_of(d, "line_id", 3).select("site_id", "line_id", r6("distance_km").alias("distance_km"), c("rank").cast("long").alias("rank"))
 
 
+ANY_LINE = NEAR_LINES.replace(ctes("near_line_sites"), ctes("sites")).replace(" ON abs(s.lat - ay) < 1.2 AND abs(s.lon - ax) < 1.2", " ON true").replace("near_line_sites", "sites")
+
+
+@query("j4_k_nearest_lines", ANY_LINE + "SELECT site_id, line_id, round(distance_km, 6) AS distance_km, rank FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY distance_km, line_id) AS rank FROM dist) WHERE rank <= 4")
+def j4_lines(spark, sf_dir):
+    """No radius: sites lie wherever, and their nearest lines as far away as they are."""
+    return S.k_nearest_lines(fixture(spark, sf_dir, "sites"), faults(spark, sf_dir), "line_id", 4).select("site_id", "line_id", r6("distance_km").alias("distance_km"), c("rank").cast("long").alias("rank"))
+
+
+@query("j4_k_nearest_points", ctes("sites", "airport_points") + f"SELECT site_id, feature_id, round(km, 6) AS distance_km, rank FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY km, feature_id) AS rank FROM (SELECT s.site_id, p.feature_id, {hav('s.lat', 's.lon', 'p.lat', 'p.lon')} AS km FROM sites s CROSS JOIN airport_points p)) WHERE rank <= 5")
+def j4_points(spark, sf_dir):
+    return S.k_nearest_points(fixture(spark, sf_dir, "sites"), fixture(spark, sf_dir, "airport_points"), "feature_id", 5).select("site_id", "feature_id", r6("distance_km").alias("distance_km"), c("rank").cast("long").alias("rank"))
+
+
 @query("j7_fault_join", NEAR_LINES + "SELECT site_id, line_id, round(distance_km, 6) AS distance_km FROM dist WHERE distance_km <= 50")
 def j7(spark, sf_dir):
     return S.line_distances(fixture(spark, sf_dir, "near_line_sites"), faults(spark, sf_dir), "line_id", 50.0).select("site_id", "line_id", r6("distance_km").alias("distance_km"))
@@ -515,7 +529,7 @@ def j14a(spark, sf_dir):
 
 @query("j15_self_nearest", ctes("airport_points") + "SELECT a.feature_id, round(min(sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) * 111000 * cos(radians(a.lat))), 4) AS distance_m FROM airport_points a JOIN airport_points b ON a.feature_id <> b.feature_id GROUP BY a.feature_id")
 def j15(spark, sf_dir):
-    return S.self_nearest(fixture(spark, sf_dir, "airport_points"), "feature_id", 2.0).select("feature_id", F.round("distance_m", 4).alias("distance_m"))
+    return S.self_nearest(fixture(spark, sf_dir, "airport_points"), "feature_id").select("feature_id", F.round("distance_m", 4).alias("distance_m"))
 
 
 @query("j20_coverage_gaps", near_points("near_point_sites", "contamination_points", 6) + "SELECT s.site_id, round(min(d.distance_km), 6) AS nearest_km FROM near_point_sites s LEFT JOIN (SELECT * FROM dist WHERE distance_km <= 5) d USING (site_id) GROUP BY s.site_id HAVING coalesce(min(d.distance_km), 9) > 1")
