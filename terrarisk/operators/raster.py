@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrarisk.operators import spatial as S
+
 TILE_DEGREES = 0.1
 
 
@@ -195,6 +197,38 @@ def resample_nearest(pixels: DataFrame, rows: int, cols: int, new_rows: int, new
     return pixels.join(F.broadcast(r), "row").join(F.broadcast(k), "col").select("tile_id", F.col("new_row").alias("row"), F.col("new_col").alias("col"), "value")
 
 
+def rasterize(polygons: DataFrame, pixels: DataFrame, value: str, combine: str = "max", seq: str = "seq") -> DataFrame:
+    """tile_id, row, col, value of the polygons over each pixel's centre (pixels: tile_id, row, col, lat, lon): the largest
+    ("max"), or that of the polygon painted last, by seq ("last"); pixels under no polygon aren't returned."""
+    hit = S.zonal_pairs(polygons, pixels).groupBy("tile_id", "row", "col")
+    kept = F.max(value) if combine == "max" else F.max_by(value, F.struct(seq, value))
+    return hit.agg(kept.alias("value"))
+
+
+def split_chunks(chunks: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Chunks of 2 by 2 tiles (south, west, data: rows by cols from the north) to tiles (south, west, data from the south).
+
+    Each quarter is a slice of whole rows, cut and put together inside the JVM; quarters without a value go.
+    """
+    half_r, half_c = rows // 2, cols // 2
+    quarters = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    # row k from the south of the northern half (i = 1) is row half_r - 1 - k from the north
+    line = lambda k: F.slice("data", ((F.lit(half_r) * (2 - F.col("q.i")) - 1 - k) * cols + F.col("q.j") * half_c + 1).cast("int"), half_c)
+    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(half_r - 1)), line))
+    at = lambda c, k: F.round(F.col(c) + F.col(f"q.{k}") * F.lit(TILE_DEGREES), 6).alias(c)
+    whole = chunks.filter(F.size("data") == rows * cols).withColumn("q", F.explode(quarters))
+    return whole.select(at("south", "i"), at("west", "j"), cut.alias("data")).filter(F.exists("data", lambda v: v.isNotNull() & ~F.isnan(v)))
+
+
+def sample_nearby_max(sites: DataFrame, pixels: DataFrame, rows: int, cols: int, radius: int | None = None) -> DataFrame:
+    """site_id, value: the site's pixel, or where it is zero the largest pixel within radius (7, or a tenth of the rows if
+    that is less) in its tile; 0 where there is no tile. Only sites on a zero pixel look at the window."""
+    radius = min(7, rows // 10) if radius is None else radius
+    own = sites.select("site_id", "tile_id", "lat", "lon", "south", "west").join(sample_nearest(sites, pixels, rows, cols), "site_id")
+    near = window_max(own.filter("value = 0").drop("value"), pixels.filter("value > 0"), rows, cols, radius).withColumnRenamed("value", "near")
+    return own.select("site_id", "value").join(near, "site_id", "left").select("site_id", F.when(F.col("value") != 0, F.col("value")).otherwise(F.coalesce("near", F.lit(0.0))).alias("value"))
+
+
 def encode(value: Column, scale: float, offset: float = 0.0) -> Column:
     """To 16 bits, cut towards zero; 65535 stays free for missing."""
     return F.when(value.isNull(), 65535).otherwise(F.least(F.greatest((value - offset) * scale, F.lit(0.0)), F.lit(65534.0)).cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrarisk.functions import hazard as H
+from terrarisk.operators import mosaic as Q
 from terrarisk.operators import raster as R
 from terrarisk.operators import spatial as S
 from terrarisk.operators import stats as A
@@ -123,12 +124,68 @@ def j17(spark, sf_dir):
     return S.zonal_pairs(boxes(fixture(spark, sf_dir, "raster_polys").drop("tile_id")), centres(spark, sf_dir)).select("poly_id", "tile_id", "row", "col")
 
 
-@query("r9_rasterize", CENTRES + " SELECT px.tile_id, px.prow AS row, px.pcol AS col, CAST(coalesce(max(hit.class_code), 0) AS BIGINT) AS class FROM px LEFT JOIN hit ON hit.tile_id = px.tile_id AND hit.prow = px.prow AND hit.pcol = px.pcol GROUP BY 1, 2, 3")
+def painted(spark, sf_dir, combine):
+    px, polys = centres(spark, sf_dir), boxes(fixture(spark, sf_dir, "raster_polys").drop("tile_id")).withColumn("seq", c("poly_id"))
+    hit = R.rasterize(polys, px, "class_code", combine)
+    return px.select("tile_id", "row", "col").join(hit, ["tile_id", "row", "col"], "left").select("tile_id", "row", "col", F.coalesce("value", F.lit(0)).cast("long").alias("class"))
+
+
+PAINTED = CENTRES + " SELECT px.tile_id, px.prow AS row, px.pcol AS col, CAST(coalesce({}, 0) AS BIGINT) AS class FROM px LEFT JOIN hit ON hit.tile_id = px.tile_id AND hit.prow = px.prow AND hit.pcol = px.pcol GROUP BY 1, 2, 3"
+
+
+@query("r9_rasterize", PAINTED.format("max(hit.class_code)"))
 def r9(spark, sf_dir):
     """The highest class of the polygons over each pixel."""
-    px = centres(spark, sf_dir)
-    hit = S.zonal_pairs(boxes(fixture(spark, sf_dir, "raster_polys").drop("tile_id")), px).groupBy("tile_id", "row", "col").agg(F.max("class_code").alias("class"))
-    return px.select("tile_id", "row", "col").join(hit, ["tile_id", "row", "col"], "left").select("tile_id", "row", "col", F.coalesce("class", F.lit(0)).cast("long").alias("class"))
+    return painted(spark, sf_dir, "max")
+
+
+@query("r9_rasterize_last", PAINTED.format("arg_max(hit.class_code, hit.poly_id)"))
+def r9_last(spark, sf_dir):
+    """The class of the polygon painted last."""
+    return painted(spark, sf_dir, "last")
+
+
+def mosaic(spark, sf_dir):
+    """The four tiles side by side, two by two."""
+    return R.to_array(pixels(spark, sf_dir), N, N, 0.0).withColumns({"ti": F.floor(c("tile_id") / 2), "tj": c("tile_id") % 2})
+
+
+MOSAIC = GRID + ", m AS (SELECT tile_id, r, k, v, tile_id // 2 * 40 + r AS y, tile_id % 2 * 40 + k AS x FROM grid)"
+
+
+def mosaic_pixels(tiles):
+    return R.explode_pixels(tiles, N).select("tile_id", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), F.round("value", 4).alias("value"))
+
+
+@query("r6_focal_max_mosaic", MOSAIC + " SELECT g.tile_id, g.r AS row, g.k AS col, round(CASE WHEN any_value(g.v) = 0 THEN max(n.v) ELSE any_value(g.v) END, 4) AS value FROM m g JOIN m n ON abs(n.y - g.y) <= 2 AND abs(n.x - g.x) <= 2 GROUP BY 1, 2, 3")
+def r6_mosaic(spark, sf_dir):
+    """Windows reach over the borders of tiles."""
+    return mosaic_pixels(Q.focal_max_fill(mosaic(spark, sf_dir), N, N, 2))
+
+
+@query("r7_focal_mean_mosaic", MOSAIC + " SELECT g.tile_id, g.r AS row, g.k AS col, round(CASE WHEN any_value(g.v) = 0 THEN sum(CASE WHEN pow(n.y - g.y, 2) + pow(n.x - g.x, 2) <= 9 THEN n.v ELSE 0 END) / 29 ELSE any_value(g.v) END, 4) AS value FROM m g JOIN m n ON abs(n.y - g.y) <= 3 AND abs(n.x - g.x) <= 3 GROUP BY 1, 2, 3")
+def r7_mosaic(spark, sf_dir):
+    return mosaic_pixels(Q.focal_mean_fill(mosaic(spark, sf_dir), N, N, 3))
+
+
+@query("r8_slope_mosaic", MOSAIC + ", s AS (SELECT tile_id, r, k, (CASE WHEN x = 0 THEN lead(v) OVER wx - v WHEN x = 79 THEN v - lag(v) OVER wx ELSE (lead(v) OVER wx - lag(v) OVER wx) / 2 END) / 250.0 AS dx, (CASE WHEN y = 0 THEN lead(v) OVER wy - v WHEN y = 79 THEN v - lag(v) OVER wy ELSE (lead(v) OVER wy - lag(v) OVER wy) / 2 END) / 250.0 AS dy FROM m WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y)) SELECT tile_id, r AS row, k AS col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 4) AS value FROM s")
+def r8_mosaic(spark, sf_dir):
+    return mosaic_pixels(Q.slope_grid(mosaic(spark, sf_dir), N, N, 250.0))
+
+
+@query("r6_sample_nearby_max", AT + ", own AS (SELECT site_id, s.tile_id, s.r, s.k, coalesce(p.value, 0) AS v FROM spot s LEFT JOIN raster_pixels p ON p.tile_id = s.tile_id AND p.prow = s.r AND p.pcol = s.k) SELECT o.site_id, CASE WHEN o.v <> 0 THEN o.v ELSE coalesce(max(p.value), 0) END AS value FROM own o LEFT JOIN raster_pixels p ON p.tile_id = o.tile_id AND abs(p.prow - o.r) <= 4 AND abs(p.pcol - o.k) <= 4 GROUP BY o.site_id, o.v")
+def r6_site(spark, sf_dir):
+    return R.sample_nearby_max(sites(spark, sf_dir), pixels(spark, sf_dir), N, N)
+
+
+@query("r10_split_chunks", GRID + " SELECT tile_id * 4 + (1 - r // 20) * 2 + k // 20 AS tile, 19 - r % 20 AS row, k % 20 AS col, v AS value FROM grid WHERE tile_id IN (SELECT tile_id FROM raster_pixels)")
+def r10_chunks(spark, sf_dir):
+    """Each tile taken as a chunk of 2 by 2 tiles, stored from the north."""
+    chunks = R.to_array(pixels(spark, sf_dir), N, N, 0.0).select(c("tile_id").cast("double").alias("south"), F.lit(0.0).alias("west"), "data")
+    cut = R.split_chunks(chunks, N, N).withColumn("whole", F.floor("south"))
+    quarter = F.round((c("south") - c("whole")) / F.lit(R.TILE_DEGREES)) * 2 + F.round(c("west") / F.lit(R.TILE_DEGREES))
+    tiles = cut.select((c("whole") * 4 + quarter).cast("long").alias("tile_id"), "data")
+    return R.explode_pixels(tiles, N // 2).select(c("tile_id").alias("tile"), c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), "value")
 
 
 @query("r10_resample_nearest", ctes("raster_pixels") + " SELECT tile_id, r AS row, k AS col, value FROM raster_pixels, range(100) a(r), range(100) b(k) WHERE prow = floor((r + 0.5) * 0.4) AND pcol = floor((k + 0.5) * 0.4)")
