@@ -10,21 +10,16 @@ from terrarisk.functions import hazard as H
 HAZARDS = ["earthquake", "wildfire", "flood", "tsunami", "landslide", "dam", "erosion"]
 
 
-def structural(sites: DataFrame) -> DataFrame:
-    """sites with an annual probability for each of HAZARDS, earthquake_retrofitted, landslide_tier and wildfire_low.
+def other_hazards(sites: DataFrame) -> DataFrame:
+    """sites with landslide_tier, wildfire_low and an annual probability for each of HAZARDS but earthquake.
 
-    Needs xs, ys (hazard curve; NULL: no earthquake term), liquefaction (in the zone), fire_p30, fire_zone, fld_zone,
-    in_tsunami, elevation, coast_km, deposit (in a mapped one), confidence, velocity, slide_zone, n10, tract_rate,
-    in_dam, shore_km, shore_rate.
+    Needs fire_p30, fire_zone, fld_zone, in_tsunami, elevation, coast_km, deposit (in a mapped one), confidence, velocity,
+    slide_zone, n10, tract_rate, in_dam, shore_km, shore_rate.
     """
     c = F.col
-    liquefaction = H.liquefaction_annual(H.exceedance_at(c("xs"), c("ys")), c("liquefaction"))
-    shaking = lambda retrofit: F.when(c("xs").isNull(), 0.0).otherwise(1 - (1 - H.integrate_curve(c("xs"), c("ys"), retrofit)) * (1 - liquefaction))
     tier = H.landslide_tier(c("deposit"), c("confidence"), c("velocity"), c("slide_zone"), c("n10"))
     return sites.withColumn("landslide_tier", tier).withColumns(
         {
-            "earthquake": shaking(False),
-            "earthquake_retrofitted": shaking(True),
             "wildfire": H.wildfire_annual(c("fire_p30")),
             "wildfire_low": H.wildfire_underestimate(c("fire_p30"), c("fire_zone")),
             "flood": H.flood_annual(c("fld_zone")),
@@ -36,6 +31,15 @@ def structural(sites: DataFrame) -> DataFrame:
     )
 
 
+def structural(sites: DataFrame) -> DataFrame:
+    """other_hazards with earthquake and earthquake_retrofitted; needs also xs, ys (hazard curve; NULL: no earthquake term)
+    and liquefaction (in the zone)."""
+    c = F.col
+    liquefaction = H.liquefaction_annual(H.exceedance_at(c("xs"), c("ys")), c("liquefaction"))
+    shaking = lambda retrofit: F.when(c("xs").isNull(), 0.0).otherwise(1 - (1 - H.integrate_curve(c("xs"), c("ys"), retrofit)) * (1 - liquefaction))
+    return other_hazards(sites).withColumns({"earthquake": shaking(False), "earthquake_retrofitted": shaking(True)})
+
+
 def site_report(sites: DataFrame) -> DataFrame:
     """site_id, the annual probabilities, and the 30-year probability of any hazard without and with a retrofit."""
     own = structural(sites)

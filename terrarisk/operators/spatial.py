@@ -75,11 +75,11 @@ def segments(layer: DataFrame, key: str) -> DataFrame:
     return layer.select(key, F.explode(G.all_edges(F.col("parts"))).alias("e")).select(key, *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
 
 
-def grown(layer: DataFrame, south: Column, north: Column, west: Column, east: Column, max_km: float, fine: int) -> tuple[DataFrame, float]:
+def grown(layer: DataFrame, south: Column, north: Column, west: Column, east: Column, max_km: float, fine: int = 1, cell: float | None = None) -> tuple[DataFrame, float]:
     """layer with its box (_south, _north, _west, _east) grown by max_km and a row for each cell (ci, cj) that this box
-    touches, and the cells' size: max_km over `fine`, so that a city isn't one cell."""
+    touches, and the cells' size: max_km over `fine`, so that a city isn't one cell, if it isn't given."""
     lat = max_km / KM_PER_DEGREE * 1.02
-    lon, cell = lat / math.cos(math.radians(MAX_LAT)), max(lat / fine, 0.002)
+    lon, cell = lat / math.cos(math.radians(MAX_LAT)), cell or max(lat / fine, 0.002)
     boxed = layer.withColumns({"_south": south - lat, "_north": north + lat, "_west": west - lon, "_east": east + lon})
     cells = lambda lo, hi: F.explode(F.sequence(G.tile_index(F.col(lo), cell), G.tile_index(F.col(hi), cell)))
     return boxed.withColumn("ci", cells("_south", "_north")).withColumn("cj", cells("_west", "_east")), cell
