@@ -67,6 +67,15 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[v.alias(k) for k, v in marks().items()], "text")
 
 
+def apart(docs: DataFrame, replaced: list[str]) -> tuple[DataFrame, list[Column]]:
+    """(doc_id, text and the other columns under names that no operator uses, the columns that give docs back): so that no
+    column of docs meets one of an operator's own. Columns in `replaced` go."""
+    other = [c for c in docs.columns if c not in ("doc_id", "text", *replaced)]
+    aside = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(other)])
+    names = {c: f"_own{i}" for i, c in enumerate(other)} | {"doc_id": "doc_id", "text": "text"}
+    return aside, [F.col(names[c]).alias(c) for c in docs.columns if c in names]
+
+
 def met_in_buckets(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, buckets: int = 1 << 20, how: str = "leftsemi") -> DataFrame:
     """The rows of df whose key falls into a bucket of a wanted key: all that match, and few others ("leftanti": the rest).
 

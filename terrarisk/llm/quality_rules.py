@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, WHITE, column_bytes, met_in_buckets, mixed, stored, text_batches
+from .common import apart, Cache, WHITE, column_bytes, met_in_buckets, mixed, stored, text_batches
 
 #: The least number of buckets, and the n-grams for which there is one.
 BUCKETS = 1 << 14
@@ -244,7 +244,19 @@ def _summed(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int | None = None, chunk_bits: int = CHUNK_BITS, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept.
+
+    Columns of docs that are called so are replaced; all others, whatever they are called, stand aside and come back.
+    """
+    aside, back = apart(docs, [*_NEW])
+    out = _judged(aside, labels, threshold, buckets, chunk_bits, table_bytes)
+    return out.select(*back, *_NEW)
+
+
+_NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int | None, chunk_bits: int, table_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     grams = n_grams(docs)

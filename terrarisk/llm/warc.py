@@ -10,7 +10,9 @@ Continuation records are grouped by origin id, ordered by segment number, and th
 then the chunked framing is decoded.
 
 Defined results: a null payload is empty; payloads under `min_dedup` bytes are never revisits; rows that repeat the
-smallest page_id of a payload are all responses; a null page_id is never referred to; a record whose lengths don't add
+smallest page_id of a payload are all responses; a null page_id is never referred to, and revisits a page_id with its
+payload if there is one; a null url is about:blank in the archive and null again when read; other columns of pages,
+whatever they are called, aren't read; a record whose lengths don't add
 up has complete = false and a null payload; an empty table gives no archive and an empty result.
 """
 
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, shared_dir
+from .common import column_bytes, shared_dir, text_batches
 
 VERSION = b"WARC/1.1\r\n"
 SEGMENT_BYTES = 64 << 10
@@ -35,6 +37,7 @@ CHUNK_BYTES = 16 << 10
 MIN_DEDUP = 100
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_DATE = "2000-01-01T00:00:00Z"
 _SEGMENTED = "\r\nWARC-Segment-Number: "
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -79,7 +82,8 @@ def mark_revisits(pages: DataFrame, min_dedup: int = MIN_DEDUP) -> DataFrame:
     """page_id, url, html, digest, refers_to. The digest join is split by Spark where one payload has many rows."""
     hashed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     long = F.octet_length("html") >= min_dedup
-    first = hashed.filter(long & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    # rows without a page_id count: alone with one other row they revisit it
+    first = hashed.filter(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
     return hashed.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -91,14 +95,14 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
             for page, url, payload, digest, first in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), column_bytes(batch, "html"), batch.column("digest").to_pylist(), batch.column("refers_to").to_pylist()):
                 row += 1
                 name = lambda p: f"<urn:uuid:{uuid.uuid5(_NAMES, str(p))}>"
-                common = [("WARC-Target-URI", quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%~")), ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-X-Payload-Length", len(payload)), ("WARC-X-Row", row)]
+                common = [("WARC-Target-URI", quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%~")), *[("WARC-X-No-URI", 1)] * (url is None), ("WARC-Date", _DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-X-Payload-Length", len(payload)), ("WARC-X-Row", row)]
                 if page is not None:
                     common.append(("WARC-X-Page-Id", page))
                 if first is not None:
-                    out.append(record([("WARC-Type", "revisit"), ("WARC-Record-ID", name(f"revisit {page} {row}")), ("WARC-Profile", _PROFILE), ("WARC-Refers-To", name(first)), ("WARC-X-Refers-To-Page-Id", first), *common], b""))
+                    out.append(record([("WARC-Type", "revisit"), ("WARC-Record-ID", name(f"revisit {page} {row}")), ("WARC-Profile", _PROFILE), ("WARC-Refers-To", name(f"{first} {digest}")), ("WARC-X-Refers-To-Page-Id", first), *common], b""))
                     continue
                 block = _HTTP + chunked(payload, chunk_bytes)
-                own = name(page)
+                own = name(f"{page} {digest}")  # rows that share both are one resource
                 if len(block) <= segment_bytes:
                     out.append(record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common], block))
                     continue
@@ -106,9 +110,10 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
                 out.append(record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("WARC-Segment-Number", 1)], parts[0]))
                 for k, part in enumerate(parts[1:], 2):
                     last = [("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []
-                    out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", name(f"{page} {row} {k}")), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), *last, ("WARC-X-Row", row)], part))
+                    out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", name(f"{page} {row} {k}")), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k), *last, ("WARC-Date", _DATE), ("WARC-X-Row", row)], part))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
+    text_batches(pages.sparkSession)
     mark_revisits(pages, min_dedup).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path, compression="gzip")
 
 
@@ -122,7 +127,7 @@ def parse(data: bytes) -> dict:
     number = lambda k: int(fields[k]) if k in fields else None
     size = number("Content-Length") or 0
     return {
-        "page_id": number("WARC-X-Page-Id"), "url": fields.get("WARC-Target-URI"), "record_type": fields.get("WARC-Type"), "refers_to": number("WARC-X-Refers-To-Page-Id"),
+        "page_id": number("WARC-X-Page-Id"), "url": None if "WARC-X-No-URI" in fields else fields.get("WARC-Target-URI"), "record_type": fields.get("WARC-Type"), "refers_to": number("WARC-X-Refers-To-Page-Id"),
         "digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None, "payload_length": number("WARC-X-Payload-Length"),
         "origin": fields.get("WARC-Segment-Origin-ID", fields.get("WARC-Record-ID")), "row": number("WARC-X-Row"), "segment": number("WARC-Segment-Number"),
         "total": number("WARC-Segment-Total-Length"), "complete": len(rest) >= size, "block": rest[:size],

@@ -335,3 +335,27 @@ def test_warc_damage(spark):
     spark.createDataFrame([(p.decode(),) for p in parts], "value string").write.option("lineSep", "\r\n").text(path)
     row = warc.read_warc(spark, path, with_payload=True).collect()[0]
     assert not row.complete and row.payload is None
+
+
+def test_quality_rules_with_clashing_columns(spark, sf_dir):
+    """Extra columns under the names of the operator's own and of its results."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    names = ["_trusted", "_id", "_bucket", "_key", "_llr", "_own0", "key", "trusted", "a.b", "chunk"]
+    more = docs.select("doc_id", *[quality_rules.F.lit(i).alias(n) for i, n in enumerate(names)], "text", quality_rules.F.lit("x").alias("kept"))
+    got = quality_rules.quality_rules(more, labels)
+    assert got.columns == ["doc_id", *names, "text", *quality_rules._NEW]
+    rows = got.collect()
+    assert all(list(r[1 : len(names) + 1]) == list(range(len(names))) for r in rows)
+    assert {(r.doc_id, r.llr, r.kept) for r in rows} == {(r.doc_id, r.llr, r.kept) for r in quality_rules.quality_rules(docs, labels).collect()}
+    for switch in (0, 1 << 30):  # by a shuffle and by a broadcast
+        assert {r.kept for r in quality_rules.quality_rules(more, labels, table_bytes=switch).select("kept").collect()} <= {True, False}
+
+
+def test_warc_null_ids_and_urls(spark):
+    """Results depend on a row's own payload and the ids that have it, not on how many rows there are."""
+    big = "y" * 80_003
+    rows = [(1, "http://a", big), (None, None, big), (5, None, "z" * 200), (None, "http://n", "w" * 300), (None, "http://n", "w" * 300), (7, "http://b", "z" * 200), (7, "http://b", "q" * 70_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS first", "3 AS refers_to", "4 AS n")
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to, r.url) for r in warc.warc_round_trip(pages, 9000).collect()), key=str)
+    want = [(1, 80003, "response", None, "http://a"), (0, 80003, "revisit", 1, None), (5, 200, "response", None, None), *[(0, 300, "response", None, "http://n")] * 2, (7, 200, "revisit", 5, "http://b"), (7, 70000, "response", None, "http://b")]
+    assert got == sorted(want, key=str)
