@@ -174,6 +174,8 @@ class Cache(dict):
     @classmethod
     def only(cls, of: str) -> None:
         """Empties the caches of other operators than `of`; called by operators without a cache as well."""
+        if not Cache._of:
+            pa.set_memory_pool(pa.system_memory_pool())  # the default one keeps what batches have freed
         if Cache._of != of:
             for c in Cache._in_use:
                 c.empty()
