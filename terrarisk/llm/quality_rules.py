@@ -201,7 +201,8 @@ def dense_rows(docs: DataFrame, buckets: int, chunk_bits: int, kind: int) -> Dat
             data = zlib.compress(np.ascontiguousarray(own.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "kind", "counts"])
 
-    return docs.select("text").mapInArrow(run, "chunk int, kind int, counts binary")
+    # every task sends a table of all buckets, so their number follows the cores, not the input
+    return docs.select("text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "chunk int, kind int, counts binary")
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
