@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrarisk.functions import hazard as H
+from terrarisk.operators.quantiles import exact_percentiles
 
 HAZARDS = ["earthquake", "wildfire", "flood", "tsunami", "landslide", "dam", "erosion"]
 
@@ -46,3 +47,11 @@ def site_report(sites: DataFrame) -> DataFrame:
     other = [h for h in HAZARDS if h != "earthquake"]
     total = lambda quake: H.combined_p30(F.array(quake, *other))
     return own.select("site_id", *[F.col(h).alias(f"{h}_annual") for h in HAZARDS], "landslide_tier", "wildfire_low", total("earthquake").alias("p30"), total("earthquake_retrofitted").alias("p30_retrofitted"))
+
+
+def portfolio_percentiles(reports: DataFrame, dims: list[str], threshold: float) -> DataFrame:
+    """dims, n, n_over (p30 above the threshold) and the exact percentiles p50 and p90 of p30 of each group."""
+    counts = reports.groupBy(*dims).agg(F.count("*").alias("n"), F.count_if(F.col("p30") > threshold).alias("n_over"))
+    p = exact_percentiles(reports, "p30", [0.5, 0.9], dims).groupBy(*dims).agg(*[F.max(F.when(F.col("q") == q, F.col("percentile"))).alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"))])
+    same = [counts[d].eqNullSafe(p[d]) for d in dims]
+    return counts.join(p, same, "left").select(*[counts[d] for d in dims], "n", "n_over", "p50", "p90")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrarisk.functions import text as T
+from terrarisk.operators.quantiles import exact_percentiles
 
 
 def resolve_columns(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -238,6 +239,17 @@ def profile(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("nulls"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.median(v).alias("med"), F.stddev_samp(v).alias("std"), F.percentile(v, F.lit(0.9)).alias("p90"))
 
 
+def whole_profile(df: DataFrame, value: str) -> DataFrame:
+    """One row on a numeric column: n, nulls, n_distinct, negative, zero, positive, lo, hi, mean, std, p10, med and p90,
+    all exact; no aggregate holds all values. NaN counts as a value but not in the percentiles."""
+    v = F.col(value)
+    counts = df.agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("nulls"), F.count_if(v < 0).alias("negative"), F.count_if(v == 0).alias("zero"), F.count_if(v > 0).alias("positive"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+    distinct = df.select(v).filter(v.isNotNull()).distinct().agg(F.count("*").alias("n_distinct"))
+    p = exact_percentiles(df, value, [0.1, 0.5, 0.9])
+    at = lambda q: F.max(F.when(F.col("q") == q, F.col("percentile")))
+    return counts.join(F.broadcast(distinct)).join(F.broadcast(p.agg(at(0.1).alias("p10"), at(0.5).alias("med"), at(0.9).alias("p90"))))  # a row each
+
+
 def value_counts(df: DataFrame, dims: dict[str, str], top: int | None = None) -> DataFrame:
     """dim, value, n for each column of dims (name -> column), in one pass; the `top` most frequent of each if given."""
     columns = list(dict.fromkeys(dims.values()))

@@ -78,6 +78,15 @@ def s11(spark, sf_dir):
     return got.agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
+@query("s11_export_order", ADDRESSES + ", k AS (SELECT line_no, row_number() OVER (ORDER BY line_no) - 1 AS p FROM clean) SELECT p // 700 AS chunk, count(*) AS n, min(line_no) AS first, max(line_no) AS last FROM k GROUP BY 1")
+def s11_order(spark, sf_dir):
+    """Chunk by chunk: exact sizes, whole ranges of the order."""
+    path = scratch_dir(spark)
+    X.export_chunks(A.normalize_address(fixture(spark, sf_dir, "addresses")).select("line_no", "address", "city"), path, "line_no", 700)
+    got = spark.read.text(path).select(c("chunk").cast("long").alias("chunk"), F.regexp_extract("value", r"VALUES \('(\d+)'", 1).cast("long").alias("k"))
+    return got.groupBy("chunk").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("k").alias("last"))
+
+
 @query("s13_parse_policy_table", ctes("zip_units") + "SELECT zip, CAST(1000 + pif_2025 AS BIGINT) AS pif_2025, CAST(pif_2025 AS BIGINT) AS pif_2024 FROM zip_units WHERE pif_2025 IS NOT NULL")
 def s13(spark, sf_dir):
     z = fixture(spark, sf_dir, "zip_units")

@@ -13,7 +13,8 @@ from terrarisk.operators import report as Y
 from terrarisk.operators import spatial as S
 
 from .fixtures import ctes, fixture
-from .registry import query
+from .registry import ORACLES, query
+from .sql_functions import register
 
 c = F.col
 
@@ -391,6 +392,12 @@ def a22(spark, sf_dir):
     return p.cube("zip", "band").agg(F.count("*").alias("n"), F.round(F.sum(c("p30").cast("decimal(18,6)")).cast("double") / F.count("*"), 5).alias("mean_p30")).select(F.coalesce("zip", F.lit("all")).alias("zip"), F.coalesce("band", F.lit("all")).alias("band"), "n", "mean_p30")
 
 
+@query("a22_portfolio_percentiles", LONG + ", p AS (SELECT site_id, round(1 - pow(product(1 - annual_p), 30), 6) AS p30 FROM long GROUP BY site_id) SELECT zip, count(*) AS n, count(*) FILTER (p30 > 0.15) AS n_over, round(median(p30), 6) AS p50, round(quantile_cont(p30, 0.9), 6) AS p90 FROM p JOIN sites USING (site_id) GROUP BY zip")
+def a22_percentiles(spark, sf_dir):
+    p = a20(spark, sf_dir).join(fixture(spark, sf_dir, "sites").select("site_id", "zip"), "site_id")
+    return Y.portfolio_percentiles(p, ["zip"], 0.15).select("zip", "n", "n_over", r6("p50").alias("p50"), r6("p90").alias("p90"))
+
+
 @query("g15_tile_keys", ctes("sites") + "SELECT site_id, CAST(floor(lat * 10) AS BIGINT) AS ci, CAST(floor(lon * 10) AS BIGINT) AS cj, CAST(floor(lat * 2) AS BIGINT) AS coarse_i, CAST(floor(lon * 2) AS BIGINT) AS coarse_j FROM sites")
 def g15(spark, sf_dir):
     k = G.tile_keys(c("lat"), c("lon"))
@@ -402,6 +409,14 @@ def g14(spark, sf_dir):
     return S.cover_cells(S.polygons(fixture(spark, sf_dir, "zone_vertices")), 0.1).select("poly_id", "ci", "cj")
 
 
+@query("g14_cover_cells_sql", ORACLES["g14_cover_cells"])
+def g14_sql(spark, sf_dir):
+    """The table function from SQL, by a lateral join."""
+    register(spark)
+    S.polygons(fixture(spark, sf_dir, "zone_vertices")).select("poly_id", G.bbox(c("parts")).alias("b")).createOrReplaceTempView("zone_boxes")
+    return spark.sql("SELECT poly_id, ci, cj FROM zone_boxes, LATERAL cover_cells(b.xmin, b.ymin, b.xmax, b.ymax, 0.1D)")
+
+
 @query("j16_tile_assign", ctes("zone_vertices") + ", box AS (SELECT poly_id, floor((min(y) - 0.5) / 0.5) AS i0, floor((max(y) + 0.5) / 0.5) AS i1, floor((min(x) - 0.5) / 0.5) AS j0, floor((max(x) + 0.5) / 0.5) AS j1 FROM zone_vertices GROUP BY poly_id) SELECT CAST(ci AS BIGINT) AS ci, CAST(cj AS BIGINT) AS cj, count(*) AS n FROM (SELECT poly_id, unnest(range(i0::BIGINT, i1::BIGINT + 1)) AS ci, j0, j1 FROM box), LATERAL (SELECT unnest(range(j0::BIGINT, j1::BIGINT + 1)) AS cj) GROUP BY 1, 2")
 def j16(spark, sf_dir):
     return S.cover_cells(S.polygons(fixture(spark, sf_dir, "zone_vertices")), 0.5, 0.5).groupBy("ci", "cj").agg(F.count("*").alias("n"))

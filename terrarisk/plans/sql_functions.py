@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 FUNCTIONS = {
     "haversine_km(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE)": "2 * 6371 * asin(least(1, sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))))",
@@ -14,6 +17,19 @@ FUNCTIONS = {
 }
 
 
+@udtf(returnType="ci bigint, cj bigint")
+class CoverCells:
+    """The grid cells that a box, grown by buffer, touches: a row each, none for a box with a NULL."""
+
+    def eval(self, xmin: float, ymin: float, xmax: float, ymax: float, cell: float, buffer: float = 0.0):
+        if None in (xmin, ymin, xmax, ymax, cell, buffer):
+            return
+        for i in range(math.floor((ymin - buffer) / cell), math.floor((ymax + buffer) / cell) + 1):
+            for j in range(math.floor((xmin - buffer) / cell), math.floor((xmax + buffer) / cell) + 1):
+                yield i, j
+
+
 def register(spark: SparkSession) -> None:
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS DOUBLE RETURN {body}")
+    spark.udtf.register("cover_cells", CoverCells)

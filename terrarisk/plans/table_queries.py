@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrarisk.functions import hazard as H
 from terrarisk.functions import text as T
 from terrarisk.operators import stats as A
+from terrarisk.operators.quantiles import exact_percentiles
 
 from .fixtures import ctes, fixture
 from .registry import query
@@ -228,6 +229,19 @@ def a18(spark, sf_dir):
     return numbers.join(F.broadcast(more))  # a row each
 
 
+@query("a18_whole_profile", ctes("landslide_points") + "SELECT count(*) AS n, count(*) - count(n10_90m) AS nulls, count(DISTINCT n10_90m) AS n_distinct, count(*) FILTER (n10_90m < 0) AS negative, count(*) FILTER (n10_90m = 0) AS zero, count(*) FILTER (n10_90m > 0) AS positive, round(min(n10_90m), 6) AS lo, round(max(n10_90m), 6) AS hi, round(avg(n10_90m), 6) AS mean, round(stddev_samp(n10_90m), 6) AS std, round(quantile_cont(n10_90m, 0.1), 6) AS p10, round(median(n10_90m), 6) AS med, round(quantile_cont(n10_90m, 0.9), 6) AS p90 FROM landslide_points")
+def a18_whole(spark, sf_dir):
+    p = A.whole_profile(fixture(spark, sf_dir, "landslide_points"), "n10_90m")
+    return p.select("n", "nulls", "n_distinct", "negative", "zero", "positive", *[r6(x).alias(x) for x in ("lo", "hi", "mean", "std", "p10", "med", "p90")])
+
+
+@query("a18_exact_percentiles", "SELECT l_returnflag, q, count(*) AS n, round(CASE q WHEN 0.1 THEN quantile_cont(l_extendedprice, 0.1) WHEN 0.5 THEN median(l_extendedprice) ELSE quantile_cont(l_extendedprice, 0.99) END, 6) AS percentile FROM lineitem, (VALUES (0.1::DOUBLE), (0.5), (0.99)) t(q) GROUP BY l_returnflag, q")
+def a18_percentiles(spark, sf_dir):
+    """By group; a small limit, so that brackets narrow in several rounds."""
+    got = exact_percentiles(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice", [0.1, 0.5, 0.99], ["l_returnflag"], limit=500)
+    return got.select("l_returnflag", "q", "n", r6("percentile").alias("percentile"))
+
+
 @query("a19_value_counts", ctes("contamination_points") + "SELECT CASE WHEN grouping(source) = 0 THEN 'source' ELSE 'type' END AS dim, coalesce(source, raw_type, 'none') AS value, count(*) AS n FROM contamination_points GROUP BY GROUPING SETS ((source), (raw_type))")
 def a19(spark, sf_dir):
     return A.value_counts(fixture(spark, sf_dir, "contamination_points"), {"source": "source", "type": "raw_type"})

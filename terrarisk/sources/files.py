@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrarisk.functions.geometry import GEOMETRY
 from terrarisk.operators import spatial as S
+from terrarisk.sources.scratch import scratch_dir
 
 _PAIR = "array<double>"
 _COORDINATES = {"Point": _PAIR, "LineString": f"array<{_PAIR}>", "MultiLineString": f"array<array<{_PAIR}>>", "Polygon": f"array<array<{_PAIR}>>", "MultiPolygon": f"array<array<array<{_PAIR}>>>"}
@@ -169,11 +170,31 @@ def write_raster_tiles(tiles: DataFrame, path: str, min_valid: float = 0.0) -> N
     tiles.filter(some & (share >= min_valid)).write.mode("overwrite").parquet(path)
 
 
-def export_chunks(df: DataFrame, path: str, order: str, rows_per_file: int = 100_000) -> None:
-    """INSERT statements in order, at most rows_per_file in a file, with quotes doubled."""
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _row, the place of each row in the order (from 0), without a sort in one task.
+
+    Ranges of the order are sorted and written with their rows' places; the ranges' sizes, summed up, are the offsets.
+    Rows with equal keys lie in one range, ordered by their other columns.
+    """
+    rest = [c for c in df.columns if c not in order and "map" not in df.schema[c].dataType.simpleString()]
+    path = f"{scratch_dir(df.sparkSession)}/ranges"
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    df.repartitionByRange(*order).sortWithinPartitions(*order, *rest).withColumns({"_range": F.spark_partition_id(), "_at": place}).write.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    sizes = back.groupBy("_range").agg(F.count("*").alias("n"))  # a row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_offset"))
+    return back.join(F.broadcast(offsets), "_range").withColumn("_row", F.col("_offset") + F.col("_at")).drop("_range", "_at", "_offset")
+
+
+def export_chunks(df: DataFrame, path: str, order: str | list[str], rows_per_file: int = 100_000) -> None:
+    """INSERT statements with quotes doubled, in order, in one file a folder chunk=0, chunk=1 and so on: every file but the
+    last has exactly rows_per_file rows. An empty table gives no file."""
+    order = [order] if isinstance(order, str) else order
     quoted = [F.when(F.col(c).isNull(), "NULL").otherwise(F.concat(F.lit("'"), F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))) for c in df.columns]
     text = F.concat(F.lit(f"INSERT INTO t ({', '.join(df.columns)}) VALUES ("), F.concat_ws(", ", *quoted), F.lit(");"))
-    df.repartitionByRange(order).sortWithinPartitions(order).select(text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
+    lines = numbered(df, order).select(F.floor(F.col("_row") / rows_per_file).alias("chunk"), "_row", text.alias("value"))
+    lines.repartition("chunk").sortWithinPartitions("chunk", "_row").select("chunk", "value").write.mode("overwrite").partitionBy("chunk").text(path)
 
 
 def features_json(layer: DataFrame, props: list[str]) -> DataFrame:
