@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 
@@ -14,7 +15,9 @@ from terrarisk.operators import spatial as S
 from terrarisk.operators import stats as A
 from terrarisk.sources import files as X
 from terrarisk.sources.scratch import scratch_dir
+from terrarisk.sources.sorted_text import prefix_lookup, write_sorted
 from terrarisk.streaming import jobs
+from terrarisk.streaming.stateful import earliest_addresses
 
 from .fixtures import ctes, fixture
 from .registry import query
@@ -111,13 +114,11 @@ def st1(spark, sf_dir):
 
 @query("st2_stream_displacement", ctes("displacement") + "SELECT frame_id, pixel_id, count(*) AS n, round(regr_slope(displacement_m, CAST(date_diff('day', DATE '2000-01-01', acq_date) AS DOUBLE)) * 1000, 3) AS slope FROM displacement WHERE displacement_m IS NOT NULL GROUP BY 1, 2")
 def st2(spark, sf_dir):
-    """The state after all batches equals the batch result; a restart goes on from the checkpoint."""
+    """Each batch writes the pixels that it changes; the last row of each equals the batch result."""
     path = scratch_dir(spark)
     d = fixture(spark, sf_dir, "displacement").withColumn("d", F.date_diff("acq_date", F.lit("2000-01-01").cast("date")).cast("double"))
-    state = jobs.displacement_state(streamed(d, path))
-    q = state.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out")).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("frame_id", "pixel_id", "n", F.round(c("slope") * 1000, 3).alias("slope"))
+    got = jobs.changes(jobs.displacement_state(streamed(d, path)), path, ["frame_id", "pixel_id"])
+    return got.select("frame_id", "pixel_id", "n", F.round(c("slope") * 1000, 3).alias("slope"))
 
 
 @query("st3_stream_velocity_windows", "WITH e AS (SELECT user_id % 3 AS frame_id, ts, CASE WHEN event_id % 10 <> 3 THEN value / 1000 END AS v FROM events), w AS (SELECT date_trunc('day', ts) AS day, frame_id, count(v) AS n FROM e GROUP BY 1, 2) SELECT strftime(day, '%Y-%m-%d') AS day, frame_id, n FROM w WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR")
@@ -150,16 +151,25 @@ def st5(spark, sf_dir):
     return got.agg(F.count("*").alias("n"), (F.count("*") == F.count_distinct("key")).alias("unique_keys"))
 
 
+@query("st5_stream_first_in_order", ADDRESSES + " SELECT line_no FROM (SELECT line_no, row_number() OVER (PARTITION BY lower(address), lower(city) ORDER BY file_name, line_no) AS rn FROM clean) WHERE rn = 1")
+def st5_order(spark, sf_dir):
+    """The same rows as the batch form, though files arrive in any order."""
+    path = scratch_dir(spark)
+    a = fixture(spark, sf_dir, "addresses").withColumn("seen_at", F.timestamp_seconds(c("line_no")))
+    first = earliest_addresses(streamed(a, path), ["file_name", "line_no"], "3650 days")
+    return jobs.changes(first, path, ["key"]).select("line_no")
+
+
 @query("s1_read_features", ctes("zone_vertices", "zone_attrs") + "SELECT fld_zone, count(DISTINCT poly_id) AS n, round(sum(x), 4) AS sx FROM zone_vertices JOIN zone_attrs USING (poly_id) GROUP BY fld_zone")
 def s1(spark, sf_dir):
-    """Collections of a bounded number of features, a file each, written and read back as features with rings."""
+    """Collections of a bounded number of features, a file each, written and read back, each by several tasks, with rings."""
     path = scratch_dir(spark)
     z = zones(spark, sf_dir)
     one = X.features_json(z, ["fld_zone", "poly_id"]).withColumn("g", F.get_json_object("value", "$.properties.poly_id").cast("long") % F.lit(max(8, z.count() // 500)))
     files = one.groupBy("g").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
     files.select("value", "g").write.partitionBy("g").option("lineSep", "\n").text(path)
     points = F.flatten(F.flatten(F.transform("parts", lambda p: p["rings"])))
-    got = X.read_features(spark, f"{path}/*/*.txt", "zones").select(c("props")["fld_zone"].alias("fld_zone"), F.aggregate(points, F.lit(0.0), lambda a, q: a + q["x"]).alias("sx"))
+    got = X.read_features(spark, f"{path}/*/*.txt", "zones", 32 << 10).select(c("props")["fld_zone"].alias("fld_zone"), F.aggregate(points, F.lit(0.0), lambda a, q: a + q["x"]).alias("sx"))
     return got.groupBy("fld_zone").agg(F.count("*").alias("n"), F.round(F.sum("sx"), 4).alias("sx"))
 
 
@@ -220,7 +230,22 @@ def s8(spark, sf_dir):
 
 @query("s7_read_kv_json", ctes("zip_units") + "SELECT zip AS key, housing_units AS value FROM zip_units")
 def s7(spark, sf_dir):
+    """Objects of a bounded number of pairs, a file each, read back by several tasks."""
+    path = scratch_dir(spark)
+    z = fixture(spark, sf_dir, "zip_units")
+    some = z.withColumn("g", F.pmod(F.xxhash64("zip"), F.lit(max(2, z.count() // 5000))))
+    some.groupBy("g").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("zip", "housing_units")))).alias("value")).write.partitionBy("g").text(path)
+    return X.read_kv_json(spark, f"{path}/*/*.txt", 32 << 10)
+
+
+PREFIXES = ("10", "2", "399 e", "100 OAK")
+
+
+@query("t1_sorted_lookup", ADDRESSES + ", q AS (SELECT unnest(['10', '2', '399 e', '100 OAK']) AS q) SELECT q, line_no AS address_id FROM (SELECT q, line_no, row_number() OVER (PARTITION BY q ORDER BY lower(address), line_no) AS rank FROM clean JOIN q ON length(q) >= 2 AND starts_with(lower(address), lower(q))) WHERE rank <= 6")
+def t1_sorted(spark, sf_dir):
+    """Addresses written in order once, then a lookup a prefix that opens only the files that hold it."""
     path = scratch_dir(spark)
-    z = fixture(spark, sf_dir, "zip_units").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("zip", "housing_units")))).alias("value"))
-    z.write.text(path)
-    return X.read_kv_json(spark, f"{path}/*.txt")
+    a = A.normalize_address(fixture(spark, sf_dir, "addresses")).select(c("line_no").alias("address_id"), "address")
+    write_sorted(a, path, "address", "address_id")
+    found = [prefix_lookup(spark, path, q, "address_id").select(F.lit(q).alias("q"), "address_id") for q in PREFIXES]
+    return functools.reduce(lambda x, y: x.unionByName(y), found)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from terrarisk.functions.geometry import GEOMETRY
 from terrarisk.operators import spatial as S
 from terrarisk.sources.scratch import scratch_dir
+from terrarisk.sources.splits import SPLIT_BYTES, json_elements
 
 _PAIR = "array<double>"
 _COORDINATES = {"Point": _PAIR, "LineString": f"array<{_PAIR}>", "MultiLineString": f"array<array<{_PAIR}>>", "Polygon": f"array<array<{_PAIR}>>", "MultiPolygon": f"array<array<array<{_PAIR}>>>"}
@@ -34,10 +35,10 @@ def parts_of(kind, text):
     )
 
 
-def read_features(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """A FeatureCollection: layer, seq (its order), geom_type, props, parts."""
-    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("seq", "f"))
+def read_features(spark: SparkSession, path: str, layer: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """FeatureCollections: layer, seq (the order in the file), geom_type, props, parts. A large file is read by many tasks."""
+    schema = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
+    rows = json_elements(spark, path, "features", split_bytes).select("seq", F.from_json("value", schema).alias("f"))
     return rows.select(F.lit(layer).alias("layer"), "seq", F.col("f.geometry.type").alias("geom_type"), F.col("f.properties").alias("props"), parts_of(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("parts"))
 
 
@@ -58,8 +59,10 @@ def read_delimited(spark: SparkSession, path: str, names: list[str], sep: str =
     return spark.read.option("sep", sep).csv(path).toDF(*names)
 
 
-def read_kv_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,double>")).alias("key", "value"))
+def read_kv_json(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """key, value of JSON objects whose values are numbers; a large object is read by many tasks."""
+    pair = F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), "map<string,double>")
+    return json_elements(spark, path, None, split_bytes).select(F.explode(pair).alias("key", "value"))
 
 
 def read_raster_tiles(spark: SparkSession, path: str, rows: int, cols: int, dtype: str = "<u2", scale: float = 1.0, offset: float = 0.0, nodata: float | None = None) -> DataFrame:

@@ -53,11 +53,39 @@ def velocity_windows(stack: DataFrame, window: str, late: str) -> DataFrame:
 
 
 def displacement_state(stack: DataFrame) -> DataFrame:
-    """Running sums per pixel from which slopes follow; for update or complete mode."""
+    """Running sums per pixel from which slopes follow; for update mode, in which a batch gives the pixels it changes."""
     v, d = F.col("displacement_m"), F.col("d")
     return stack.filter(v.isNotNull()).groupBy("frame_id", "pixel_id").agg(F.count("*").alias("n"), F.regr_slope(v, d).alias("slope"))
 
 
+def granules_once(stack: DataFrame) -> DataFrame:
+    """Rows of granules that are delivered twice, in one file or in several, count once: the first to arrive stays."""
+    return stack.dropDuplicates(["frame_id", "pixel_id", "acq_date"])
+
+
+def changes(updates: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Works off what is there in update mode and returns the last row of each key, over all runs with this path.
+
+    A batch writes only the rows that it changed, into a folder of its own, so nothing is written again as the table
+    grows, and a replayed batch replaces its folder. State is kept by RocksDB, on executors' disks and in the checkpoint.
+    """
+    spark, name = updates.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+    try:
+        q = updates.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(each).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    wide = spark.read.schema(updates.schema.add("batch", "long")).parquet(f"{path}/changes")
+    row = F.struct(*[c for c in updates.columns if c not in keys])
+    return wide.groupBy(*keys).agg(F.max_by(row, "batch").alias("row")).select(*keys, "row.*")
+
+
 def first_addresses(stream: DataFrame, late: str) -> DataFrame:
     """The first address per key as files arrive, remembered for the watermark's span."""
     keyed = A.normalize_address(stream).withColumn("key", F.concat_ws("|", F.lower("address"), F.lower("city")))
