@@ -99,6 +99,7 @@ SELECT l_orderkey * 10 + l_linenumber AS structure_id,
        CASE WHEN l_returnflag = 'R' AND l_quantity > 20 THEN 'Destroyed (>50%)' WHEN l_returnflag = 'A' AND l_quantity > 40 THEN 'Major (26-50%)'
             WHEN l_linenumber = 7 THEN 'Inaccessible' WHEN l_linenumber = 6 THEN NULL ELSE 'No Damage' END AS damage,
        l_quantity AS distance_m, l_discount * 100 AS flame_ft, l_tax * 10 AS fair_share,
+       CASE WHEN l_suppkey % 8 <> 0 THEN CAST(1930 + l_partkey % 90 AS DOUBLE) END AS year_built, CAST(l_orderkey * 31 % 101 AS DOUBLE) / 100 AS ember,
        CAST(32500 + (l_orderkey * 7919) % 9500 AS DOUBLE) / 1000 AS lat, CAST(-124500 + (l_partkey * 104729) % 10500 AS DOUBLE) / 1000 AS lon
 FROM {lineitem}
 """,
