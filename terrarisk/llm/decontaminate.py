@@ -1,13 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-`build_index` stores, for segments of the training documents, a postings list (sorted word positions) for each term
-that the test items use, and the documents' places in each segment. Every document lies in one segment, so a segment
-answers phrase queries alone. `search` takes the test windows to the segments that hold their rarest term: its list,
-shifted by the term's offset, is intersected with the shifted lists of the next rarest terms until none is left or all
-are met (exact phrase), or each position must have every term within `slop` of its place (proximity).
+`build_index` stores, for segments of the training documents, a postings list (sorted word positions) for each of their
+terms, and the documents' places in each segment. Every document lies in one segment, so a segment answers phrase
+queries alone. The index knows nothing of the test items: `find_indexed` asks one index for any benchmark, any width and
+any slop. `search` joins the wanted terms to the postings and takes the windows to the segments that hold their rarest
+term: its list, shifted by the term's offset, is intersected with the shifted lists of the next rarest terms until none
+is left or all are met (exact phrase), or each position must have every term within `slop` of its place (proximity).
 
-Test items go through the driver in rounds of at most `ROUND_BYTES`, each with an index of its own terms, so that a
-benchmark of any size is searched whole; what the rounds find of a document is merged.
+Test items go through the driver in rounds of at most `ROUND_BYTES`, so that a benchmark of any size is searched whole;
+all rounds read the one index, and what they find of a document is merged.
 
 Words: A-Z lowered, runs of other bytes than ASCII non-alphanumerics. Defined results: null and empty texts have no
 words and are never hit; items without words have no windows; rows of one item_id are one item; items with equal texts
@@ -29,10 +30,14 @@ from pyspark.sql import functions as F
 from .common import column_bytes, marked, remove, shared_dir, text_batches
 
 WINDOW = 10
-#: Bytes (about) of the terms and windows that one round takes to every task.
+#: Bytes (about) of the terms and windows that one round broadcasts.
 ROUND_BYTES = 32_000_000
 #: Words of a segment of the index; a longer document is a segment by itself.
 SEGMENT_WORDS = 1_500_000
+#: Rows of a batch of postings.
+LISTS = 20_000
+#: Stands for a term in the row that holds a segment's documents; no term is empty.
+HEAD = b""
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -46,45 +51,63 @@ def item_windows(text: bytes, width: int = WINDOW) -> list[tuple[bytes, ...]]:
     return list(dict.fromkeys(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))) if w else []
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], path: str) -> None:
-    """Writes the index of docs (doc_id, ident, twin, text) to path: a row per segment and term (postings), and one per
-    segment with term -1 (ids, null marks, idents, twins, first positions and word counts of its documents)."""
-    known = terms.get
+class _Numbers(dict):
+    """Numbers words in the order in which they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+INDEX = "segment string, term binary, n long, postings binary"
+
+
+def _postings(segment: str, numbers: _Numbers, found: list[np.ndarray], starts: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows of a segment's terms in the terms' order; found: the numbers of each document's words, in their order."""
+    sizes = np.array([len(x) for x in found])
+    term = np.concatenate(found)
+    pos = (np.arange(len(term)) + np.repeat(np.array(starts) - np.cumsum(sizes) + sizes, sizes)).astype("<u4")
+    pos = pos[np.argsort(term, kind="stable")]
+    size = np.bincount(term, minlength=len(numbers))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    words = list(numbers)
+    order = sorted(range(len(words)), key=words.__getitem__)  # so that files have ranges of terms
+    for k in range(0, len(order), LISTS):
+        part = order[k : k + LISTS]
+        lists = pa.array([pos[ends[i] : ends[i + 1]].tobytes() for i in part], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([segment] * len(part)), pa.array([words[i] for i in part], pa.binary()), pa.array(size[part], pa.int64()), lists], names=["segment", "term", "n", "postings"])
+
+
+def build_index(docs: DataFrame, path: str, segment_words: int = SEGMENT_WORDS) -> None:
+    """Writes the index of docs (doc_id, ident, twin, text) to path: a row per segment and term (n, postings), and one per
+    segment with term HEAD (ids, null marks, idents, twins, first positions and word counts of its documents)."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts, sizes, found, at = [], [], [], [], 0
+        ids, starts, sizes, found, at, numbers = [], [], [], [], 0, _Numbers()
         serial = 0
 
-        def close() -> pa.RecordBatch:
-            pos = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.int64)
-            term = np.concatenate([t for _, t in found]) if found else np.zeros(0, np.int32)
-            order = np.argsort(term, kind="stable")
-            term, pos = term[order], pos[order]
-            cut = np.flatnonzero(np.diff(term, prepend=-1))
-            lists = [x.astype("<u4").tobytes() for x in np.split(pos, cut[1:])] if len(term) else []
+        def close() -> Iterator[pa.RecordBatch]:
             name = f"{TaskContext.get().partitionId()}-{serial}"
             head = np.array([[r[0] or 0 for r in ids], [r[0] is None for r in ids], [r[1] for r in ids], [r[2] for r in ids], starts, sizes], np.int64).astype("<i8").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([name] * (len(lists) + 1)), pa.array([-1, *term[cut].tolist()], pa.int32()), pa.array([head, *lists], pa.binary())], names=["segment", "term", "postings"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([HEAD], pa.binary()), pa.array([len(ids)], pa.int64()), pa.array([head], pa.binary())], names=["segment", "term", "n", "postings"])
+            yield from _postings(name, numbers, found, starts)
 
         for batch in batches:
             for *row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ident", "twin")), column_bytes(batch, "text")):
                 words = words_of(text)
-                if ids and at + len(words) > SEGMENT_WORDS:
-                    yield close()
+                if ids and at + len(words) > segment_words:
+                    yield from close()
                     serial += 1
-                    ids, starts, sizes, found, at = [], [], [], [], 0
-                t = np.fromiter((known(w, -1) for w in words), np.int32, len(words))
-                hit = np.flatnonzero(t >= 0)
-                if len(hit):
-                    found.append((hit + at, t[hit]))
+                    ids, starts, sizes, found, at, numbers = [], [], [], [], 0, _Numbers()
+                found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 ids.append(row)
                 starts.append(at)
                 sizes.append(len(words))
                 at += len(words) + 1  # the place between two documents holds no word, so no phrase spans them
         if ids:
-            yield close()
+            yield from close()
 
-    docs.select("doc_id", "ident", "twin", "text").mapInArrow(segment, "segment string, term int, postings binary").write.parquet(path)
+    docs.select("doc_id", "ident", "twin", "text").mapInArrow(segment, INDEX).write.parquet(path)
 
 
 def phrase_starts(lists: list[tuple[int, np.ndarray]], slop: int = 0) -> np.ndarray:
@@ -103,20 +126,29 @@ def phrase_starts(lists: list[tuple[int, np.ndarray]], slop: int = 0) -> np.ndar
 FOUND = "doc_id long, ident long, twin long, n_words long, spans array<long>, items array<string>"
 
 
-def search(index: DataFrame, windows: list[tuple[tuple[int, ...], list[int]]], frequency: dict[int, int], item_ids: list[str | None], slop: int = 0) -> DataFrame:
-    """A row per document of the index, as FOUND: spans are begin and end of each run of hit words, one after the other.
+def search(index: DataFrame, terms: dict[bytes, int], windows: list[tuple[tuple[int, ...], list[int]]], item_ids: list[str | None], slop: int, path: str) -> None:
+    """Writes a row per document of the index, as FOUND, to path: spans are begin and end of each run of hit words, one
+    after the other.
 
-    windows: term ids of a window, and the numbers of the items that have it. frequency: of each term over all segments.
+    terms: number of each term. windows: term numbers of a window, and the numbers of the items that have it. Both are
+    of one round, whose bytes bound what is broadcast here.
     """
+    spark = index.sparkSession
+    wanted = spark.createDataFrame(pa.table({"term": pa.array([HEAD, *terms], pa.binary()), "number": pa.array([-1, *terms.values()], pa.int32())}))
+    lists = index.join(F.broadcast(wanted), "term")
+    # at most a row for each term of the round
+    frequency = {r[0]: r[1] for r in lists.filter("number >= 0").groupBy("number").agg(F.sum("n")).collect()}
     plans: dict[int, list] = {}
-    for terms, items in windows:
-        order = sorted(range(len(terms)), key=lambda k: (frequency.get(terms[k], 0), k))
-        if all(frequency.get(t, 0) for t in terms):
-            plans.setdefault(terms[order[0]], []).append(([(terms[k], k) for k in order], len(terms), items))
+    for terms_of, items in windows:
+        order = sorted(range(len(terms_of)), key=lambda k: (frequency.get(terms_of[k], 0), k))
+        if all(frequency.get(t, 0) for t in terms_of):
+            plans.setdefault(terms_of[order[0]], []).append(([(terms_of[k], k) for k in order], len(terms_of), items))
+    spread = spark.sparkContext.broadcast((plans, item_ids))
 
     def look(part: pa.Table) -> pa.Table:
+        plans, item_ids = spread.value
         lists: dict[int, np.ndarray] = {}
-        for term, data in zip(part.column("term").to_pylist(), part.column("postings").to_pylist()):
+        for term, data in zip(part.column("number").to_pylist(), part.column("postings").to_pylist()):
             lists[term] = np.frombuffer(data, "<u4").astype(np.int64) if term >= 0 else np.frombuffer(data, "<i8").reshape(6, -1)
         ids, absent, ident, twin, starts, sizes = lists[-1]
         marks = np.zeros(int(starts[-1] + sizes[-1]) + 2, np.int32)
@@ -142,7 +174,8 @@ def search(index: DataFrame, windows: list[tuple[tuple[int, ...], list[int]]], f
         names = [[item_ids[i] for i in found.get(d, ())] for d in range(len(ids))]
         return pa.table([pa.array(ids, mask=absent > 0), pa.array(ident), pa.array(twin), pa.array(sizes), pa.array([spans.get(d, []) for d in range(len(ids))], pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=[c.split()[0] for c in FOUND.split(", ")])
 
-    return index.groupBy("segment").applyInArrow(look, FOUND)
+    lists.select("segment", "number", "postings").groupBy("segment").applyInArrow(look, FOUND).write.parquet(path)
+    spread.destroy()
 
 
 def _rounds(benchmark: DataFrame, width: int, most: int) -> Iterator[tuple[dict, dict, list]]:
@@ -173,16 +206,20 @@ def covered(spans: list[int]) -> list[int]:
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """A row per row of docs: doc_id, ident, twin (see common.marks), n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
-    path, found = shared_dir(spark), None
+    path = f"{shared_dir(spark)}/index"
     text_batches(spark)
-    docs = marked(docs)
+    build_index(marked(docs), path)
+    found = find_indexed(spark.read.schema(INDEX).parquet(path), benchmark, width, slop, round_bytes)
+    remove(spark, path)
+    return found
+
+
+def find_indexed(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """As find, of the documents of an index; what it returns doesn't read the index any more."""
+    spark = index.sparkSession
+    path, found = shared_dir(spark), None
     for number, (terms, windows, item_ids) in enumerate(_rounds(benchmark, width, round_bytes)):
-        build_index(docs, terms, f"{path}/index{number}")
-        index = spark.read.parquet(f"{path}/index{number}")
-        sizes = index.filter("term >= 0").groupBy("term").agg(F.sum(F.length("postings") / 4).cast("long"))
-        frequency = {r[0]: r[1] for r in sizes.collect()}  # at most a row for each term of the round
-        search(index, list(windows.items()), frequency, item_ids, slop).write.parquet(f"{path}/hits{number}")
-        remove(spark, f"{path}/index{number}")
+        search(index, terms, list(windows.items()), item_ids, slop, f"{path}/hits{number}")
         hits = spark.read.parquet(f"{path}/hits{number}")
         if found is None:
             found = hits

@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrarisk.llm import chat_format, decontaminate, packing, quality_rules, token_file, warc
-from terrarisk.llm.common import shared_dir, table
+from terrarisk.llm.common import marked, remove, shared_dir, table
 
 ODD = [
     (1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, "one two three one two three one two three"), (5, "one two three one two three one two three"),
@@ -159,6 +160,34 @@ def test_decontaminate_proximity(spark):
     assert near == {1: True, 2: True, 3: False, None: True}
 
 
+def test_one_index_answers_any_benchmark(spark, docs, texts):
+    """The index holds every term with its positions, knows no benchmark, and stays for further ones."""
+    path = f"{shared_dir(spark)}/index"
+    decontaminate.build_index(marked(docs), path)
+    index = spark.read.parquet(path)
+    words = [w for _, t in texts for w in decontaminate.words_of((t or "").encode())]
+    held = {bytes(r.term): r.n for r in index.filter(F.length("term") > 0).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    assert held == dict(Counter(words))
+    assert index.filter(F.length("term") > 0).filter("n * 4 <> length(postings)").count() == 0
+    long = max(texts, key=lambda t: len(t[1] or ""))[1]
+    for items in ([(1, " ".join(long.split()[:30]))], [(2, "word word"), (3, "no such words anywhere qqqq")], [(4, long)]):
+        got = decontaminate.find_indexed(index, spark.createDataFrame(items, "item_id long, text string")).drop("ident", "twin").collect()
+        assert sorted(map(tuple, got)) == brute_decontaminate(texts, items)
+    remove(spark, path)
+
+
+def test_index_of_many_segments(spark, docs, texts):
+    """Segments of any size give the same; a document longer than a segment is one by itself."""
+    path = f"{shared_dir(spark)}/index"
+    decontaminate.build_index(marked(docs), path, segment_words=2000)
+    index = spark.read.parquet(path)
+    assert index.select("segment").distinct().count() > 8
+    items = [(1, "one two three"), (2, " ".join(max(texts, key=lambda t: len(t[1] or ""))[1].split()[5:40]))]
+    got = decontaminate.find_indexed(index, spark.createDataFrame(items, "item_id long, text string")).drop("ident", "twin").collect()
+    assert sorted(map(tuple, got)) == brute_decontaminate(texts, items)
+    remove(spark, path)
+
+
 @pytest.fixture(scope="module")
 def encoded(texts):
     import public_tokenizers
