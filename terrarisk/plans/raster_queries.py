@@ -341,9 +341,10 @@ def r14(spark, sf_dir):
 
 @query("r14_fire_risk_by_model")
 def r14c(spark, sf_dir):
-    """The same with the damage model, which is trained on the structures (20 trees here)."""
+    """The same with the damage model, whose label is destruction."""
     from terrarisk.operators import model as M
 
-    known = M.prepare_labels(fixture(spark, sf_dir, "structures"), True).withColumns({f: c(f).cast("double") for f in M.FEATURES})
-    e = M.scored(M.train_damage_model(known, trees=20), exposure(spark, sf_dir))
+    from .model_queries import trained
+
+    e = M.scored(trained(spark, sf_dir, destroyed_only=True), exposure(spark, sf_dir))
     return R.fire_risk_tiles(e, c("p")).select("tile_id", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), c("raw").cast("long").alias("raw"))

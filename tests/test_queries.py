@@ -84,7 +84,7 @@ def test_models(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     assert len(got)
     if name == "m2_kfold_auc":
-        assert got["auc"].min() > 0.6
+        assert len(got) == 5 and got["auc"].min() > 0.75
     if name in ("m7_response_surface", "m8_interp_trilinear"):
         assert got["p"].between(0, 1).all()
 
