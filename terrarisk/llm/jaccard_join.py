@@ -12,7 +12,8 @@ round), which is linear in the prefixes. Shingles that no other prefix has lower
 copies too far from all others meet none of them. Star rounds go on while they join components and the shingles that still span
 several would make more than `FANOUT` pairs a set. What is left then is taken whole: for each such shingle the sets
 outside the largest component with the sets of other components, kept if they share as many shingles as their level
-asks. A bound from parity signatures drops most pairs that can't reach the threshold; of the others each set's nearest
+asks. Every row of a shingle carries 256 bits of its set's signature, so that sets which differ in too many shingles make no
+pair in either kind of round. A bound from whole parity signatures drops most pairs that can't reach the threshold; of the others each set's nearest
 is compared first, on the whole sets, and then those that still lie in two components. Sets meet in cells of one set
 and at most `CELL` others.
 
@@ -44,7 +45,9 @@ SKETCH = 1 << 21
 CHUNK = 1 << 16
 MAX_LEVEL = 6
 #: Bits of a signature: half the set's size as a power of two, within these.
-SIGNATURES = 128, 16384
+SIGNATURES = 256, 16384
+#: The shortest signature as four numbers.
+SHORT = ["s0", "s1", "s2", "s3"]
 CELL = 256
 #: Pairs a set at which open shingles are taken whole, and the most star rounds before that.
 FANOUT = 2
@@ -108,6 +111,11 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(sig: bytes) -> list[int]:
+    """A signature at its shortest, as signed numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(sig, np.int64).reshape(-1, len(SHORT)), 0).tolist()
+
+
 def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Places at which signatures differ, each pair at the length of its shorter one."""
     out = np.zeros(len(a), np.int64)
@@ -137,11 +145,11 @@ class Seen:
 
 
 def read_sets(docs: DataFrame, width: int, path: str) -> np.ndarray:
-    """Writes (doc_id, ident, twin, n, key, other, sig) of every row to path/sets, and returns the sketch (of fixed size)."""
+    """Writes (doc_id, ident, twin, n, key, other, sig, s0 to s3) of every row to path/sets, and returns the sketch (of fixed size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(SKETCH, np.uint32), Seen()
-        kinds = {"doc_id": pa.int64(), "ident": pa.int64(), "twin": pa.int64(), "n": pa.int64(), "key": pa.int64(), "other": pa.int64(), "sig": pa.binary(), "chunk": pa.int32(), "counts": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "ident": pa.int64(), "twin": pa.int64(), "n": pa.int64(), "key": pa.int64(), "other": pa.int64(), "sig": pa.binary(), **dict.fromkeys(SHORT, pa.int64()), "chunk": pa.int32(), "counts": pa.binary()}
 
         def row(columns: dict, size: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], names=list(kinds))
@@ -155,9 +163,10 @@ def read_sets(docs: DataFrame, width: int, path: str) -> np.ndarray:
                 sigs.append(signature(s) if len(s) else None)
                 if len(s) and not seen(keys[-1]):
                     new.append(s)
+            short = [folded(s) if s else [None] * len(SHORT) for s in sigs]
             if new:
                 sketch += np.bincount((np.concatenate(new) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-            yield row({"doc_id": batch.column("doc_id"), "ident": batch.column("ident"), "twin": batch.column("twin"), "n": n, "key": keys, "other": others, "sig": sigs}, len(n))
+            yield row({"doc_id": batch.column("doc_id"), "ident": batch.column("ident"), "twin": batch.column("twin"), "n": n, "key": keys, "other": others, "sig": sigs} | {c: [x[k] for x in short] for k, c in enumerate(SHORT)}, len(n))
         parts = [(k, zlib.compress(sketch[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1)) for k in range(SKETCH // CHUNK)] if seen.now else []
         yield row({"chunk": [k for k, _ in parts], "counts": [c for _, c in parts]}, len(parts))
 
@@ -167,7 +176,7 @@ def read_sets(docs: DataFrame, width: int, path: str) -> np.ndarray:
             out += np.frombuffer(zlib.decompress(c), np.uint32)
         return pa.table({"chunk": [part.column("chunk")[0].as_py()], "counts": [zlib.compress(out.astype(np.float32).tobytes(), 1)]}, schema=pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
 
-    docs.mapInArrow(run, "doc_id long, ident long, twin long, n long, key long, other long, sig binary, chunk int, counts binary").write.parquet(f"{path}/sets")
+    docs.mapInArrow(run, "doc_id long, ident long, twin long, n long, key long, other long, sig binary, s0 long, s1 long, s2 long, s3 long, chunk int, counts binary").write.parquet(f"{path}/sets")
     rows = docs.sparkSession.read.parquet(f"{path}/sets").filter("chunk is not null").groupBy("chunk").applyInArrow(total, "chunk int, counts binary").collect()  # of fixed size
     sketch = np.zeros(SKETCH, np.float32)
     for chunk, counts in rows:
@@ -259,13 +268,15 @@ def may_link(a: str, b: str, percent: int) -> str:
     """SQL: rows a and b of one token can belong to a pair over the threshold, at the pair's level.
 
     The pair must share alpha shingles: of those up to the token no more than the smaller rank, of the rest no more
-    than either has. One of the first `level` that it shares lies where each side has alpha - level to come.
+    than either has. One of the first `level` that it shares lies where each side has alpha - level to come. The sets
+    differ in at least as many shingles as their signatures in bits, so in no more than n + m - 2 alpha.
     """
     n, m = f"{a}n", f"{b}n"
     alpha = f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
     level = f"least({a}level, {b}level)"
     most = f"least({a}rank, {b}rank) + least({n} - {a}pos, {m} - {b}pos)"
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {a}pos <= {n} - {alpha} + {level} and {b}pos <= {m} - {alpha} + {level} and {most} >= {alpha}"
+    differ = " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in SHORT)
+    return f"{differ} <= {n} + {m} - 2 * {alpha} and 100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {a}pos <= {n} - {alpha} + {level} and {b}pos <= {m} - {alpha} + {level} and {most} >= {alpha}"
 
 
 def verify(pairs: DataFrame, classes: DataFrame, part: DataFrame | None, docs: DataFrame, width: int, percent: int, collided: frozenset[int]) -> DataFrame | None:
@@ -343,8 +354,12 @@ def compare(near: DataFrame, docs: DataFrame, width: int, percent: int, collided
     return links
 
 
+#: What a shingle's row says of its set.
+OWN = ["key", "n", "pos", "rank", "level", *SHORT]
+
+
 def _rooted(shared: DataFrame, part: DataFrame | None) -> DataFrame:
-    own = shared.select("token", "key", "n", "pos", "rank", "level")
+    own = shared.select("token", *OWN)
     if part is None:
         return own.withColumn("root", F.col("key"))
     return own.hint("merge").join(part.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -356,11 +371,11 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_lev
     text_batches(spark)
     docs = marked(docs)
     sketch = read_sets(docs, width, path)
-    members = spark.read.parquet(f"{path}/sets").filter("chunk is null").select("doc_id", "ident", "twin", "n", "key", "other", "sig")
+    members = spark.read.parquet(f"{path}/sets").filter("chunk is null").select("doc_id", "ident", "twin", "n", "key", "other", "sig", *SHORT)
     rows = members.filter("key is not null")
 
     def classed(rows: DataFrame) -> tuple[DataFrame, str]:
-        return stored(rows.groupBy("key").agg(F.min("ident").alias("ident"), F.min("doc_id").alias("first_id"), F.min("other").alias("lo"), F.max("other").alias("hi"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+        return stored(rows.groupBy("key").agg(F.min("ident").alias("ident"), F.min("doc_id").alias("first_id"), F.min("other").alias("lo"), F.max("other").alias("hi"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sig", *SHORT)]), "classes")
 
     classes, classes_path = classed(rows)
     # different sets with one 64-bit hash: a handful in ten thousand million sets
@@ -369,13 +384,14 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_lev
         again = F.when(F.col("key").isin(list(collided)), F.col("other")).otherwise(F.col("key"))
         members, rows = members.withColumn("key", again), rows.withColumn("key", again)
         classes, classes_path = classed(rows)
-    shared, shared_path = stored(shared_prefixes(docs, rarity(sketch), collided, width, percent, max_level), "shared")
+    prefixes = shared_prefixes(docs, rarity(sketch), collided, width, percent, max_level)  # dealt by key
+    shared, shared_path = stored(prefixes.hint("merge").join(classes.select("key", *SHORT), "key"), "shared")
 
     part, before, rows, rows_path = None, None, shared, shared_path
     for number in range(1, ROUNDS + 1):
         # the rows of shingles that span several components, with the pivot of the round; dealt by shingle once for all of it
         own = _rooted(rows, part).repartition("token")
-        pivot = F.min_by(F.struct("key", "n", "pos", "rank", "level", "root"), F.xxhash64("token", "key", F.lit(number)))
+        pivot = F.min_by(F.struct(*OWN, "root"), F.xxhash64("token", "key", F.lit(number)))
         sized = own.groupBy("token", "root").agg(F.count("*").alias("m"), pivot.alias("p"))
         tokens = sized.groupBy("token").agg(F.sum("m").alias("all"), F.max_by("root", F.struct("m", "root")).alias("largest"), F.max("m").alias("most"), F.count("*").alias("roots"), F.min_by("p", F.xxhash64(F.lit(number), "p.key", "token")).alias("p")).filter("roots > 1")
         open_rows, open_path = stored(own.hint("merge").join(tokens, "token"), "open")
@@ -388,14 +404,14 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_lev
         # few pairs, or a round that has joined little: the rest is taken whole
         whole = (number > 1 and left.pairs <= FANOUT * left.sets) or number == ROUNDS or (before is not None and left.pairs > 0.8 * before)
         if whole:
-            a = open_rows.filter("root <> largest").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "rank", "level", "root")])
-            b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "rank", "level", "root", "largest")])
+            a = open_rows.filter("root <> largest").select("token", *[F.col(c).alias(f"a_{c}") for c in (*OWN, "root")])
+            b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in (*OWN, "root", "largest")])
             met = a.hint("merge").join(b, "token").filter(f"a_root <> b_root and (b_root = b_largest or a_key < b_key) and {may_link('a_', 'b_', percent)}")
             ends = [F.least("a_key", "b_key").alias("lo"), F.greatest("a_key", "b_key").alias("hi")]
             counted = met.groupBy(*ends).agg(F.count("*").alias("c"), F.first(F.least("a_level", "b_level")).alias("level"), F.min("a_key").alias("centre")).filter("c >= level")
             pairs = counted.select(F.when(F.col("centre") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("key"), "centre")
         else:
-            met = open_rows.select("key", "n", "pos", "rank", "level", "root", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("key", "n", "pos", "rank", "level", "root")])
+            met = open_rows.select(*OWN, "root", *[F.col(f"p.{c}").alias(f"p_{c}") for c in (*OWN, "root")])
             pairs = met.filter(f"root <> p_root and {may_link('', 'p_', percent)}").select("key", F.col("p_key").alias("centre")).distinct()
         part = verify(pairs, classes, part, docs, width, percent, collided)
         before = left.pairs

@@ -132,3 +132,22 @@ def test_rows_without_ids(spark):
     assert sum(r.component_id == 5 for r in got) == 61 and sum(r.component_id == 6 for r in got) == 3
     kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted({(str(d), t or "") for d, t in [(5, rows[0][1]), (6, "t1 u v w x y z"), (6, "quite another text under one id"), (None, None), (7, None), *[(None, f"t{i} u v w x y z") for i in range(40) if i != 1]]})
+
+
+def test_sets_too_far_apart_make_no_pair(spark):
+    """Of two sets of 100 with one shared shingle at the start of their prefixes only those of like signatures are met."""
+    own = "n int, pos int, rank int, level int, " + ", ".join(f"{c} long" for c in jaccard_join.SHORT)
+    kinds = ", ".join(f"{side}{x}" for side in ("a_", "b_") for x in own.split(", "))
+    near, far = [100, 1, 1, 1, 0, 0, 0, 0], [100, 1, 1, 1, -1, 0, 0, 0]  # 64 bits differ, 16 shingles may
+    both = spark.createDataFrame([tuple(near + near), tuple(near + far)], kinds)
+    assert [r.met for r in both.selectExpr(f"{jaccard_join.may_link('a_', 'b_', 85)} AS met").collect()] == [True, False]
+
+
+def test_folded_signatures():
+    """A short signature differs in no more bits than the sets in shingles."""
+    r = np.random.default_rng(4)
+    for n in (1, 30, 700, 40_000):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 5 :], r.integers(0, 1 << 63, n // 9).astype(np.uint64)]))
+        x, y = (np.array(jaccard_join.folded(jaccard_join.signature(s))) for s in (a, b) if len(s)) if len(b) else (np.zeros(4, int), np.zeros(4, int))
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
