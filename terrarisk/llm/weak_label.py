@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, column_bytes, map_batches, text_batches, with_columns, written
+from .common import Cache, column_bytes, give_back, map_batches, text_batches, with_columns, written
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "capitals", "repeats", "lines", "word_length", "sentences", "short_words", "bare_marks")
@@ -36,8 +36,8 @@ def _vote(bad: bool, good: bool) -> int:
     return BAD if bad else GOOD if good else ABSTAIN
 
 
-def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
-    """The labellers' votes, in the order of LABELLERS."""
+def votes(text: bytes, words: list[bytes], told: np.ndarray) -> tuple[int, ...]:
+    """The labellers' votes, in the order of LABELLERS; told is what word_table says of the words."""
     n = len(words)
     if not n:
         return (ABSTAIN,) * len(LABELLERS)
@@ -48,9 +48,10 @@ def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     runs = sum(map(bytes.__eq__, words, words[1:])) / n
     lines = [x for x in text.split(b"\n") if x.strip()]
     again = 1 - len(set(lines)) / len(lines)
-    mean = sum(map(len, words)) / n
-    short = sum(len(w) <= 4 for w in words) / n
-    bare = sum(not w.translate(None, _SYMBOLS + b".,;:-!?'\"()/+") for w in words) / n
+    length = told >> _LENGTH
+    mean = int(length.sum()) / n
+    short = int(np.count_nonzero(length <= 4)) / n
+    bare = int(np.count_nonzero(told & _BARE)) / n
     return (
         _vote(symbols > 0.15, symbols < 0.02),
         _vote(upper > 0.4 * (upper + lower), upper < 0.15 * (upper + lower)),
@@ -96,31 +97,51 @@ def fit_labellers(counts: dict[int, int], rounds: int = 60) -> tuple[np.ndarray,
     return given, post
 
 
-def _shape(word: bytes) -> bytes:
-    return re.sub(rb"(.)\1+", rb"\1\1", re.sub(rb"[0-9]", b"9", re.sub(rb"[A-Z]", b"X", re.sub(rb"[a-z\x80-\xff]", b"x", word))))[:12]
+#: Kinds of letters: capitals, other letters, digits; marks stand for themselves.
+_KINDS = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
+_AGAIN = re.compile(rb"(.)\1+")
+_shapes = Cache(lambda kinds: zlib.crc32(b"shape " + _AGAIN.sub(rb"\1\1", kinds)[:12]) % BUCKETS << _BITS, __name__)
 
 
-_features = Cache(lambda w: (zlib.crc32(w) % BUCKETS, zlib.crc32(b"shape " + _shape(w)) % BUCKETS), __name__)
+#: A word as one number: its bucket, its shape's bucket, whether it is bare marks, and its length in bytes.
+_BITS = BUCKETS.bit_length() - 1
+_BARE, _LENGTH = 1 << 2 * _BITS, 2 * _BITS + 1
 
 
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _told(word: bytes) -> int:
+    bare = not word.translate(None, _SYMBOLS + b".,;:-!?'\"()/+")
+    return zlib.crc32(word) % BUCKETS | _shapes[word.translate(_KINDS)] | bare * _BARE | len(word) << _LENGTH
+
+
+_words = Cache(_told, __name__)
+
+
+def word_table(words: list[bytes]) -> np.ndarray:
+    """The number of each word."""
+    _words.ready()
+    _shapes.ready()
+    return np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
+
+
+def features(told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words, word shapes, shape pairs and repeats, as (buckets, weights); the weights have length 1."""
-    _features.ready()
-    pairs = np.array(list(map(_features.__getitem__, words)), np.int64).reshape(-1, 2)
-    two = (pairs[:-1, 1] * 31 + pairs[1:, 1] * 17 + 7) % BUCKETS
-    same = np.flatnonzero(pairs[:-1, 0] == pairs[1:, 0]) * 0 + 5
-    at, k = np.unique(np.concatenate([pairs.ravel(), two, same]), return_counts=True)
+    own, shape = told & BUCKETS - 1, told >> _BITS & BUCKETS - 1
+    count = np.bincount(own, minlength=BUCKETS) + np.bincount(shape, minlength=BUCKETS)
+    count += np.bincount((shape[:-1] * 31 + shape[1:] * 17 + 7) % BUCKETS, minlength=BUCKETS)
+    count[5] += np.count_nonzero(own[:-1] == own[1:])
+    at = np.flatnonzero(count)
+    k = count[at]
     weight = k / np.sqrt((k.astype(float) ** 2).sum()) if len(k) else k.astype(float)
     return at, weight
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], passes: int = 12, rate: float = 2.0, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression on posteriors, by AdaGrad over the rows in their order; the last weight is the bias."""
+def fit_scorer(rows: list[tuple[bytes, bytes, float]], passes: int = 12, rate: float = 2.0, decay: float = 1e-5) -> np.ndarray:
+    """Logistic regression on posteriors, by AdaGrad over rows (buckets and weights in bytes, posterior) in a seeded order; the last weight is the bias."""
     w, g = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-3)
     order = np.random.default_rng(7)
     for _ in range(passes):
         for i in order.permutation(len(rows)):
-            at, x, y = rows[i]
+            at, x, y = np.frombuffer(rows[i][0], "<u2").astype(np.int64), np.frombuffer(rows[i][1], "<f4").astype(float), rows[i][2]
             p = 1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -30, 30)))
             d = (p - y) * x + decay * w[at]
             g[at] += d * d
@@ -140,28 +161,32 @@ def weak_label_classifier(docs: DataFrame, max_train: int = MAX_TRAIN, threshold
         for batch in batches:
             rows = []
             for text in column_bytes(batch, "text"):
-                p = pattern(votes(text, words := text.split()))
+                told = word_table(words := text.split())
+                p = pattern(votes(text, words, told))
                 counts[p] += 1
                 if words and zlib.crc32(text) < share * 2**32:  # the sample is drawn by content, alike at every partitioning
-                    at, x = features(words)
-                    rows.append((p, zlib.crc32(text), at.astype(np.int32), x.astype(np.float32)))
+                    at, x = features(told)
+                    rows.append((p, zlib.crc32(text), at.astype("<u2").tobytes(), x.astype("<f4").tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows])], names=["pattern", "n", "at", "x"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64()), pa.nulls(len(counts), pa.list_(pa.int32())), pa.nulls(len(counts), pa.list_(pa.float32()))], names=["pattern", "n", "at", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["pattern", "n", "at", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64()), pa.nulls(len(counts), pa.binary()), pa.nulls(len(counts), pa.binary())], names=["pattern", "n", "at", "x"])
 
-    voted = written(docs.select("text").mapInArrow(vote, "pattern long, n long, at array<int>, x array<float>"), "votes")
+    voted = written(docs.select("text").mapInArrow(vote, "pattern long, n long, at binary, x binary"), "votes")
     counts = {r[0]: r[1] for r in voted.filter("at is null").groupBy("pattern").agg(F.sum("n")).collect()}  # at most 3**8 rows
     given, post = fit_labellers(counts)
     # copies are taken once, and the smallest hashes, so that the sample is bounded whatever the corpus repeats
-    sample = voted.filter("at is not null").groupBy("n").agg(F.min_by(F.struct("pattern", "at", "x"), "pattern").alias("r")).orderBy("n").limit(max_train).select("r.*").toPandas()
-    weights = fit_scorer([(np.array(a), np.array(x, float), post[p]) for p, a, x in zip(sample["pattern"], sample["at"], sample["x"])])
+    sample = voted.filter("at is not null").groupBy("n").agg(F.min_by(F.struct("pattern", "at", "x"), "pattern").alias("r")).orderBy("n").limit(max_train).select("r.*").collect()
+    # in bytes to the driver and decoded row by row: as lists of numbers the sample takes ten times the memory there
+    weights = fit_scorer([(r.at, r.x, post[r.pattern]) for r in sample])
+    del sample
+    give_back()
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         patterns, scores = [], []
         for text in column_bytes(batch, "text"):
-            words = text.split()
-            patterns.append(pattern(votes(text, words)))
-            at, x = features(words)
+            told = word_table(words := text.split())
+            patterns.append(pattern(votes(text, words, told)))
+            at, x = features(told)
             scores.append(1 / (1 + np.exp(-np.clip(weights[at] @ x + weights[-1], -30, 30))) if words else 0.0)
         score = np.array(scores, float)
         return with_columns(batch, {"vote_pattern": pa.array(patterns, pa.int64()), "posterior": pa.array(post[patterns]), "score": pa.array(score), "kept": pa.array(score >= threshold)})

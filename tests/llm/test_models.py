@@ -163,3 +163,25 @@ def test_toxicity(spark):
     none = toxicity.toxicity(both.limit(5), labels.limit(0)).collect()
     assert {r.score for r in none} == {0.0}
     assert toxicity.toxicity(both.limit(0), labels).count() == 0
+
+
+def test_word_table():
+    """What is told of a word in one number, and features of whole texts, against plain counts."""
+    import zlib
+    from collections import Counter
+
+    def shape(w):
+        for kind, by in ((rb"[a-z\x80-\xff]", b"x"), (rb"[A-Z]", b"X"), (rb"[0-9]", b"9"), (rb"(.)\1+", rb"\1\1")):
+            w = re.sub(kind, by, w)
+        return w[:12]
+
+    words = "Aa bb  bb 12,345 x ## #a .;: \u00e9\u00e9\u00e9\u00e9 ABCabc123 bb bb".encode().split() + [b"q" * 200, b"#" * 70]
+    own = [zlib.crc32(w) % weak_label.BUCKETS for w in words]
+    shapes = [zlib.crc32(b"shape " + shape(w)) % weak_label.BUCKETS for w in words]
+    count = Counter(own + shapes + [(a * 31 + b * 17 + 7) % weak_label.BUCKETS for a, b in zip(shapes, shapes[1:])])
+    count[5] += sum(a == b for a, b in zip(own, own[1:]))
+    at, weight = weak_label.features(told := weak_label.word_table(words))
+    assert at.tolist() == sorted(k for k, v in count.items() if v)
+    assert np.allclose(weight * np.sqrt(sum(v * v for v in count.values())), [count[k] for k in at.tolist()])
+    assert (told >> weak_label._LENGTH).tolist() == [len(w) for w in words]
+    assert [w for w, x in zip(words, told) if x & weak_label._BARE] == [b"##", b".;:", b"#" * 70]
