@@ -69,6 +69,7 @@ class Bins:
 
     def __init__(self, sizes: np.ndarray, capacity: int):
         self.sizes, self.capacity = sizes, capacity
+        self.size: list[int] = sizes.tolist()
         self.items: dict[int, list[int]] = {}
         self.free: dict[int, int] = {}
         self.by_free: dict[int, list[int]] = {}
@@ -88,10 +89,11 @@ class Bins:
             self.mask &= ~(1 << free)
         return free
 
-    def add_bin(self, items: list[int]) -> None:
+    def add_bin(self, items: list[int], free: int | None = None) -> None:
+        """A bin of these items; its free space, where it is known, isn't summed again."""
         b, self.next = self.next, self.next + 1
         self.items[b] = items
-        self._put(b, self.capacity - int(self.sizes[items].sum()))
+        self._put(b, self.capacity - sum(map(self.size.__getitem__, items)) if free is None else free)
 
     def drop_bin(self, b: int) -> list[int]:
         self._take(b)
@@ -100,7 +102,7 @@ class Bins:
     def best_fit(self, items: list[int]) -> None:
         """Places items, in their order, each in the bin that it leaves least room in."""
         for i in items:
-            size = int(self.sizes[i])
+            size = self.size[i]
             rest = self.mask >> size
             if rest:
                 free = size + (rest & -rest).bit_length() - 1
@@ -147,19 +149,17 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 def crossover(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
     """Whole well-filled bins of b go into a; bins of a with duplicates go; displaced items are placed by best fit."""
     fills = sorted(b.free, key=b.free.__getitem__)
-    gene = [b.items[k] for k in fills[: max(1, len(fills) // 4)] if rng.random() < 0.5] or [b.items[fills[0]]]
-    injected = np.zeros(len(a.sizes), bool)
-    for items in gene:
-        injected[items] = True
+    gene = [k for k in fills[: max(1, len(fills) // 4)] if rng.random() < 0.5] or [fills[0]]
+    injected = {i for k in gene for i in b.items[k]}
     child, displaced = Bins(a.sizes, a.capacity), []
-    for items in a.items.values():
-        if injected[items].any():
-            displaced += [i for i in items if not injected[i]]
+    for k, items in a.items.items():
+        if injected.isdisjoint(items):
+            child.add_bin(list(items), a.free[k])
         else:
-            child.add_bin(list(items))
-    for items in gene:
-        child.add_bin(list(items))
-    child.best_fit(sorted(displaced, key=lambda i: -a.sizes[i]))
+            displaced += [i for i in items if i not in injected]
+    for k in gene:
+        child.add_bin(list(b.items[k]), b.free[k])
+    child.best_fit(sorted(displaced, key=lambda i: -a.size[i]))
     return child
 
 
@@ -167,7 +167,7 @@ def mutate(a: Bins, rng: np.random.Generator) -> None:
     worst = sorted(a.free, key=lambda k: -a.free[k])
     chosen = worst[: max(2, len(worst) // 50)] + [worst[k] for k in rng.integers(0, len(worst), 3)]
     loose = [i for b in dict.fromkeys(chosen) for i in a.drop_bin(b)]
-    a.best_fit(sorted(loose, key=lambda i: -a.sizes[i] * (1 + 0.2 * rng.random())))
+    a.best_fit(sorted(loose, key=lambda i: -a.size[i] * (1 + 0.2 * rng.random())))
 
 
 def evolve(sizes: np.ndarray, seeds: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> np.ndarray:

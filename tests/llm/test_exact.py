@@ -388,3 +388,18 @@ def test_warc_null_ids_and_urls(spark):
     got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to, r.url) for r in warc.warc_round_trip(pages, 9000).collect()), key=str)
     want = [(1, 80003, "response", None, "http://a"), (0, 80003, "revisit", 1, None), (5, 200, "response", None, None), *[(0, 300, "response", None, "http://n")] * 2, (7, 200, "revisit", 5, "http://b"), (7, 70000, "response", None, "http://b")]
     assert got == sorted(want, key=str)
+
+
+def test_bins_keep_their_free_space():
+    """Crossover takes bins over with the free space that they had; every item stays in one bin."""
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(300, 1100, 500)
+    people = []
+    for _ in range(2):
+        people.append(packing.Bins(sizes, 2048))
+        people[-1].best_fit(rng.permutation(500).tolist())
+    child = packing.crossover(*people, rng)
+    packing.mutate(child, rng)
+    child.add_bin([], 2048)
+    assert sorted(i for items in child.items.values() for i in items) == list(range(500))
+    assert all(child.free[b] == 2048 - sizes[items].sum() for b, items in child.items.items() if items)
