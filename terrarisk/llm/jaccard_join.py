@@ -8,9 +8,10 @@ pair must share l = min(l_a, l_b) shingles of these prefixes at positions that s
 
 Pairs inside one component need no link, so candidates come in rounds, and components are joined between them. A star
 round takes every set with one set, the pivot, of each of its prefix shingles (another pivot for each shingle and
-round), which is linear in the prefixes. Shingles that no other prefix has lower what a pair can share, so that edited
+round, `PIVOTS` of them after the first round), which is linear in the prefixes. Shingles that no other prefix has lower what a pair can share, so that edited
 copies too far from all others meet none of them. Star rounds go on while they join components and the shingles that still span
-several would make more than `FANOUT` pairs a set. What is left then is taken whole: for each such shingle the sets
+several would make more than `FANOUT` pairs a set: a set that links with many of a large component meets one of them by a
+pivot, and not all of them later. What is left then is taken whole: for each such shingle the sets
 outside the largest component with the sets of other components, kept if they share as many shingles as their level
 asks. Every row of a shingle carries 256 bits of its set's signature, so that sets which differ in too many shingles make no
 pair in either kind of round. A bound from whole parity signatures drops most pairs that can't reach the threshold; of the others each set's nearest
@@ -52,6 +53,9 @@ CELL = 256
 #: Pairs a set at which open shingles are taken whole, and the most star rounds before that.
 FANOUT = 2
 ROUNDS = 8
+#: Pivots of a shingle after the first star round, and the share of all sets joined so far that a round joins at most
+#: where another one isn't worth it.
+PIVOTS, SETTLED = 8, 0.005
 BLOCK_WORDS = 200_000
 #: Classes that a task remembers (in two generations) so as to read copies once; what it forgets is merged after the shuffle.
 SEEN = 100_000
@@ -388,12 +392,15 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_lev
     shared, shared_path = stored(prefixes.hint("merge").join(classes.select("key", *SHORT), "key"), "shared")
 
     part, before, rows, rows_path = None, None, shared, shared_path
+    joined, fresh = 0, 0  # sets that have met their component's root: in all, and by the last round
     for number in range(1, ROUNDS + 1):
         # the rows of shingles that span several components, with the pivot of the round; dealt by shingle once for all of it
         own = _rooted(rows, part).repartition("token")
-        pivot = F.min_by(F.struct(*OWN, "root"), F.xxhash64("token", "key", F.lit(number)))
-        sized = own.groupBy("token", "root").agg(F.count("*").alias("m"), pivot.alias("p"))
-        tokens = sized.groupBy("token").agg(F.sum("m").alias("all"), F.max_by("root", F.struct("m", "root")).alias("largest"), F.max("m").alias("most"), F.count("*").alias("roots"), F.min_by("p", F.xxhash64(F.lit(number), "p.key", "token")).alias("p")).filter("roots > 1")
+        seeds = range(1 if number == 1 else PIVOTS)
+        first = lambda p, key, k: F.min_by(p, F.xxhash64("token", key, F.lit(number), F.lit(k))).alias(f"p{k}")
+        sized = own.groupBy("token", "root").agg(F.count("*").alias("m"), *[first(F.struct(*OWN, "root"), "key", k) for k in seeds])
+        tokens = sized.groupBy("token").agg(F.sum("m").alias("all"), F.max_by("root", F.struct("m", "root")).alias("largest"), F.max("m").alias("most"), F.count("*").alias("roots"), *[first(F.col(f"p{k}"), f"p{k}.key", k) for k in seeds]).filter("roots > 1")
+        tokens = tokens.withColumn("p", F.array_distinct(F.array(*[f"p{k}" for k in seeds]))).drop(*[f"p{k}" for k in seeds])
         open_rows, open_path = stored(own.hint("merge").join(tokens, "token"), "open")
         remove(spark, rows_path)  # shingles of one component stay so: the next round goes on from the open ones
         rows, rows_path = open_rows, open_path
@@ -401,8 +408,9 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_lev
         _log.info("round %d: %s sets of open shingles, %s pairs if taken whole", number, left.sets, left.pairs)
         if not left.sets:
             break
-        # few pairs, or a round that has joined little: the rest is taken whole
-        whole = (number > 1 and left.pairs <= FANOUT * left.sets) or number == ROUNDS or (before is not None and left.pairs > 0.8 * before)
+        # few pairs, or a round that has joined next to nothing: the rest is taken whole
+        settled = before is not None and left.pairs > 0.8 * before and fresh <= SETTLED * joined
+        whole = (number > 1 and left.pairs <= FANOUT * left.sets) or number == ROUNDS or settled
         if whole:
             a = open_rows.filter("root <> largest").select("token", *[F.col(c).alias(f"a_{c}") for c in (*OWN, "root")])
             b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in (*OWN, "root", "largest")])
@@ -411,10 +419,11 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_lev
             counted = met.groupBy(*ends).agg(F.count("*").alias("c"), F.first(F.least("a_level", "b_level")).alias("level"), F.min("a_key").alias("centre")).filter("c >= level")
             pairs = counted.select(F.when(F.col("centre") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("key"), "centre")
         else:
-            met = open_rows.select(*OWN, "root", *[F.col(f"p.{c}").alias(f"p_{c}") for c in (*OWN, "root")])
-            pairs = met.filter(f"root <> p_root and {may_link('', 'p_', percent)}").select("key", F.col("p_key").alias("centre")).distinct()
+            near = F.expr(f"filter(p, x -> x.root <> root and {may_link('', 'x.', percent)})")
+            pairs = open_rows.select("key", F.explode(near).alias("x")).select("key", F.col("x.key").alias("centre")).distinct()
         part = verify(pairs, classes, part, docs, width, percent, collided)
-        before = left.pairs
+        now = 0 if part is None else part.filter("node <> root").count()
+        before, joined, fresh = left.pairs, now, now - joined
         if whole:
             break
     remove(spark, rows_path)

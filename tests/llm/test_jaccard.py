@@ -125,6 +125,24 @@ def test_group_of_near_copies(spark):
     assert all(got[d].component_id == min(group) for group in linked.values() for d in group)
 
 
+def test_near_copies_meet_by_pivots(spark, monkeypatch):
+    """1,500 copies of one text, most pairs of which are near the threshold: star rounds join them, and what is taken whole
+    makes few pairs."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(1500):
+        copy = list(words)
+        for _ in range(r.randrange(1, 7)):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+        rows.append((i + 1, " ".join(copy)))
+    made = []
+    whole = jaccard_join.verify
+    monkeypatch.setattr(jaccard_join, "verify", lambda pairs, *rest: (made.append(pairs.count()), whole(pairs, *rest))[1])
+    jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert made[-1] < 1000
+
+
 def test_rows_without_ids(spark):
     rows = [(None, "a b c d e f g h")] * 60 + [(None, f"t{i} u v w x y z") for i in range(40)] + [(5, "a b c d e f g h"), (6, "t1 u v w x y z"), (6, "quite another text under one id"), (None, None), (7, None)]
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
