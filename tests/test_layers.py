@@ -43,3 +43,18 @@ def test_report(spark):
     assert Y.report(sites.limit(0), layers).count() == 0
     plan = Y.report(sites.withColumn("lat", F.col("lat") + 0), layers)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("Join") <= 2
+
+
+def test_places_are_searched_once(spark):
+    """Many sites at few places: what is met is of places, and only what the report takes of a layer and name leaves a block."""
+    spots = [(34.05, -118.45), (35.5, -119.5), (34.0500001, -118.45)]
+    sites = spark.createDataFrame([(i, *spots[i % 3], float(i), None, None, "s", 1) for i in range(600)], SITE)
+    line = lambda x, y: [([[(x, y), (x + 0.01, y), (x + 0.02, y + 0.01)]],)]
+    faults = spark.createDataFrame([(i, {"fault_name": f"F{i % 3}"}, line(-118.6 + i / 500, 34.0 + i % 7 / 50)) for i in range(200)], f"{PROPS}, parts {G.GEOMETRY}")
+    airports = spark.createDataFrame([(i, {"ident": str(i)}, 34.0 + i / 500, -118.5) for i in range(100)], f"{PROPS}, lat double, lon double")
+    layers = {"faults": faults, "traffic": faults, "airports": airports, "flood_zones": spark.createDataFrame([(i, {}, square(-118.6, 33.9, 0.3 + i / 100)) for i in range(50)], f"{PROPS}, parts {G.GEOMETRY}")}
+    met = Y.meet(sites, layers).groupBy("lat", "lon", "layer").count().collect()
+    assert {(r.lat, r.layer): r["count"] for r in met} == {(lat, layer): n for lat, _ in (spots[0], spots[2]) for layer, n in ((None, 1), ("faults", 3), ("traffic", 1), ("airports", 10), ("flood_zones", 1))} | {(35.5, None): 1}
+    got = Y.report(sites, layers).select("site_id", F.size("faults").alias("n"), "structural.landslide.annual_p", F.to_json("traffic_pollution").alias("t")).collect()
+    assert sorted(r.site_id for r in got) == list(range(600)) and all(r.n == (0 if r.site_id % 3 == 1 else 3) for r in got)
+    assert len({r.annual_p for r in got}) == 600 and len({r.t for r in got if r.site_id % 3 == 0}) == 1
