@@ -78,3 +78,27 @@ def test_first_zones(spark):
     p, z = N.first_zones(lat, lon, table.column("parts").combine_chunks(), seq, seq % 3)
     assert {(x.i, x.c, x.s) for x in held} == {(i, seq[j] % 3, seq[j]) for i, j in zip(p, z)} and len(held) > 100
     assert N.codes(pa.chunked_array([["a", None, "a"]])).tolist() == [0, 1, 0]
+
+
+def test_lines_of_many_edges(spark):
+    """Distances to lines of one to seven edges, by place with a column of the site's own, against the expression over a whole line."""
+    r = np.random.default_rng(6)
+    lines = [(i, [([list(zip((-120 + r.uniform(-1, 1) + np.cumsum(r.normal(0, 0.15, 2 + i % 7))).tolist(), (36 + r.uniform(-1, 1) + np.cumsum(r.normal(0, 0.15, 2 + i % 7))).tolist()))],)]) for i in range(120)]
+    layer = spark.createDataFrame(lines, f"line_id long, parts {G.GEOMETRY}")
+    spots = [(36 + a, -120 + b) for a, b in r.uniform(-1, 1, (15, 2)).tolist()]
+    sites = spark.createDataFrame([(i, *spots[i % 15], i % 2) for i in range(90)], "site_id long, lat double, lon double, kind long")
+    far = S.place_distances(sites, layer, "line_id", 30.0, ("kind",))
+    assert far.count() == far.select("lat", "lon", "kind", "line_id").distinct().count()
+    got = {(x.site_id, x.line_id, x.kind): x.distance_km for x in S.unfold(far.select("ids", "line_id", "kind", "distance_km")).collect()}
+    d = G.point_line_km(F.col("parts"), F.col("lat"), F.col("lon"))
+    want = {(x.site_id, x.line_id, x.kind): x.d for x in sites.crossJoin(layer).select("site_id", "line_id", "kind", d.alias("d")).filter("d <= 30").collect()}
+    assert got == pytest.approx(want, abs=1e-9) and len(got) > 500
+
+
+@pytest.mark.parametrize("name", ["j7_fault_join", "h5_score_faults"])
+def test_pairs_unfold_last(spark, sf_dir, name):
+    """What is computed of a pair is computed once a place: sites are unfolded above it."""
+    from terrarisk.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(ids") < plan.index("round(")
