@@ -86,10 +86,14 @@ def slope_deg(sites: DataFrame, pixels: DataFrame, rows: int, cols: int) -> Data
 
 
 def window_max(sites: DataFrame, pixels: DataFrame, rows: int, cols: int, radius: int) -> DataFrame:
-    """site_id and the largest value within radius pixels of the nearest pixel; the offsets are a small literal array."""
+    """site_id and the largest value within radius pixels of the nearest pixel; the offsets are a small literal array. A
+    window is looked at once for all sites whose nearest pixel is the same."""
     d = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
-    n = nearest_pixel(sites, rows, cols).select("site_id", "tile_id", "row", "col", F.explode(d).alias("d")).select("site_id", "tile_id", (F.col("row") + F.col("d.i")).alias("row"), (F.col("col") + F.col("d.j")).alias("col"))
-    return n.join(pixels, ["tile_id", "row", "col"]).groupBy("site_id").agg(F.max("value").alias("value"))
+    at = nearest_pixel(sites, rows, cols).select("site_id", F.col("tile_id").alias("_tile"), F.col("row").alias("_row"), F.col("col").alias("_col"))
+    own = ["_tile", "_row", "_col"]
+    n = at.select(*own).distinct().select(*own, F.explode(d).alias("d")).select(*own, F.col("_tile").alias("tile_id"), (F.col("_row") + F.col("d.i")).alias("row"), (F.col("_col") + F.col("d.j")).alias("col"))
+    found = n.join(pixels, ["tile_id", "row", "col"]).groupBy(*own).agg(F.max("value").alias("value"))
+    return at.join(found, own).groupBy("site_id").agg(F.max("value").alias("value"))
 
 
 def max_slope_nearby(sites: DataFrame, pixels: DataFrame, rows: int, cols: int, radius: int | None = None) -> DataFrame:

@@ -226,3 +226,16 @@ def test_self_nearest(spark):
         got = {r.k: r.distance_m for r in S.self_nearest(df, "k", cell).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * max(1, want[k]) for k in got)
     assert S.self_nearest(df.limit(1), "k", 2.0).count() == 0
+
+
+def test_window_of_a_pixel_is_looked_at_once(spark):
+    """Sites at one pixel share its window: what meets the offsets doesn't grow with the sites."""
+    sites = spark.range(2000).select(F.col("id").alias("site_id"), F.lit(1).cast("long").alias("tile_id"), (34 + F.col("id") % 3 / 100).alias("lat"), F.lit(-118.45).alias("lon"), F.lit(34.0).alias("south"), F.lit(-118.5).alias("west"))
+    pixels = spark.range(1600).select(F.lit(1).cast("long").alias("tile_id"), F.expr("id div 40").alias("row"), (F.col("id") % 40).alias("col"), (F.col("id") * 7919 % 1601).cast("double").alias("value"))
+    got = R.window_max(sites, pixels, 40, 40, 4)
+    grid = {(p.row, p.col): p.value for p in pixels.collect()}
+    at = {s.site_id: (s.row, s.col) for s in R.nearest_pixel(sites, 40, 40).collect()}
+    assert {r.site_id: r.value for r in got.collect()} == {i: max(grid[a, b] for a in range(max(r - 4, 0), min(r + 5, 40)) for b in range(max(k - 4, 0), min(k + 5, 40))) for i, (r, k) in at.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    offsets = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert "Aggregate" in plan[offsets + 1]
