@@ -102,3 +102,15 @@ def test_pairs_unfold_last(spark, sf_dir, name):
 
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(ids") < plan.index("round(")
+
+
+def test_points_meet_as_places(spark):
+    """Sites and points at one place each meet once and are unfolded last; none is lost, nor a key that is NULL."""
+    sites = spark.createDataFrame([(i, 36.0 + i % 4 / 100, -120.0) for i in range(4800)] + [(None, 36.0, -120.0), (9, None, -120.0)], "site_id long, lat double, lon double")
+    points = spark.createDataFrame([(i, 36.0, -120.0 + i % 3 / 50) for i in range(90)] + [(7, 36.0, -120.0), (None, 36.0, -120.0)], "feature_id long, lat double, lon double")
+    pairs = S.place_point_distances(sites, points, "feature_id", 2.5)
+    d = G.haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
+    brute = sites.crossJoin(points.withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"})).select("site_id", "feature_id", d.alias("distance_km")).filter("distance_km <= 2.5")
+    assert pairs.count() < 30 and pairs.agg(F.sum(F.size("ids") * F.size("keys"))).first()[0] == brute.count() > 100_000
+    total = lambda df: df.groupBy(F.floor(F.col("distance_km") * 1000).alias("m")).agg(F.count("*"), F.sum("site_id"), F.sum("feature_id"), F.count("site_id"), F.count("feature_id")).sort("m").collect()
+    assert total(S.point_distances(sites, points, "feature_id", 2.5)) == total(brute)
