@@ -9,6 +9,7 @@ from terrarisk.functions import hazard as H
 from terrarisk.operators import layers as Y
 from terrarisk.operators import raster as R
 from terrarisk.operators import spatial as S
+from terrarisk.sources.scratch import scratch_dir
 
 from .fixtures import ctes, fixture
 from .registry import query
@@ -33,13 +34,20 @@ def sites(spark, sf_dir) -> DataFrame:
     return all_sites.join(curves(spark, sf_dir).withColumnRenamed("user_id", "site_id"), "site_id", "left").withColumn("tract_rate", (c("site_id") % 7).cast("double") / 10000)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written and read again: several layers are cut from it, which otherwise derive it each for itself."""
+    path = f"{scratch_dir(df.sparkSession)}/layer"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def site_layers(spark, sf_dir) -> dict[str, DataFrame]:
-    z, l, points = zones(spark, sf_dir), faults(spark, sf_dir), fixture(spark, sf_dir, "airport_points")
+    z, l, points = kept(zones(spark, sf_dir)), kept(faults(spark, sf_dir)), fixture(spark, sf_dir, "airport_points")
     i = c("poly_id")
     zone = lambda keep, **p: z.filter(keep).select("seq", props(**p).alias("props"), "parts")
     deposit = {"Confidence": c("confidence"), "velocity_max_mm_yr": c("velocity_max_mm_yr"), "is_active": c("is_active")}
     at = lambda df, seq, **p: df.select(c(seq).alias("seq"), props(**p).alias("props"), "lat", "lon")
-    tiles = R.to_array(fixture(spark, sf_dir, "raster_pixels").select("tile_id", c("prow").alias("row"), c("pcol").alias("col"), "value"), N, N)
+    tiles = kept(R.to_array(fixture(spark, sf_dir, "raster_pixels").select("tile_id", c("prow").alias("row"), c("pcol").alias("col"), "value"), N, N))
     raster = lambda f: tiles.select((34 + c("tile_id") * F.lit(0.1)).alias("south"), F.lit(-118.5).alias("west"), F.lit(N).alias("rows"), F.lit(N).alias("cols"), F.transform("data", f).alias("data"))
     line = c("line_id")
     return {

@@ -58,3 +58,12 @@ def test_places_are_searched_once(spark):
     got = Y.report(sites, layers).select("site_id", F.size("faults").alias("n"), "structural.landslide.annual_p", F.to_json("traffic_pollution").alias("t")).collect()
     assert sorted(r.site_id for r in got) == list(range(600)) and all(r.n == (0 if r.site_id % 3 == 1 else 3) for r in got)
     assert len({r.annual_p for r in got}) == 600 and len({r.t for r in got if r.site_id % 3 == 0}) == 1
+
+
+def test_shared_tables_are_derived_once(spark, sf_dir):
+    """The zones, lines and tiles from which several layers are cut aren't derived again for each layer."""
+    from terrarisk.plans import layer_queries as Q
+
+    plan = Q.whole(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "supplier.parquet" in plan and "lineitem.parquet" not in plan and "part.parquet" not in plan
+    assert sum(line.strip(" +-:*").startswith("Exchange") for line in plan.split("\n")) < 30
