@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from terrarisk.functions import geometry as G
 from terrarisk.operators import near as N
 from terrarisk.operators import spatial as S
@@ -98,9 +99,7 @@ def test_lines_of_many_edges(spark):
 @pytest.mark.parametrize("name", ["j7_fault_join", "h5_score_faults"])
 def test_pairs_unfold_last(spark, sf_dir, name):
     """What is computed of a pair is computed once a place: sites are unfolded above it."""
-    from terrarisk.plans.registry import QUERIES
-
-    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(ids") < plan.index("round(")
 
 
